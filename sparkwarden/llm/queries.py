@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkwarden.llm import decontaminate, url_filter
 from sparkwarden.llm.mixing import mix
 from sparkwarden.llm.near_dedup import near_duplicates
+from sparkwarden.llm.token_count import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,12 @@ def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.decontamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
