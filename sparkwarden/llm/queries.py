@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwarden.llm import decontaminate, url_filter
+from sparkwarden.llm import decontaminate, url_filter, warc
 from sparkwarden.llm.mixing import mix
 from sparkwarden.llm.near_dedup import near_duplicates
 from sparkwarden.llm.token_count import token_counts
@@ -26,6 +26,10 @@ def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.decontamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,5 +47,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_winnowing_decontamination": decontaminate.ORACLE,
+        "op8_warc_archives": warc.ORACLE,
         "op10_url_filters": url_filter.ORACLE,
     }
