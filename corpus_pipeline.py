@@ -1,8 +1,88 @@
-"""A corpus pipeline out of five operators."""
+"""A corpus pipeline out of five operators: quality, near-duplicates, decontamination, personal data, mixing.
 
+Each stage takes all that its predecessor kept and returns the columns of documents; the last adds ``copy``. Rows
+are told apart by id and text, so rows that repeat both fare alike.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkwarden.llm import decontaminate, mixing, near_dedup, pii, quality
+from sparkwarden.llm.session import shared_dir
+
+#: Rejected rows (some 60 bytes each) up to which they are broadcast.
+FEW = 250_000
+#: No SQL draws the mix or fits the classifiers; tests compare the stages with plain versions.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs but for the rows of rejected (row: a row_key)."""
+    if rejected.count() <= FEW:
+        rejected = F.broadcast(rejected)
+    keyed = docs.withColumn("_row", decontaminate.row_key())
+    return keyed.join(rejected, keyed["_row"] == rejected["row"], "left_anti").select(*docs.columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    row = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "version")
+    return _without(docs, scored.where("predicted = 0").select(row.alias("row")).distinct())
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows that repeat an id among the kept, one stays as well."""
+    found = near_dedup.near_duplicates(docs)
+    again = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("kept").cast("int")).alias("kept")).where("n > 1 or kept = 0")
+    again = again.select("doc_id", "kept")
+    if again.count() <= FEW:
+        again = F.broadcast(again)
+    named = docs.join(again.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    single = named.where("kept is null").select(*docs.columns)
+    repeated = named.where("kept = 1").select(*docs.columns).dropDuplicates(["doc_id"])
+    return single.unionByName(repeated)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.contaminated_words(docs.select(decontaminate.row_key().alias("row"), "text"), items)
+    return _without(docs, found.where("n_hit > 0").select("row").distinct())
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    masked = pii.redact_pii(docs)
+    return masked.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it; copy counts from 1."""
+    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id", "version", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumn("_version", F.xxhash64(text))
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("source").alias("_source"), "copies")
+    match = keyed["doc_id"].eqNullSafe(taken["_id"]) & (keyed["_version"] == taken["_version"]) & keyed["source"].eqNullSafe(taken["_source"])
+    chosen = keyed.dropDuplicates(["doc_id", "_version", "source"]).join(taken, match)
+    return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns, "copy")
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        docs = spark.read.parquet(f"{base}/{name}")
+    return docs

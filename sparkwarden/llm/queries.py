@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwarden.llm import ann, decontaminate, language_id, url_filter, warc
+from sparkwarden.llm import ann, decontaminate, language_id, pii, url_filter, warc
 from sparkwarden.llm.mixing import mix
 from sparkwarden.llm.near_dedup import near_duplicates
 from sparkwarden.llm.quality import score_quality
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, threshold=0.85)
 
