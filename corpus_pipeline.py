@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden.llm import decontaminate, mixing, near_dedup, pii, quality
-from sparkwarden.llm.session import shared_dir
+from sparkwarden.llm.session import durable, shared_dir
 
 #: Rejected rows (some 60 bytes each) up to which they are broadcast.
 FEW = 250_000
@@ -38,13 +38,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of rows that repeat an id among the kept, one stays as well."""
     found = near_dedup.near_duplicates(docs)
     again = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("kept").cast("int")).alias("kept")).where("n > 1 or kept = 0")
-    again = again.select("doc_id", "kept")
+    again = durable(again.select("doc_id", "kept"))
     if again.count() <= FEW:
         again = F.broadcast(again)
     named = docs.join(again.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     single = named.where("kept is null").select(*docs.columns)
-    repeated = named.where("kept = 1").select(*docs.columns).dropDuplicates(["doc_id"])
-    return single.unionByName(repeated)
+    if again.where("kept = 1").isEmpty():
+        return single
+    return single.unionByName(named.where("kept = 1").select(*docs.columns).dropDuplicates(["doc_id"]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,11 +62,13 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it; copy counts from 1."""
     taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id", "version", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("_version", F.xxhash64(text))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("source").alias("_source"), "copies")
-    match = keyed["doc_id"].eqNullSafe(taken["_id"]) & (keyed["_version"] == taken["_version"]) & keyed["source"].eqNullSafe(taken["_source"])
-    chosen = keyed.dropDuplicates(["doc_id", "_version", "source"]).join(taken, match)
+    taken = durable(taken.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("source").alias("_source"), "copies", "rows"))
+    keyed = docs.withColumn("_text", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    if not taken.where("rows > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["doc_id", "_text", "source"])
+    if taken.count() <= FEW:
+        taken = F.broadcast(taken)
+    chosen = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_version")) & F.col("source").eqNullSafe(F.col("_source")))
     return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns, "copy")
 
 
