@@ -63,5 +63,9 @@ def valid_utf8(data: Column) -> Column:
 
 def last_of_each(entries: Column) -> Column:
     """A map of key-value structs (k, v) in which later keys win."""
-    kept = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda x: x["k"] == e["k"]))
-    return F.map_from_entries(kept)
+
+    def put(held: Column, e: Column) -> Column:
+        return F.concat(F.filter(held, lambda x: x["k"] != e["k"]), F.array(e))
+
+    none = F.filter(entries, lambda e: F.lit(False))
+    return F.map_from_entries(F.aggregate(entries, none, put))

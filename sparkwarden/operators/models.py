@@ -73,7 +73,11 @@ def disabled_stages(df: DataFrame) -> DataFrame:
 def rule_entities(text: Column) -> Column:
     """Entities (type, text, score) by patterns, where no tagger is at hand: addresses and digests, vulnerabilities, malware."""
     kinds = [("Indicator", r"\b(?:\d{1,3}\.){3}\d{1,3}\b|\b[0-9a-fA-F]{32,64}\b", 0.95), ("Vulnerability", r"(?i)\bcve-\d{4}-\d+\b", 0.99), ("Malware", r"(?i)\b(?:mimikatz|trojan|ransomware|rootkit)\b", 0.9)]
-    found = [F.transform(F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)), lambda m, k=k, s=s: F.struct(F.lit(k).alias("type"), m.alias("text"), F.lit(s).alias("score"))) for k, p, s in kinds]
+
+    def tagged(kind: str, pattern: str, sure: float) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), lambda m: F.struct(F.lit(kind).alias("type"), m.alias("text"), F.lit(sure).alias("score")))
+
+    found = [tagged(*k) for k in kinds]
     return F.concat(*found)
 
 

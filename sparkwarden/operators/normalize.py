@@ -1,7 +1,7 @@
 """Log lines of seven formats to canonical events.
 
 Each parser is a column: a struct (source_type, timestamp, host, text, fields), or null where the line is of
-another format. The first that isn't null wins. All stay inside Catalyst; a line meets each pattern once.
+another format. The first that isn't null wins. All stay inside Catalyst.
 """
 
 from __future__ import annotations
@@ -25,15 +25,13 @@ def _present(v: Column) -> Column:
     return v.isNotNull() & (v != "")
 
 
-def rfc5424(raw: Column) -> Column:
-    g = groups(raw, C.RFC5424, len(C.RFC5424_GROUPS))
+def rfc5424(raw: Column, g: Column) -> Column:
     d = named(g, C.RFC5424_GROUPS)
     text = F.concat(F.lit("Host "), d["host"], F.lit(" App "), d["app"], F.lit(": "), strip(d["message"]))
     return _event("syslog", d["timestamp"], d["host"], text, fields(d, lambda v: _present(v) & (v != "-")), g.isNotNull())
 
 
-def rfc3164(raw: Column) -> Column:
-    g = groups(raw, C.RFC3164, len(C.RFC3164_GROUPS))
+def rfc3164(raw: Column, g: Column) -> Column:
     d = named(g, C.RFC3164_GROUPS)
     message = strip(or_else(d["message"], d["message_only"]))
     by = F.when(d["process"] != "", F.concat(F.lit(" Process "), d["process"], F.lit("["), d["pid"], F.lit("]"))).otherwise(F.lit(""))
@@ -54,10 +52,8 @@ def cef_extensions(s: Column) -> Column:
     return last_of_each(F.transform(parts, pair))
 
 
-def cef(raw: Column) -> Column:
-    g = groups(raw, C.CEF, len(C.CEF_GROUPS))
+def cef(raw: Column, g: Column, ext: Column) -> Column:
     d = named(g, C.CEF_GROUPS)
-    ext = cef_extensions(d["extensions"])
 
     def first(*keys: str, default: str = "") -> Column:
         return F.coalesce(*[F.try_element_at(ext, F.lit(k)) for k in keys], F.lit(default))
@@ -71,8 +67,7 @@ def cef(raw: Column) -> Column:
     return _event("firewall", first("rt", "end"), first("dvchost", "dvc", default="unknown"), text, F.map_concat(header, ext), g.isNotNull())
 
 
-def combined(raw: Column) -> Column:
-    g = groups(raw, C.COMBINED, len(C.COMBINED_GROUPS))
+def combined(raw: Column, g: Column) -> Column:
     d = named(g, C.COMBINED_GROUPS)
     tail = raw.rlike(C.COMBINED_TAIL)
     for k in ("referrer", "ua"):
@@ -84,9 +79,8 @@ def combined(raw: Column) -> Column:
 class _Json:
     """Values of a JSON object as strings, null where absent."""
 
-    def __init__(self, raw: Column):
-        self.raw = raw
-        self.value = F.when(raw.startswith("{"), F.try_parse_json(raw))
+    def __init__(self, raw: Column, value: Column, keys: Column):
+        self.raw, self.value, self.keys = raw, value, keys
 
     def __call__(self, *path: str) -> Column:
         return F.try_variant_get(self.value, "$" + "".join(f'["{p}"]' for p in path), "string")
@@ -96,13 +90,8 @@ class _Json:
         absent = ~F.coalesce(F.array_contains(self.keys, key), F.lit(False))
         return F.when(absent, F.lit(default)).otherwise(F.coalesce(self(key), F.lit("None")))
 
-    @property
-    def keys(self) -> Column:
-        return F.json_object_keys(F.when(self.value.isNotNull(), self.raw))
 
-
-def winevent(raw: Column) -> Column:
-    j = _Json(raw)
+def winevent(raw: Column, j: _Json) -> Column:
     event_id = or_else(j("EventID"), j("System", "EventID"), F.coalesce(j("event_id"), F.lit("")))
     host = or_else(j("Computer"), j("System", "Computer"), j.get("hostname", "unknown"))
     message = or_else(j("Message"), j("message"), raw)
@@ -112,8 +101,7 @@ def winevent(raw: Column) -> Column:
     return _event("winevent", timestamp, host, strip(text), F.create_map(F.lit("event_id"), event_id, F.lit("host"), host, F.lit("user"), user), j.value.isNotNull() & (event_id != ""))
 
 
-def endpoint(raw: Column) -> Column:
-    j = _Json(raw)
+def endpoint(raw: Column, j: _Json) -> Column:
     host = or_else(j("ComputerName"), j("hostname"), j.get("host", "unknown"))
     process = or_else(j("ProcessName"), j("process_name"), j.get("ImageFileName"))
     parent = or_else(j("ParentProcessName"), j.get("parent_process_name"))
@@ -126,8 +114,7 @@ def endpoint(raw: Column) -> Column:
     return _event("endpoint", timestamp, host, strip(text), values, F.arrays_overlap(j.keys, F.array(*[F.lit(k) for k in C.ENDPOINT_KEYS])))
 
 
-def cloudtrail(raw: Column) -> Column:
-    j = _Json(raw)
+def cloudtrail(raw: Column, j: _Json) -> Column:
     user = or_else(j("userIdentity", "userName"), F.coalesce(j("userIdentity", "arn"), F.lit("unknown")))
     name, source, address = j.get("eventName"), j.get("eventSource"), j.get("sourceIPAddress", "unknown")
     resource = F.coalesce(F.try_variant_get(j.value, "$.resources[0].type", "string"), F.lit(""))
@@ -141,8 +128,23 @@ def cloudtrail(raw: Column) -> Column:
     return _event("cloudtrail", j.get("eventTime"), address, text, values, F.coalesce(both, F.lit(False)))
 
 
-#: In order; the types that a hint moves to the front.
-PARSERS = [("winevent", winevent), ("cloudtrail", cloudtrail), ("endpoint", endpoint), ("firewall", cef), ("web", combined), ("syslog", rfc5424), ("syslog", rfc3164)]
+def _stages(raw: str) -> list[dict[str, Column]]:
+    """Columns that several others use, each stage on those before, so that a line meets each pattern once."""
+    r = F.col(raw)
+    patterns = {"_5424": (C.RFC5424, C.RFC5424_GROUPS), "_3164": (C.RFC3164, C.RFC3164_GROUPS), "_cef": (C.CEF, C.CEF_GROUPS), "_web": (C.COMBINED, C.COMBINED_GROUPS)}
+    first = {name: groups(r, pattern, len(g)) for name, (pattern, g) in patterns.items()}
+    first["_json"] = F.when(r.startswith("{"), F.try_parse_json(r))
+    second = {"_ext": cef_extensions(F.col("_cef")[len(C.CEF_GROUPS) - 1]), "_keys": F.json_object_keys(F.when(F.col("_json").isNotNull(), r))}
+    j = _Json(r, F.col("_json"), F.col("_keys"))
+    third = {
+        "_try0": winevent(r, j), "_try1": cloudtrail(r, j), "_try2": endpoint(r, j), "_try3": cef(r, F.col("_cef"), F.col("_ext")),
+        "_try4": combined(r, F.col("_web")), "_try5": rfc5424(r, F.col("_5424")), "_try6": rfc3164(r, F.col("_3164")),
+    }
+    return [first, second, third]
+
+
+#: The type of each try, in order; a hint moves those of its type to the front.
+ORDER = ["winevent", "cloudtrail", "endpoint", "firewall", "web", "syslog", "syslog"]
 
 
 def explode_records(df: DataFrame, raw: str = "raw") -> DataFrame:
@@ -159,16 +161,17 @@ def normalize(df: DataFrame, raw: str = "raw", hint: str | None = None, peer: st
     hint: column of a source type whose parsers go first (an unknown one is none). peer: column that stands in for
     an unknown host. ingest_ts: column that dates lines without a time; nothing is dated by the clock.
     """
-    rows = df.withColumn(raw, strip(F.col(raw)))
-    tried = [(kind, f"_try{k}", parser(F.col(raw))) for k, (kind, parser) in enumerate(PARSERS)]
-    rows = rows.withColumns({name: column for _, name, column in tried})
-    usual = F.coalesce(*[F.col(name) for _, name, _ in tried])
+    rows, stages = df.withColumn(raw, strip(F.col(raw))), _stages(raw)
+    for stage in stages:
+        rows = rows.withColumns(stage)
+    tried = [(kind, f"_try{k}") for k, kind in enumerate(ORDER)]
+    usual = F.coalesce(*[F.col(name) for _, name in tried])
     if hint is not None:
-        own = {kind: [F.col(name) for k, name, _ in tried if k == kind] for kind, _, _ in tried}
+        own = {kind: [F.col(name) for k, name in tried if k == kind] for kind, _ in tried}
         usual = reduce(lambda rest, kind: F.when(F.col(hint) == kind, F.coalesce(*own[kind], usual)).otherwise(rest), own, usual)
     stamp = F.date_format(F.col(ingest_ts).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'") if ingest_ts else F.lit(None).cast("string")
     generic = F.struct(F.lit("generic").alias("source_type"), stamp.alias("timestamp"), F.lit("unknown").alias("host"), F.col(raw).alias("text"), F.create_map().cast("map<string,string>").alias("fields"))
-    out = rows.withColumn("_event", F.coalesce(usual, generic)).drop(*[name for _, name, _ in tried])
+    out = rows.withColumn("_event", F.coalesce(usual, generic)).drop(*[name for stage in stages for name in stage])
     host = F.col("_event.host") if peer is None else F.when(F.col("_event.host") == "unknown", F.col(peer)).otherwise(F.col("_event.host"))
     return out.withColumns({c: F.col(f"_event.{c}") for c in ("source_type", "timestamp", "text", "fields")} | {"host": host}).drop("_event")
 

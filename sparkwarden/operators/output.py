@@ -25,7 +25,7 @@ def leef(df: DataFrame, vendor: str = "YourCo", product: str = "AIPreprocessor",
     event_id = or_else(field("event_id"), field("EventID"), field("signature_id"), F.lit("LOG_EVENT"))
     header = F.concat(F.lit("LEEF:2.0|"), *[x for part in (vendor, product, version) for x in (sanitise(F.lit(part)), F.lit("|"))], sanitise(event_id), F.lit("|" + C.ATTRIBUTE_SEPARATOR + "|"))
     moment = F.coalesce(*[F.col(c).cast("timestamp") for c in ("event_ts", "ingest_ts") if c in df.columns], F.lit(None).cast("timestamp"))
-    four = lambda c: F.format_string("%.4f", c.cast("double"))
+    four = lambda c: F.format_string("%.4f", F.bround(c.cast("double"), 4))
     flag = lambda c: F.when(c, "true").otherwise("false")
     ref = F.when(F.assert_true(F.coalesce(F.col("raw_log_ref"), F.lit("")) != "", "raw_log_ref is required").isNull(), sanitise(F.col("raw_log_ref")))
     attributes = {
@@ -47,7 +47,7 @@ def decide(score: Column, priority: Column, mode: str = "enrich_only") -> Column
     if mode == "enrich_only":
         return F.struct(F.lit(True).alias("forward"), F.lit("enrich_only mode — all events forwarded").alias("reason"))
     low = priority == "INFO"
-    reason = F.when(low, F.concat(F.lit("score "), F.format_string("%.3f", score), F.lit(" below low threshold"))).otherwise(F.concat(F.lit("priority="), priority))
+    reason = F.when(low, F.concat(F.lit("score "), F.format_string("%.3f", F.bround(score, 3)), F.lit(" below low threshold"))).otherwise(F.concat(F.lit("priority="), priority))
     return F.struct((~low).alias("forward"), reason.alias("reason"))
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from sparkwarden.plans import detection, evaluate, lines, relational
+
+_PARTS = [lines.R, detection.R, evaluate.R, relational.R]
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for part in _PARTS for name, f in part.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.sql.items()}
