@@ -73,8 +73,11 @@ def pair_file(spark: SparkSession, folder: str, left: str = "anchor", right: str
                     raise
     if not kinds:
         raise FileNotFoundError(folder)
+    rows = kinds[0]
+    for more in kinds[1:]:
+        rows = rows.unionByName(more)
     cut = lambda c: F.left(F.btrim(c), F.lit(chars)).alias(c)
-    return kinds[0].select(cut(left), cut(right)).where(f"{left} != '' and {right} != ''")
+    return rows.select(cut(left), cut(right)).where(f"{left} != '' and {right} != ''")
 
 
 def tagged_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -12,16 +12,18 @@ LARGEST = 65_535
 
 class _Reader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict):
-        self.sock = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
-        self.sock.bind((options.get("host", "0.0.0.0"), int(options.get("port", 5514))))
-        self.sock.settimeout(float(options.get("wait", 0.2)))
-        self.most, self.kept = int(options.get("max_rows", 10_000)), {}
+        self.address, self.wait = (options.get("host", "0.0.0.0"), int(options.get("port", 5514))), float(options.get("wait", 0.2))
+        self.most, self.kept, self.sock = int(options.get("max_rows", 10_000)), {}, None
 
     def initialOffset(self) -> dict:
         return {"n": 0}
 
     def read(self, start: dict):
         rows = []
+        if self.sock is None:  # Spark makes readers that never read; only one may hold the port
+            self.sock = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+            self.sock.bind(self.address)
+            self.sock.settimeout(self.wait)
         while len(rows) < self.most:
             try:
                 data, peer = self.sock.recvfrom(LARGEST)
