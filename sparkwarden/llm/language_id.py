@@ -18,7 +18,7 @@ from sparkwarden.llm.grams import WIDTH, profiles
 from sparkwarden.llm.session import prepare
 
 #: Labelled rows that classifiers are fitted on: of each language, and in all (as expected; rows are drawn by a hash of the id).
-PER_LANGUAGE, SAMPLE = 500, 4_000
+PER_LANGUAGE, SAMPLE = 300, 4_000
 #: Certainty under which a row is flagged.
 CLEAR = 0.75
 
@@ -40,7 +40,7 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
     return best.astype(np.float32)
 
 
-def fit_bits(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-4, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
+def fit_bits(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-4, rounds: int = 80) -> tuple[np.ndarray, np.ndarray]:
     """Logistic weights (width, bits) and biases of y (rows, bits; +-1), by accelerated gradients."""
     w = np.zeros((x.shape[1] + 1, y.shape[1]), np.float32)
     v, t = w.copy(), 1.0
