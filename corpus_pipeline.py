@@ -35,17 +35,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows that repeat an id among the kept, one stays as well."""
-    found = near_dedup.near_duplicates(docs)
-    again = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("kept").cast("int")).alias("kept")).where("n > 1 or kept = 0")
-    again = durable(again.select("doc_id", "kept"))
-    if again.count() <= FEW:
+    """One row of each component stays, of its least id (none is the greatest); rows without shingles stay all."""
+    found = near_dedup.marked_rows(docs)
+    row = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "version")
+    found = durable(found.select(row.alias("row"), "doc_id", "kept", "tree"))
+    kept = found.where("kept and tree is not null")
+    again = durable(kept.groupBy("tree").count().where("count > 1").select("tree"))
+    several = again.count()
+    if several == 0:
+        return _without(docs, found.where("not kept").select("row").distinct())
+    if several <= FEW:
         again = F.broadcast(again)
-    named = docs.join(again.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    single = named.where("kept is null").select(*docs.columns)
-    if again.where("kept = 1").isEmpty():
-        return single
-    return single.unionByName(named.where("kept = 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    rivals = durable(kept.join(again, "tree"))
+    first = rivals.groupBy("tree").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    drawn = rivals.join(first, "tree").select("row", (F.col("row") == F.col("first.row")).alias("stays"))
+    marks = durable(found.where("not kept").select("row", F.lit(False).alias("stays")).unionByName(drawn).distinct())
+    if marks.count() <= FEW:
+        marks = F.broadcast(marks)
+    named = docs.withColumn("_row", decontaminate.row_key()).join(marks, F.col("_row") == F.col("row"), "left")
+    return named.where("stays is null").select(*docs.columns).unionByName(named.where("stays").dropDuplicates(["_row"]).select(*docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,8 +84,8 @@ def _first_pass(k: int):
                     keys.append(_key(x) if len(x) else None)
                     sigs.append(tk.as_long(_signature(x)) if len(x) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "sig"],
+                [batch.column("doc_id"), batch.column("version"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))],
+                ["doc_id", "version", "n_shingles", "set_key", "sig"],
             )
 
     return run
@@ -188,13 +188,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, block:
     often they repeat. component_id is the least doc_id reachable; null ids are passed over unless
     all are null, and a row is kept if its doc_id is its component's (rows that repeat one id are all kept).
     """
+    return marked_rows(docs, k, threshold, block).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def marked_rows(docs: DataFrame, k: int = 5, threshold: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """near_duplicates with version, the hash of the row's text, and tree: one name for all sets that are linked, null
+    without shingles. Components of one component_id are apart by it, where their rows repeat an id or have none."""
     spark = docs.sparkSession
     prepare(spark)
     per_cent = round(threshold * 100)
     least = least_matches(threshold)
     prefix = COORDINATES - least + 1
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = durable(texts.mapInArrow(_first_pass(k), "doc_id long, n_shingles long, set_key binary, sig array<long>"))
+    versioned = texts.withColumn("version", F.xxhash64("text"))
+    rows = durable(versioned.mapInArrow(_first_pass(k), "doc_id long, version long, n_shingles long, set_key binary, sig array<long>"))
     classes = durable(rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig")))
 
     posted = classes.select("set_key", F.posexplode("sig")).select("set_key", "pos", F.xxhash64("pos", "col").alias("posting"))
@@ -230,8 +237,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, block:
     comp = components(links)
     tied = comp.join(classes.select(F.col("set_key").alias("node"), "least_id"), "node")
     heads = tied.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    named = comp.join(heads, "comp").select(F.col("node").alias("set_key"), "component_id")
-    of_class = classes.join(named, "set_key", "left").select("set_key", F.coalesce("component_id", "least_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
+    named = comp.join(heads, "comp").select(F.col("node").alias("set_key"), "comp", "component_id")
+    of_class = classes.join(named, "set_key", "left").select("set_key", F.coalesce("comp", "set_key").alias("tree"), F.coalesce("component_id", "least_id").alias("component_id"))
+    out = rows.select("doc_id", "version", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "version", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "tree")

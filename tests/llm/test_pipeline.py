@@ -49,3 +49,19 @@ def test_stages(spark, folder):
 def test_run_agrees_with_its_stages(spark, folder):
     out = cp.run(spark, folder)
     assert [n for n, _ in cp.STAGES] == ["quality", "near_dedup", "decontamination", "pii", "mixing"] and out.count() > 100
+
+
+def test_near_dedup_tells_repeated_ids_apart(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join("w%d" % rng.randrange(9000) for _ in range(60))
+    x, y, z, u, v, w = (text() for _ in range(6))
+    near = " ".join([*w.split()[:-1], "changed"])
+    rows = [(5, x), (2, y), (5, y), (None, z), (None, u), (None, u), (None, x), (8, z), (7, v), (7, v), (7, u), (6, w), (6, near), (9, ""), (9, None), (None, None), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in cp.near_dedup_stage(spark, df, "").collect()), key=str)
+    of_6 = [t for i, t in got if i == 6]
+    assert len(of_6) == 1 and of_6[0] in (w, near)
+    want = [(5, x), (2, y), (8, z), (7, u), (7, v), (6, of_6[0]), (9, ""), (9, None), (None, None), (None, None)]
+    assert got == sorted(want, key=str)
+    apart = spark.createDataFrame([(None, text()) for _ in range(20)], "doc_id long, text string")
+    assert cp.near_dedup_stage(spark, apart, "").count() == 20
