@@ -145,15 +145,16 @@ def _equal_run(a: str, b: str) -> F.Column:
 
 
 def contaminated_words(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
-    """(row, n_words, n_hit, item_ids) for each row of docs (row: string id, text); items: (item_id, text).
+    """(row, n_words, n_hit, n_items, item_ids) for each row of docs (row: string id, text); items: (item_id, text).
 
     Words are runs of ASCII letters and digits and characters beyond ASCII, with A-Z lower-cased; null
     has none. n_hit counts words within any occurrence of a window. item_ids are the items with
-    one, null if none, sorted as strings; ids that repeat count once, null ids are left out.
+    one, null if none, sorted as strings; ids that repeat count once. Items without an id hit as others do: n_items
+    counts them as one more, item_ids leave them out.
     """
     spark = docs.sparkSession
     prepare(spark)
-    named = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
+    named = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     same_text = named.select(F.xxhash64("text").alias("item"), "item_id").distinct()
     distinct = named.select(F.xxhash64("text").alias("item_id"), "text").dropDuplicates()
     prints = durable(distinct.mapInArrow(_items(span, k), f"item long, {_FIELDS}"))
@@ -178,9 +179,10 @@ def contaminated_words(docs: DataFrame, items: DataFrame, span: int = SPAN, k: i
     merged = spans.groupBy("row", "s").agg(F.max("e").alias("e")).withColumn("reach", F.coalesce(F.max("e").over(before), F.lit(0)))
     hit = merged.groupBy("row").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "reach"))).alias("n_hit"))
     found = spans.select("row", F.explode("items").alias("item")).distinct().join(same_text, "item")
-    found = found.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    found = found.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("ids"), F.max(F.col("item_id").isNull().cast("long")).alias("unnamed"))
+    found = found.select("row", (F.size("ids") + F.col("unnamed")).alias("n_items"), F.when(F.size("ids") > 0, F.col("ids")).alias("item_ids"))
     out = read.where("n is null").select("row", "n_words").join(hit.join(found, "row"), "row", "left")
-    return out.select("row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "item_ids")
+    return out.select("row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "item_ids")
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> F.Column:
@@ -198,7 +200,7 @@ def decontamination_report(docs: DataFrame, items: DataFrame, span: int = SPAN,
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     doc_id = F.when(~F.col("row").startswith("null:"), F.substring_index("row", ":", 1)).cast("long")
     return found.select(
-        doc_id.alias("doc_id"), "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+        doc_id.alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
 
 

@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from sparkwarden.llm.decontaminate import decontamination_report
+import duckdb
+
+from sparkwarden.llm.decontaminate import ORACLE, decontamination_report
 
 
 def words(t):
@@ -55,3 +57,15 @@ def test_matches_brute_force(spark):
 def test_empty_tables(spark):
     assert run(spark, [], [(1, "a b")]) == []
     assert run(spark, [(1, "a b")], []) == brute([(1, "a b")], [])
+
+
+def test_items_without_an_id_hit_as_the_sql_says(spark):
+    passage = lambda a: " ".join("p%d" % i for i in range(a, a + 15))
+    items = [(None, passage(0)), (None, passage(100)), (1, passage(200)), (2, passage(0)), (None, "one two"), (None, None)]
+    docs = [(1, "x " + passage(100) + " y"), (2, passage(0)), (3, passage(200) + " " + passage(100)), (4, "one two three"), (5, passage(300)), (6, None)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    assert run(spark, docs, items) == sorted(con.execute(ORACLE).fetchall(), key=str)
