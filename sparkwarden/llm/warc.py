@@ -6,7 +6,7 @@ first the payload's. Spark's text writer puts the records into files, with the f
 line end; so any store that Spark writes to will do.
 
 Reading: a record's end and the next one's first line delimit the records of a file, which lets Spark split large
-archives. A payload that holds this very delimiter is cut inside it when written. Segments are rows
+archives. A payload that holds this very delimiter, or makes it with its header's end, is cut inside it when written. Segments are rows
 (record, segment number, bytes). Whole payloads are digested where they are read; the segments of others are
 brought together in order, and a digest takes in one segment at a time.
 """
@@ -41,6 +41,8 @@ def segments(payload: bytes, chunk: int = CHUNK) -> list[bytes]:
         cuts.append(end)
         start = end
     cuts += [m.start() + 6 for m in re.finditer(re.escape(_TRAP), payload)]
+    for at in [0, *cuts]:  # a part's start makes the delimiter with the blank line that closes the header
+        cuts += [at + n - 6 for n in (8, 10) if payload.startswith(_TRAP[12 - n :], at)]
     bounds = [0, *sorted(set(cuts)), len(payload)]
     return [payload[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 

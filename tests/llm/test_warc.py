@@ -49,3 +49,11 @@ def test_segments():
     p = ("é" * 10 + TRAP).encode()
     assert b"".join(segments(p, 5)) == p and all(len(s) <= 5 and s.decode() is not None for s in segments(p, 5)) and segments(b"") == [b""]
     assert parse_record(b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n") == ({"content-length": "2"}, b"ab")
+
+
+@pytest.mark.parametrize("chunk", [9, 64, 1 << 16])
+def test_payloads_that_start_like_a_record(spark, chunk):
+    starts = ["WARC/1.1\r\n", "WARC/1.1", "\r\nWARC/1.1\r\nx", "\r\nWARC/1.1", "WARC/1.1\r\n" * 40, "\r\nWARC/1.1" * 40, "x" * 64 + "WARC/1.1\r\ny", "x" * 64 + "\r\nWARC/1.1\r\ny", "WARC/1.1\r\n" + "z" * 70_000]
+    rows = [(i, "u", h) for i, h in enumerate(starts)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(map(tuple, round_trip(df, chunk).collect()), key=str) == brute(rows)
