@@ -2,13 +2,13 @@
 
 A window is SPAN consecutive words of a benchmark item. Texts and items are cut into K-grams of words; of
 each SPAN - K + 1 consecutive grams the least hash is a fingerprint, so every shared window has a
-common fingerprint inside it. Fingerprints of texts meet those of items in an equi-join, and a hit is extended
-word by word on both sides, up to the SPAN - K words that a window may add; a run of SPAN or more is
-confirmed. Items of fewer than SPAN words are one window: their own length is the gram's, and
-all grams of that length are fingerprints.
+common fingerprint inside it. A fingerprint is extended to the windows that it stands for: texts and items meet in an
+equi-join on (fingerprint, hash of the window), so a gram that many texts share joins nothing unless the words
+around it are shared as well. The words are compared, and windows that overlap are merged into hits. Items of fewer than
+SPAN words are one window: their own length is the gram's, and all grams of that length are fingerprints.
 
-Most fingerprints of texts meet no item. A bitmap of FILTER_BITS bits holds the items' hashes: it has one size
-however large the benchmark is, is built by an aggregation, and lets the reading of texts drop what can't join.
+Most windows of texts meet no item. Two bitmaps of FILTER_BITS bits hold the items' fingerprints and windows: they have one
+size however large the benchmark is, are built by an aggregation, and let the reading of texts drop what can't join.
 """
 
 from __future__ import annotations
@@ -19,17 +19,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwarden.llm import textkit as tk
-from sparkwarden.llm.session import durable, prepare
+from sparkwarden.llm.session import durable, parts
 
 SPAN, K = 10, 5
 FILTER_BITS = 1 << 22
-#: Fingerprints of items, of some 300 bytes each, up to which they are broadcast to the join.
+#: Windows of items, of some 300 bytes each, up to which they are broadcast to the join.
 FEW = 50_000
 _U = np.uint64
 
 
 def _winnow(g: np.ndarray, w: int) -> np.ndarray:
-    """Places of the least of each w consecutive hashes, the last of equal ones."""
+    """For each w consecutive hashes the place of the least, the last of equal ones."""
     n = len(g) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64)
@@ -38,110 +38,103 @@ def _winnow(g: np.ndarray, w: int) -> np.ndarray:
         new = g[j : j + n] <= best
         np.copyto(best, g[j : j + n], where=new)
         at[new] = j
-    keep = np.zeros(len(g), bool)
-    keep[at + np.arange(n)] = True
-    return np.flatnonzero(keep)
+    return at + np.arange(n)
 
 
-def _prints(texts: tk.Texts, lengths: tuple[int, ...], span: int, k: int, passes=None):
-    """(text, place, gram length, hash) of the fingerprints; and the lower-cased bytes and words.
+class _Read:
+    """The words of some texts, and the windows of a length with their fingerprints."""
 
-    Windows may reach from one text into the next while hashes are gone through; those grams are dropped,
-    and each text is at least covered by its own windows, as more fingerprints do no harm.
-    """
-    data = tk.LOWER[texts.data]
-    w = tk.words(texts, tk.ALNUM, data)
-    h = tk.word_hashes(data, w)
-    of = np.repeat(np.arange(len(texts)), w.count)
-    found = []
-    for n in lengths:
+    def __init__(self, texts: tk.Texts):
+        data = tk.LOWER[texts.data]
+        self.words = tk.words(texts, tk.ALNUM, data)
+        self.raw = data
+        self.hashes = tk.word_hashes(data, self.words)
+        self.of = np.repeat(np.arange(len(texts)), self.words.count)
+
+    def windows(self, n: int, span: int, k: int, prints=None, wholes=None):
+        """(text, place, fingerprint, window hash) of each window of n words inside one text whose hashes pass."""
         size = k if n == span else n
-        g = tk.mix(tk.grams(h, size) + _U(n))
+        g = tk.mix(tk.grams(self.hashes, size) + _U(n))
         at = _winnow(g, n - size + 1)
-        if not len(at):
-            continue
-        at = at[of[at] == of[at + size - 1]]
-        if passes is not None:
-            at = at[passes(g[at])]
-        found.append((of[at], at, np.full(len(at), n, np.int64), g[at]))
-    if not found:
-        z = np.zeros(0, np.int64)
-        return data, w, (z, z, z, np.zeros(0, _U))
-    return data, w, tuple(np.concatenate([x[i] for x in found]) for i in range(4))
+        start = np.arange(len(at))
+        start = start[self.of[: len(at)] == self.of[n - 1 : n - 1 + len(at)]] if len(at) else start
+        if prints is not None:
+            start = start[prints(g[at[start]])]
+        whole = self.hashes[start]
+        for j in range(1, n):
+            whole = tk.mix(whole * _U(0xD1342543DE82EF95) + self.hashes[start + j])
+        if wholes is not None:
+            kept = wholes(whole)
+            start, whole = start[kept], whole[kept]
+        return self.of[start], start - self.words.of[self.of[start]], g[at[start]], whole
 
+    def text(self, of: int, place: int, n: int) -> str:
+        i = int(self.words.of[of]) + place
+        return b" ".join(self.raw[a:b].tobytes() for a, b in zip(self.words.start[i : i + n], self.words.end[i : i + n], strict=True)).decode("utf-8", "replace")
 
-def _near(data, w, of, at, size, reach):
-    """The words of a gram, and up to reach words before it (nearest first) and after it, as lists."""
-    raw = data.tobytes()
-    word = lambda i: raw[w.start[i] : w.end[i]].decode("utf-8", "replace")
-    first, last = int(w.of[of]), int(w.of[of + 1])
-    before = [word(i) for i in range(at - 1, max(first, at - reach) - 1, -1)]
-    after = [word(i) for i in range(at + size, min(last, at + size + reach))]
-    return [word(i) for i in range(at, at + size)], before, after
 
-
-_FIELDS = "n long, hash long, place long, gram array<string>, before array<string>, after array<string>"
+_FIELDS = "n long, print long, window long, words string"
 
 
 def _items(span: int, k: int):
-    """Fingerprints of items, with the words around them."""
+    """Windows of items."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             ids = batch.column("item_id").to_pylist()
-            out = [[] for _ in range(7)]
+            out = [[] for _ in range(5)]
             for texts in tk.slices(batch.column("text")):
-                data = tk.LOWER[texts.data]
-                w = tk.words(texts, tk.ALNUM, data)
-                counts = w.count
-                for n in sorted({min(int(c), span) for c in counts if c}):
-                    _, _, (of, at, _, g) = _prints(texts, (n,), span, k)
-                    size = k if n == span else n
-                    for o, a, h in zip(of.tolist(), at.tolist(), tk.as_long(g).tolist(), strict=True):
-                        if min(int(counts[o]), span) != n:
-                            continue
-                        gram, before, after = _near(data, w, o, a, size, span - k if n == span else 0)
-                        for col, x in zip(out, (ids[texts.first + o], n, h, a - int(w.of[o]), gram, before, after), strict=True):
+                read = _Read(texts)
+                lengths = np.minimum(read.words.count, span)
+                for n in sorted(set(lengths[lengths > 0].tolist())):
+                    of, at, g, whole = read.windows(n, span, k)
+                    own = lengths[of] == n
+                    for o, a, h, w in zip(of[own].tolist(), at[own].tolist(), tk.as_long(g[own]).tolist(), tk.as_long(whole[own]).tolist(), strict=True):
+                        for col, x in zip(out, (ids[texts.first + o], n, h, w, read.text(o, a, n)), strict=True):
                             col.append(x)
-            words = pa.list_(pa.string())
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), words, words, words]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["item", "n", "hash", "place", "gram", "before", "after"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["item", "n", "print", "window", "words"])
 
     return run
 
 
-def _texts(bits: np.ndarray, lengths: tuple[int, ...], span: int, k: int):
-    def passes(g):
-        slot = (g & _U(FILTER_BITS - 1)).astype(np.int64)
+def _passes(bits: np.ndarray):
+    def held(h: np.ndarray) -> np.ndarray:
+        slot = (h & _U(FILTER_BITS - 1)).astype(np.int64)
         return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
+    return held
+
+
+def _texts(prints: np.ndarray, wholes: np.ndarray, lengths: tuple[int, ...], span: int, k: int):
     def run(batches):
-        words = pa.list_(pa.string())
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), words, words, words]
-        names = ["row", "n_words", "n", "hash", "place", "gram", "before", "after"]
-        for batch in batches:
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        names = ["row", "n_words", "place", "n", "print", "window", "words"]
+        for batch in parts(batches):
             ids = batch.column("row").to_pylist()
             out = [[] for _ in kinds]
             for texts in tk.slices(batch.column("text")):
-                data, w, (of, at, n, g) = _prints(texts, lengths, span, k, passes)
-                counts = w.count.tolist()
-                for i, c in enumerate(counts):  # a row for the text itself
-                    for col, x in zip(out, (ids[texts.first + i], c, None, None, None, None, None, None), strict=True):
-                        col.append(x)
-                for o, a, m, h in zip(of.tolist(), at.tolist(), n.tolist(), tk.as_long(g).tolist(), strict=True):
-                    gram, before, after = _near(data, w, o, a, k if m == span else m, span - k if m == span else 0)
-                    for col, x in zip(out, (ids[texts.first + o], None, m, h, a - int(w.of[o]), gram, before, after), strict=True):
+                read = _Read(texts)
+                for i, c in enumerate(read.words.count.tolist()):  # a row for the text itself
+                    for col, x in zip(out, (ids[texts.first + i], c, None, None, None, None, None), strict=True):
                         col.append(x)
+                for n in lengths:
+                    of, at, g, whole = read.windows(n, span, k, _passes(prints), _passes(wholes))
+                    for o, a, h, w in zip(of.tolist(), at.tolist(), tk.as_long(g).tolist(), tk.as_long(whole).tolist(), strict=True):
+                        for col, x in zip(out, (ids[texts.first + o], None, a, n, h, w, read.text(o, a, n)), strict=True):
+                            col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
 
     return run
 
 
-def _equal_run(a: str, b: str) -> F.Column:
-    """How many leading words of two lists agree."""
-    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
-    first = F.array_position(same, F.lit(False))
-    return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("long")
+def _bitmap(windows: DataFrame, column: str) -> np.ndarray:
+    slot = f"(`{column}` & {FILTER_BITS - 1})"
+    filled = windows.selectExpr(f"shiftright({slot}, 3) AS byte", f"shiftleft(1, CAST({slot} & 7 AS INT)) AS bit")
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for byte, bit in filled.groupBy("byte").agg(F.bit_or("bit")).collect():  # at most FILTER_BITS / 8 rows
+        bits[byte] = bit
+    return bits
 
 
 def contaminated_words(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
@@ -150,31 +143,28 @@ def contaminated_words(docs: DataFrame, items: DataFrame, span: int = SPAN, k: i
     Words are runs of ASCII letters and digits and characters beyond ASCII, with A-Z lower-cased; null
     has none. n_hit counts words within any occurrence of a window. item_ids are the items with
     one, null if none, sorted as strings; ids that repeat count once. Items without an id hit as others do: n_items
-    counts them as one more, item_ids leave them out.
+    counts them as one more, item_ids leave them out. Texts of any length are read whole; rows that repeat a row
+    each get its result; without items nothing is hit, and without rows there are none.
     """
     spark = docs.sparkSession
-    prepare(spark)
     named = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     same_text = named.select(F.xxhash64("text").alias("item"), "item_id").distinct()
     distinct = named.select(F.xxhash64("text").alias("item_id"), "text").dropDuplicates()
-    prints = durable(distinct.mapInArrow(_items(span, k), f"item long, {_FIELDS}"))
-    lengths = tuple(sorted(r[0] for r in prints.select("n").distinct().collect()))  # at most span of them
-    slot = f"(hash & {FILTER_BITS - 1})"
-    filled = prints.selectExpr(f"shiftright({slot}, 3) AS byte", f"shiftleft(1, CAST({slot} & 7 AS INT)) AS bit")
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for byte, bit in filled.groupBy("byte").agg(F.bit_or("bit")).collect():  # at most FILTER_BITS / 8 rows
-        bits[byte] = bit
+    windows = durable(distinct.mapInArrow(_items(span, k), f"item long, {_FIELDS}"))
+    lengths = tuple(sorted(r[0] for r in windows.select("n").distinct().collect()))  # at most span of them
+    prints, wholes = spark.sparkContext.broadcast(_bitmap(windows, "print")), spark.sparkContext.broadcast(_bitmap(windows, "window"))
+
+    def read_texts(batches):
+        yield from _texts(prints.value, wholes.value, lengths, span, k)(batches)
 
     texts = docs.select("row", F.col("text").cast("string").alias("text"))
-    read = durable(texts.mapInArrow(_texts(bits, lengths, span, k), f"row string, n_words long, {_FIELDS}"))
-    mine = read.where("n is not null").drop("n_words")
-    theirs = prints.groupBy("n", "hash", "gram", F.col("before").alias("before_"), F.col("after").alias("after_")).agg(F.collect_set("item").alias("items"))
-    if prints.count() <= FEW:
+    read = durable(texts.mapInArrow(read_texts, f"row string, n_words long, place long, {_FIELDS}"))
+    mine = read.where("n is not null").select("row", "n", "print", "window", "words", "place").distinct()
+    theirs = durable(windows.groupBy("n", "print", "window", "words").agg(F.collect_set("item").alias("items")))
+    if theirs.count() <= FEW:
         theirs = F.broadcast(theirs)
-    left, right = _equal_run("before", "before_"), _equal_run("after", "after_")
-    met = mine.join(theirs, ["n", "hash", "gram"]).select("row", "n", "place", F.size("gram").alias("size"), left.alias("l"), right.alias("r"), "items")
-    begin, end = F.col("place") - F.col("l"), F.col("place") + F.col("size") + F.col("r")
-    spans = durable(met.where("l + r + size >= n").select("row", begin.alias("s"), end.alias("e"), "items"))
+    met = mine.join(theirs, ["n", "print", "window", "words"])
+    spans = durable(met.select("row", F.col("place").alias("s"), (F.col("place") + F.col("n")).alias("e"), "items"))
     before = Window.partitionBy("row").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     merged = spans.groupBy("row", "s").agg(F.max("e").alias("e")).withColumn("reach", F.coalesce(F.max("e").over(before), F.lit(0)))
     hit = merged.groupBy("row").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "reach"))).alias("n_hit"))

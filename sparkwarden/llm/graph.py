@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from sparkwarden.llm.session import durable
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp): each node of a link with the smallest node that it reaches.
 
     Each round takes the least label among a node's neighbours, then the label of that label, so
-    chains shorten by half a round. Labels are cut from their lineage after each; sums are counted,
-    nothing is collected. Null ends are left out. No links give no rows.
+    chains shorten by half a round. Labels only go down, so rounds end by themselves, whatever the shape. Lineage is cut
+    after each; nothing is collected. Null ends are left out. No links give no rows.
     """
     ends = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v")
     both = durable(ends.union(ends.select("v", "u")).distinct())
     labels = durable(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("comp")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("v"), "comp"), "v").groupBy(F.col("u").alias("node")).agg(F.min("comp").alias("other"))
         lower = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "other").alias("comp"))
         heads = labels.select(F.col("node").alias("comp"), F.col("comp").alias("head"))
@@ -27,4 +27,3 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 100)
         labels = step.select("node", "comp")
         if step.where("moved").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from sparkwarden.llm import textkit as tk
 from sparkwarden.llm.grams import WIDTH, profiles
-from sparkwarden.llm.session import prepare
+from sparkwarden.llm.session import parts
 
-#: Labelled rows that classifiers are fitted on: of each language, and in all (as expected; rows are drawn by a hash of the id).
-PER_LANGUAGE, SAMPLE = 300, 4_000
+#: Labelled rows that classifiers are fitted on, as expected (drawn by a hash of id and text): of each language, in all, and of each at least.
+PER_LANGUAGE, SAMPLE, LEAST = 500, 8_000, 20
 #: Certainty under which a row is flagged.
 CLEAR = 0.75
 
@@ -32,15 +32,15 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
         return (1 - 2 * bits).astype(np.float32)
     rng, best, far = np.random.default_rng(seed), None, -1
     width = int(np.ceil(10 * np.log2(n)))
-    for _ in range(200):
+    for _ in range(max(5, 2_000 // n)):
         code = rng.choice([-1.0, 1.0], (n, width))
-        d = (code[:, None, :] != code[None]).sum(2) + width * np.eye(n, dtype=int)
+        d = (width - code @ code.T) / 2 + width * np.eye(n)
         if (np.abs(code.sum(0)) < n).all() and d.min() > far:
             best, far = code, d.min()
     return best.astype(np.float32)
 
 
-def fit_bits(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-4, rounds: int = 80) -> tuple[np.ndarray, np.ndarray]:
+def fit_bits(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-4, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
     """Logistic weights (width, bits) and biases of y (rows, bits; +-1), by accelerated gradients."""
     w = np.zeros((x.shape[1] + 1, y.shape[1]), np.float32)
     v, t = w.copy(), 1.0
@@ -67,7 +67,7 @@ def _has_letter(text: str) -> bool:
 
 
 def _features(batches):
-    for batch in batches:
+    for batch in parts(batches):
         rows = [row for texts in tk.slices(batch.column("text")) for row in profiles(texts).astype(np.float16)]
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([x.tobytes() for x in rows], pa.binary())], ["lang", "x"])
 
@@ -91,16 +91,19 @@ class Model:
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model:
-    """A model out of labelled (doc_id, text, lang); rows without a language or text are left out."""
-    prepare(labelled.sparkSession)
+    """A model out of labelled (doc_id, text, lang); rows without a language or text are left out, those that repeat an id and a text count once.
+
+    Each language brings its share of the sample, but LEAST rows as expected (all, if it has fewer), so none is lost.
+    """
     known = labelled.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     counts = dict(known.groupBy("lang").count().collect())  # a row for each language
     if not counts:
         return Model([], np.zeros((0, WIDTH), np.float32), [])
-    most = max(1, min(per_language, sample // len(counts)))
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.2 * most / n))])
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000
-    drawn = known.where(draw < share[F.col("lang")]).select("text", "lang")
+    most = max(LEAST, min(per_language, sample // len(counts)))
+    shares = labelled.sparkSession.createDataFrame([(k, min(1.0, most / n)) for k, n in counts.items()], "lang string, share double")
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    drawn = known.join(F.broadcast(shares), "lang").where(draw < F.col("share"))  # a row for each language
+    drawn = drawn.dropDuplicates(["doc_id", "text"]).select("text", "lang")
     rows = drawn.mapInArrow(_features, "lang string, x binary").collect()
     if not rows:
         return Model([], np.zeros((0, WIDTH), np.float32), [])
@@ -115,12 +118,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     ``und`` with score 0 if the text is null or has no letter (or no language was learned).
     """
     spark = docs.sparkSession
-    prepare(spark)
     shared = spark.sparkContext.broadcast(model)  # WIDTH numbers for each bit
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in parts(batches):
             best, sure = [], []
             for texts in tk.slices(batch.column("text")):
                 b, s = m.predict(profiles(texts))

@@ -20,35 +20,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.session import durable, prepare
+from sparkwarden.llm.session import durable, many_to_one
 
 #: Rows of a group of the first level, and groups that make one of the next.
 GROUP, FAN = 5_000, 1_000
 _WHOLE = 1e-9
 
 
+def _running(rows: DataFrame, order: list[F.Column], sums: dict[str, F.Column]) -> DataFrame:
+    """rows with each of sums over the rows before in the order. Rows go to ranges; only the ranges' sums, a row for each partition, are ordered in one place."""
+    rows = durable(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_part").agg(*[F.sum(c).alias(f"_{name}") for name, c in sums.items()])
+    parts = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_part", *[F.coalesce(F.sum(f"_{name}").over(parts), F.lit(0)).alias(f"_{name}") for name in sums])
+    out = rows.withColumns({name: F.coalesce(F.sum(c).over(before), F.lit(0)) for name, c in sums.items()}).join(F.broadcast(totals), "_part")
+    return out.withColumns({name: F.col(name) + F.col(f"_{name}") for name in sums}).drop("_part", *[f"_{name}" for name in sums])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """(source, source_size, n_rows, target) out of (source, source_size, n_rows), a row for each source.
+    """(source, source_size, n_rows, target) out of (source, source_size, n_rows), a row for each source, however many there are.
 
     Sources by code point, null last, take the weights in turn. Each gets its weight's part of share times
     all words, at most ``most`` times its own; what is above goes to the others by weight. So a target is
     min(most * size, level * weight), and the level follows from sums over sources by size / weight.
-    Few rows: one for each source.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
-    turn = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1
-    weighed = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn)).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    by_room = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    past = by_room.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_room.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    words = F.sum("source_size").over(everything) * F.lit(float(share))
-    level = (words - F.coalesce(F.sum("cap").over(past), F.lit(0.0))) / F.sum("weight").over(rest)
-    found = weighed.withColumn("level", level).withColumn("fits", F.col("level") * F.col("weight") <= F.col("cap"))
-    final = F.min(F.struct(~F.col("fits"), F.col("cap") / F.col("weight"), "level")).over(everything)
-    found = found.withColumn("first", final)
-    target = F.when(F.col("first.col1"), F.col("cap")).otherwise(F.least("cap", F.col("first.level") * F.col("weight")))
-    return found.select("source", "source_size", "n_rows", target.alias("target"))
+    order = [F.col("source").isNull(), F.encode("source", "UTF-8")]
+    placed = _running(sizes, order, {"place": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("place"), F.lit(len(weights))) + 1).cast("int"))
+    weighed = placed.withColumn("weight", weight).drop("place").withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("room", F.col("cap") / F.col("weight"))
+    ordered = durable(_running(weighed, [F.col("room"), *order], {"caps": F.col("cap"), "weights": F.col("weight")}))
+    words, weights_sum = ordered.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(float(words or 0) * share) - F.col("caps")) / (F.lit(float(weights_sum or 0)) - F.col("weights"))
+    first = ordered.withColumn("level", level).where(F.col("level") <= F.col("room")).agg(F.min(F.struct("room", "level")).alias("f")).first()["f"]
+    target = F.col("cap") if first is None else F.least("cap", F.lit(float(first["level"])) * F.col("weight"))
+    return ordered.select("source", "source_size", "n_rows", target.alias("target"))
 
 
 def _draw(seed: int, *names) -> float:
@@ -126,9 +132,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
     size: words ``[^\\x20\\x09-\\x0D]+`` of the whole text, null: 0. copies are how often the mix takes the row,
     taken the words. Rows without words are never taken. row names a row's id and text; rows alike
-    in id, text and source are told apart by a running number, so reruns give the same rows.
+    in id, text and source are told apart by a running number, so reruns give the same rows. Null ids and sources are
+    values like others; texts of any length are counted whole; an empty table, or one without words, gives
+    targets of 0; other columns, whatever their names, are passed over.
     """
-    prepare(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # Words are counted by the runs of white space that they would leave: no list of words is made.
     squeezed = F.regexp_replace(F.translate(text, "\t\n\x0b\x0c\r", "     "), "[^ ]+", "x")
@@ -136,9 +143,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(text).alias("version"))
     rows = durable(base.groupBy("doc_id", "source", "size", "version").agg(F.count("*").alias("times")))
     sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("source_size"), F.sum("times").alias("n_rows"))
-    targets = durable(source_targets(sizes, weights, share, most))
+    targets = durable(source_targets(sizes, weights, share, most).withColumn("tree", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("none"))))
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
-    each = rows.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times")))).join(targets.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_")))
+    placed = rows.withColumn("tree", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("none")))
+    placed = many_to_one(placed, targets.drop("source"), ["tree"], targets.select("tree", F.col("n_rows").alias("rows")))
+    # Rows that repeat are told apart in two steps, so that none makes a long list at once.
+    many = placed.withColumn("thousand", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / 1000))))
+    each = many.withColumn("nth", F.explode(F.sequence(F.col("thousand") * 1000 + 1, F.least("times", F.col("thousand") * 1000 + 1000))))
     each = each.withColumn("ratio", ratio).withColumn("name", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "version", "nth", F.xxhash64("source")))
     each = each.withColumn("whole", F.floor("ratio")).withColumn("part", F.when(F.col("size") > 0, F.col("ratio") - F.col("whole")).otherwise(F.lit(0.0)))
     each = durable(each.select("doc_id", "version", "nth", "source", "name", "size", "source_size", "n_rows", "target", "whole", "part"))

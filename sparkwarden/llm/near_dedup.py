@@ -3,14 +3,18 @@
 1. Each whole text becomes its set of word shingles (64-bit hashes), a key of that set (128 bits) and
    a signature of COORDINATES minima. Texts of equal sets are one class from here on.
 2. Classes are posted under each (coordinate, minimum). Pairs whose similarity reaches the threshold
-   agree in at least ``least`` coordinates (but for odds of about 1e-6), so they meet within the
+   agree in at least ``least`` coordinates (but for odds of ODDS), so they meet within the
    COORDINATES - least + 1 rarest postings of each: only this prefix of a class is kept. A phrase
    that many texts share fills long lists, yet falls out of the prefixes of all but truly similar texts.
-3. Lists with the same members are merged into one. A list's members are dealt to blocks by hash, so
-   that a block holds about BLOCK shingles, and each pair of blocks is one unit of work.
-4. A unit counts agreements of signatures, skips pairs that hang together already, and confirms the others on the full sets. It returns a spanning forest of
-   the confirmed links, so rows grow with members, never with pairs.
-5. Components of the forest give the result.
+3. Lists with the same members are merged into one. A list of up to BLOCK shingles and ROWS members is a unit
+   of work, settled in one task.
+4. Longer lists are first held against a pivot, their member of the most collisions: members that link with it hang
+   together, and pairs among them are skipped. What is left is posted once more under the rarest shingles of each
+   set (the exact prefix of a similarity join), so a phrase that many texts share joins nothing; those lists are dealt to
+   blocks of rows that still ask and blocks of all rows.
+5. A unit counts collisions, skips pairs that hang together already, and confirms the others on the full sets. It returns a
+   spanning forest of the confirmed links, so rows grow with members, never with pairs.
+6. Components of the forest give the result.
 """
 
 from __future__ import annotations
@@ -24,22 +28,22 @@ from pyspark.sql import functions as F
 
 from sparkwarden.llm import textkit as tk
 from sparkwarden.llm.graph import components
-from sparkwarden.llm.session import durable, prepare
+from sparkwarden.llm.session import FEW, durable, many_to_one, parts
 
 COORDINATES = 24
-#: Shingles in a block of a list; two blocks are in memory at a time.
-BLOCK = 400_000
-#: Classes with a candidate up to which their ids (some 40 bytes each) are broadcast to the second reading of the texts.
-FEW = 250_000
+#: Shingles and rows in a block of a list; two blocks are in memory at a time.
+BLOCK, ROWS = 200_000, 2_000
+#: Odds that a pair exactly at the threshold has fewer coordinates in common than are asked for.
+ODDS = 2e-9
 _SEEDS = tk.mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64))
 
 
 def least_matches(threshold: float, coordinates: int = COORDINATES) -> int:
-    """The most matches m such that a pair at the threshold has fewer with odds under 2e-6."""
+    """The most matches m such that a pair at the threshold has fewer with odds under ODDS."""
     odds, total, m = 0.0, 0.0, 0
     while m < coordinates:
         odds = math.comb(coordinates, m) * threshold**m * (1 - threshold) ** (coordinates - m)
-        if (total := total + odds) > 2e-6:
+        if (total := total + odds) > ODDS:
             break
         m += 1
     return max(1, m)
@@ -76,7 +80,7 @@ def _signature(x: np.ndarray) -> np.ndarray:
 
 def _first_pass(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             sizes, keys, sigs = [], [], []
             for texts in tk.slices(batch.column("text")):
                 for x in _sets(texts, k):
@@ -95,7 +99,7 @@ def _second_pass(k: int):
     """The sets again, of those few texts that have a candidate; rows that only share the id go."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             found = [x for texts in tk.slices(batch.column("text")) for x in _sets(texts, k)]
             keys = batch.column("set_key").to_pylist()
             here = [i for i, x in enumerate(found) if _key(x) == keys[i]]
@@ -107,40 +111,114 @@ def _second_pass(k: int):
     return run
 
 
-def _join_unit(sets: list[np.ndarray], sigs: np.ndarray, threshold: int, least: int) -> list[tuple[int, int]]:
+class Trees:
+    """Which rows hang together. Of two trees the smaller one is renamed, so all unions take n log n steps."""
+
+    def __init__(self, label: np.ndarray):
+        self.of = np.unique(label, return_inverse=True)[1]
+        by = np.argsort(self.of, kind="stable")
+        self.rows = dict(enumerate(np.split(by, np.cumsum(np.bincount(self.of))[:-1]))) if len(label) else {}
+
+    def union(self, i: int, j: int) -> None:
+        a, b = self.of[i], self.of[j]
+        if len(self.rows[a]) < len(self.rows[b]):
+            a, b = b, a
+        moved = self.rows.pop(b)
+        self.of[moved] = a
+        self.rows[a] = np.concatenate([self.rows[a], moved])
+
+
+class _Unit:
+    """The sets of a unit end to end, and lists of rows by the rarest shingles of each."""
+
+    def __init__(self, sets: list[np.ndarray], threshold: int):
+        self.threshold = threshold
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.bounds = np.concatenate(([0], np.cumsum(self.sizes)))
+        values, self.code = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(values), np.int32)
+        self.lists = None
+
+    def _post(self) -> None:
+        """Each set's shingles, the rarest of the unit first, but for as many as a partner must share: a pair meets in what is left."""
+        n, row = len(self.sizes), np.repeat(np.arange(len(self.sizes)), self.sizes)
+        order = np.lexsort((self.code, np.bincount(self.code)[self.code], row))
+        place = np.arange(len(row)) - self.bounds[row]
+        kept = order[place < (self.sizes + (-self.threshold * self.sizes) // 100 + 1)[row]]
+        self.prefix = self.code[kept]
+        self.prefix_of = np.concatenate(([0], np.cumsum(np.bincount(row[kept], minlength=n))))
+        by = np.argsort(self.prefix, kind="stable")
+        self.lists = row[kept][by], np.concatenate(([0], np.cumsum(np.bincount(self.prefix, minlength=len(self.mark)))))
+
+    def near(self, i: int) -> np.ndarray:
+        """Rows that share a posting of the prefix with row i."""
+        if self.lists is None:
+            self._post()
+        rows, first = self.lists
+        found = [rows[first[c] : first[c + 1]] for c in self.prefix[self.prefix_of[i] : self.prefix_of[i + 1]] if first[c + 1] - first[c] > 1]
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+    def linked(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of others that reach the threshold with row i."""
+        mine = self.code[self.bounds[i] : self.bounds[i + 1]]
+        self.mark[mine] = 1
+        if len(others) * 4 > len(self.sizes):
+            common = np.add.reduceat(self.mark[self.code], self.bounds[:-1])[others]
+        else:
+            common = np.array([self.mark[self.code[self.bounds[j] : self.bounds[j + 1]]].sum() for j in others])
+        self.mark[mine] = 0
+        return others[100 * common >= self.threshold * (self.sizes[i] + self.sizes[others] - common)]
+
+
+def _central(sigs: np.ndarray) -> int:
+    """The row whose coordinates collide with most others."""
+    score = np.zeros(len(sigs), np.int64)
+    for k in range(sigs.shape[1]):
+        _, inverse, count = np.unique(sigs[:, k], return_inverse=True, return_counts=True)
+        score += count[inverse]
+    return int(score.argmax())
+
+
+def _join_unit(sets: list[np.ndarray], sigs: np.ndarray, threshold: int, least: int, label: np.ndarray | None = None, asks: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets of one unit. threshold: per cent.
 
-    A row is settled once it has met every other that it didn't hang together with. The most central
-    row goes first; from then on only rows outside the largest tree need settling, as each pair has an
-    end there. So a group of copies takes one pass over its sets, and one more for each row outside.
+    label: rows that hang together already have one. asks: rows that must be settled (all by default), that is held
+    against each other row that they don't hang together with. The most central row meets all others; from
+    then on only rows outside the largest tree need settling, as each pair has an end there. They meet the
+    rows in the lists of their rarest shingles, those with most collisions first, until they hang together.
     """
     n = len(sets)
-    sizes = np.array([len(x) for x in sets], np.int64)
-    values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    bounds = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    mark = np.zeros(len(values), np.int32)
-    tree, settled, links = np.arange(n), np.zeros(n, bool), []
-    i = int((sigs[:, None, :] == sigs[None, :64, :]).sum((1, 2)).argmax()) if n > 2 else 0
-    while True:
-        others = np.flatnonzero((tree != tree[i]) & ~settled & (sizes * 100 >= threshold * sizes[i]) & (sizes[i] * 100 >= threshold * sizes))
-        others = others[(sigs[others] == sigs[i]).sum(1) >= least]
+    trees, links, settled = Trees(np.arange(n) if label is None else label), [], np.zeros(n, bool)
+    asks = np.ones(n, bool) if asks is None else asks
+    unit = _Unit(sets, threshold)
+    sizes = unit.sizes
+
+    def open_to(i: int, others: np.ndarray) -> np.ndarray:
+        others = others[(trees.of[others] != trees.of[i]) & ~settled[others] & (sizes[others] * 100 >= threshold * sizes[i]) & (sizes[i] * 100 >= threshold * sizes[others])]
+        collisions = (sigs[others] == sigs[i]).sum(1)
+        others, collisions = others[collisions >= least], collisions[collisions >= least]
+        return others[np.argsort(-collisions, kind="stable")]
+
+    def join(i: int, others: np.ndarray) -> None:
+        for j in unit.linked(i, others):
+            if trees.of[i] != trees.of[j]:
+                trees.union(i, int(j))
+                links.append((i, int(j)))
+
+    if n > 2:
+        center = _central(sigs)
+        if len(others := open_to(center, np.arange(n))):
+            join(center, others)
+        settled[center] = True
+    outside = trees.of != np.bincount(trees.of).argmax()
+    for i in np.flatnonzero(outside & asks & ~settled).tolist():
+        others, size = open_to(i, unit.near(i)), 4
+        while len(others):
+            join(i, others[:size])
+            others = others[size:]
+            others, size = others[trees.of[others] != trees.of[i]], 4 * size
         settled[i] = True
-        if len(others):
-            mine = inverse[bounds[i] : bounds[i] + sizes[i]]
-            mark[mine] = 1
-            if len(others) * 4 > n:
-                common = np.add.reduceat(mark[inverse], bounds)[others]
-            else:
-                common = np.array([mark[inverse[bounds[j] : bounds[j] + sizes[j]]].sum() for j in others])
-            mark[mine] = 0
-            for j in others[100 * common >= threshold * (sizes[i] + sizes[others] - common)]:
-                if tree[i] != tree[j]:
-                    tree[tree == tree[j]] = tree[i]
-                    links.append((i, int(j)))
-        rest = np.flatnonzero(~settled & (tree != np.bincount(tree).argmax()))
-        if not len(rest):
-            return links
-        i = int(rest[0])
+    return links
 
 
 def _join_lists(threshold: int, least: int):
@@ -151,9 +229,17 @@ def _join_lists(threshold: int, least: int):
         keys = t.column("set_key").to_pylist()
         col = t.column("shingles").combine_chunks()
         flat, off = col.values.to_numpy(zero_copy_only=False).view(np.uint64), col.offsets.to_numpy()
-        sets = [flat[off[i] : off[i + 1]] for i in range(len(keys))]
-        sigs = np.array(t.column("sig").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(len(keys), -1)
-        return [(keys[i], keys[j]) for i, j in _join_unit(sets, sigs, threshold, least)]
+        # A row that asks may come as one of all rows as well.
+        first, asks = {}, {}
+        for i, (key, ask) in enumerate(zip(keys, t.column("asks").to_pylist(), strict=True)):
+            first.setdefault(key, i)
+            asks[key] = asks.get(key, False) or ask
+        at = np.array(list(first.values()))
+        names = t.column("label").combine_chunks().take(pa.array(at)).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        sigs = np.array(t.column("sig").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(len(keys), -1)[at]
+        if not any(asks.values()) or (names == names[0]).all():
+            return []
+        return [(keys[at[i]], keys[at[j]]) for i, j in _join_unit([flat[off[i] : off[i + 1]] for i in at], sigs, threshold, least, names, np.array([asks[k] for k in first]))]
 
     def run(batches):
         held, at = [], None
@@ -180,6 +266,68 @@ def _join_lists(threshold: int, least: int):
     return run
 
 
+def _merged(kept: DataFrame, classes: DataFrame) -> DataFrame:
+    """(posting, members, total) of lists kept (posting, set_key) with two members or more; of lists with the same members, one."""
+    weighed = kept.join(classes.select("set_key", "n"), "set_key")
+    low = F.xxhash64("set_key", F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1))
+    each = weighed.groupBy("posting").agg(F.count("*").alias("members"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("set_key")).alias("x1"), F.sum(low).alias("x2"))
+    return each.where("members > 1").groupBy("members", "total", "x1", "x2").agg(F.min("posting").alias("posting")).select("posting", "members", "total")
+
+
+def _blocks(total, members, block: int) -> F.Column:
+    return F.greatest(F.lit(1), F.ceil(total / block), F.ceil(members / ROWS)).cast("int")
+
+
+def _against_pivots(members: DataFrame, sets: DataFrame, per_cent: int, block: int) -> DataFrame:
+    """Links (a, b) of members (posting, set_key, blocks, weight) of long lists with their list's member of the most collisions.
+
+    A pivot's set goes to as many places as its longest list has blocks, and its members are dealt to them.
+    """
+    lists = members.groupBy("posting").agg(F.max("blocks").alias("blocks"), F.max_by("set_key", F.struct("weight", "set_key")).alias("pivot"))
+    places = lists.groupBy("pivot").agg(F.max("blocks").alias("places"))
+    pairs = members.join(lists.join(places, "pivot").select("posting", "pivot", "places"), "posting").where("set_key != pivot").select("set_key", "pivot", "places").distinct()
+    pairs = pairs.withColumn("place", F.pmod(F.xxhash64("set_key", F.lit(5)), F.col("places")).cast("int")).drop("places")
+    spread = places.join(sets.select(F.col("set_key").alias("pivot"), F.col("shingles").alias("theirs")), "pivot").withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).drop("places")
+    met = pairs.join(sets.select("set_key", "shingles"), "set_key").join(spread, ["pivot", "place"])
+    both, sizes = F.size(F.array_intersect("shingles", "theirs")), F.size("shingles") + F.size("theirs")
+    return met.where(100 * both >= per_cent * (sizes - both)).select(F.col("set_key").alias("a"), F.col("pivot").alias("b"))
+
+
+def _long_lists(members: DataFrame, sets: DataFrame, classes: DataFrame, per_cent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Links of long lists with their pivots, and units (unit, set_key, label, asks) for what these leave open."""
+    links = durable(_against_pivots(members, sets, per_cent, block))
+    label = components(links).select(F.col("node").alias("set_key"), F.col("comp").alias("label"))
+    named = durable(members.select("posting", "set_key").join(label, "set_key", "left").withColumn("label", F.coalesce("label", "set_key")))
+    top = named.groupBy("posting", "label").count().groupBy("posting").agg(F.max_by("label", F.struct("count", "label")).alias("top"), F.count("*").alias("labels"))
+    opened = named.join(top.where("labels > 1").select("posting", "top"), "posting")
+    rows = durable(opened.groupBy("set_key").agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("top")).alias("asks")))
+
+    # The exact prefix: any one order of shingles will do, so the rarest come first.
+    held = rows.join(sets, "set_key").select("set_key", "label", "asks", F.explode("shingles").alias("posting"))
+    often = held.groupBy("posting").agg(F.count("*").alias("count"), F.max("asks").alias("asked"))
+    own = Window.partitionBy("set_key")
+    size = F.count("*").over(own)
+    ranked = held.join(often, "posting").withColumn("rank", F.row_number().over(own.orderBy("count", "posting"))).withColumn("most", size - F.ceil(size * per_cent / 100) + 1)
+    posted = durable(ranked.where("rank <= most and count > 1 and asked").select("posting", "set_key", "label", "asks"))
+    differ = posted.groupBy("posting").agg(F.max("asks").alias("asked"), F.min("label").alias("l"), F.max("label").alias("h")).where("asked and l != h").select("posting")
+    weighed = posted.join(differ, "posting", "left_semi").join(classes.select("set_key", "n"), "set_key")
+    low = F.xxhash64("set_key", F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1))
+    asked = lambda c: F.sum(F.when(F.col("asks"), c).otherwise(0))
+    lists = weighed.groupBy("posting").agg(
+        F.count("*").alias("members"), F.sum("n").alias("total"), asked(F.lit(1)).alias("ask_members"), asked(F.col("n")).alias("ask_total"),
+        F.bit_xor(F.xxhash64("set_key")).alias("x1"), F.sum(low).alias("x2"),
+    )
+    lists = lists.groupBy("members", "total", "ask_members", "ask_total", "x1", "x2").agg(F.min("posting").alias("posting"))
+    lists = lists.select("posting", _blocks(F.col("total"), F.col("members"), block).alias("blocks"), _blocks(F.col("ask_total"), F.col("ask_members"), block).alias("ask_blocks"))
+    dealt = posted.join(lists, "posting")
+    mine = F.pmod(F.xxhash64("set_key", F.lit(7)), F.col("blocks")).cast("int")
+    asking = F.pmod(F.xxhash64("set_key", F.lit(9)), F.col("ask_blocks")).cast("int")
+    whole = dealt.withColumn("block", mine).withColumn("ask_block", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1))).withColumn("asks", F.lit(False))
+    those = dealt.where("asks").withColumn("ask_block", asking).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = [F.xxhash64("posting", "block", "ask_block").alias("unit"), "set_key", "label", "asks"]
+    return links, whole.select(*columns).unionByName(those.select(*columns))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text; more columns are ignored).
 
@@ -194,51 +342,67 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, block:
 def marked_rows(docs: DataFrame, k: int = 5, threshold: float = 0.8, block: int = BLOCK) -> DataFrame:
     """near_duplicates with version, the hash of the row's text, and tree: one name for all sets that are linked, null
     without shingles. Components of one component_id are apart by it, where their rows repeat an id or have none."""
-    spark = docs.sparkSession
-    prepare(spark)
     per_cent = round(threshold * 100)
     least = least_matches(threshold)
     prefix = COORDINATES - least + 1
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     versioned = texts.withColumn("version", F.xxhash64("text"))
     rows = durable(versioned.mapInArrow(_first_pass(k), "doc_id long, version long, n_shingles long, set_key binary, sig array<long>"))
-    classes = durable(rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig")))
+    classes = durable(
+        rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n"), F.count("*").alias("rows"), F.first("sig").alias("sig"))
+    )
 
     posted = classes.select("set_key", F.posexplode("sig")).select("set_key", "pos", F.xxhash64("pos", "col").alias("posting"))
     shared = posted.groupBy("posting").count().where("count > 1")
     meet = posted.join(shared, "posting")
     own = Window.partitionBy("set_key")
-    ranked = meet.withColumn("rank", F.row_number().over(own.orderBy("count", "pos"))).withColumn("met", F.count("*").over(own))
-    kept = durable(ranked.where(F.col("met") >= least).where(F.col("rank") <= prefix - (COORDINATES - F.col("met"))).select("posting", "set_key"))
-    weighed = kept.join(classes.select("set_key", "n"), "set_key")
-    lists = (
-        weighed.groupBy("posting")
-        .agg(F.count("*").alias("members"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("set_key")).alias("x1"), F.sum(F.xxhash64("set_key", F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1))).alias("x2"))
-        .where("members > 1")
-        .groupBy("members", "total", "x1", "x2")
-        .agg(F.min("posting").alias("posting"))
-        .select("posting", F.ceil(F.col("total") / block).cast("int").alias("blocks"))
-    )
-    own_block = F.pmod(F.xxhash64("set_key", F.lit(7)), F.col("blocks")).cast("int")
-    member = durable(kept.join(lists, "posting").withColumn("block", own_block))
-    units = (
-        member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("set_key", F.xxhash64("posting", F.least("block", "other"), F.greatest("block", "other")).alias("unit"))
-    )
-    chosen = durable(member.select("set_key").distinct().join(classes.select("set_key", "least_id"), "set_key"))
+    ranked = meet.withColumn("rank", F.row_number().over(own.orderBy("count", "pos"))).withColumn("met", F.count("*").over(own)).withColumn("weight", F.sum("count").over(own))
+    kept = durable(ranked.where(F.col("met") >= least).where(F.col("rank") <= prefix - (COORDINATES - F.col("met"))).select("posting", "set_key", "weight"))
+    lists = _merged(kept, classes).withColumn("blocks", _blocks(F.col("total"), F.col("members"), block))
+    member = durable(kept.join(lists.select("posting", "blocks"), "posting"))
+
+    chosen = durable(member.select("set_key").distinct().join(classes.select("set_key", "least_id", "sig"), "set_key"))
+    named = chosen.select("set_key", "least_id")
     if chosen.count() <= FEW:
-        chosen = F.broadcast(chosen)
-    again = texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["least_id"])).select("set_key", "text")
-    sets = durable(again.mapInArrow(_second_pass(k), "set_key binary, shingles array<long>"))
-    loaded = units.join(sets, "set_key").join(classes.select("set_key", "sig"), "set_key")
-    dealt = loaded.select("unit", "set_key", "sig", "shingles").repartition("unit").sortWithinPartitions("unit")
-    links = durable(dealt.mapInArrow(_join_lists(per_cent, least), "a binary, b binary"))
+        named = F.broadcast(named)
+    again = texts.join(named, texts["doc_id"].eqNullSafe(named["least_id"])).select("set_key", "text")
+    sets = durable(again.mapInArrow(_second_pass(k), "set_key binary, shingles array<long>").dropDuplicates(["set_key"]).join(chosen.select("set_key", "sig"), "set_key"))
+
+    units = member.where("blocks = 1").select(F.col("posting").alias("unit"), "set_key", F.col("set_key").alias("label"), F.lit(True).alias("asks"))
+    links = None
+    if not (long := member.where("blocks > 1")).isEmpty():
+        links, more = _long_lists(long, sets, classes, per_cent, block)
+        units = units.unionByName(more)
+    dealt = units.join(sets, "set_key").select("unit", "set_key", "label", "asks", "sig", "shingles").repartition("unit").sortWithinPartitions("unit", "set_key", F.desc("asks"))
+    found = dealt.mapInArrow(_join_lists(per_cent, least), "a binary, b binary")
+    links = durable(found if links is None else found.unionByName(links))
 
     comp = components(links)
     tied = comp.join(classes.select(F.col("set_key").alias("node"), "least_id"), "node")
     heads = tied.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     named = comp.join(heads, "comp").select(F.col("node").alias("set_key"), "comp", "component_id")
     of_class = classes.join(named, "set_key", "left").select("set_key", F.coalesce("comp", "set_key").alias("tree"), F.coalesce("component_id", "least_id").alias("component_id"))
-    out = rows.select("doc_id", "version", "n_shingles", "set_key").join(of_class, "set_key", "left")
+    some = rows.select("doc_id", "version", "n_shingles", "set_key")
+    found = many_to_one(some.where("set_key is not null"), of_class, ["set_key"], classes)
+    nothing = some.where("set_key is null").withColumns({"tree": F.lit(None).cast("binary"), "component_id": F.lit(None).cast("long")})
+    out = found.unionByName(nothing)
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "version", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "tree")
+
+
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ORACLE = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_AZ}', '{_AZ.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) END AS g FROM d),
+x AS (SELECT doc_id, unnest(g) AS g, len(g) AS n FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c, any_value(a.n + b.n) AS n FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM p WHERE 100 * c >= 85 * (n - c)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
+m AS (SELECT u, min(v) AS v FROM r GROUP BY u)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(doc_id, coalesce(v, doc_id)) AS component_id, doc_id <= coalesce(v, doc_id) AS kept
+FROM s LEFT JOIN m ON doc_id = u
+"""

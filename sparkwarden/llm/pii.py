@@ -1,7 +1,7 @@
 """Personal data in whole texts: exact patterns, and a skip-chain conditional random field on top.
 
 Patterns find e-mail addresses, IPv4 addresses, payment cards and phone numbers. The field labels the words that hold
-a digit or an at-sign (LABELS; other words are no nodes). Neighbours in the text share transition potentials;
+a digit or an at-sign, those that a key such as ``password =`` is given, and words equal to these (LABELS; others are no nodes). Neighbours in the text share transition potentials;
 words of a document that are alike (the same letters and digits, or the same six or more digits) are
 joined by skip edges, which favour one label for all. Loopy message passing gives each node's marginals,
 and words that a pattern missed are added where a label is certain.
@@ -20,17 +20,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwarden.llm import textkit as tk
-from sparkwarden.llm.session import prepare
+from sparkwarden.llm.session import parts
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["none", *KINDS, "secret"]
-#: Rows drawn for training (as expected, by a hash of the id), words taken of each, and the marginal from which on a label counts.
+#: Bounds of the training: rows drawn (as expected, by a hash of id and text; rows that repeat both are one), and nodes and steps between nodes
+#: taken of each (by a hash as well). All rows are labelled, whole. The marginal from which on a label counts.
 SAMPLE, SAMPLE_WORDS, SURE = 20_000, 100, 0.9
-WIDTH, ROUNDS = 4096, 6
+#: Hashed features, rounds of messages at most, and the part of a message that stays from the round before, which keeps loops from swinging.
+WIDTH, ROUNDS, KEEP = 4096, 12, 0.3
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -39,6 +42,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SECRET = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.-]{16,})")
+_KEY = r"(?i)token|secret|passwd|password|api[_-]?key|access[_-]?key"
 _WORD = re.compile(r"\S+")
 _EDGE = "\"'`.,;:!?#$%&*()[]{}<>|="
 _NODE = np.zeros(256, bool)
@@ -98,9 +102,15 @@ def _shape(word: str) -> str:
 def nodes(text: str) -> Nodes:
     spans, at, features, keys = [], [], [], []
     before = second = ""
+    given = [m.span(1) for m in _SECRET.finditer(text)]
+    secrets = {text[a:b].strip(_EDGE).lower() for a, b in given}
+    j = 0
     for k, m in enumerate(_WORD.finditer(text)):
         word = m[0]
-        if "@" in word or any(c.isdigit() and c.isascii() for c in word):
+        while j < len(given) and given[j][1] <= m.start():
+            j += 1
+        asked = j < len(given) and given[j][0] < m.end()
+        if asked or "@" in word or any(c.isdigit() and c.isascii() for c in word) or (secrets and word.strip(_EDGE).lower() in secrets):
             lead = len(word) - len(word.lstrip(_EDGE))
             core = word[lead:].rstrip(_EDGE)
             digits = "".join(c for c in core if c.isascii() and c.isdigit())
@@ -155,14 +165,14 @@ class Field:
         others = np.bincount(group)[group] - 1
         left = np.flatnonzero(np.diff(found.word) == 1)  # nodes whose next word is a node
         forward, backward = np.zeros((n, size)), np.zeros((n, size))
-        skips = np.zeros((n, size))
+        skips, last = np.zeros((n, size)), None
         for _ in range(rounds):
             belief = _log_softmax(own + forward + backward + skips)
             sent = np.log1p((np.exp(self.skip) - 1) * np.exp(belief))
             total = np.zeros((len(key), size))
             np.add.at(total, group, sent)
-            rest = np.maximum(others, 1)[:, None]
-            skips = np.where(others[:, None] > 0, (total[group] - sent) / rest * np.minimum(rest, 3), 0.0)
+            # All messages of the others count in full.
+            skips = KEEP * skips + (1 - KEEP) * np.where(others[:, None] > 0, total[group] - sent, 0.0)
             f, b = np.zeros((n, size)), np.zeros((n, size))
             if len(left):
                 out = (belief - backward)[left][:, :, None] + self.chain[None]
@@ -170,6 +180,9 @@ class Field:
                 back = (belief - forward)[left + 1][:, None, :] + self.chain[None]
                 b[left] = _log_softmax(np.logaddexp.reduce(back, 2))
             forward, backward = f, b
+            if last is not None and np.abs(belief - last).max(initial=0) < 1e-3:
+                break
+            last = belief
         return np.exp(_log_softmax(own + forward + backward + skips))
 
 
@@ -195,19 +208,22 @@ def train(rows: list[tuple[list[int], int]], steps: list[tuple[int, int]], alike
     return Field(w, np.clip(chain, -2, 2), float(np.clip(np.log((same + 1) / (pairs - same + 1)), 0.5, 3.0)))
 
 
-def _digits_or_at(column: pa.Array) -> np.ndarray:
-    """Which texts hold an ASCII digit or an at-sign; no other can have a span."""
-    out = np.zeros(len(column), bool)
+def _may_hold(column: pa.Array) -> np.ndarray:
+    """Which texts hold an ASCII digit, an at-sign or a key of secrets; no other can have a span."""
+    out = pc.fill_null(pc.match_substring_regex(column, _KEY), False).to_numpy(zero_copy_only=False)
     for texts in tk.slices(column):
         sums = np.concatenate(([0], np.cumsum(_NODE[texts.data])))
-        out[texts.first : texts.first + len(texts)] = np.diff(sums[texts.bounds]) > 0
+        out[texts.first : texts.first + len(texts)] |= np.diff(sums[texts.bounds]) > 0
     return out
 
 
 def _training_rows(batches):
-    for batch in batches:
+    def some(items, name):
+        return sorted(range(len(items)), key=lambda k: zlib.crc32(f"{k}:{name(k)}".encode()))[:SAMPLE_WORDS]
+
+    for batch in parts(batches):
         out = []
-        for i in np.flatnonzero(_digits_or_at(batch.column("text"))):
+        for i in np.flatnonzero(_may_hold(batch.column("text"))):
             text = batch.column("text")[int(i)].as_py()
             found = nodes(text)
             y = weak_labels(text, found, base_spans(text))
@@ -217,18 +233,17 @@ def _training_rows(batches):
                 if key in last:
                     pairs, same = pairs + 1, same + int(y[last[key]] == y[k])
                 last[key] = k
-            chosen = sorted(range(len(y)), key=lambda k: zlib.crc32(f"{k}:{found.keys[k]}".encode()))[:SAMPLE_WORDS]
-            out.append(([[*found.features[k].tolist(), int(y[k])] for k in chosen], [list(s) for s in steps[:SAMPLE_WORDS]], same, pairs))
+            chosen = some(y, lambda k, keys=found.keys: keys[k])
+            out.append(([[*found.features[k].tolist(), int(y[k])] for k in chosen], [list(steps[k]) for k in some(steps, lambda k: "step")], same, pairs))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int64())), pa.int64(), pa.int64()))], ["rows", "steps", "same", "pairs"])
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """Trains on rows drawn from docs (doc_id, text); without any, a field that adds next to nothing."""
-    prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = texts.count()
     if n > sample:
-        texts = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample / n)))
+        texts = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < F.lit(int((1 << 40) * sample / n))).dropDuplicates(["doc_id", "text"])
     got = texts.where("text is not null").select("text").mapInArrow(_training_rows, "rows array<array<bigint>>, steps array<array<bigint>>, same long, pairs long").collect()
     rows = sorted((tuple(r[:-1]), r[-1]) for g in got for r in g["rows"])
     return train([(list(f), y) for f, y in rows], [tuple(s) for g in got for s in g["steps"]], (sum(g["same"] for g in got), sum(g["pairs"] for g in got)))
@@ -265,8 +280,8 @@ def _find(shared, redact: bool):
     def run(batches):
         field = shared.value
         nothing = hashlib.sha256(b"").hexdigest()
-        for batch in batches:
-            some = _digits_or_at(batch.column("text"))
+        for batch in parts(batches):
+            some = _may_hold(batch.column("text"))
             n = batch.num_rows
             counts, shas, joined, masked = np.zeros((4, n), np.int64), [nothing] * n, [""] * n, {}
             for i in np.flatnonzero(some):
@@ -299,18 +314,17 @@ def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
 def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row of docs (doc_id, text); null text as empty.
 
-    The counts and base_sha256 are of the patterns' spans, spans is of all: ``kind:start:end`` joined by commas.
+    The counts and base_sha256 are of the patterns' spans, spans is of all: ``kind:start:end`` joined by commas. Texts of any
+    length are labelled whole; rows that repeat each get their text's result; an empty table gives no rows; other columns are passed over.
     """
     spark = docs.sparkSession
-    prepare(spark)
     shared = spark.sparkContext.broadcast(field or fit(docs))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_find(shared, False), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """docs with all spans of its text column masked; other columns, and texts without spans, stay as they are."""
+    """docs with all spans of its text column masked; other columns, rows that repeat, null texts and those without spans stay as they are. Texts of any length are masked whole."""
     spark = docs.sparkSession
-    prepare(spark)
     shared = spark.sparkContext.broadcast(field or fit(docs))
     return docs.mapInArrow(_find(shared, True), docs.schema)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwarden.llm import textkit as tk
-from sparkwarden.llm.session import durable, prepare
+from sparkwarden.llm.session import durable, parts
 
 #: Labelled rows that are fitted on (as expected; drawn by a hash of the id), rules kept at most, and the score from which on a text is good.
 SAMPLE, RULES, GOOD = 20_000, 60, 0.3
@@ -88,12 +88,11 @@ def measure(texts: tk.Texts) -> np.ndarray:
 
 def statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, version, STATS...) for each row of docs (doc_id, text); null text as empty. version: a hash of the text."""
-    prepare(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            parts = [measure(cut) for texts in tk.slices(batch.column("text")) for cut in _cuts(texts)]
-            x = np.concatenate(parts) if parts else np.zeros((0, len(STATS)))
+        for batch in parts(batches):
+            found = [measure(cut) for texts in tk.slices(batch.column("text")) for cut in _cuts(texts)]
+            x = np.concatenate(found) if found else np.zeros((0, len(STATS)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), *(pa.array(x[:, k]) for k in range(len(STATS)))], ["doc_id", "version", *STATS])
 
     text = F.col("text").cast("string")
@@ -129,6 +128,8 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, bins: in
     """Paths of boosted trees over binned statistics, all nodes but the roots, without repeats."""
     edges = [np.unique(np.quantile(x[:, k], np.linspace(0.02, 0.98, bins))) for k in range(x.shape[1])]
     codes = np.stack([np.searchsorted(e, x[:, k], "left") for k, e in enumerate(edges)], 1)
+    # A comparison is made half way to the next value above the edge, so that what lies near what was seen falls with it.
+    middles = [np.array([(v + min(x[x[:, k] > v, k], default=v)) / 2 for v in e]) for k, e in enumerate(edges)]
     rules, margin = {}, np.full(len(y), np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
@@ -153,7 +154,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, bins: in
             k, j = best
             low = codes[rows, k] <= j
             for part, above in ((rows[low], False), (rows[~low], True)):
-                own = (*path, (STATS[k], above, float(edges[k][j])))
+                own = (*path, (STATS[k], above, float(middles[k][j])))
                 rules[tuple(sorted(own))] = None
                 split(part, own, level + 1)
 
@@ -203,14 +204,15 @@ def fit_rules(x: np.ndarray, y: np.ndarray, most: int = RULES) -> Ensemble:
 
 
 def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ensemble:
-    """Fits on labels (doc_id, quality) joined to stats; labels that are null, or disagree for an id, are left out."""
+    """Fits on labels (doc_id, quality) joined to stats; labels that are null, or disagree for an id, are left out. Of rows that repeat a labelled id one counts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("top")).where("quality = top").drop("top")
     known = durable(known)
     n = known.count()
     if n > sample:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample / n)))
-    rows = stats.join(F.broadcast(known), "doc_id").orderBy("doc_id", "version").select("quality", *STATS).toPandas()
+    one = stats.join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("version", *STATS)).alias("s"))
+    rows = one.orderBy("doc_id").select("quality", *[f"s.{c}" for c in STATS]).toPandas()
     return fit_rules(rows[STATS].to_numpy(float), (rows["quality"].to_numpy() == 1).astype(float))
 
 
@@ -218,7 +220,8 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, version, held_out, score, predicted) for each row of docs (doc_id, text).
 
     Fitted on labels whose crc32(doc_id) mod 5 is not 0; held_out says that it is. Only the text's statistics are
-    inputs, and the empty text has such too. A null id is not held out and has no label.
+    inputs, and the empty text has such too. A null id is not held out and has no label. A text of any length is
+    measured whole; equal texts get equal scores; without rows or without labels all is as docs has it, by the bias alone.
     """
     stats = durable(statistics(docs))
 

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwarden.llm import ann, decontaminate, language_id, pii, url_filter, warc
+from sparkwarden.llm import ann, decontaminate, language_id, near_dedup, pii, url_filter, warc
 from sparkwarden.llm.mixing import mix
-from sparkwarden.llm.near_dedup import near_duplicates
 from sparkwarden.llm.quality import score_quality
 from sparkwarden.llm.token_count import token_counts
 
@@ -20,7 +19,7 @@ def op1_pii_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), k=3, threshold=0.85)
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), k=3, threshold=0.85)
 
 
 def op3_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +63,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_minhash_near_dedup": near_dedup.ORACLE,
         "op7_winnowing_decontamination": decontaminate.ORACLE,
         "op8_warc_archives": warc.ORACLE,
         "op10_url_filters": url_filter.ORACLE,

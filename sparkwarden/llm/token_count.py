@@ -13,10 +13,11 @@ import json
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.session import prepare
+from sparkwarden.llm.session import parts
 
 BATCH_BYTES, CUT = 1 << 18, 1 << 15
 _SAFE = re.compile(r"(?<=[!-~]) (?=[A-Za-z])")
@@ -47,7 +48,7 @@ class Counter:
         self.splits = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
 
     def pieces(self, text: str) -> list[str]:
-        """text cut at the first safe place after each CUT characters."""
+        """text cut at the first safe place after each CUT characters; a text without such a place is one piece."""
         if len(text) <= CUT or not self.splits or any(x in text for x in self.special):
             return [text]
         out, start = [], 0
@@ -56,12 +57,15 @@ class Counter:
             start = found.start()
         return [*out, text[start:]]
 
-    def count(self, texts: list[str]) -> list[int]:
+    def count(self, texts: list[str], sizes: list[int] | None = None) -> list[int]:
+        """Tokens of each text. sizes: their bytes, if known."""
+        sizes = [len(t.encode()) for t in texts] if sizes is None else sizes
         out, held, size = [0] * len(texts), [], 0
         for i, text in enumerate(texts):
-            for piece in self.pieces(text):
+            cut = self.pieces(text)
+            for piece in cut:
                 held.append((i, piece))
-                size += len(piece)
+                size += sizes[i] if len(cut) == 1 else len(piece.encode())
                 if size >= BATCH_BYTES:
                     self._add(out, held)
                     held, size = [], 0
@@ -77,11 +81,12 @@ def _run(path: str, limit: int):
     def run(batches):
         if path not in _loaded:
             _loaded[path] = Counter(path)
-        for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            counts = _loaded[path].count(texts)
+        for batch in parts(batches):
+            texts = batch.column("text").fill_null("")
+            sizes = pc.binary_length(texts)
+            counts = _loaded[path].count(texts.to_pylist(), sizes.to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],
+                [batch.column("doc_id"), sizes.cast(pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
@@ -93,8 +98,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
 
     tokenizer: path of a .json (tokenizers) or .model (sentencepiece) file that every worker has. Special
     strings inside texts count as the library takes them by default; none are added. No
-    truncation. Rows stay where they are read: there is no exchange.
+    truncation. Rows stay where they are read: there is no exchange. Each row counts for itself, also where ids or texts repeat; a
+    text of any length is counted whole, an empty table gives no rows, and other columns are passed over.
     """
-    prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_run(tokenizer, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

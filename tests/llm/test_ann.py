@@ -1,6 +1,6 @@
 import numpy as np
 
-from sparkwarden.llm.ann import search, traverse
+from sparkwarden.llm.ann import Index, search, traverse
 
 
 def brute(rows, every, k):
@@ -30,7 +30,7 @@ def data(n, seed=3):
 def test_whole_share_is_exact(spark):
     rows = data(400) + [(1000 + i, data(5)[4][1]) for i in range(60)]
     rows += [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [float("inf")] + [0.0] * 15), (2080, [None] + [1.0] * 15), (None, [1.0] * 16), (2100, [])]
-    got = run(spark, rows, share=1.0, shard=100, block=7)
+    got = run(spark, rows, sure=1.0, shard=100, block=7)
     assert got == brute(rows, 20, 20)
 
 
@@ -54,3 +54,32 @@ def test_traverse_goes_by_the_sum():
     got = traverse(a, b, np.ones((6, 5), int), 30)
     sums = [a[i] + b[j] for i, j in got]
     assert len(got) == 30 and sums == sorted(sums, reverse=True)
+
+
+def test_clusters_need_few_cells():
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(200, 16))
+    x = centers[rng.integers(200, size=20_000)] + 0.05 * rng.normal(size=(20_000, 16))
+    index = Index(x[:5_000], 35)
+    index.counts = np.bincount(index.cell(x), minlength=index.counts.size).reshape(index.counts.shape)
+    seen, hits = [], []
+    for q in x[:60]:
+        cells = index.cells(q, 20, 0.95)
+        inside = np.isin(index.cell(x), [i * len(index.b) + j for i, j in cells])
+        seen.append(inside.mean())
+        hits.append(inside[np.argsort(-(x @ q))[1:21]].mean())
+    assert np.mean(hits) >= 0.9 and np.mean(seen) < 0.15
+
+
+def test_one_full_cell_goes_over_shards(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [1.0, float(rng.random()), 0.5, 1.0]) for i in range(300)] + [(900 + i, rng.normal(size=4).tolist()) for i in range(60)]
+    rows = [(i, np.array(v, np.float32).tolist()) for i, v in rows]
+    got, want = run(spark, rows, sure=1.0, shard=40, block=5), brute(rows, 20, 20)
+    assert {q: [r[2] for r in v] for q, v in got.items()} == {q: [r[2] for r in v] for q, v in want.items()}
+
+
+def test_shorter_vectors_count_as_filled_up(spark):
+    rows = data(200) + [(1000 + i, v[:9]) for i, v in data(80, 5)]
+    filled = [(i, v + [0.0] * (16 - len(v))) for i, v in rows]
+    assert run(spark, rows, sure=1.0) == brute(filled, 20, 20)

@@ -1,8 +1,11 @@
 import random
 import re
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from sparkwarden.llm import near_dedup
 from sparkwarden.llm.near_dedup import least_matches, near_duplicates
 
 SCHEMA = "doc_id long, text string, set_key string, sig int"
@@ -60,4 +63,35 @@ def test_null_ids(spark):
 
 
 def test_least_matches():
-    assert 9 <= least_matches(0.85) <= 12 and least_matches(0.8) < least_matches(0.85)
+    assert 6 <= least_matches(0.85) <= 12 and least_matches(0.8) < least_matches(0.85)
+
+
+def test_long_lists_meet_their_pivot_and_then_the_rarest_shingles(spark, monkeypatch):
+    rng = random.Random(11)
+    base = ["b%d" % i for i in range(60)]
+    rows = [(i, "thank you for reading u%d" % i) for i in range(150)]  # share much, link with nothing
+    for i in range(150):  # most link with the pivot, chains of others only with each other
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 6])):
+            w[rng.randrange(60)] = "x%d" % rng.randrange(9)
+        rows.append((1000 + i, " ".join(w)))
+    rows += [(3000 + i, "one and the same text here") for i in range(40)]
+    monkeypatch.setattr(near_dedup, "ROWS", 30)
+    assert run(spark, rows) == brute(rows, 3, 85)
+
+
+def test_very_long_texts(spark):
+    w = ["w%d" % (i * 7 % 50_021) for i in range(60_000)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:100], "changed", *w[101:]])), (3, " ".join(w[:20_000]))]
+    assert [r[2] for r in run(spark, rows)] == [1, 1, 3]
+
+
+def test_a_unit_of_texts_from_one_template_takes_linear_time():
+    took = []
+    for n in (4_000, 16_000):
+        sets = [np.sort(np.array([1, 2, 1000 + i], np.uint64)) for i in range(n)]
+        sigs = np.array([near_dedup._signature(x) for x in sets])
+        began = time.perf_counter()
+        assert near_dedup._join_unit(sets, sigs, 85, least_matches(0.85)) == []
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]

@@ -39,6 +39,7 @@ def test_stages(spark, folder):
     assert clean <= set(steps["quality"]) and not any(i >= 300 for i in steps["quality"])
     assert {0, 1, 7} <= set(steps["near_dedup"]) and not {200, 201} & set(steps["near_dedup"]) and clean <= set(steps["near_dedup"])
     assert 202 not in steps["decontamination"] and clean <= set(steps["decontamination"])
+    assert [203 in steps[n] for n in ("quality", "near_dedup", "decontamination")] == [True] * 3
     assert "<EMAIL>" in steps["pii"][203].text and steps["pii"][203].n_chars == len(steps["pii"][203].text)
     before = spark.createDataFrame(list(steps["pii"].values()), "doc_id long, text string, lang string, source string, n_chars long")
     want = {r.doc_id: r.copies for r in mix(before).collect() if r.copies}

@@ -47,7 +47,7 @@ def test_empty(spark):
 
 def test_segments():
     p = ("é" * 10 + TRAP).encode()
-    assert b"".join(segments(p, 5)) == p and all(len(s) <= 5 and s.decode() is not None for s in segments(p, 5)) and segments(b"") == [b""]
+    assert b"".join(segments(p, 5)) == p and all(len(s) <= 5 and bytes(s).decode() is not None for s in segments(p, 5)) and segments(b"") == [b""]
     assert parse_record(b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n") == ({"content-length": "2"}, b"ab")
 
 
