@@ -6,12 +6,12 @@
    agree in at least ``least`` coordinates (but for odds of ODDS), so they meet within the
    COORDINATES - least + 1 rarest postings of each: only this prefix of a class is kept. A phrase
    that many texts share fills long lists, yet falls out of the prefixes of all but truly similar texts.
-3. Lists with the same members are merged into one. A list of up to BLOCK shingles and ROWS members is a unit
-   of work, settled in one task.
-4. Longer lists are first held against a pivot, their member of the most collisions: members that link with it hang
-   together, and pairs among them are skipped. What is left is posted once more under the rarest shingles of each
-   set (the exact prefix of a similarity join), so a phrase that many texts share joins nothing; those lists are dealt to
-   blocks of rows that still ask and blocks of all rows.
+3. Classes that lists bring together, directly or by way of others, are a group. Groups of up to BLOCK shingles and ROWS
+   members are dealt to units of work, each class once.
+4. Larger groups go by their lists. A list is first held against a pivot, its member of the most collisions: members that link
+   with it hang together, and pairs among them are skipped. What is left is posted once more under the rarest shingles
+   of each set (the exact prefix of a similarity join), so a phrase that many texts share joins nothing; those lists are dealt
+   to blocks of rows that still ask and blocks of all rows.
 5. A unit counts collisions, skips pairs that hang together already, and confirms the others on the full sets. It returns a
    spanning forest of the confirmed links, so rows grow with members, never with pairs.
 6. Components of the forest give the result.
@@ -33,6 +33,8 @@ from sparkwarden.llm.session import FEW, durable, many_to_one, parts
 COORDINATES = 24
 #: Shingles and rows in a block of a list; two blocks are in memory at a time.
 BLOCK, ROWS = 200_000, 2_000
+#: Members of small groups that go to one unit, as expected.
+UNIT = 500
 #: Odds that a pair exactly at the threshold has fewer coordinates in common than are asked for.
 ODDS = 2e-9
 _SEEDS = tk.mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64))
@@ -104,8 +106,9 @@ def _second_pass(k: int):
             keys = batch.column("set_key").to_pylist()
             here = [i for i, x in enumerate(found) if _key(x) == keys[i]]
             flat = np.concatenate([found[i] for i in here]) if here else np.zeros(0, np.uint64)
+            sigs = pa.array([tk.as_long(_signature(found[i])) for i in here], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([keys[i] for i in here], pa.binary()), tk.lists(tk.as_long(flat), [len(found[i]) for i in here], pa.int64())], ["set_key", "shingles"]
+                [pa.array([keys[i] for i in here], pa.binary()), sigs, tk.lists(tk.as_long(flat), [len(found[i]) for i in here], pa.int64())], ["set_key", "sig", "shingles"]
             )
 
     return run
@@ -358,20 +361,28 @@ def marked_rows(docs: DataFrame, k: int = 5, threshold: float = 0.8, block: int
     own = Window.partitionBy("set_key")
     ranked = meet.withColumn("rank", F.row_number().over(own.orderBy("count", "pos"))).withColumn("met", F.count("*").over(own)).withColumn("weight", F.sum("count").over(own))
     kept = durable(ranked.where(F.col("met") >= least).where(F.col("rank") <= prefix - (COORDINATES - F.col("met"))).select("posting", "set_key", "weight"))
-    lists = _merged(kept, classes).withColumn("blocks", _blocks(F.col("total"), F.col("members"), block))
-    member = durable(kept.join(lists.select("posting", "blocks"), "posting"))
-
-    chosen = durable(member.select("set_key").distinct().join(classes.select("set_key", "least_id", "sig"), "set_key"))
-    named = chosen.select("set_key", "least_id")
-    if chosen.count() <= FEW:
-        named = F.broadcast(named)
+    heads = kept.groupBy("posting").agg(F.min("set_key").alias("head"), F.count("*").alias("members")).where("members > 1").select("posting", "head")
+    group = durable(components(kept.join(heads, "posting").where("set_key != head").select("set_key", "head").distinct(), "set_key", "head").withColumnsRenamed({"node": "set_key", "comp": "group"}))
+    sizes = group.join(classes.select("set_key", "n"), "set_key").groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
+    sizes = durable(sizes.select("group", "members", (_blocks(F.col("total"), F.col("members"), block) > 1).alias("large")))
+    members = sizes.agg(F.sum("members")).first()[0] or 0
+    placed = durable(group.join(sizes.select("group", "large"), "group"))
+
+    chosen = durable(placed.select("set_key").join(classes.select("set_key", "least_id"), "set_key"))
+    named = F.broadcast(chosen) if members <= FEW else chosen
     again = texts.join(named, texts["doc_id"].eqNullSafe(named["least_id"])).select("set_key", "text")
-    sets = durable(again.mapInArrow(_second_pass(k), "set_key binary, shingles array<long>").dropDuplicates(["set_key"]).join(chosen.select("set_key", "sig"), "set_key"))
+    sets = again.mapInArrow(_second_pass(k), "set_key binary, sig array<long>, shingles array<long>")
+    if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["set_key"])  # rows of one id and one set
+    sets = durable(sets)
 
-    units = member.where("blocks = 1").select(F.col("posting").alias("unit"), "set_key", F.col("set_key").alias("label"), F.lit(True).alias("asks"))
+    unit = F.pmod(F.xxhash64("group"), F.lit(max(1, members // UNIT)))
+    units = placed.where("not large").select(unit.alias("unit"), "set_key", F.col("set_key").alias("label"), F.lit(True).alias("asks"))
     links = None
-    if not (long := member.where("blocks > 1")).isEmpty():
-        links, more = _long_lists(long, sets, classes, per_cent, block)
+    if not (large := placed.where("large")).isEmpty():
+        theirs = kept.join(large.select("set_key"), "set_key")
+        lists = _merged(theirs, classes).select("posting", _blocks(F.col("total"), F.col("members"), block).alias("blocks"))
+        links, more = _long_lists(durable(theirs.join(lists, "posting")), sets, classes, per_cent, block)
         units = units.unionByName(more)
     dealt = units.join(sets, "set_key").select("unit", "set_key", "label", "asks", "sig", "shingles").repartition("unit").sortWithinPartitions("unit", "set_key", F.desc("asks"))
     found = dealt.mapInArrow(_join_lists(per_cent, least), "a binary, b binary")
