@@ -6,9 +6,9 @@
    agree in at least ``least`` coordinates (but for odds of ODDS), so they meet within the
    COORDINATES - least + 1 rarest postings of each: only this prefix of a class is kept. A phrase
    that many texts share fills long lists, yet falls out of the prefixes of all but truly similar texts.
-3. Classes that lists bring together, directly or by way of others, are a group. Groups of up to BLOCK shingles and ROWS
-   members are dealt to units of work, each class once.
-4. Larger groups go by their lists. A list is first held against a pivot, its member of the most collisions: members that link
+3. Lists with the same least member are merged into one, so lists of about the same members become one list, and a class is
+   in few. Lists of up to BLOCK shingles and ROWS members are dealt to units of work.
+4. Longer lists are first held against a pivot, their member of the most collisions: members that link
    with it hang together, and pairs among them are skipped. What is left is posted once more under the rarest shingles
    of each set (the exact prefix of a similarity join), so a phrase that many texts share joins nothing; those lists are dealt
    to blocks of rows that still ask and blocks of all rows.
@@ -32,8 +32,8 @@ from sparkwarden.llm.session import FEW, durable, many_to_one, parts
 
 COORDINATES = 24
 #: Shingles and rows in a block of a list; two blocks are in memory at a time.
-BLOCK, ROWS = 200_000, 2_000
-#: Members of small groups that go to one unit, as expected.
+BLOCK, ROWS = 400_000, 1_000
+#: Members of lists that go to one unit, as expected.
 UNIT = 500
 #: Odds that a pair exactly at the threshold has fewer coordinates in common than are asked for.
 ODDS = 2e-9
@@ -269,14 +269,6 @@ def _join_lists(threshold: int, least: int):
     return run
 
 
-def _merged(kept: DataFrame, classes: DataFrame) -> DataFrame:
-    """(posting, members, total) of lists kept (posting, set_key) with two members or more; of lists with the same members, one."""
-    weighed = kept.join(classes.select("set_key", "n"), "set_key")
-    low = F.xxhash64("set_key", F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1))
-    each = weighed.groupBy("posting").agg(F.count("*").alias("members"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("set_key")).alias("x1"), F.sum(low).alias("x2"))
-    return each.where("members > 1").groupBy("members", "total", "x1", "x2").agg(F.min("posting").alias("posting")).select("posting", "members", "total")
-
-
 def _blocks(total, members, block: int) -> F.Column:
     return F.greatest(F.lit(1), F.ceil(total / block), F.ceil(members / ROWS)).cast("int")
 
@@ -356,33 +348,33 @@ def marked_rows(docs: DataFrame, k: int = 5, threshold: float = 0.8, block: int
     )
 
     posted = classes.select("set_key", F.posexplode("sig")).select("set_key", "pos", F.xxhash64("pos", "col").alias("posting"))
-    shared = posted.groupBy("posting").count().where("count > 1")
-    meet = posted.join(shared, "posting")
+    shared = durable(posted.groupBy("posting").count().where("count > 1"))
+    meet = many_to_one(posted, shared, ["posting"], shared.select("posting", F.col("count").alias("rows"))).where("count is not null")
     own = Window.partitionBy("set_key")
     ranked = meet.withColumn("rank", F.row_number().over(own.orderBy("count", "pos"))).withColumn("met", F.count("*").over(own)).withColumn("weight", F.sum("count").over(own))
     kept = durable(ranked.where(F.col("met") >= least).where(F.col("rank") <= prefix - (COORDINATES - F.col("met"))).select("posting", "set_key", "weight"))
-    heads = kept.groupBy("posting").agg(F.min("set_key").alias("head"), F.count("*").alias("members")).where("members > 1").select("posting", "head")
-    group = durable(components(kept.join(heads, "posting").where("set_key != head").select("set_key", "head").distinct(), "set_key", "head").withColumnsRenamed({"node": "set_key", "comp": "group"}))
-    sizes = group.join(classes.select("set_key", "n"), "set_key").groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
-    sizes = durable(sizes.select("group", "members", (_blocks(F.col("total"), F.col("members"), block) > 1).alias("large")))
-    members = sizes.agg(F.sum("members")).first()[0] or 0
-    placed = durable(group.join(sizes.select("group", "large"), "group"))
-
-    chosen = durable(placed.select("set_key").join(classes.select("set_key", "least_id"), "set_key"))
-    named = F.broadcast(chosen) if members <= FEW else chosen
+    heads = kept.groupBy("posting").agg(F.min("set_key").alias("head"), F.count("*").alias("rows")).where("rows > 1")
+    met = many_to_one(kept, heads.drop("rows"), ["posting"], heads.select("posting", "rows")).where("head is not null")
+    pairs = durable(met.groupBy("head", "set_key").agg(F.max("weight").alias("weight")).join(classes.select("set_key", "n", "least_id"), "set_key"))
+    lists = pairs.groupBy("head").agg(F.count("*").alias("rows"), _blocks(F.sum("n"), F.count("*"), block).alias("blocks"))
+    lists = durable(lists)
+    member = many_to_one(pairs, lists.drop("rows"), ["head"], lists.select("head", "rows")).select(F.col("head").alias("posting"), "set_key", "least_id", "weight", "blocks")
+    member = durable(member)
+
+    named = durable(member.select("set_key", "least_id").distinct())
+    if named.count() <= FEW:
+        named = F.broadcast(named)
     again = texts.join(named, texts["doc_id"].eqNullSafe(named["least_id"])).select("set_key", "text")
     sets = again.mapInArrow(_second_pass(k), "set_key binary, sig array<long>, shingles array<long>")
     if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
         sets = sets.dropDuplicates(["set_key"])  # rows of one id and one set
     sets = durable(sets)
 
-    unit = F.pmod(F.xxhash64("group"), F.lit(max(1, members // UNIT)))
-    units = placed.where("not large").select(unit.alias("unit"), "set_key", F.col("set_key").alias("label"), F.lit(True).alias("asks"))
+    unit = F.pmod(F.xxhash64("posting"), F.lit(max(1, member.count() // UNIT)))
+    units = member.where("blocks = 1").select(unit.alias("unit"), "set_key", F.col("set_key").alias("label"), F.lit(True).alias("asks")).distinct()
     links = None
-    if not (large := placed.where("large")).isEmpty():
-        theirs = kept.join(large.select("set_key"), "set_key")
-        lists = _merged(theirs, classes).select("posting", _blocks(F.col("total"), F.col("members"), block).alias("blocks"))
-        links, more = _long_lists(durable(theirs.join(lists, "posting")), sets, classes, per_cent, block)
+    if not (long := member.where("blocks > 1")).isEmpty():
+        links, more = _long_lists(long.drop("least_id"), sets, classes, per_cent, block)
         units = units.unionByName(more)
     dealt = units.join(sets, "set_key").select("unit", "set_key", "label", "asks", "sig", "shingles").repartition("unit").sortWithinPartitions("unit", "set_key", F.desc("asks"))
     found = dealt.mapInArrow(_join_lists(per_cent, least), "a binary, b binary")

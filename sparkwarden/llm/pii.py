@@ -168,7 +168,8 @@ class Field:
         skips, last = np.zeros((n, size)), None
         for _ in range(rounds):
             belief = _log_softmax(own + forward + backward + skips)
-            sent = np.log1p((np.exp(self.skip) - 1) * np.exp(belief))
+            # What a word tells its likes is without what they told it, so nothing echoes; for pairs this is exact.
+            sent = np.log1p((np.exp(self.skip) - 1) * np.exp(_log_softmax(own + forward + backward)))
             total = np.zeros((len(key), size))
             np.add.at(total, group, sent)
             # All messages of the others count in full.

@@ -4,7 +4,8 @@ import zlib
 import numpy as np
 
 from sparkwarden.llm import language_id
-from sparkwarden.llm.language_id import codewords, decode, identify
+from sparkwarden.llm.grams import WIDTH
+from sparkwarden.llm.language_id import codewords, decode, fit, identify, predict
 
 SYLLABLES = {"xa": ["the", "ing", "and", "wh"], "xb": ["eau", "è", "oi", "ment"], "xc": ["sch", "ung", "ü", "ein"], "xd": ["ción", "ado", "rr", "ñ"]}
 
@@ -45,3 +46,42 @@ def test_codes_are_apart():
             flipped[:, :2] *= -1
             assert (decode(5.0 * flipped, code)[0] == np.arange(n)).all()
     assert language_id.codewords(1).shape == (1, 1)
+
+
+def plain_prediction(model, text):
+    """By dictionaries and loops over the text's n-grams."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    data = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode()]
+    counts = {}
+    for size in (1, 2, 3):
+        for i in range(len(data) - size + 1):
+            gram = data[i : i + size]
+            if any(b != 32 for b in gram):
+                h = 0
+                for k, b in enumerate(gram):
+                    h = (b if k == 0 else h * 257 + b) % 2**32
+                slot = ((h * 2654435761 + size * 977) % 2**32 >> 19) % WIDTH
+                counts[slot] = counts.get(slot, 0) + 1
+    norm = sum(counts.values()) ** 0.5
+    margins = [sum(c**0.5 / norm * float(model.w[slot, bit]) for slot, c in counts.items()) + float(model.b[bit]) for bit in range(model.code.shape[1])]
+    losses = [sum(np.log1p(np.exp(-m * float(c))) for m, c in zip(margins, code, strict=True)) for code in model.code]
+    likely = [np.exp(min(losses) - x) for x in losses]
+    return model.languages[losses.index(min(losses))], max(likely) / sum(likely)
+
+
+def test_matches_a_plain_version(spark):
+    rng = random.Random(7)
+    rows = [(i, made(lang, rng, 12), lang) for i in range(120) for lang in [rng.choice(list(SYLLABLES))]]
+    rows += [(500, None, None), (501, "", None), (502, "1 2", None), (503, "É A b", None), (504, made("xb", rng, 3_000), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(df)
+    for r in predict(df, model).collect():
+        lang, sure = plain_prediction(model, rows[[x[0] for x in rows].index(r.doc_id)][1])
+        assert r.lang_pred == lang and abs(r.score - sure) < 1e-3
+
+
+def test_no_language_is_lost_among_many(spark):
+    rows = [(i, f"word{i % 60} of language", f"l{i % 60}") for i in range(1800)] + [(9000 + i, "rare one", "rare") for i in range(4)]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=300)
+    assert len(model.languages) == 61

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -89,3 +90,39 @@ def test_skip_edges_spread_a_label():
 def test_empty(spark):
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert pii.redact_pii(spark.createDataFrame([(1, "a")], "doc_id long, text string")).select(F.col("text")).collect()[0].text == "a"
+
+
+def test_marginals_are_exact_without_loops():
+    """Against all labellings of a text whose neighbours and alike words make no loop."""
+    rng = np.random.default_rng(3)
+    size = 3
+    field = pii.Field(rng.normal(size=(pii.WIDTH, size)) * 0.3, rng.normal(size=(size, size)), 1.2)
+    for text in ("a1 b2 c3", "x9 and a1 b2 then x9", "q7 r8 stop z5"):
+        found = pii.nodes(text)
+        own = field.unary[found.features].sum(1)
+        n = len(found.spans)
+        p = np.zeros((n, size))
+        for labels in itertools.product(range(size), repeat=n):
+            score = sum(own[i, k] for i, k in enumerate(labels))
+            score += sum(field.chain[labels[i], labels[i + 1]] for i in range(n - 1) if found.word[i + 1] == found.word[i] + 1)
+            score += sum(field.skip for i in range(n) for j in range(i) if found.keys[i] == found.keys[j] and labels[i] == labels[j])
+            for i, k in enumerate(labels):
+                p[i, k] += np.exp(score)
+        assert np.allclose(field.marginals(found, rounds=80), p / p.sum(1, keepdims=True), atol=2e-3)
+
+
+def test_alike_words_count_in_full():
+    """Many alike words of which half are sure carry the rest along, however many they are."""
+    size = 2
+    unary = np.zeros((pii.WIDTH, size))
+    field = pii.Field(unary, np.zeros((size, size)), 1.5)
+    found = pii.Nodes([(i, i + 1) for i in range(30)], list(range(0, 60, 2)), np.array([[i % 2] for i in range(30)]), ["same"] * 30)
+    unary[0], unary[1] = (0, 8), (2.5, 0)
+    assert (field.marginals(found)[1::2, 1] > pii.SURE).all()
+
+
+def test_secrets_without_digits_are_nodes():
+    text = 'password = "correct-horse-battery-staple" and later correct-horse-battery-staple. plain words here'
+    found = pii.nodes(text)
+    assert [text[a:b] for a, b in found.spans] == ["correct-horse-battery-staple"] * 2
+    assert pii.weak_labels(text, found, []).tolist() == [pii.LABELS.index("secret")] * 2

@@ -66,3 +66,49 @@ def test_near_dedup_tells_repeated_ids_apart(spark):
     assert got == sorted(want, key=str)
     apart = spark.createDataFrame([(None, text()) for _ in range(20)], "doc_id long, text string")
     assert cp.near_dedup_stage(spark, apart, "").count() == 20
+
+
+CLASHES = "kept boolean, copies int, rows int, copy int, row string, _row string, stays boolean, score double, version long, tree string"
+
+
+def odd_docs(spark):
+    rng = random.Random(21)
+    good = lambda n: " ".join("w%d" % rng.randrange(9000) for _ in range(n)) + "."
+    x, y = good(60), good(60)
+    rows = [(1, x, "en", "a"), (2, x, "en", "a"), (2, x, "en", "a"), (None, y, None, None), (None, y, None, None), (None, x, "en", None), (4, None, None, "a"), (5, "", "en", None), (6, " \n\t", "en", "b"), (7, good(30_000), "en", "b"), (8, good(20) + " mail me@x.example.org now " + good(20), "en", "b"), (None, None, None, None)]
+    rows = [(*r, len(r[1] or ""), True, 1, 2, 3, "r", "s", False, 0.5, 9, "t") for r in rows]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + CLASHES), x, y
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark, folder, monkeypatch):
+    docs, x, y = odd_docs(spark)
+    for few in (250_000, 0):  # joins by broadcast, and by shuffle
+        monkeypatch.setattr(cp, "FEW", few)
+        for name, stage in cp.STAGES:
+            out = stage(spark, docs, folder)
+            extra = ["mix_copy"] if name == "mixing" else []
+            assert out.columns == docs.columns + extra
+            got = out.collect()
+            assert {(r.kept, r.copies, r.rows, r.copy, r.row, r["_row"], r.stays, r.score, r.version, r.tree) for r in got} <= {(True, 1, 2, 3, "r", "s", False, 0.5, 9, "t")}
+            if name == "near_dedup":
+                assert sorted(((r.doc_id, r.text) for r in got if r.text in (x, y)), key=str) == sorted([(1, x), (None, y)], key=str) and len(got) == 8
+            if name == "pii":
+                assert len(got) == docs.count() and [("<EMAIL>" in r.text) for r in got if r.doc_id == 8] == [True] and {r.n_chars for r in got if r.text is None} == {0}
+            if name == "mixing":
+                assert not any((r.text or "").strip() == "" for r in got) and got
+
+
+def test_stages_take_empty_tables(spark, folder):
+    docs, _, _ = odd_docs(spark)
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), folder).collect() == []
+
+
+def test_run_leaves_only_the_last_stage(spark, folder):
+    import glob
+
+    from sparkwarden.llm.session import shared_dir
+
+    out = cp.run(spark, folder)
+    base = out.inputFiles()[0].split("://")[-1].removeprefix("file:").rsplit("/mixing", 1)[0]
+    assert base.startswith(shared_dir(spark).removeprefix("file:")) and [p.rsplit("/", 1)[1] for p in glob.glob(f"{base}/*")] == ["mixing"]

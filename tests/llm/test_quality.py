@@ -2,11 +2,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from sparkwarden.llm import textkit as tk
-from sparkwarden.llm.quality import STATS, fires, fit_rules, measure, score_quality
-
-import pyarrow as pa
+from sparkwarden.llm.quality import STATS, fires, fit_rules, measure, score_quality, statistics
 
 
 def text(good, rng):
@@ -56,3 +55,40 @@ def test_rules_equal_their_columns():
     m = fit_rules(x, ((x[:, 0] > 0.5) & (x[:, 3] < 0.4)).astype(float))
     p = m.bias + fires(x, [r for r, _ in m.rules]) @ np.array([w for _, w in m.rules])
     assert 0 < len(m.rules) <= 60 and np.mean((p > 0) == ((x[:, 0] > 0.5) & (x[:, 3] < 0.4))) > 0.95
+
+
+def plain_statistics(t):
+    """Some of the statistics by plain string work."""
+    low = "".join(c.lower() if c.isascii() else c for c in t or "")
+    w = [x for x in low.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if x]
+    n = max(1, len(w))
+    sizes = [len(x.encode()) for x in w]
+    return {
+        "bytes": len((t or "").encode()), "words": len(w), "word_length": sum(sizes) / n, "longest_word": max(sizes, default=0), "lines": len([x for x in (t or "").replace("\r", "\n").split("\n") if x]),
+        "distinct": len(set(w)) / n, "stutter": sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, "bang": (t or "").count("!") / n, "pipe": (t or "").count("|") / n, "short_words": sum(x <= 2 for x in sizes) / n,
+    }
+
+
+def test_statistics_and_rules_match_a_plain_version(spark):
+    rng = random.Random(12)
+    data = [(i, t) for i, t, _ in rows(60, rng)] + [(100, None), (101, ""), (102, "é ü\n\nx x! | y"), (103, "word " * 30_000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: r.asDict() for r in statistics(docs).collect()}
+    for i, t in data:
+        for name, value in plain_statistics(t).items():
+            assert abs(got[i][name] - value) < 1e-9, (i, name)
+    x = np.array([[got[i][s] for s in STATS] for i, _ in data])
+    model = fit_rules(x, np.array([float(i % 4 > 0) for i, _ in data]))
+    assert model.rules
+    scores = {r.doc_id: r.score for r in statistics(docs).withColumn("score", model.score()).collect()}
+    for i, _ in data:
+        z = model.bias + sum(w for rule, w in model.rules if all((got[i][s] > v) if above else (got[i][s] <= v) for s, above, v in rule))
+        assert abs(scores[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_a_labelled_id_that_repeats_counts_once(spark):
+    rng = random.Random(3)
+    data = rows(200, rng)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data] + [(1, f"another text {k}") for k in range(300)], "doc_id long, text string")
+    got = score_quality(docs, spark.createDataFrame([(i, q) for i, _, q in data], "doc_id long, quality int")).collect()
+    assert len(got) == 500 and np.mean([r.predicted == data[r.doc_id][2] for r in got if r.held_out and r.doc_id != 1]) > 0.9
