@@ -32,7 +32,7 @@ from sparkwarden.llm.session import FEW, durable, many_to_one, parts
 
 COORDINATES = 24
 #: Shingles and rows in a block of a list; two blocks are in memory at a time.
-BLOCK, ROWS = 400_000, 1_000
+BLOCK, ROWS = 1_000_000, 4_000
 #: Members of lists that go to one unit, as expected.
 UNIT = 500
 #: Odds that a pair exactly at the threshold has fewer coordinates in common than are asked for.
