@@ -21,6 +21,9 @@ SECRET_PATTERNS = [
     (r"\b(AKIA|ASIA)[0-9A-Z]{16}\b", "<REDACTED>"),
     (r"\bxox[baprs]-[A-Za-z0-9-]+\b", "<REDACTED>"),
 ]
+#: Cheap tests: what texts hold that the patterns of assigned secrets and of cards can match.
+SECRET_WORD = r"(?i)(?:password|passwd|pwd|token|api[_-]?key|secret|slack)\s*[:=]"
+CARD_DIGITS = r"\d(?:[ -]?\d){12}"
 EMAIL_PATTERN = (r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "<EMAIL>")
 CARD_PATTERN = r"(?<!\d)(?:\d[ -]?){13,19}(?!\d)"
 IP_PATTERNS = [
@@ -76,8 +79,6 @@ WINEVENT_TYPES = [
 ]
 FIREWALL_PRODUCTS = ["Cisco", "Palo Alto", "Fortinet", "Check Point", "pfSense", "Suricata", "Snort", "iptables", "nftables", "firewalld", "Juniper", "SonicWall", "Zscaler", "Barracuda"]
 WEB_TYPES = ["access_log", "web_access", "http_log", "apache_access", "nginx_access", "iis_log", "web_proxy", "squid_access"]
-#: Audit events of Windows have numbers in this range; pass a list for an exact set.
-WINEVENT_RANGE = (4624, 6425)
 
 # --- fixed values: sinks ---
 SYSLOG_FACILITY, SEVERITIES, DEFAULT_SEVERITY = 1, {"HIGH": 2, "MEDIUM": 4, "LOW": 5, "INFO": 6}, 6
@@ -91,3 +92,17 @@ SCORE_BUCKETS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 1.0]
 LATENCY_BUCKETS = [5, 10, 20, 50, 100, 200, 500, 1000]
 BATCH_BUCKETS = [1, 5, 10, 20, 50, 100, 200]
 SWEEP = [round(0.05 * k, 2) for k in range(1, 20)]
+
+# --- fixed values: alerts (name, condition over the evaluated series, seconds that it must hold) ---
+ALERTS = [
+    ("APIDown", "up = 0", 60), ("ModelNotLoaded", "model_loaded = 0", 120), ("HighLatencyP99", "p99 > 500", 300), ("HighLatencyP95", "p95 > 200", 300),
+    ("LatencyBudgetBurnFast", "within_500_1h < 0.99", 600), ("LatencyBudgetBurnSlow", "within_500_6h < 0.99", 1800), ("NoEventsScored", "scored_rate = 0", 600), ("HighThreatVolume", "high_rate > 10", 300),
+    ("HighDuplicateRate", "duplicate_ratio > 0.5", 600), ("HighSigmaMatchRate", "sigma_ratio > 0.8", 300), ("DeadManSwitch", "probe_success = 1", 0), ("CollectorDown", "received_rate = 0", 300),
+    ("CollectorPublishLag", "received_rate > 0 and published_rate = 0", 180), ("CollectorHighDropRate", "drop_ratio > 0.3", 600), ("CollectorSpoolGrowing", "spool_depth > 0", 600), ("ConsumerLag", "consumer_lag > 10000", 300),
+]
+
+# --- fixed values: dead letters, brokers and bulk answers ---
+REPLAY_COUNTER, MAX_REPLAYS, ALREADY_EXISTS = "_dlq_replay_count", 3, 409
+PROTOCOLS = ("PLAINTEXT", "SSL", "SASL_PLAINTEXT", "SASL_SSL")
+MECHANISMS = ("PLAIN", "SCRAM-SHA-256", "SCRAM-SHA-512")
+NEUTRAL_SCORE = 0.5

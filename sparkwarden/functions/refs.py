@@ -1,8 +1,8 @@
 """References and days of raw events.
 
-A reference is the SHA-256 of a canonical JSON object with sorted keys. Its number is written as a
-fixed-point text of six places without trailing zeros, and non-ASCII text is kept as UTF-8: one form, made by
-built-in expressions only. Rows keep one reference from archive to output.
+A reference is the SHA-256 of a canonical JSON object: sorted keys, no spaces, ASCII only (all else as \\u and four lower-case
+digits, of UTF-16), numbers as a fixed-point text of at most six places. So references match those of archives that
+were written with common JSON libraries. Made by built-in expressions only; rows keep one reference from archive to output.
 """
 
 from __future__ import annotations
@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 
 
 def _quoted(s: Column) -> Column:
-    return F.regexp_extract(F.to_json(F.struct(F.coalesce(s, F.lit("")).alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+    """s as a JSON text in ASCII. Texts without anything to escape stay as they are."""
+    s = F.coalesce(s, F.lit(""))
+    units = F.regexp_extract_all(F.hex(F.encode(s, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
+    named = F.create_map(*[F.lit(x) for pair in (("0022", '\\"'), ("005C", "\\\\"), ("0008", "\\b"), ("0009", "\\t"), ("000A", "\\n"), ("000C", "\\f"), ("000D", "\\r")) for x in pair])
+    shown = lambda u: F.when(u.between("0020", "007E"), F.chr(F.conv(u, 16, 10).cast("long"))).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
+    escaped = F.array_join(F.transform(units, lambda u: F.coalesce(F.try_element_at(named, u), shown(u))), "")
+    return F.concat(F.lit('"'), F.when(s.rlike(r"^[ !#-\[\]-~]*$"), s).otherwise(escaped), F.lit('"'))
 
 
 def _number(x: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions import constants as C
 
-_SEP = "\x01"
+_SEP, _MARK = "\x01", "\x02\x01"
 
 
 def strip(s: Column) -> Column:
@@ -17,8 +17,8 @@ def strip(s: Column) -> Column:
 
 def groups(s: Column, pattern: str, n: int) -> Column:
     """The n groups of a pattern that spans the whole string, as an array, by one run of it; null without a match. A group that takes no part is empty."""
-    joined = F.regexp_replace(s, pattern, _SEP.join(f"${k}" for k in range(1, n + 1)))
-    return F.when(s.rlike(pattern), F.split(joined, _SEP, n))
+    joined = F.regexp_replace(s, pattern, _MARK + _SEP.join(f"${k}" for k in range(1, n + 1)))
+    return let(joined, lambda j: F.when(j.startswith(_MARK) & ~s.startswith(_MARK), F.split(F.substring(j, F.lit(len(_MARK) + 1), F.length(j)), _SEP, n)))
 
 
 def named(array: Column, names: list[str]) -> dict[str, Column]:
@@ -62,10 +62,17 @@ def valid_utf8(data: Column) -> Column:
 
 
 def last_of_each(entries: Column) -> Column:
-    """A map of key-value structs (k, v) in which later keys win."""
+    """A map of key-value structs (k, v) in which later keys win. Entries are gone through pair by pair only where keys repeat."""
 
     def put(held: Column, e: Column) -> Column:
         return F.concat(F.filter(held, lambda x: x["k"] != e["k"]), F.array(e))
 
+    keys = F.transform(entries, lambda e: e["k"])
     none = F.filter(entries, lambda e: F.lit(False))
-    return F.map_from_entries(F.aggregate(entries, none, put))
+    kept = F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(F.aggregate(entries, none, put))
+    return F.map_from_entries(kept)
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAX_REPLAYS = 3
+from sparkwarden.functions import constants as C
+from sparkwarden.operators.ordered import running
 
 
 def new_rows(batch: DataFrame, known: DataFrame, ref: str = "raw_log_ref") -> DataFrame:
@@ -54,6 +55,12 @@ def expired(archive: DataFrame, as_of: str, keep_days: int = 90) -> DataFrame:
     return archive.select("ingest_date").distinct().where(F.to_date("ingest_date", "yyyy.MM.dd") < F.date_sub(F.to_date(F.lit(as_of)), keep_days))
 
 
+def phases(archive: DataFrame, as_of: str, hot_days: int = 7, keep_days: int = 90) -> DataFrame:
+    """(ingest_date, phase): hot for the last days, warm up to the last that is kept, then delete."""
+    age = F.datediff(F.to_date(F.lit(as_of)), F.to_date("ingest_date", "yyyy.MM.dd"))
+    return archive.select("ingest_date").distinct().withColumn("phase", F.when(age > keep_days, "delete").when(age > hot_days, "warm").otherwise("hot"))
+
+
 def dead_letters(failed: DataFrame, error: Column, topic: str, at: Column) -> DataFrame:
     """Envelopes of failed rows; the count of tries goes on from the row's own."""
     tries = F.col("retry_count") if "retry_count" in failed.columns else F.lit(0)
@@ -61,24 +68,38 @@ def dead_letters(failed: DataFrame, error: Column, topic: str, at: Column) -> Da
     return failed.select(F.to_json(F.struct(*keep)).alias("original"), error.alias("error"), F.lit(topic).alias("original_topic"), at.alias("timestamp"), (F.coalesce(tries, F.lit(0)) + 1).alias("retry_count"))
 
 
-def replay(letters: DataFrame, most: int = MAX_REPLAYS) -> DataFrame:
-    """(topic, value, replay_count) of letters whose original is an object and that weren't replayed ``most`` times yet."""
-    value = F.try_parse_json("original")
-    count = F.coalesce(F.try_variant_get(value, '$["_replay_count"]', "int"), F.lit(0)) + 1
-    whole = F.regexp_replace(F.regexp_replace("original", r',?"_replay_count":\d+', ""), r"\{,", "{")
-    body = F.regexp_replace(whole, r"\}\s*$", "")
-    out = F.concat(body, F.when(F.btrim(body) == "{", "").otherwise(","), F.lit('"_replay_count":'), count.cast("string"), F.lit("}"))
-    return letters.where(F.schema_of_variant(value).startswith("OBJECT")).select(F.col("original_topic").alias("topic"), out.alias("value"), count.alias("replay_count")).where(F.col("replay_count") <= most)
+def replay(letters: DataFrame, most: int = C.MAX_REPLAYS, counter: str = C.REPLAY_COUNTER) -> DataFrame:
+    """(topic, value, replay_count) of letters whose original is an object and that weren't replayed ``most`` times yet. The counter is a field of the object itself; fields of that name deeper down stay."""
+    fields = F.try_variant_get(F.try_parse_json("original"), "$", "map<string,variant>")
+    count = F.coalesce(F.try_variant_get(F.try_element_at(fields, F.lit(counter)), "$", "int"), F.lit(0)) + 1
+    kept = F.map_filter(fields, lambda k, v: k != counter)
+    value = F.to_json(F.map_concat(kept, F.create_map(F.lit(counter), F.parse_json(count.cast("string")))))
+    objects = letters.where(F.schema_of_variant(F.try_parse_json("original")).startswith("OBJECT"))
+    return objects.select(F.col("original_topic").alias("topic"), value.alias("value"), count.alias("replay_count")).where(F.col("replay_count") <= most)
+
+
+def replay_stored(spark: SparkSession, letters: str, sink, checkpoint: str, most: int = C.MAX_REPLAYS):
+    """A bounded query over stored letters (Parquet files below a path): what came since the last run goes to sink(batch), then it stops."""
+    schema = "original string, error string, original_topic string, timestamp string, retry_count int"
+    stream = spark.readStream.schema(schema).parquet(letters)
+    return stream.writeStream.foreachBatch(lambda batch, _: sink(replay(batch, most))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def bulk_errors(answers: DataFrame, status: str = "status") -> DataFrame:
+    """answers with ``outcome``: created (below 300), conflict (there already: no failure) or failed; no status is a failure."""
+    code = F.col(status)
+    return answers.withColumn("outcome", F.when(code == C.ALREADY_EXISTS, "conflict").when(code < 300, "created").otherwise("failed"))
 
 
 def bound_spool(lines: DataFrame, order: str, max_bytes: int, line: str = "value") -> DataFrame:
-    """The newest lines that fit into max_bytes with their line ends."""
-    kept = F.sum(F.octet_length(line) + 1).over(Window.orderBy(F.desc(order)))
-    return lines.withColumn("_b", kept).where(F.col("_b") <= max_bytes).drop("_b")
+    """The newest lines that fit into max_bytes with their line ends. Bytes run along the order by ranges, so no task holds the spool."""
+    size = F.octet_length(line) + 1
+    whole = lines.agg(F.coalesce(F.sum(size), F.lit(0)).alias("_whole"))
+    return running(lines, order, {"_before": size}).crossJoin(F.broadcast(whole)).where(F.col("_whole") - F.col("_before") <= max_bytes).select(*lines.columns)  # one row
 
 
 def drain_spool(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Envelopes of a spool's lines with their own ingest_ts, and the lines that are none."""
-    rows = spark.read.schema(f"{schema}, _corrupt STRING").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    rows = rows.cache()  # a corrupt column can be filtered on only with the others
-    return rows.where("_corrupt is null").drop("_corrupt"), rows.where("_corrupt is not null").select(F.col("_corrupt").alias("value"))
+    lines = spark.read.text(path)
+    good = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
+    return lines.where(good).select(F.from_json("value", schema).alias("e")).select("e.*"), lines.where(~good)

@@ -8,6 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkwarden.operators.ordered import chunks, running
+
+#: Rows of small tables (some 200 bytes each) that go along with each row as one array; more make more arrays.
+CHUNK = 20_000
+
 
 def draw(key: Column, seed: int) -> Column:
     """A fixed pseudo-random text for each key, which any SQL engine can make too."""
@@ -37,9 +42,10 @@ def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.1, val
 
 
 def positional_split(df: DataFrame, order: str, share: float = 0.9) -> DataFrame:
-    """df with ``split``: the first share of rows for training."""
-    rank = F.row_number().over(Window.orderBy(order))
-    return df.withColumn("split", F.when(rank <= F.floor(F.count("*").over(Window.partitionBy()) * share), "train").otherwise("val"))
+    """df with ``split``: the first share of rows for training. Ranks run along the order by ranges."""
+    whole = df.agg(F.count("*").alias("_n"))
+    ranked = running(df, order, {"_r": F.lit(1)}).crossJoin(F.broadcast(whole))  # one row
+    return ranked.withColumn("split", F.when(F.col("_r") < F.floor(F.col("_n") * share), "train").otherwise("val")).drop("_r", "_n")
 
 
 def hash_split(df: DataFrame, key: str, share: float = 0.95, seed: int = 42) -> DataFrame:
@@ -79,9 +85,13 @@ def window_stats(windows: DataFrame) -> DataFrame:
 
 
 def matches(texts: DataFrame, keywords: DataFrame, techniques: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, technique_id) of techniques with a keyword (keyword, technique_id) in the text, in any case; unknown ids drop out. Keywords are a small table."""
-    met = texts.select(key, F.lower(text).alias("_t")).join(F.broadcast(keywords), F.contains(F.col("_t"), F.lower("keyword")))
-    return met.select(key, "technique_id").distinct().join(techniques.select("technique_id"), "technique_id")
+    """(key, technique_id) of techniques with a keyword (keyword, technique_id) in the text, in any case; unknown ids drop out. Keywords go along with each text, in parts if they are many, so no pairs are made."""
+    known = keywords.join(techniques.select("technique_id").distinct(), "technique_id").select(F.lower("keyword").alias("keyword"), "technique_id")
+    rows = texts.select(key, F.lower(text).alias("_t")).withColumn("_ids", F.array().cast("array<string>"))
+    for part in chunks(known, [F.col("keyword"), F.col("technique_id")], CHUNK):
+        hits = F.transform(F.filter("_kw", lambda k: F.contains(F.col("_t"), k["keyword"])), lambda k: k["technique_id"])
+        rows = rows.crossJoin(F.broadcast(part.withColumnRenamed("rows", "_kw"))).withColumn("_ids", F.concat("_ids", hits)).drop("_kw")  # one row
+    return rows.select(key, F.explode(F.array_distinct("_ids")).alias("technique_id"))
 
 
 def positive_pairs(texts: DataFrame, found: DataFrame, techniques: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 42, chars: int = 1500) -> DataFrame:
@@ -93,12 +103,27 @@ def positive_pairs(texts: DataFrame, found: DataFrame, techniques: DataFrame, ke
 def negative_pairs(found: DataFrame, techniques: DataFrame, key: str = "doc_id", ratio: int = 2, seed: int = 42) -> DataFrame:
     """(key, technique_id, label 0.0): ratio unmatched techniques for each match of a text, or all there are.
 
-    Techniques are a small table; the candidates of a text are cut to those wanted before any shuffle.
+    Techniques go along with each text, in parts if they are many; the candidates are cut to those wanted in the row.
     """
-    table = techniques.agg(F.collect_set("technique_id").alias("all"))
-    own = found.groupBy(key).agg(F.collect_set("technique_id").alias("own")).crossJoin(F.broadcast(table))
-    other = F.array_sort(F.transform(F.array_except("all", "own"), lambda t: F.struct(draw(F.concat_ws(":", F.col(key), t), seed).alias("d"), t.alias("t"))))
-    return own.select(key, F.explode(F.slice(other, F.lit(1), F.size("own") * ratio)).alias("x")).select(key, F.col("x.t").alias("technique_id"), F.lit(0.0).alias("label"))
+    own = found.groupBy(key).agg(F.collect_set("technique_id").alias("own")).withColumn("other", F.array().cast("array<struct<d:string,t:string>>"))
+    for part in chunks(techniques.select("technique_id").distinct(), [F.col("technique_id").alias("t")], CHUNK):
+        all_ids = F.transform("_all", lambda t: t["t"])
+        drawn = F.transform(F.array_except(all_ids, "own"), lambda t: F.struct(draw(F.concat_ws(":", F.col(key), t), seed).alias("d"), t.alias("t")))
+        own = own.crossJoin(F.broadcast(part.withColumnRenamed("rows", "_all"))).withColumn("other", F.slice(F.array_sort(F.concat("other", drawn)), F.lit(1), F.size("own") * ratio)).drop("_all")  # one row
+    return own.select(key, F.explode("other").alias("x")).select(key, F.col("x.t").alias("technique_id"), F.lit(0.0).alias("label"))
+
+
+def simcse_pairs(texts: DataFrame, key: str = "doc_id", text: str = "text", least: int = 20, chars: int = 1500) -> DataFrame:
+    """(key, anchor, positive): a text with itself, for contrastive training by dropout; blank and short texts and repeats drop out."""
+    cut = F.left(F.btrim(F.col(text)), F.lit(chars))
+    rows = texts.select(key, cut.alias("anchor")).where(F.length("anchor") >= least)
+    return rows.groupBy("anchor").agg(F.min(key).alias(key)).select(key, "anchor", F.col("anchor").alias("positive"))
+
+
+def random_vectors(keys: DataFrame, key: str, width: int, share: float = 0.1, seed: int = 42) -> DataFrame:
+    """(key, features): 0/1 vectors in which a share of entries is set, drawn by hash, for load tests."""
+    part = lambda k: F.conv(F.left(draw(F.concat_ws(":", F.col(key), k), seed), F.lit(8)), 16, 10).cast("double") / float(1 << 32)
+    return keys.select(key, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: (part(k) < share).cast("float")).alias("features"))
 
 
 def retrieval_set(pairs: DataFrame, text: str = "positive") -> DataFrame:
@@ -128,7 +153,7 @@ def subword_labels(words: DataFrame, order: str = "pos", scope: str = "sentence"
 
 def entity_counts(tagged: DataFrame, labels: str = "labels") -> DataFrame:
     """(type, n) of entities that begin, the most frequent first."""
-    return tagged.select(F.explode(labels).alias("tag")).where("tag like 'B-%'").groupBy(F.substring("tag", 3, 100).alias("type")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type")
+    return tagged.select(F.explode(labels).alias("tag")).where("tag like 'B-%'").groupBy(F.expr("substring(tag, 3)").alias("type")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type")
 
 
 def greedy_spans(spans: Column) -> Column:
@@ -140,8 +165,8 @@ def greedy_spans(spans: Column) -> Column:
 
 def replicate(df: DataFrame, order: str, n: int) -> DataFrame:
     """n rows (seq, ...) that go round df in its order; and their chunk numbers come by ``floor(seq / size)``."""
-    ranked = df.withColumn("_r", F.row_number().over(Window.orderBy(order)) - 1)
-    size = ranked.count()
+    ranked = running(df, order, {"_r": F.lit(1)}).withColumn("_r", F.col("_r").cast("int"))
+    size = df.count()
     if not size:
         return ranked.drop("_r").withColumn("seq", F.lit(None).cast("long")).limit(0)
     seq = df.sparkSession.range(n).withColumnRenamed("id", "seq").withColumn("_r", F.pmod("seq", F.lit(size)).cast("int"))

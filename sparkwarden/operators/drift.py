@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import constants as C
+from sparkwarden.operators.ordered import running
 
 
 def bin_of(score: Column, bins: int = C.DRIFT_BINS) -> Column:
@@ -40,31 +41,50 @@ def drift_checks(
     Counts of bins run along the order, so a check needs the sums at its two ends and no pairs of rows.
     """
     scope = scope or []
-    seq = Window.partitionBy(*scope).orderBy(order)
     value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score)))
-    rows = scores.select(*scope, F.row_number().over(seq).alias("at"), bin_of(value, bins).alias("bin"))
-    running = Window.partitionBy(*scope).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    sums = F.array(*[F.sum(F.when(F.col("bin") == b, 1).otherwise(0)).over(running) for b in range(bins)])
-    rows = rows.withColumn("sums", sums)
-    back = Window.partitionBy(*scope).orderBy("at")
+    binned = scores.select(*scope, order, bin_of(value, bins).alias("_bin"))
+    one = lambda b: F.when(F.col("_bin") == b, 1).otherwise(0)
+    rows = running(binned, order, {"at": F.lit(1)} | {f"_c{b}": one(b) for b in range(bins)}, scope)
+    rows = rows.select(*scope, (F.col("at") + 1).cast("int").alias("at"), F.array(*[F.col(f"_c{b}") + one(b) for b in range(bins)]).alias("sums"))
     first = max(window + 1, interval)
-    rows = rows.withColumn("old", F.lag("sums", window).over(back)).withColumn("reference", F.max(F.when(F.col("at") == window, F.col("sums"))).over(Window.partitionBy(*scope)))
     checks = rows.where((F.col("at") >= first) & (F.pmod(F.col("at") - first, F.lit(interval)) == 0))
-    now = F.zip_with("sums", "old", lambda s, o: (s - F.coalesce(o, F.lit(0))) / F.lit(float(window)))
-    expected = F.transform("reference", lambda c: c / F.lit(float(window)))
+    named = lambda df, prefix: df.withColumnsRenamed({c: f"{prefix}_{c}" for c in [*scope, "at", "sums"]})
+    same = lambda prefix: [F.col(c).eqNullSafe(F.col(f"{prefix}_{c}")) for c in scope]
+    old, reference = named(rows, "old"), named(rows.where(F.col("at") == window), "first")
+    # A check meets one row, at the window's other end, and its scope's first window.
+    met = checks.join(old, [*same("old"), F.col("at") == F.col("old_at") + window])
+    met = met.join(reference, same("first")) if scope else met.crossJoin(F.broadcast(reference))  # one row
+    now = F.zip_with("sums", "old_sums", lambda s, o: (s - o) / F.lit(float(window)))
+    expected = F.transform("first_sums", lambda c: c / F.lit(float(window)))
     total = F.aggregate(F.zip_with(now, expected, psi_term), F.lit(0.0), lambda s, x: s + x)
-    out = checks.select(*scope, "at", total.alias("psi")).withColumn("drift", F.col("psi") > limit)
-    was = F.coalesce(F.lag("drift").over(Window.partitionBy(*scope).orderBy("at")), F.lit(False))
-    return out.withColumn("edge", F.when(F.col("drift") & ~was, "start").when(~F.col("drift") & was, "end"))
+    out = met.select(*scope, "at", total.alias("psi")).withColumn("drift", F.col("psi") > limit)
+    before = out.select(*[F.col(c).alias(f"was_{c}") for c in scope], (F.col("at") + interval).alias("was_at"), F.col("drift").alias("was"))
+    out = out.join(before, [*same("was"), F.col("at") == F.col("was_at")], "left").withColumn("was", F.coalesce("was", F.lit(False)))
+    return out.select(*scope, "at", "psi", "drift", F.when(F.col("drift") & ~F.col("was"), "start").when(~F.col("drift") & F.col("was"), "end").alias("edge"))
 
 
-def drifting_at(events: DataFrame, checks: DataFrame, seq: str) -> DataFrame:
-    """events with ``drifting``: the state of the last check before each, by its number in the order.
+def drifting_at(events: DataFrame, checks: DataFrame, seq: str, window: int = C.DRIFT_WINDOW, interval: int = C.DRIFT_INTERVAL) -> DataFrame:
+    """events with ``drifting``: the state of the last check before each, by its number in the order; false before the first.
 
-    An as-of join without pairs: checks are put among the events and the last state is carried on.
+    Checks come at known numbers, so an event meets the one that counts in an equi-join.
     """
-    marks = checks.select((F.col("at")).alias(seq), F.col("drift").alias("_drift"), F.lit(1).alias("_is"))
-    both = events.select(seq).distinct().withColumn("_drift", F.lit(None).cast("boolean")).withColumn("_is", F.lit(0)).unionByName(marks)
-    last = F.last("_drift", ignorenulls=True).over(Window.orderBy(seq, "_is").rowsBetween(Window.unboundedPreceding, 0))
-    state = both.withColumn("drifting", F.coalesce(last, F.lit(False))).where("_is = 0").select(seq, "drifting")
-    return events.join(state, seq)
+    first = max(window + 1, interval)
+    last = F.lit(first) + F.floor((F.col(seq) - 1 - first) / interval) * interval
+    marks = checks.select(F.col("at").cast("long").alias("_check"), F.col("drift").alias("_drift"))
+    joined = events.withColumn("_check", F.when(F.col(seq) > first, last).cast("long")).join(marks, "_check", "left")
+    return joined.withColumn("drifting", F.coalesce("_drift", F.lit(False))).drop("_check", "_drift")
+
+
+def snapshot(checks: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """(scope, checks, last_at, last_psi, drifting, episodes): what a monitor shows, a row for each scope."""
+    last = F.max(F.struct("at", "psi", "drift"))
+    out = checks.groupBy(*(scope or [])).agg(F.count("*").alias("checks"), last.alias("l"), F.count_if(F.col("edge") == "start").alias("episodes"))
+    return out.select(*(scope or []), "checks", F.col("l.at").alias("last_at"), F.col("l.psi").alias("last_psi"), F.col("l.drift").alias("drifting"), "episodes")
+
+
+def since_reset(scores: DataFrame, resets: DataFrame, order: str, scope: list[str] | None = None) -> DataFrame:
+    """Scores after their scope's last reset (scope, at: a value of order): the first ``window`` of them are the new reference."""
+    scope = scope or []
+    last = resets.groupBy(*scope).agg(F.max("at").alias("_reset"))
+    joined = scores.join(last, scope, "left") if scope else scores.crossJoin(F.broadcast(last))  # one row
+    return joined.where(F.col("_reset").isNull() | (F.col(order) > F.col("_reset"))).drop("_reset")

@@ -135,6 +135,13 @@ def span_metrics(spans: DataFrame) -> DataFrame:
     return with_rates(counts.withColumn("tn", F.lit(0))).select("type", "precision", "recall", "f1")
 
 
+def argmax_metrics(df: DataFrame, label: str, probabilities: str) -> DataFrame:
+    """One row (n, accuracy, mean_confidence) of class probabilities: the largest decides, the first of equal ones."""
+    p = F.col(probabilities)
+    best = F.array_position(p, F.array_max(p)) - 1
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.avg((best == F.col(label)).cast("double")), F.lit(0.0)).alias("accuracy"), F.coalesce(F.avg(F.array_max(p)), F.lit(0.0)).alias("mean_confidence"))
+
+
 def report(metrics: DataFrame) -> DataFrame:
     """One JSON text of a one-row frame, for a report sink."""
     return metrics.select(F.to_json(F.struct(*metrics.columns)).alias("value"))

@@ -1,13 +1,14 @@
 """Models as columns: ONNX sessions in Arrow functions, and stand-ins that need no files.
 
-A session is loaded once for each Python worker. A row whose inference fails gets null and can be
-marked degraded; other rows keep their scores.
+A model is loaded once for each Python worker, and anew when its file changes. A row whose inference fails gets null, which the
+scoring plan (``cascade``) marks as degraded; other rows keep their scores.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,101 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions import constants as C
 
-_sessions: dict = {}
+_loaded: dict = {}
+
+
+def loaded(key, load: Callable):
+    """What load() gives, once for each worker and key. A key that holds a file's time makes a changed file load anew."""
+    name, version = key
+    if _loaded.get(name, (None, None))[0] != version:
+        _loaded[name] = version, load()
+    return _loaded[name][1]
+
+
+def version_of(path: str) -> int:
+    return os.stat(path).st_mtime_ns if os.path.exists(path) else 0
+
+
+def safely(run: Callable[[list], list], items: list) -> list:
+    """run over all items at once; if that fails, one by one, and None for those that fail. So a bad row costs no other its answer."""
+    if not items:
+        return []
+    try:
+        out = list(run(items))
+        if len(out) != len(items):
+            raise ValueError("a model must answer each row")
+        return out
+    except Exception:
+        if len(items) == 1:
+            return [None]
+        return [safely(run, [x])[0] for x in items]
+
+
+def model_column(load: Callable[[], Callable[[list], list]], kind: str, name: str, path: str | None = None):
+    """A column function over a model. load: gives, in the worker, a function of a list of inputs to a list of answers of the Spark type ``kind``.
+
+    Null inputs and rows whose inference fails are null. path: a file whose change loads the model anew with the next batch (hot reload).
+    """
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            model = loaded((name, version_of(path) if path else 0), load)
+            out = pd.Series([None] * len(s), dtype=object)
+            some = [i for i, x in enumerate(s) if x is not None]
+            for i, y in zip(some, safely(model, [s.iloc[i] for i in some]), strict=True):
+                out.iloc[i] = y
+            yield pd.to_numeric(out) if kind in ("double", "float") else out
+
+    return run
+
+
+def embedder(load: Callable, name: str = "embedder", path: str | None = None):
+    """Texts to vectors of length 1; null where the model fails or gives a zero or non-finite vector."""
+
+    def units():
+        model = load()
+
+        def run(texts: list) -> list:
+            out = []
+            for v in model(texts):
+                v = np.asarray(v, np.float64)
+                n = np.linalg.norm(v)
+                out.append((v / n).tolist() if np.isfinite(n) and n > 0 else None)
+            return out
+
+        return run
+
+    return model_column(units, "array<double>", name, path)
+
+
+def pair_scorer(load: Callable, name: str = "cross", path: str | None = None):
+    """An array of structs (text, other) to an array of scores in [0, 1]: a cross-encoder's sigmoid over all pairs of a batch at once."""
+
+    def flat():
+        model = load()
+
+        def run(rows: list) -> list:
+            pairs = [(p["text"], p["other"]) for row in rows for p in row]
+            scores = iter(1 / (1 + np.exp(-np.asarray(model(pairs), np.float64)))) if pairs else iter(())
+            return [[float(next(scores)) for _ in row] for row in rows]
+
+        return run
+
+    return model_column(flat, "array<double>", name, path)
+
+
+def tagger(load: Callable, name: str = "tagger", path: str | None = None):
+    """Texts to entities (type, text, score); the model gives lists of such triples."""
+    return model_column(load, "array<struct<type:string,text:string,score:double>>", name, path)
+
+
+def onnx_session(path: str):
+    import onnxruntime
+
+    options = onnxruntime.SessionOptions()
+    options.intra_op_num_threads = 1
+    return onnxruntime.InferenceSession(path, options)
 
 
 def load_scale(text: str, width: int) -> list[float]:
@@ -28,26 +123,25 @@ def load_scale(text: str, width: int) -> list[float]:
 
 
 def onnx_classifier(path: str, neutral: float | None = 0.5):
-    """A function of a feature array column to the probability of class 1. neutral: score of a row without features, None to ask the model."""
+    """A function of a feature array column to the probability of class 1; null for a row whose inference fails, neutral where there is no model file.
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import onnxruntime
+    neutral: score of a row without features as well, None to ask the model.
+    """
 
-        if path not in _sessions:
-            options = onnxruntime.SessionOptions()
-            options.intra_op_num_threads = 1
-            _sessions[path] = onnxruntime.InferenceSession(path, options)
-        session = _sessions[path]
-        for s in batches:
-            x = np.stack(s.to_numpy()).astype(np.float32) if len(s) else np.zeros((0, 1), np.float32)
-            p = session.run(None, {session.get_inputs()[0].name: x})[-1] if len(x) else np.zeros(0)
-            p = np.array([r[1] for r in p]) if len(x) and not isinstance(p, np.ndarray) else np.asarray(p).reshape(len(x), -1)[:, -1] if len(x) else p
-            if neutral is not None and len(x):
-                p = np.where(np.any(x, 1), p, neutral)
-            yield pd.Series(p, dtype="float64")
+    def load():
+        if not os.path.exists(path):
+            return lambda rows: [0.5 if neutral is None else neutral] * len(rows)
+        session = onnx_session(path)
 
-    return run
+        def run(rows: list) -> list:
+            x = np.stack([np.asarray(r, np.float32) for r in rows])
+            p = session.run(None, {session.get_inputs()[0].name: x})[-1]
+            p = np.asarray(p).reshape(len(x), -1)[:, -1] if isinstance(p, np.ndarray) else np.array([r[1] for r in p])
+            return (np.where(np.any(x, 1), p, neutral) if neutral is not None else p).tolist()
+
+        return run
+
+    return model_column(load, "double", path, path)
 
 
 def linear_classifier(features: Column, weights: list[float], bias: float, neutral: float | None = None) -> Column:

@@ -15,7 +15,6 @@ from sparkwarden.functions import constants as C
 from sparkwarden.functions.text import fields, groups, last_of_each, named, or_else, strip
 
 
-
 def _event(kind: str, timestamp: Column, host: Column, text: Column, values: Column, when: Column) -> Column:
     parts = F.struct(F.lit(kind).alias("source_type"), timestamp.alias("timestamp"), host.alias("host"), text.alias("text"), values.cast("map<string,string>").alias("fields"))
     return F.when(when, parts)
@@ -132,7 +131,9 @@ def _stages(raw: str) -> list[dict[str, Column]]:
     """Columns that several others use, each stage on those before, so that a line meets each pattern once."""
     r = F.col(raw)
     patterns = {"_5424": (C.RFC5424, C.RFC5424_GROUPS), "_3164": (C.RFC3164, C.RFC3164_GROUPS), "_cef": (C.CEF, C.CEF_GROUPS), "_web": (C.COMBINED, C.COMBINED_GROUPS)}
-    first = {name: groups(r, pattern, len(g)) for name, (pattern, g) in patterns.items()}
+    # A line meets a pattern only if it holds what the pattern can't do without.
+    gates = {"_5424": r.startswith("<"), "_3164": F.substring(r, 1, 8).rlike("^(?:<[0-9]|[A-Za-z]{3}\\s)"), "_cef": F.contains(r, F.lit("CEF:")), "_web": F.contains(r, F.lit("[")) & F.contains(r, F.lit('"'))}
+    first = {name: F.when(gates[name], groups(r, pattern, len(g))) for name, (pattern, g) in patterns.items()}
     first["_json"] = F.when(r.startswith("{"), F.try_parse_json(r))
     second = {"_ext": cef_extensions(F.col("_cef")[len(C.CEF_GROUPS) - 1]), "_keys": F.json_object_keys(F.when(F.col("_json").isNotNull(), r))}
     j = _Json(r, F.col("_json"), F.col("_keys"))

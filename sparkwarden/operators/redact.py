@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import constants as C
+from sparkwarden.functions.text import let
 
 
 @dataclass(frozen=True)
@@ -44,15 +45,28 @@ def redact(text: Column, policy: Policy | None = None) -> Column:
     policy = policy or Policy()
     if not policy.enabled:
         return text
+    has = lambda word: lambda t: F.contains(t, F.lit(word))
     steps = []
     if policy.redact_secrets:
-        steps += C.SECRET_PATTERNS
+        gates = [has("PRIVATE KEY-----"), lambda t: F.contains(F.lower(t), F.lit("bearer")), lambda t: t.rlike(C.SECRET_WORD), lambda t: t.rlike("A[KS]IA"), has("xox")]
+        steps += [(gate, pattern, mask) for gate, (pattern, mask) in zip(gates, C.SECRET_PATTERNS, strict=True)]
     if policy.redact_emails:
-        steps.append(C.EMAIL_PATTERN)
-    for pattern, mask in steps:
-        text = F.regexp_replace(text, pattern, mask)
+        steps.append((has("@"), *C.EMAIL_PATTERN))
     if policy.redact_credit_cards:
-        text = _cards(text)
-    for pattern, mask in [*(C.IP_PATTERNS if policy.redact_ip_addresses else []), *([C.HOST_PATTERN] if policy.redact_hostnames else [])]:
-        text = F.regexp_replace(text, pattern, mask)
+        steps.append(None)
+    if policy.redact_ip_addresses:
+        steps += [(lambda t: t.rlike(r"\d\.\d"), *C.IP_PATTERNS[0]), (lambda t: t.rlike(":[0-9a-fA-F]*:"), *C.IP_PATTERNS[1])]
+    if policy.redact_hostnames:
+        steps.append((lambda t: t.rlike(r"(?i)(?:host|fqdn)[a-z]*\s*="), *C.HOST_PATTERN))
+    # A pattern runs only over texts that hold what it can't do without.
+    for step in steps:
+        if step is None:
+            text = let(text, lambda t: F.when(t.rlike(C.CARD_DIGITS), _cards(t)).otherwise(t))
+        else:
+            gate, pattern, mask = step
+            text = let(text, _step(gate, pattern, mask))
     return text
+
+
+def _step(gate, pattern: str, mask: str):
+    return lambda t: F.when(gate(t), F.regexp_replace(t, pattern, mask)).otherwise(t)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "run_id string, model_type string, version string, status string, artifact_dir string, created_at timestamp, metrics map<string,double>"
@@ -33,9 +35,9 @@ def update_metrics(runs: DataFrame, run_id: str, metrics: dict[str, float]) -> D
     return runs.withColumn("metrics", F.when(F.col("run_id") == run_id, F.map_concat(old, new)).otherwise(F.col("metrics")))
 
 
-def find(runs: DataFrame, model_type: str | None = None, status: str | None = None, limit: int = 50) -> DataFrame:
-    """Runs, the newest first."""
-    for name, value in (("model_type", model_type), ("status", status)):
+def find(runs: DataFrame, model_type: str | None = None, status: str | None = None, limit: int = 50, run_id: str | None = None, artifact_dir: str | None = None) -> DataFrame:
+    """Runs, the newest first; by type, status, id or the folder of their artefacts."""
+    for name, value in (("model_type", model_type), ("status", status), ("run_id", run_id), ("artifact_dir", artifact_dir)):
         if value is not None:
             runs = runs.where(F.col(name) == value)
     return runs.orderBy(F.desc("created_at"), "run_id").limit(limit)
@@ -55,3 +57,66 @@ def verify(expected: DataFrame, actual: DataFrame) -> DataFrame:
     e, a = expected.select("path", F.col("sha256_prefix").alias("e")), actual.select("path", F.col("sha256_prefix").alias("a"))
     status = F.when(F.col("a").isNull(), "missing").when(F.col("e").isNull(), "extra").when(F.col("a") != F.col("e"), "changed").otherwise("ok")
     return e.join(a, "path", "full").select("path", status.alias("status"))
+
+
+def run_id(at: Column, *content: Column) -> Column:
+    """yyyyMMdd-HHmmss and eight digits of a hash of what the run is made of: the same run has the same id."""
+    return F.concat(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyyMMdd-HHmmss"), F.lit("-"), F.left(F.sha2(F.concat_ws("|", at.cast("string"), *content), 256), F.lit(8)))
+
+
+class Store:
+    """A registry in a folder: immutable versions, and one file that names the current one.
+
+    ``update`` holds a lock file that only one writer can make, writes a new version and then replaces the name by a rename; readers see
+    the old or the new one, never a part. A writer that dies leaves the lock, which ``unlock`` takes away.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._paths = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self._paths(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._paths(f"{self.path}/{name}")
+
+    def read(self) -> DataFrame:
+        if not self.fs.exists(self._at("CURRENT")):
+            return self.spark.createDataFrame([], SCHEMA)
+        version = self.spark.read.text(f"{self.path}/CURRENT").first()[0]
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{version}")
+
+    def update(self, change) -> None:
+        """Replaces the runs by change(runs); raises if another writer holds the lock."""
+        try:
+            self.fs.create(self._at("LOCK"), False).close()
+        except Exception as e:
+            raise RuntimeError(f"{self.path} is locked") from e
+        try:
+            version = f"version-{uuid.uuid4().hex}"
+            change(self.read()).select(*[c.split()[0] for c in SCHEMA.split(", ")]).coalesce(1).write.parquet(f"{self.path}/{version}")
+            name = self.fs.create(self._at("NEXT"), True)
+            name.write(bytearray(version, "utf-8"))
+            name.close()
+            old, new = self._at("CURRENT"), self._at("NEXT")
+            if not self.fs.rename(new, old):  # stores whose rename doesn't replace
+                self.fs.delete(old, False)
+                self.fs.rename(new, old)
+        finally:
+            self.unlock()
+
+    def unlock(self) -> None:
+        self.fs.delete(self._at("LOCK"), False)
+
+
+def promote_artifacts(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """Copies a run's folder to where production reads it, and gives what ``verify`` says of the copy. The old folder is replaced only by a whole new one."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    new, old = at(target.rstrip("/") + ".new"), at(target)
+    fs = old.getFileSystem(conf)
+    fs.delete(new, True)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(at(source).getFileSystem(conf), at(source), fs, new, False, conf)
+    fs.delete(old, True)
+    fs.rename(new, old)
+    named = lambda path: manifest(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)).withColumn("path", F.substring_index("path", "/", -1))
+    return verify(named(source), named(target))

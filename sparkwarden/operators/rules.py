@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import constants as C
-from sparkwarden.functions.text import has_word
+from sparkwarden.operators.ordered import chunks
 
-#: Values of rules (of some 200 bytes) up to which the table is broadcast.
-FEW = 50_000
+#: Values of rules (of some 200 bytes) that go along with an event as one array; more make more arrays.
+CHUNK = 50_000
 RULE_SCHEMA = "rule_id string, rule_no int, field string, modifier string, value string"
 
 
@@ -22,26 +22,28 @@ def usable_values(rules: DataFrame) -> DataFrame:
     return rules.withColumn("value", value).where(F.col("field").isin(*C.SIGMA_FIELDS) & (F.col("value") != "")).where("modifier is null or modifier in ('contains', 'startswith', 'endswith')")
 
 
-def match_rules(events: DataFrame, rules: DataFrame, key: str, text: str = "text") -> DataFrame:
+def match_rules(events: DataFrame, rules: DataFrame, text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """events with sigma_matched and sigma_rule_ids, in the order of rule_no; any one value of a rule is enough.
 
-    A theta join: rules are a small table, broadcast behind a check of their number, so events stay
-    where they are until matches (few) are gathered by key.
+    Rules go along with each event as an array, in chunks if they are many, and are tried within the row: nothing is shuffled,
+    no pairs of rows are made, and rows need no key. Null texts match nothing.
     """
     values = usable_values(rules)
-    if values.count() > FEW:
-        raise ValueError(f"more than {FEW} rule values; split the rules and match them in turn")
     low = F.lower(F.col(text))
-    fits = (
-        F.when(F.col("modifier") == "contains", F.contains(low, F.col("value")))
-        .when(F.col("modifier") == "startswith", F.startswith(low, F.col("value")))
-        .when(F.col("modifier") == "endswith", F.endswith(low, F.col("value")))
-        .otherwise(has_word(F.col(text), F.col("value")))
-    )
-    hits = events.select(key, text).join(F.broadcast(values), fits).select(key, "rule_no", "rule_id").distinct()
-    hits = hits.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rule_no", "rule_id"))), lambda r: r["rule_id"]).alias("sigma_rule_ids"))
-    out = events.join(hits, key, "left").withColumn("sigma_rule_ids", F.coalesce("sigma_rule_ids", F.array().cast("array<string>")))
-    return out.withColumn("sigma_matched", F.size("sigma_rule_ids") > 0)
+    out = events.withColumn("_low", low).withColumn("_words", F.transform(F.split("_low", r"\s+"), lambda w: F.btrim(w, F.lit(C.WORD_EDGE)))).withColumn("_hits", F.array().cast("array<struct<rule_no:int,rule_id:string>>"))
+
+    def fits(r: Column) -> Column:
+        m, v = r["modifier"], r["value"]
+        return (
+            F.when(m == "contains", F.contains(F.col("_low"), v)).when(m == "startswith", F.startswith(F.col("_low"), v)).when(m == "endswith", F.endswith(F.col("_low"), v))
+            .otherwise(F.array_contains("_words", v))
+        )
+
+    for part in chunks(values, [F.col(c) for c in ("rule_no", "rule_id", "modifier", "value")], chunk):
+        hits = F.transform(F.filter("_rules", fits), lambda r: F.struct(r["rule_no"].alias("rule_no"), r["rule_id"].alias("rule_id")))
+        out = out.crossJoin(F.broadcast(part.withColumnRenamed("rows", "_rules"))).withColumn("_hits", F.concat("_hits", hits)).drop("_rules")  # one row of at most chunk values
+    ids = F.transform(F.array_distinct(F.array_sort("_hits")), lambda r: r["rule_id"])
+    return out.withColumn("sigma_rule_ids", ids).drop("_low", "_words", "_hits").withColumn("sigma_matched", F.size("sigma_rule_ids") > 0)
 
 
 def is_attack(raw: Column) -> Column:

@@ -7,42 +7,69 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions import constants as C
 from sparkwarden.functions.vector import clamp, dot, doubles, unit
+from sparkwarden.operators.ordered import chunks, range_of, running
 
-#: Techniques up to which the table goes along with each event as one array.
-FEW = 2_000
+#: Techniques that go along with an event as one array (more make more arrays), and events of a bucket of time that are compared in one task.
+CHUNK, PART = 2_000, 2_000
+#: Buckets of time (some 50 bytes each) up to which their counts are broadcast.
+FEW = 250_000
 
 
-def top_techniques(events: DataFrame, techniques: DataFrame, key: str, vector: str = "embedding", k: int = 3) -> DataFrame:
+def top_techniques(events: DataFrame, techniques: DataFrame, key: str, vector: str = "embedding", k: int = 3, chunk: int = CHUNK) -> DataFrame:
     """(key, rank, technique_id, similarity): the k techniques (no, technique_id, vector) of the largest inner product; ties by no.
 
-    Techniques are a small table: checked, made one row, and searched within each event, so no pairs are
-    emitted. Events without a vector get no rows; k beyond the table gives all of it.
+    Techniques are a small table that goes along with each event and is searched within it, so no pairs are
+    emitted; a table of more than ``chunk`` is searched in parts. Events without a vector get no rows; k beyond the table gives all of it.
     """
-    if techniques.count() > FEW:
-        raise ValueError(f"more than {FEW} techniques: search them as an index")
-    table = techniques.agg(F.array_sort(F.collect_list(F.struct("no", "technique_id", doubles(F.col("vector")).alias("v")))).alias("_all"))
-    scored = F.transform("_all", lambda t: F.struct((-dot(F.col("_v"), t["v"])).alias("s"), t["no"].alias("no"), t["technique_id"].alias("technique_id")))
-    near = events.select(key, doubles(F.col(vector)).alias("_v")).where("_v is not null").crossJoin(F.broadcast(table)).select(key, F.slice(F.array_sort(scored), 1, k).alias("near"))
-    return near.select(key, F.posexplode("near")).select(key, (F.col("pos") + 1).alias("rank"), "col.technique_id", (-F.col("col.s")).alias("similarity"))
+    near = with_candidates(events.select(key, vector), techniques, vector, k, chunk).where(F.col(vector).isNotNull())
+    rows = near.select(key, F.posexplode("candidates"))
+    return rows.select(key, (F.col("pos") + 1).alias("rank"), "col.technique_id", "col.similarity")
+
+
+def with_candidates(events: DataFrame, techniques: DataFrame, vector: str = "embedding", k: int = 3, chunk: int = CHUNK) -> DataFrame:
+    """events with ``candidates``: the k best techniques as structs (no, technique_id, similarity), best first; null without a vector."""
+    out = events.withColumn("_v", doubles(F.col(vector))).withColumn("_near", F.array().cast("array<struct<s:double,no:int,technique_id:string>>"))
+    columns = [F.col("no").cast("int").alias("no"), F.col("technique_id"), doubles(F.col("vector")).alias("v")]
+    for part in chunks(techniques, columns, chunk):
+        scored = F.transform("_all", lambda t: F.struct((-dot(F.col("_v"), t["v"])).alias("s"), t["no"].alias("no"), t["technique_id"].alias("technique_id")))
+        out = out.crossJoin(F.broadcast(part.withColumnRenamed("rows", "_all"))).withColumn("_near", F.slice(F.array_sort(F.concat("_near", scored)), 1, k)).drop("_all")  # one row of at most chunk techniques
+    best = F.transform("_near", lambda c: F.struct(c["no"].alias("no"), c["technique_id"].alias("technique_id"), (-c["s"]).alias("similarity")))
+    return out.withColumn("candidates", F.when(F.col("_v").isNotNull(), best)).drop("_v", "_near")
 
 
 def mark_duplicates(
-    events: DataFrame, key: str, ts: str, vector: str = "embedding", window_s: int = C.DEDUP_WINDOW_S, least: float = C.DEDUP_SIMILARITY, scope: list[str] | None = None, mode: str = "window"
+    events: DataFrame, key: str, ts: str, vector: str = "embedding", window_s: int = C.DEDUP_WINDOW_S, least: float = C.DEDUP_SIMILARITY, scope: list[str] | None = None, mode: str = "window", part: int = PART
 ) -> DataFrame:
     """(key, dedup_similarity, is_duplicate) of each event: its nearest earlier event of the last window_s seconds.
 
     Earlier: by (ts, key). mode ``lag`` looks back from the event before, as an index that is pruned on insertion does.
     scope: columns within which events are compared; state reaches no further. Each event meets the
-    bucket of its own window and the one before, so the join is an equi-join with a check of times.
+    bucket of its own window and the one before, so the join is an equi-join with a check of times. Buckets of more than
+    ``part`` events are dealt to parts, which each event meets one by one; of pairs only each part's best goes on.
     """
     scope = scope or []
     rows = events.select(*scope, F.col(key).alias("_k"), F.col(ts).cast("timestamp").cast("double").alias("_t"), doubles(F.col(vector)).alias("_v"))
-    order = Window.partitionBy(*scope).orderBy("_t", "_k")
-    rows = rows.withColumn("_from", (F.coalesce(F.lag("_t").over(order), F.col("_t")) if mode == "lag" else F.col("_t")) - window_s)
-    left = rows.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_from") / window_s), F.floor(F.col("_t") / window_s))))
-    right = rows.select(*scope, F.col("_k").alias("_k2"), F.col("_t").alias("_t2"), F.col("_v").alias("_v2"), F.floor(F.col("_t") / window_s).alias("_b"))
+    if mode == "lag":
+        before = Window.partitionBy(*scope, "_day").orderBy("_t", "_k")
+        # The event before is in the same range of time, or the last one of the range before.
+        ranged = rows.withColumn("_day", F.floor(F.col("_t") / (64 * window_s)))
+        last = ranged.groupBy(*scope, "_day").agg(F.max("_t").alias("_last"))
+        last = last.withColumn("_last", F.lag("_last").over(Window.partitionBy(*scope).orderBy("_day"))).withColumnsRenamed({c: f"_of_{c}" for c in [*scope, "_day"]})
+        rows = ranged.join(last, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*scope, "_day"]]).drop(*[f"_of_{c}" for c in [*scope, "_day"]])
+        rows = rows.withColumn("_from", F.coalesce(F.lag("_t").over(before), "_last", "_t") - window_s).drop("_day", "_last")
+    else:
+        rows = rows.withColumn("_from", F.col("_t") - window_s)
+    placed = rows.withColumn("_b", F.floor(F.col("_t") / window_s))
+    parts = placed.groupBy(*scope, "_b").agg(F.ceil(F.count("*") / part).cast("int").alias("_parts")).where("_parts > 1")
+    if not parts.isEmpty():
+        parts = F.broadcast(parts) if parts.count() <= FEW else parts
+    number = F.coalesce("_parts", F.lit(1))
+    left = rows.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_from") / window_s), F.floor(F.col("_t") / window_s)))).join(parts, [*scope, "_b"], "left")
+    left = left.withColumn("_p", F.explode(F.sequence(F.lit(0), number - 1))).drop("_parts")
+    right = placed.join(parts, [*scope, "_b"], "left").withColumn("_p", F.pmod(F.xxhash64("_k"), number).cast("int"))
+    right = right.select(*scope, F.col("_k").alias("_k2"), F.col("_t").alias("_t2"), F.col("_v").alias("_v2"), "_b", "_p")
     earlier = (F.col("_t2") < F.col("_t")) | ((F.col("_t2") == F.col("_t")) & (F.col("_k2") < F.col("_k")))
-    met = left.join(right, [*scope, "_b"]).where(earlier & (F.col("_t2") >= F.col("_from")))
+    met = left.join(right, [*scope, "_b", "_p"]).where(earlier & (F.col("_t2") >= F.col("_from")))
     best = met.groupBy(F.col("_k").alias(key)).agg(F.max(dot(F.col("_v"), F.col("_v2"))).alias("dedup_similarity"))
     out = events.select(key).join(best, key, "left").withColumn("dedup_similarity", F.coalesce("dedup_similarity", F.lit(0.0)))
     return out.withColumn("is_duplicate", F.col("dedup_similarity") >= least)
@@ -53,23 +80,29 @@ def novelty(
 ) -> DataFrame:
     """(scope, order, novelty_score, baseline_size): how far an event is from the centroid of the ``window`` before it.
 
-    0 until ``warmup`` events have come and the baseline holds ``baseline`` of them. Means run by dimension, so
-    dimensions are what is spread; give a scope to spread streams as well.
+    0 until ``warmup`` events have come and the baseline holds ``baseline`` of them. Each dimension has a running sum, and a
+    window's sum is that of its end less that of its beginning: work doesn't grow with the window.
     """
     scope = scope or []
-    rows = events.select(*scope, order, doubles(F.col(vector)).alias("_v"))
-    seq = Window.partitionBy(*scope).orderBy(order)
-    rows = rows.withColumn("_n", F.row_number().over(seq) - 1)
-    dims = rows.select(*scope, order, "_n", F.posexplode("_v").alias("_d", "_x"))
-    before = Window.partitionBy(*scope, "_d").orderBy(order).rowsBetween(-window, -1)
-    means = dims.withColumn("_m", F.avg("_x").over(before))
-    each = means.groupBy(*scope, order, "_n").agg(F.sum(F.col("_x") * F.col("_m")).alias("_dot"), F.sqrt(F.sum(F.col("_m") * F.col("_m"))).alias("_norm"))
+    where = range_of(events, order)
+    rows = running(events.select(*scope, order, doubles(F.col(vector)).alias("_v")), order, {"_n": F.lit(1)}, scope, where)
+    dims = running(rows.select(*scope, order, "_n", F.posexplode("_v").alias("_d", "_x")), order, {"_sum": F.col("_x")}, [*scope, "_d"], where)
+    old = dims.select(*[F.col(c).alias(f"_old_{c}") for c in scope], F.col("_d").alias("_old_d"), (F.col("_n") + window).alias("_old_n"), F.col("_sum").alias("_old_sum"))
+    same = [F.col(c).eqNullSafe(F.col(f"_old_{c}")) for c in scope] + [F.col("_d") == F.col("_old_d"), F.col("_n") == F.col("_old_n")]
     size = F.least(F.col("_n"), F.lit(window))
+    means = dims.join(old, same, "left").withColumn("_m", F.try_divide(F.col("_sum") - F.coalesce("_old_sum", F.lit(0.0)), size.cast("double")))
+    each = means.groupBy(*scope, order, "_n").agg(F.sum(F.col("_x") * F.col("_m")).alias("_dot"), F.sqrt(F.sum(F.col("_m") * F.col("_m"))).alias("_norm"))
     near = clamp(F.when(F.col("_norm") > 0, F.col("_dot") / F.col("_norm")).otherwise(F.lit(0.0)), -1.0, 1.0)
     warm = (F.col("_n") >= warmup) & (size >= baseline)
     return each.select(*scope, order, F.when(warm, F.least(F.lit(1.0), (1 - near) * scale)).otherwise(F.lit(0.0)).alias("novelty_score"), F.when(warm, size).otherwise(F.lit(0)).cast("long").alias("baseline_size"))
 
 
+def novelty_stats(scored: DataFrame) -> DataFrame:
+    """One row of what novelty says of a stream: events, those scored, the mean and the largest score, the size of the last baseline."""
+    on = F.col("baseline_size") > 0
+    return scored.agg(F.count("*").alias("events"), F.count_if(on).alias("scored"), F.coalesce(F.avg(F.when(on, F.col("novelty_score"))), F.lit(0.0)).alias("mean_score"), F.coalesce(F.max("novelty_score"), F.lit(0.0)).alias("max_score"), F.coalesce(F.max("baseline_size"), F.lit(0)).alias("baseline_size"))
+
+
 def centroid(vectors: DataFrame, by: list[str], vector: str = "embedding") -> DataFrame:
     """(by..., centroid): the mean of each group's vectors at length 1."""
     dims = vectors.select(*by, F.posexplode(doubles(F.col(vector))).alias("_d", "_x")).groupBy(*by, "_d").agg(F.avg("_x").alias("_m"))

@@ -11,17 +11,13 @@ from sparkwarden.functions import constants as C
 from sparkwarden.functions.text import strip
 
 
-def infer_source_type(message_type: Column, pipeline: Column, product: Column, vendor: Column, winevent_ids: Iterable[str] | None = None) -> Column:
+def infer_source_type(message_type: Column, pipeline: Column, product: Column, vendor: Column, winevent_ids: Iterable[str]) -> Column:
     """The type that a feed's columns tell, null for flows. Rules in order; nulls count as empty.
 
-    winevent_ids: exact event numbers; by default all in constants.WINEVENT_RANGE.
+    winevent_ids: the numbers of audit events, as the deployment knows them (a data file of several hundred).
     """
     kind, pipe, prod, vend = (F.coalesce(c.cast("string"), F.lit("")) for c in (message_type, pipeline, product, vendor))
-    if winevent_ids is None:
-        number = F.when(kind.rlike("^[0-9]{4}$"), kind.try_cast("int"))
-        audit = F.coalesce(number.between(*C.WINEVENT_RANGE), F.lit(False))
-    else:
-        audit = kind.isin(*winevent_ids)
+    audit = kind.isin(*winevent_ids)
     maker = lambda c: F.exists(F.array(*[F.lit(p) for p in C.FIREWALL_PRODUCTS]), lambda p: F.contains(c, p))
     return (
         F.when(pipe == "aws_cloudtrail", "cloudtrail").when(pipe == "network_flows", F.lit(None))

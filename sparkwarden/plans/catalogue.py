@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkwarden.plans import detection, evaluate, lines, relational
+from sparkwarden.plans import detection, edges, evaluate, lines, relational, scored, training
 
-_PARTS = [lines.R, detection.R, evaluate.R, relational.R]
+_PARTS = [lines.R, detection.R, evaluate.R, relational.R, edges.R, training.R, scored.R]
 
 
 def queries() -> dict:

@@ -26,8 +26,7 @@ _MATCH = """list_filter([
 
 @R.add(f"SELECT conv_id, turn, array_to_string({_MATCH.format(t='text')}, ',') AS rules FROM conversations")
 def sigma_rules(spark, sf):
-    rows = table(spark, sf, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn"))
-    out = rules.match_rules(rows, spark.createDataFrame(RULES, rules.RULE_SCHEMA), "key")
+    out = rules.match_rules(table(spark, sf, "conversations"), spark.createDataFrame(RULES, rules.RULE_SCHEMA))
     return out.select("conv_id", "turn", F.array_join("sigma_rule_ids", ",").alias("rules"))
 
 
@@ -118,24 +117,31 @@ def top_techniques(spark, sf):
 
 
 def _timed(spark, sf):
-    """Embeddings as events: seven seconds apart, with a quiet gap after each hundredth; 20 streams as scopes keep windows small."""
+    """Embeddings as events: seven seconds apart, with a quiet gap after each hundredth."""
     return table(spark, sf, "embeddings").select("vec_id", "embedding", "label", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("vec_id") * 7 + F.floor(F.col("vec_id") / 100) * 600).alias("ts"))
 
 
 _TIMED = "t AS (SELECT vec_id, embedding, label, 1700000000 + vec_id * 7 + (vec_id // 100) * 600 AS s FROM embeddings)"
 
 
-@R.add(f"""WITH {_TIMED}, m AS (SELECT a.vec_id, max({_DOT}) AS s FROM t a JOIN t b ON a.label = b.label AND b.vec_id < a.vec_id AND b.s >= a.s - 300 GROUP BY a.vec_id)
+@R.add(f"""WITH {_TIMED}, m AS (SELECT a.vec_id, max({_DOT}) AS s FROM t a JOIN t b ON b.vec_id < a.vec_id AND b.s >= a.s - 300 GROUP BY a.vec_id)
 SELECT t.vec_id, round(coalesce(m.s, 0), 6) AS similarity, coalesce(m.s, 0) >= 0.3 AS is_duplicate FROM t LEFT JOIN m USING (vec_id)""")
 def dedup_window(spark, sf):
-    out = similarity.mark_duplicates(_timed(spark, sf), "vec_id", "ts", least=0.3, scope=["label"])
+    out = similarity.mark_duplicates(_timed(spark, sf), "vec_id", "ts", least=0.3)
+    return out.select("vec_id", F.round("dedup_similarity", 6).alias("similarity"), "is_duplicate")
+
+
+@R.add(f"""WITH {_TIMED}, m AS (SELECT a.vec_id, max({_DOT}) AS s FROM t a JOIN t b ON a.label = b.label AND b.vec_id < a.vec_id AND b.s >= a.s - 300 GROUP BY a.vec_id)
+SELECT t.vec_id, round(coalesce(m.s, 0), 6) AS similarity, coalesce(m.s, 0) >= 0.3 AS is_duplicate FROM t LEFT JOIN m USING (vec_id)""")
+def dedup_window_by_scope(spark, sf):
+    out = similarity.mark_duplicates(_timed(spark, sf), "vec_id", "ts", least=0.3, scope=["label"], part=16)
     return out.select("vec_id", F.round("dedup_similarity", 6).alias("similarity"), "is_duplicate")
 
 
-@R.add(f"""WITH {_TIMED}, g AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY label ORDER BY s), s) - 300 AS since FROM t), m AS (SELECT a.vec_id, max({_DOT}) AS s FROM g a JOIN g b ON a.label = b.label AND b.vec_id < a.vec_id AND b.s >= a.since GROUP BY a.vec_id)
+@R.add(f"""WITH {_TIMED}, g AS (SELECT *, coalesce(lag(s) OVER (ORDER BY s), s) - 300 AS since FROM t), m AS (SELECT a.vec_id, max({_DOT}) AS s FROM g a JOIN g b ON b.vec_id < a.vec_id AND b.s >= a.since GROUP BY a.vec_id)
 SELECT t.vec_id, round(coalesce(m.s, 0), 6) AS similarity, coalesce(m.s, 0) >= 0.3 AS is_duplicate FROM t LEFT JOIN m USING (vec_id)""")
 def dedup_lag_mode(spark, sf):
-    out = similarity.mark_duplicates(_timed(spark, sf), "vec_id", "ts", least=0.3, scope=["label"], mode="lag")
+    out = similarity.mark_duplicates(_timed(spark, sf), "vec_id", "ts", least=0.3, mode="lag")
     return out.select("vec_id", F.round("dedup_similarity", 6).alias("similarity"), "is_duplicate")
 
 
@@ -149,10 +155,10 @@ def novelty_rolling(spark, sf):
 
 
 @R.add("""WITH d AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM d GROUP BY ALL)
-SELECT label, round(max(CASE WHEN i = 1 THEN m END) / sqrt(sum(m * m)), 6) AS first, CAST(count(*) AS INT) AS size FROM m GROUP BY label""")
+SELECT label, CAST(i AS INT) AS component, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS value FROM m""")
 def centroids(spark, sf):
-    c = similarity.centroid(table(spark, sf, "embeddings"), ["label"])
-    return c.select("label", F.round(F.col("centroid")[0], 6).alias("first"), F.size("centroid").alias("size"))
+    c = similarity.centroid(table(spark, sf, "embeddings"), ["label"]).select("label", F.posexplode("centroid").alias("i", "x"))
+    return c.select("label", (F.col("i") + 1).alias("component"), F.round("x", 6).alias("value"))
 
 
 @R.add("""WITH b AS (SELECT event_id < (SELECT max(event_id) FROM events) / 2 AS early, CAST(least(floor(value / (value + 50) * 10), 9) AS INT) AS bin FROM events), c AS (
@@ -172,7 +178,17 @@ def psi_checkpoints(spark, sf):
     return drift.drift_checks(events(spark, sf), "event_id", window=500, interval=500, limit=0.02).withColumn("psi", F.round("psi", 6))
 
 
-@R.add()
+_CALLS = "c AS (SELECT event_id, CAST(user_id % 10 AS VARCHAR) AS client, event_id * 7 AS t FROM events)"
+
+
+@R.add(f"""WITH RECURSIVE {_CALLS}, o AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY t, event_id) AS n FROM c),
+r(client, n, event_id, accepted, kept) AS (
+  SELECT client, n, event_id, true, [t] FROM o WHERE n = 1
+  UNION ALL SELECT o.client, o.n, o.event_id, len(list_filter(r.kept, lambda x: x >= o.t - 60)) < 1,
+    CASE WHEN len(list_filter(r.kept, lambda x: x >= o.t - 60)) < 1 THEN list_append(list_filter(r.kept, lambda x: x >= o.t - 60), o.t) ELSE list_filter(r.kept, lambda x: x >= o.t - 60) END
+  FROM r JOIN o ON o.client = r.client AND o.n = r.n + 1)
+SELECT client, event_id, accepted FROM r""")
 def rate_limit_60s(spark, sf):
-    """Each decision rests on those before: rows only here, a fold in the tests."""
-    return rate_limit(table(spark, sf, "events"), "event_type", "ts", "event_id", limit=1, seconds=600.0)
+    """A call every seven seconds, of ten clients by turns that the table draws; each decision rests on those before."""
+    calls = table(spark, sf, "events").select("event_id", (F.col("user_id") % 10).cast("string").alias("client"), F.timestamp_seconds(F.col("event_id") * 7).alias("at"))
+    return rate_limit(calls, "client", "at", "event_id", limit=1, seconds=60.0)

@@ -151,9 +151,9 @@ def priority_counts(spark, sf):
     return metrics.priority_counts(events(spark, sf).withColumn("ai_priority", F.col("event_type")))
 
 
-@R.add(f"""WITH {EVENTS} SELECT count(*) AS events, count(*) FILTER (event_type = 'error') AS high, count(*) FILTER (k % 5 = 0) AS duplicates, count(*) FILTER (k > 90) AS sigma, round(avg(score), 6) AS avg_score, round(avg(value), 6) AS avg_latency_ms FROM e""")
+@R.add(f"""WITH {EVENTS} SELECT count(*) AS events, count(*) FILTER (event_type = 'error') AS high, count(*) FILTER (k % 5 = 0) AS duplicates, count(*) FILTER (k > 90) AS sigma, count(*) FILTER (k % 11 = 0) AS degraded, count(*) FILTER (k % 6 = 1) AS second_tier, round(avg(score), 6) AS avg_score, round(avg(value), 6) AS avg_latency_ms FROM e""")
 def running_counters(spark, sf):
-    rows = events(spark, sf).select(F.when(F.col("event_type") == "error", "HIGH").otherwise("LOW").alias("ai_priority"), (F.col("k") % 5 == 0).alias("is_duplicate"), (F.col("k") > 90).alias("sigma_matched"), F.col("score").alias("ai_threat_score"), F.col("value").alias("scoring_latency_ms"))
+    rows = events(spark, sf).select(F.when(F.col("event_type") == "error", "HIGH").otherwise("LOW").alias("ai_priority"), (F.col("k") % 5 == 0).alias("is_duplicate"), (F.col("k") > 90).alias("sigma_matched"), (F.col("k") % 11 == 0).alias("score_degraded"), (F.col("k") % 6 == 1).alias("tier2_used"), F.col("score").alias("ai_threat_score"), F.col("value").alias("scoring_latency_ms"))
     return metrics.running_counters(rows).withColumns({c: F.round(c, 6) for c in ("avg_score", "avg_latency_ms")})
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Mapping
 
-_PLACE = re.compile(r"\$\{(\w+)(?::([^}]*))?\}")
-PROTOCOLS = ("PLAINTEXT", "SSL", "SASL_PLAINTEXT", "SASL_SSL")
-MECHANISMS = ("PLAIN", "SCRAM-SHA-256", "SCRAM-SHA-512")
+from sparkwarden.functions.constants import MECHANISMS, PROTOCOLS
+
+_PLACE = re.compile(r"\$\{([^}:]+)(?::([^}]*))?\}")
 
 
 def substitute(value, env: Mapping[str, str] | None = None):
@@ -23,6 +24,16 @@ def substitute(value, env: Mapping[str, str] | None = None):
     return value
 
 
+def load(path: str, env: Mapping[str, str] | None = None) -> dict:
+    """A JSON file, or a YAML one where a parser is at hand, with its placeholders filled in."""
+    with open(path, encoding="utf-8") as f:
+        if path.endswith(".json"):
+            return substitute(json.load(f), env)
+        import yaml
+
+        return substitute(yaml.safe_load(f), env)
+
+
 def kafka_options(servers: str, protocol: str = "PLAINTEXT", mechanism: str | None = None, user: str | None = None, password: str | None = None, files: dict[str, str] | None = None) -> dict[str, str]:
     """Options of a Spark source or sink for a broker; what doesn't go together raises."""
     if protocol not in PROTOCOLS:

@@ -37,3 +37,8 @@ def request_checks(df: DataFrame, raw: str = "raw", ref: str | None = None) -> D
     n = F.coalesce(F.length(raw), F.lit(0))
     error = F.when(n < 1, "raw is empty").when(n > 65_536, "raw is too long")
     return df.withColumn("error", error.when(F.col(ref).isNotNull() & ~is_ref(F.col(ref)), "raw_log_ref is malformed") if ref else error)
+
+
+def batch_error(n: Column, most: int = 200) -> Column:
+    """Why a batch of n events is turned away; null if it isn't."""
+    return F.when(~n.between(1, most), F.lit(f"a batch holds 1 to {most} events"))

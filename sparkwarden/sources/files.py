@@ -20,7 +20,9 @@ def labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     if header.columns != ["raw", "label"]:
         raise ValueError(f"header is {header.columns}, not ['raw', 'label']")
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema("raw string, label string").csv(path)
-    bad = F.concat(F.lit("label is not 0 or 1: "), F.coalesce("label", F.lit("null")), F.lit(" at "), F.coalesce("raw", F.lit("null")))
+    # A file of quoted lines isn't split, so rows number from 0 in each; the header is line 1. Raw text stays out of the message.
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 2
+    bad = F.concat(F.lit("label is not 0 or 1 in row "), row.cast("string"), F.lit(" of "), F.input_file_name())
     label = F.when(F.col("label").isin("0", "1"), F.col("label").try_cast("int")).otherwise(F.raise_error(bad).cast("int"))
     return rows.select("raw", label.alias("label"))
 

@@ -7,43 +7,56 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-MOST = 1 << 20
+#: Bytes of a message at most, and digits of its count.
+MOST, DIGITS = 1 << 20, 20
 
 
 class Framer:
-    """Takes a connection's bytes as they come, gives messages. An oversized message ends the connection."""
+    """Takes a connection's bytes as they come, gives messages. An oversized message ends the connection. Each byte is looked at a fixed number of times."""
 
     def __init__(self, most: int = MOST):
-        self.most, self.held, self.closed = most, b"", False
+        self.most, self.held, self.at, self.seen, self.closed = most, bytearray(), 0, 0, False
 
     def feed(self, data: bytes) -> Iterator[bytes]:
         self.held += data
-        while self.held and not self.closed:
-            space, feed = self.held.find(b" "), self.held.find(b"\n")
-            head = self.held[:space] if space > 0 and (feed < 0 or space < feed) else b""
-            if head.isdigit():
-                size = int(head)
+        while self.at < len(self.held) and not self.closed:
+            size, body = self._count()
+            if size is not None:
                 if size > self.most:
                     self.closed = True
-                elif len(self.held) > space + size:
-                    message, self.held = self.held[space + 1 : space + 1 + size], self.held[space + 1 + size :]
-                    yield message
+                elif len(self.held) >= body + size:
+                    yield self._take(body, body + size)
                     continue
-                return
-            if feed < 0:
-                self.closed = len(self.held) > self.most and not self.held.isdigit()
-                return
-            message, self.held = self.held[:feed], self.held[feed + 1 :]
-            if len(message) > self.most:
+                break
+            line = self.held.find(b"\n", max(self.at, self.seen))
+            if line < 0:
+                self.seen = len(self.held)
+                rest = len(self.held) - self.at
+                self.closed = rest > self.most and not self.held[self.at : self.at + DIGITS].isdigit()
+                break
+            if line - self.at > self.most:
                 self.closed = True
-                return
+                break
+            message = self._take(self.at, line)
+            self.at += 1
             yield message
+        del self.held[: self.at]
+        self.seen, self.at = max(0, self.seen - self.at), 0
+
+    def _count(self) -> tuple[int | None, int]:
+        """The count that stands before the first space, and where the message begins."""
+        space = self.held.find(b" ", self.at, self.at + DIGITS + 1)
+        head = self.held[self.at : space] if space > self.at else b""
+        return (int(head), space + 1) if head.isdigit() else (None, 0)
+
+    def _take(self, start: int, end: int) -> bytes:
+        self.at = end
+        return bytes(self.held[start:end])
 
     def end(self) -> Iterator[bytes]:
         """A last line without its line feed; an incomplete counted message is lost."""
-        space = self.held.find(b" ")
-        if self.held and not self.closed and not (space > 0 and self.held[:space].isdigit()):
-            yield self.held
+        if self.held and not self.closed and self._count()[0] is None:
+            yield bytes(self.held)
 
 
 def deframe(chunks: DataFrame, most: int = MOST) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import selectors
 import socket
 import time
 
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+from sparkwarden.sources.framing import Framer
+
 LARGEST = 65_535
 
 
@@ -41,6 +44,58 @@ class _Reader(SimpleDataSourceStreamReader):
         self.kept = {k: v for k, v in self.kept.items() if k >= end["n"]}
 
 
+class _TcpReader(_Reader):
+    """Takes what connections have sent so far; a connection's bytes are framed in order, whatever batches they come in."""
+
+    def read(self, start: dict):
+        if self.sock is None:
+            self.sock = socket.create_server(self.address, reuse_port=False)
+            self.sock.setblocking(False)
+            self.ready, self.framers = selectors.DefaultSelector(), {}
+            self.ready.register(self.sock, selectors.EVENT_READ)
+        rows = []
+        while len(rows) < self.most and (events := self.ready.select(self.wait)):
+            for key, _ in events:
+                rows += self._accept() if key.fileobj is self.sock else self._receive(key.fileobj)
+        end = start["n"] + len(rows)
+        self.kept[start["n"]] = rows
+        return iter(rows), {"n": end}
+
+    def _accept(self) -> list:
+        conn, peer = self.sock.accept()
+        conn.setblocking(False)
+        self.ready.register(conn, selectors.EVENT_READ)
+        self.framers[conn] = Framer(), peer[0]
+        return []
+
+    def _receive(self, conn) -> list:
+        framer, peer = self.framers[conn]
+        try:
+            data = conn.recv(1 << 16)
+        except OSError:
+            data = b""
+        messages = list(framer.feed(data)) if data else list(framer.end())
+        if not data or framer.closed:
+            self.ready.unregister(conn)
+            conn.close()
+            del self.framers[conn]
+        return [(m.decode("utf-8", "replace"), peer, "tcp", time.time()) for m in messages]
+
+
+class SyslogTcp(DataSource):
+    """As ``SyslogUdp``, for messages over TCP connections, framed by octet counts or line feeds; the port is read on the driver, for sites without a collector."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "syslog_tcp"
+
+    def schema(self) -> str:
+        return "raw string, collector_peer string, collector_protocol string, ingest_ts double"
+
+    def simpleStreamReader(self, schema):
+        return _TcpReader(dict(self.options))
+
+
 class SyslogUdp(DataSource):
     """(raw, collector_peer, collector_protocol, ingest_ts): a row for each datagram, options host, port, wait and max_rows. Datagrams that no batch has taken are lost with the driver, as UDP is."""
 

@@ -6,9 +6,10 @@ envelope columns will do. Delivery is at least once, and the archive inserts by
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -31,12 +32,29 @@ def score_lines(df: DataFrame, classifier: Callable[[DataFrame], F.Column]) -> D
     return score(rows.withColumn("classifier_score", classifier(rows)))
 
 
+def spool(batch: DataFrame, path: str) -> None:
+    """Appends rows as JSON lines, for ``archive.drain_spool`` to read when the broker is back."""
+    batch.select(F.to_json(F.struct(*batch.columns)).alias("value")).write.mode("append").text(path)
+
+
+def stop_all(spark: SparkSession, wait_s: float = 30.0) -> list[str]:
+    """Stops every streaming query of the session: each ends the batch that it is in, if it can in time. Returns their names or ids."""
+    stopped = []
+    for q in spark.streams.active:
+        end = time.monotonic() + wait_s
+        while q.isActive and q.status["isTriggerActive"] and time.monotonic() < end:
+            time.sleep(0.1)
+        q.stop()
+        stopped.append(q.name or q.id)
+    return stopped
+
+
 def _guarded(write: Callable[[DataFrame], None], letters: str, topic: str, breaker: CircuitBreaker):
     def run(batch: DataFrame, epoch: int) -> None:
         try:
             breaker.call(write, batch)
         except Exception as e:  # a failed batch goes to dead letters, and the stream goes on
-            archive.dead_letters(batch, F.lit(str(e)[:500]), topic, F.lit(epoch).cast("string")).write.mode("append").parquet(letters)
+            archive.dead_letters(batch, F.lit(str(e)), topic, F.lit(epoch).cast("string")).write.mode("append").parquet(letters)
 
     return run
 

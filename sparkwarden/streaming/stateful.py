@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,30 +12,35 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkwarden.functions import constants as C
 
+#: A usual time (milliseconds) after which the state of a silent key may go, for ``idle_ms``. Timeouts keep a query running, so bounded runs leave them out.
+IDLE_MS = 3_600_000
 
-def accept(times: list[float], kept: list[float], limit: int, seconds: float, closed: bool = True) -> tuple[list[bool], list[float]]:
-    """Which of the times a limit of ``limit`` accepted ones for each ``seconds`` takes. closed: one exactly that old still counts."""
+
+def accept(times: list[float], kept: deque, limit: int, seconds: float, closed: bool = True) -> list[bool]:
+    """Which of the times, in order, a limit of ``limit`` accepted ones for each ``seconds`` takes; kept: the accepted times that still count.
+    closed: one exactly that old still counts. No limit (0 or less) takes all. Each time is put in and taken out once."""
     out = []
     for t in times:
-        kept = [k for k in kept if (k >= t - seconds if closed else k > t - seconds)]
-        out.append(len(kept) < limit)
-        if out[-1]:
+        while kept and (kept[0] < t - seconds if closed else kept[0] <= t - seconds):
+            kept.popleft()
+        out.append(limit <= 0 or len(kept) < limit)
+        if out[-1] and limit > 0:
             kept.append(t)
-    return out, kept
+    return out
 
 
 def rate_limit(events: DataFrame, client: str, ts: str, order: str, limit: int, seconds: float = 60.0, closed: bool = True) -> DataFrame:
     """(client, order, accepted) in batch. What is rejected isn't recorded, so each decision rests on those before: a fold for each client, a batch of rows at a time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, kept = None, []
+        at, kept = None, deque()
         for f in frames:
-            taken = []
-            for c, t in zip(f["client"], f["t"], strict=True):
-                if c != at:
-                    at, kept = c, []
-                ok, kept = accept([t], kept, limit, seconds, closed)
-                taken += ok
+            taken, clients = [], f["client"].to_numpy()
+            cuts = [0, *(np.flatnonzero(clients[1:] != clients[:-1]) + 1), len(f)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if s < e and clients[s] != at:
+                    at, kept = clients[s], deque()
+                taken += accept(f["t"].iloc[s:e].tolist(), kept, limit, seconds, closed)
             yield pd.DataFrame({"client": f["client"], "n": f["n"], "accepted": taken})
 
     rows = events.selectExpr(f"CAST(`{client}` AS STRING) AS client", f"CAST(CAST(`{ts}` AS TIMESTAMP) AS DOUBLE) AS t", f"CAST(`{order}` AS BIGINT) AS n")
@@ -42,24 +48,46 @@ def rate_limit(events: DataFrame, client: str, ts: str, order: str, limit: int,
     return sent.mapInPandas(run, "client string, n long, accepted boolean").withColumnsRenamed({"n": order})
 
 
-def rate_limit_stream(events: DataFrame, client: str, ts: str, limit: int, seconds: float = 60.0) -> DataFrame:
-    """(client, t, accepted) of a stream; state is the accepted times of the last seconds."""
+def _expired(state: GroupState, idle_ms: int | None) -> bool:
+    """Whether a key has been silent so long that its state goes; else its time starts anew with the next update."""
+    if state.hasTimedOut:
+        state.remove()
+        return True
+    return False
+
+
+def _keep(state: GroupState, value: tuple, idle_ms: int | None) -> None:
+    state.update(value)
+    if idle_ms is not None:
+        state.setTimeoutDuration(idle_ms)
+
+
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def rate_limit_stream(events: DataFrame, client: str, ts: str, limit: int, seconds: float = 60.0, idle_ms: int | None = None) -> DataFrame:
+    """(client, t, accepted) of a stream; state is the accepted times of the last seconds, and goes when a client is idle. idle_ms should be far longer than the window."""
 
     def run(key, frames, state: GroupState):
-        kept = list(state.get[0]) if state.exists else []
+        if _expired(state, idle_ms):
+            return
+        kept = deque(state.get[0]) if state.exists else deque()
         times = sorted(t for f in frames for t in f["t"])
-        ok, kept = accept(times, kept, limit, seconds)
-        state.update((kept,))
+        ok = accept(times, kept, limit, seconds)
+        _keep(state, (list(kept),), idle_ms)
         yield pd.DataFrame({"client": key[0], "t": times, "accepted": ok})
 
     rows = events.selectExpr(f"CAST(`{client}` AS STRING) AS client", f"CAST(CAST(`{ts}` AS TIMESTAMP) AS DOUBLE) AS t")
-    return rows.groupBy("client").applyInPandasWithState(run, "client string, t double, accepted boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("client").applyInPandasWithState(run, "client string, t double, accepted boolean", "kept array<double>", "append", _timeout(idle_ms))
 
 
-def dedup_stream(events: DataFrame, scope: str, key: str, ts: str, vector: str, window_s: float = C.DEDUP_WINDOW_S, least: float = C.DEDUP_SIMILARITY) -> DataFrame:
-    """(scope, key, dedup_similarity, is_duplicate) of a stream: each event against those of its scope within the window. Duplicates enter the window as well."""
+def dedup_stream(events: DataFrame, scope: str, key: str, ts: str, vector: str, window_s: float = C.DEDUP_WINDOW_S, least: float = C.DEDUP_SIMILARITY, idle_ms: int | None = None) -> DataFrame:
+    """(scope, key, dedup_similarity, is_duplicate) of a stream: each event against those of its scope within the window. Duplicates enter the window as well. State of an idle scope goes."""
 
     def run(group, frames, state: GroupState):
+        if _expired(state, idle_ms):
+            return
         times, flat = state.get if state.exists else ([], [])
         f = pd.concat(list(frames)).sort_values(["t", "k"])
         width = len(f["v"].iloc[0])
@@ -72,27 +100,34 @@ def dedup_stream(events: DataFrame, scope: str, key: str, ts: str, vector: str,
             best = float((held_v @ v).max()) if len(held_t) else 0.0
             out.append((group[0], k, best, bool(len(held_t)) and best >= least))
             held_t, held_v = np.append(held_t, t), np.vstack([held_v, v])
-        state.update((held_t.tolist(), held_v.ravel().tolist()))
+        _keep(state, (held_t.tolist(), held_v.ravel().tolist()), idle_ms)
         yield pd.DataFrame(out, columns=["scope", "k", "dedup_similarity", "is_duplicate"])
 
     rows = events.selectExpr(f"CAST(`{scope}` AS STRING) AS scope", f"CAST(`{key}` AS BIGINT) AS k", f"CAST(CAST(`{ts}` AS TIMESTAMP) AS DOUBLE) AS t", f"CAST(`{vector}` AS ARRAY<DOUBLE>) AS v")
     schema = "scope string, k long, dedup_similarity double, is_duplicate boolean"
-    return rows.groupBy("scope").applyInPandasWithState(run, schema, "times array<double>, flat array<double>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("scope").applyInPandasWithState(run, schema, "times array<double>, flat array<double>", "append", _timeout(idle_ms))
 
 
-def count_window_stream(events: DataFrame, scope: str, order: str, value: str, size: int) -> DataFrame:
-    """(scope, n, mean) of a stream: after each value the mean of the last ``size`` of its scope, as monitors keep."""
+def count_window_stream(events: DataFrame, scope: str, order: str, value: str, size: int, idle_ms: int | None = None) -> DataFrame:
+    """(scope, n, mean) of a stream: after each value the mean of the last ``size`` of its scope, as monitors keep. A count window has no end in
+    time, so state stays unless idle_ms says when an idle scope starts anew."""
 
     def run(group, frames, state: GroupState):
+        if _expired(state, idle_ms):
+            return
         seen, kept = (state.get[0], list(state.get[1])) if state.exists else (0, [])
         f = pd.concat(list(frames)).sort_values("o")
         out = []
+        held, total = deque(kept), float(np.sum(kept))
         for x in f["x"]:
-            kept = [*kept, x][-size:]
+            held.append(x)
+            total += x
+            if len(held) > size:
+                total -= held.popleft()
             seen += 1
-            out.append((group[0], seen, float(np.mean(kept))))
-        state.update((seen, kept))
+            out.append((group[0], seen, total / len(held)))
+        _keep(state, (seen, list(held)), idle_ms)
         yield pd.DataFrame(out, columns=["scope", "n", "mean"])
 
     rows = events.selectExpr(f"CAST(`{scope}` AS STRING) AS scope", f"CAST(`{order}` AS BIGINT) AS o", f"CAST(`{value}` AS DOUBLE) AS x")
-    return rows.groupBy("scope").applyInPandasWithState(run, "scope string, n long, mean double", "seen long, kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("scope").applyInPandasWithState(run, "scope string, n long, mean double", "seen long, kept array<double>", "append", _timeout(idle_ms))

@@ -77,7 +77,7 @@ def test_vendor_feeds(spark):
         [("4624", None, None, None, "H ::: {\"a\":1}"), ("x", "network_flows", "", "", "r"), ("x", "aws_cloudtrail", "", "", "r"), ("firewall_action", "", "", "", "A-Artifact ::: k=v ::: message={x} y"), ("x", "", "Cisco ASA", "", "r"), ("iis_log", "", "", "", "r"), ("9999", "", "", "", "r")],
         "m string, p string, prod string, v string, raw string",
     )
-    kind = infer_source_type(*[F.col(c) for c in ("m", "p", "prod", "v")])
+    kind = infer_source_type(*[F.col(c) for c in ("m", "p", "prod", "v")], ["4624", "4625", "4688"])
     got = df.withColumn("t", kind).withColumn("c", clean_message(F.col("raw"), F.col("t"))).collect()
     assert [r.t for r in got] == ["winevent", None, "cloudtrail", "firewall", "firewall", "web", "syslog"]
     assert got[0].c == '{"a":1}' and got[3].c == "message={x}"

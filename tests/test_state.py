@@ -1,3 +1,4 @@
+from collections import deque
 """Window forms against a walk through the events, and streams against batches."""
 
 import random
@@ -71,7 +72,7 @@ def test_drift_is_the_walk(spark):
         want.append((at, pytest.approx(psi), new, None if new == state else "start" if new else "end"))
         state = new
     assert [tuple(r) for r in got] == want and {w[3] for w in want} == {None, "start", "end"}
-    marked = drift.drifting_at(df, drift.drift_checks(df, "n", window=200, interval=100), "n")
+    marked = drift.drifting_at(df, drift.drift_checks(df, "n", window=200, interval=100), "n", window=200, interval=100)
     first = next(w[0] for w in want if w[2])
     assert marked.where("drifting").agg(F.min("n")).first()[0] == first + 1
 
@@ -89,7 +90,7 @@ def test_rate_limit_is_the_walk(spark):
         own = [k for k in kept.get(c, []) if k >= at - 60]
         assert got[n] == (len(own) < 3)
         kept[c] = own + [at] if got[n] else own
-    assert stateful.accept([0, 60], [], 1, 60)[0] == [True, False] and stateful.accept([0, 60], [], 1, 60, closed=False)[0] == [True, True]
+    assert stateful.accept([0, 60], deque(), 1, 60) == [True, False] and stateful.accept([0, 60], deque(), 1, 60, closed=False) == [True, True]
 
 
 def run_stream(spark, tmp_path, frames, make, schema, name):
