@@ -82,20 +82,19 @@ def odd_docs(spark):
 
 def test_stages_take_odd_rows_and_clashing_columns(spark, folder, monkeypatch):
     docs, x, y = odd_docs(spark)
-    for few in (250_000, 0):  # joins by broadcast, and by shuffle
-        monkeypatch.setattr(cp, "FEW", few)
-        for name, stage in cp.STAGES:
-            out = stage(spark, docs, folder)
-            extra = ["mix_copy"] if name == "mixing" else []
-            assert out.columns == docs.columns + extra
-            got = out.collect()
-            assert {(r.kept, r.copies, r.rows, r.copy, r.row, r["_row"], r.stays, r.score, r.version, r.tree) for r in got} <= {(True, 1, 2, 3, "r", "s", False, 0.5, 9, "t")}
-            if name == "near_dedup":
-                assert sorted(((r.doc_id, r.text) for r in got if r.text in (x, y)), key=str) == sorted([(1, x), (None, y)], key=str) and len(got) == 8
-            if name == "pii":
-                assert len(got) == docs.count() and [("<EMAIL>" in r.text) for r in got if r.doc_id == 8] == [True] and {r.n_chars for r in got if r.text is None} == {0}
-            if name == "mixing":
-                assert not any((r.text or "").strip() == "" for r in got) and got
+    monkeypatch.setattr(cp, "FEW", 0)  # joins by shuffle; the tests above have them by broadcast
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, folder)
+        extra = ["mix_copy"] if name == "mixing" else []
+        assert out.columns == docs.columns + extra
+        got = out.collect()
+        assert {(r.kept, r.copies, r.rows, r.copy, r.row, r["_row"], r.stays, r.score, r.version, r.tree) for r in got} <= {(True, 1, 2, 3, "r", "s", False, 0.5, 9, "t")}
+        if name == "near_dedup":
+            assert sorted(((r.doc_id, r.text) for r in got if r.text in (x, y)), key=str) == sorted([(1, x), (None, y)], key=str) and len(got) == 8
+        if name == "pii":
+            assert len(got) == docs.count() and [("<EMAIL>" in r.text) for r in got if r.doc_id == 8] == [True] and {r.n_chars for r in got if r.text is None} == {0}
+        if name == "mixing":
+            assert not any((r.text or "").strip() == "" for r in got) and got
 
 
 def test_stages_take_empty_tables(spark, folder):
