@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwarden.llm import ann, decontaminate, language_id, near_dedup, pii, url_filter, warc
+from sparkwarden.llm import alignment, ann, decontaminate, interpolation, language_id, near_dedup, pii, url_filter, warc, whitening
 from sparkwarden.llm.mixing import mix
 from sparkwarden.llm.quality import score_quality
 from sparkwarden.llm.token_count import token_counts
@@ -57,6 +57,20 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.alignment_report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score_texts(_table(spark, sf_dir, "documents"))
+
+
+def op13_tiled_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_report(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
