@@ -1,14 +1,16 @@
 """Benchmark decontamination by winnowing.
 
-A window is SPAN consecutive words of a benchmark item. Texts and items are cut into K-grams of words; of
-each SPAN - K + 1 consecutive grams the least hash is a fingerprint, so every shared window has a
-common fingerprint inside it. A fingerprint is extended to the windows that it stands for: texts and items meet in an
-equi-join on (fingerprint, hash of the window), so a gram that many texts share joins nothing unless the words
-around it are shared as well. The words are compared, and windows that overlap are merged into hits. Items of fewer than
-SPAN words are one window: their own length is the gram's, and all grams of that length are fingerprints.
-
-Most windows of texts meet no item. Two bitmaps of FILTER_BITS bits hold the items' fingerprints and windows: they have one
-size however large the benchmark is, are built by an aggregation, and let the reading of texts drop what can't join.
+A window is SPAN consecutive words of a benchmark item; an item of fewer words is one window. For windows of n words, texts and items are
+cut into k-grams of words (k = K, or n if that is less), and of each n - k + 1 consecutive grams the least hash is kept, the last of equal ones.
+A gram that is least in several windows is kept once, so some 2 in n - k + 2 grams stay; these are the fingerprints. Equal windows
+keep the same gram at the same place, so every shared window shares a fingerprint inside it.
+
+1. Items and texts give their fingerprints, texts with the n - k words on both sides. A bitmap of fixed size of the items' fingerprints spares most
+   others the join.
+2. Fingerprints of texts meet those of items in a join on the hash alone. It only says whether an item has it, so a fingerprint that
+   many texts and items share costs a row for each text.
+3. A fingerprint that met is extended to both sides: to the n - k + 1 windows at most that hold it. Their words are compared with the items' windows, and
+   windows that overlap are merged into hits.
 """
 
 from __future__ import annotations
@@ -19,12 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwarden.llm import textkit as tk
-from sparkwarden.llm.session import durable, parts
+from sparkwarden.llm.session import durable, many_to_one, parts
 
 SPAN, K = 10, 5
 FILTER_BITS = 1 << 22
-#: Windows of items, of some 300 bytes each, up to which they are broadcast to the join.
-FEW = 50_000
+#: Fingerprints of items (16 bytes each) and windows (some 300 bytes each) up to which they are broadcast to their joins.
+FEW_PRINTS, FEW = 500_000, 50_000
 _U = np.uint64
 
 
@@ -42,7 +44,7 @@ def _winnow(g: np.ndarray, w: int) -> np.ndarray:
 
 
 class _Read:
-    """The words of some texts, and the windows of a length with their fingerprints."""
+    """The words of some texts, and their fingerprints for windows of a length."""
 
     def __init__(self, texts: tk.Texts):
         data = tk.LOWER[texts.data]
@@ -51,49 +53,57 @@ class _Read:
         self.hashes = tk.word_hashes(data, self.words)
         self.of = np.repeat(np.arange(len(texts)), self.words.count)
 
-    def windows(self, n: int, span: int, k: int, prints=None, wholes=None):
-        """(text, place, fingerprint, window hash) of each window of n words inside one text whose hashes pass."""
-        size = k if n == span else n
-        g = tk.mix(tk.grams(self.hashes, size) + _U(n))
-        at = _winnow(g, n - size + 1)
-        start = np.arange(len(at))
-        start = start[self.of[: len(at)] == self.of[n - 1 : n - 1 + len(at)]] if len(at) else start
-        if prints is not None:
-            start = start[prints(g[at[start]])]
-        whole = self.hashes[start]
-        for j in range(1, n):
-            whole = tk.mix(whole * _U(0xD1342543DE82EF95) + self.hashes[start + j])
-        if wholes is not None:
-            kept = wholes(whole)
-            start, whole = start[kept], whole[kept]
-        return self.of[start], start - self.words.of[self.of[start]], g[at[start]], whole
+    def prints(self, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, hash) of each gram that is kept for some window of n words inside one text, k at most a gram's; places are over all texts."""
+        k = min(n, k)
+        g = tk.mix(tk.grams(self.hashes, k) + _U(n))
+        at = _winnow(g, n - k + 1)
+        inside = self.of[: len(at)] == self.of[n - 1 : n - 1 + len(at)]
+        at = np.unique(at[inside])
+        return at, g[at]
 
-    def text(self, of: int, place: int, n: int) -> str:
-        i = int(self.words.of[of]) + place
-        return b" ".join(self.raw[a:b].tobytes() for a, b in zip(self.words.start[i : i + n], self.words.end[i : i + n], strict=True)).decode("utf-8", "replace")
+    def text(self, start: int, end: int) -> str:
+        return b" ".join(self.raw[a:b].tobytes() for a, b in zip(self.words.start[start:end], self.words.end[start:end], strict=True)).decode("utf-8", "replace")
 
 
-_FIELDS = "n long, print long, window long, words string"
+def _batch(columns: list, kinds: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
 
-def _items(span: int, k: int):
-    """Windows of items."""
+def _item_lengths(read: _Read, span: int) -> np.ndarray:
+    return np.minimum(read.words.count, span)
+
+
+def _item_prints(span: int, k: int):
+    """(n, print) of items."""
 
     def run(batches):
         for batch in parts(batches):
-            ids = batch.column("item_id").to_pylist()
-            out = [[] for _ in range(5)]
             for texts in tk.slices(batch.column("text")):
                 read = _Read(texts)
-                lengths = np.minimum(read.words.count, span)
-                for n in sorted(set(lengths[lengths > 0].tolist())):
-                    of, at, g, whole = read.windows(n, span, k)
-                    own = lengths[of] == n
-                    for o, a, h, w in zip(of[own].tolist(), at[own].tolist(), tk.as_long(g[own]).tolist(), tk.as_long(whole[own]).tolist(), strict=True):
-                        for col, x in zip(out, (ids[texts.first + o], n, h, w, read.text(o, a, n)), strict=True):
-                            col.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["item", "n", "print", "window", "words"])
+                own = _item_lengths(read, span)
+                for n in sorted(set(own[own > 0].tolist())):
+                    at, h = read.prints(n, k)
+                    h = np.unique(h[own[read.of[at]] == n])
+                    yield _batch([[n] * len(h), tk.as_long(h)], [pa.int64()] * 2, ["n", "print"])
+
+    return run
+
+
+def _item_windows(span: int):
+    """(item, words) of each window of items."""
+
+    def run(batches):
+        for batch in parts(batches):
+            ids, out = batch.column("item_id").to_pylist(), [[], []]
+            for texts in tk.slices(batch.column("text")):
+                read = _Read(texts)
+                for i, n in enumerate(_item_lengths(read, span).tolist()):
+                    if n:
+                        for s in range(int(read.words.of[i]), int(read.words.of[i + 1]) - n + 1):
+                            out[0].append(ids[texts.first + i])
+                            out[1].append(read.text(s, s + n))
+            yield _batch(out, [pa.int64(), pa.string()], ["item", "words"])
 
     return run
 
@@ -106,65 +116,95 @@ def _passes(bits: np.ndarray):
     return held
 
 
-def _texts(prints: np.ndarray, wholes: np.ndarray, lengths: tuple[int, ...], span: int, k: int):
+def _text_prints(bits: np.ndarray, lengths: tuple[int, ...], k: int):
+    """A row with n_words for each text, and one for each fingerprint that passes: the words around it, which begin at place, and how many of them come before it."""
+
     def run(batches):
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        names = ["row", "n_words", "place", "n", "print", "window", "words"]
+        kinds = [pa.string()] + [pa.int64()] * 5 + [pa.string()]
+        names = ["row", "n_words", "n", "print", "place", "before", "words"]
+        passes = _passes(bits)
         for batch in parts(batches):
             ids = batch.column("row").to_pylist()
             out = [[] for _ in kinds]
             for texts in tk.slices(batch.column("text")):
                 read = _Read(texts)
-                for i, c in enumerate(read.words.count.tolist()):  # a row for the text itself
+                for i, c in enumerate(read.words.count.tolist()):
                     for col, x in zip(out, (ids[texts.first + i], c, None, None, None, None, None), strict=True):
                         col.append(x)
                 for n in lengths:
-                    of, at, g, whole = read.windows(n, span, k, _passes(prints), _passes(wholes))
-                    for o, a, h, w in zip(of.tolist(), at.tolist(), tk.as_long(g).tolist(), tk.as_long(whole).tolist(), strict=True):
-                        for col, x in zip(out, (ids[texts.first + o], None, a, n, h, w, read.text(o, a, n)), strict=True):
+                    at, h = read.prints(n, k)
+                    kept = passes(h)
+                    of = read.of[at[kept]]
+                    first, last, reach = read.words.of[of], read.words.of[of + 1], n - min(n, k)
+                    start, end = np.maximum(first, at[kept] - reach), np.minimum(last, at[kept] + n)
+                    for o, p, f, s, e, p_hash in zip(of.tolist(), at[kept].tolist(), first.tolist(), start.tolist(), end.tolist(), tk.as_long(h[kept]).tolist(), strict=True):
+                        for col, x in zip(out, (ids[texts.first + o], None, n, p_hash, s - f, p - s, read.text(s, e)), strict=True):
                             col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+            yield _batch(out, kinds, names)
+
+    return run
+
+
+def _extended(k: int):
+    """The windows (row, s, n, words) that hold a fingerprint."""
+
+    def run(batches):
+        for batch in parts(batches, 4096):
+            out = [[] for _ in range(4)]
+            for row, n, place, before, words in zip(*(batch.column(c).to_pylist() for c in ("row", "n", "place", "before", "words")), strict=True):
+                w = words.split(" ")
+                for s in range(max(0, before + min(n, k) - n), min(before, len(w) - n) + 1):
+                    for col, x in zip(out, (row, place + s, n, " ".join(w[s : s + n])), strict=True):
+                        col.append(x)
+            yield _batch(out, [pa.string(), pa.int64(), pa.int64(), pa.string()], ["row", "s", "n", "words"])
 
     return run
 
 
-def _bitmap(windows: DataFrame, column: str) -> np.ndarray:
-    slot = f"(`{column}` & {FILTER_BITS - 1})"
-    filled = windows.selectExpr(f"shiftright({slot}, 3) AS byte", f"shiftleft(1, CAST({slot} & 7 AS INT)) AS bit")
+def _bitmap(prints: DataFrame) -> np.ndarray:
+    slot = f"(print & {FILTER_BITS - 1})"
+    filled = prints.selectExpr(f"shiftright({slot}, 3) AS byte", f"shiftleft(1, CAST({slot} & 7 AS INT)) AS bit")
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for byte, bit in filled.groupBy("byte").agg(F.bit_or("bit")).collect():  # at most FILTER_BITS / 8 rows
-        bits[byte] = bit
+    rows = filled.groupBy("byte").agg(F.bit_or("bit").alias("bit")).toArrow()  # at most FILTER_BITS / 8 rows
+    bits[rows.column("byte").to_numpy()] = rows.column("bit").to_numpy()
     return bits
 
 
-def contaminated_words(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
+def contaminated_words(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K, few: int | None = None) -> DataFrame:
     """(row, n_words, n_hit, n_items, item_ids) for each row of docs (row: string id, text); items: (item_id, text).
 
     Words are runs of ASCII letters and digits and characters beyond ASCII, with A-Z lower-cased; null
     has none. n_hit counts words within any occurrence of a window. item_ids are the items with
     one, null if none, sorted as strings; ids that repeat count once. Items without an id hit as others do: n_items
     counts them as one more, item_ids leave them out. Texts of any length are read whole; rows that repeat a row
-    each get its result; without items nothing is hit, and without rows there are none.
+    each get its result; without items nothing is hit, and without rows there are none. few: rows of items up to which they are broadcast.
     """
     spark = docs.sparkSession
     named = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     same_text = named.select(F.xxhash64("text").alias("item"), "item_id").distinct()
     distinct = named.select(F.xxhash64("text").alias("item_id"), "text").dropDuplicates()
-    windows = durable(distinct.mapInArrow(_items(span, k), f"item long, {_FIELDS}"))
-    lengths = tuple(sorted(r[0] for r in windows.select("n").distinct().collect()))  # at most span of them
-    prints, wholes = spark.sparkContext.broadcast(_bitmap(windows, "print")), spark.sparkContext.broadcast(_bitmap(windows, "window"))
+    prints = durable(distinct.mapInArrow(_item_prints(span, k), "n long, print long").distinct())
+    lengths = tuple(sorted(r[0] for r in prints.select("n").distinct().collect()))  # at most span of them
+    bits = spark.sparkContext.broadcast(_bitmap(prints))
 
     def read_texts(batches):
-        yield from _texts(prints.value, wholes.value, lengths, span, k)(batches)
+        yield from _text_prints(bits.value, lengths, k)(batches)
 
     texts = docs.select("row", F.col("text").cast("string").alias("text"))
-    read = durable(texts.mapInArrow(read_texts, f"row string, n_words long, place long, {_FIELDS}"))
-    mine = read.where("n is not null").select("row", "n", "print", "window", "words", "place").distinct()
-    theirs = durable(windows.groupBy("n", "print", "window", "words").agg(F.collect_set("item").alias("items")))
-    if theirs.count() <= FEW:
-        theirs = F.broadcast(theirs)
-    met = mine.join(theirs, ["n", "print", "window", "words"])
-    spans = durable(met.select("row", F.col("place").alias("s"), (F.col("place") + F.col("n")).alias("e"), "items"))
+    read = durable(texts.mapInArrow(read_texts, "row string, n_words long, n long, print long, place long, before long, words string"))
+    mine = read.where("n is not null").select("row", "n", "print", "place", "before", "words").distinct()
+    if prints.count() <= (FEW_PRINTS if few is None else few):
+        met = mine.join(F.broadcast(prints), ["n", "print"], "left_semi")
+    else:
+        met = many_to_one(mine, prints.withColumn("known", F.lit(True)), ["n", "print"], mine.groupBy("n", "print").agg(F.count("*").alias("rows"))).where("known")
+    windows = durable(met.select("row", "n", "place", "before", "words").mapInArrow(_extended(k), "row string, s long, n long, words string").distinct())
+    theirs = durable(distinct.mapInArrow(_item_windows(span), "item long, words string").groupBy("words").agg(F.collect_set("item").alias("items")))
+    if theirs.count() <= (FEW if few is None else few):
+        hits = windows.join(F.broadcast(theirs), "words")
+    else:
+        hits = many_to_one(windows, theirs, ["words"], windows.groupBy("words").agg(F.count("*").alias("rows"))).where("items is not null")
+    # Windows of all lengths are words joined by blanks: only whole items are shorter than a span.
+    spans = durable(hits.select("row", "s", (F.col("s") + F.col("n")).alias("e"), "items"))
     before = Window.partitionBy("row").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     merged = spans.groupBy("row", "s").agg(F.max("e").alias("e")).withColumn("reach", F.coalesce(F.max("e").over(before), F.lit(0)))
     hit = merged.groupBy("row").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "reach"))).alias("n_hit"))
