@@ -8,10 +8,10 @@
    that many texts share fills long lists, yet falls out of the prefixes of all but truly similar texts.
 3. Lists with the same least member are merged into one, so lists of about the same members become one list, and a class is
    in few. Lists of up to BLOCK shingles and ROWS members are dealt to units of work.
-4. Longer lists are first held against a pivot, their member of the most collisions: members that link
-   with it hang together, and pairs among them are skipped. What is left is posted once more under the rarest shingles
-   of each set (the exact prefix of a similarity join), so a phrase that many texts share joins nothing; those lists are dealt
-   to blocks of rows that still ask and blocks of all rows.
+4. Longer lists are dealt to blocks, each member to one. A block is a unit, and some members of its largest tree are held against those of
+   the list's other blocks. What then hangs together with most of the list is settled; the few others meet every block. Lists where
+   many are left are taken apart: they are posted once more under the rarest shingles of each set (the exact prefix of a similarity join, less those
+   members that come too late in a list to link with any of its sizes), so a phrase that many texts share joins nothing.
 5. A unit counts collisions, skips pairs that hang together already, and confirms the others on the full sets. It returns a
    spanning forest of the confirmed links, so rows grow with members, never with pairs.
 6. Components of the forest give the result.
@@ -32,7 +32,9 @@ from sparkwarden.llm.session import FEW, durable, many_to_one, parts
 
 COORDINATES = 24
 #: Shingles and rows in a block of a list; two blocks are in memory at a time.
-BLOCK, ROWS = 1_000_000, 4_000
+BLOCK, ROWS = 400_000, 1_000
+#: Members of a block's largest tree that meet those of the other blocks of its list.
+ENVOYS = 8
 #: Members of lists that go to one unit, as expected.
 UNIT = 500
 #: Odds that a pair exactly at the threshold has fewer coordinates in common than are asked for.
@@ -173,13 +175,13 @@ class _Unit:
         return others[100 * common >= self.threshold * (self.sizes[i] + self.sizes[others] - common)]
 
 
-def _central(sigs: np.ndarray) -> int:
-    """The row whose coordinates collide with most others."""
+def _collisions(sigs: np.ndarray) -> np.ndarray:
+    """How many coordinates each row shares with others, in all."""
     score = np.zeros(len(sigs), np.int64)
     for k in range(sigs.shape[1]):
         _, inverse, count = np.unique(sigs[:, k], return_inverse=True, return_counts=True)
         score += count[inverse]
-    return int(score.argmax())
+    return score
 
 
 def _join_unit(sets: list[np.ndarray], sigs: np.ndarray, threshold: int, least: int, label: np.ndarray | None = None, asks: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -209,7 +211,7 @@ def _join_unit(sets: list[np.ndarray], sigs: np.ndarray, threshold: int, least:
                 links.append((i, int(j)))
 
     if n > 2:
-        center = _central(sigs)
+        center = int(_collisions(sigs).argmax())
         if len(others := open_to(center, np.arange(n))):
             join(center, others)
         settled[center] = True
@@ -224,8 +226,19 @@ def _join_unit(sets: list[np.ndarray], sigs: np.ndarray, threshold: int, least:
     return links
 
 
-def _join_lists(threshold: int, least: int):
-    """Rows come sorted by unit; a unit may go over batches."""
+def _envoys(links: list[tuple[bytes, bytes]], keys: list[bytes], sigs: np.ndarray) -> list[bytes]:
+    """Members of the largest tree of a unit, those with most collisions first."""
+    at = {k: i for i, k in enumerate(keys)}
+    trees = Trees(np.arange(len(keys)))
+    for a, b in links:
+        if trees.of[at[a]] != trees.of[at[b]]:
+            trees.union(at[a], at[b])
+    most = max(trees.rows.values(), key=len)
+    return [keys[i] for i in most[np.argsort(-_collisions(sigs[most]), kind="stable")[:ENVOYS]]]
+
+
+def _join_lists(threshold: int, least: int, envoys: bool = False):
+    """(unit, a, b) for each link of a unit's forest; if envoys are asked for, with a = b for each. Rows come sorted by unit; a unit may go over batches."""
 
     def unit(tables):
         t = pa.Table.from_batches(tables).combine_chunks()
@@ -240,17 +253,17 @@ def _join_lists(threshold: int, least: int):
         at = np.array(list(first.values()))
         names = t.column("label").combine_chunks().take(pa.array(at)).dictionary_encode().indices.to_numpy(zero_copy_only=False)
         sigs = np.array(t.column("sig").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(len(keys), -1)[at]
-        if not any(asks.values()) or (names == names[0]).all():
-            return []
-        return [(keys[at[i]], keys[at[j]]) for i, j in _join_unit([flat[off[i] : off[i + 1]] for i in at], sigs, threshold, least, names, np.array([asks[k] for k in first]))]
+        found = []
+        if any(asks.values()) and (names != names[0]).any():
+            found = [(keys[at[i]], keys[at[j]]) for i, j in _join_unit([flat[off[i] : off[i + 1]] for i in at], sigs, threshold, least, names, np.array([asks[k] for k in first]))]
+        return found + ([(k, k) for k in _envoys(found, list(first), sigs)] if envoys else [])
 
     def run(batches):
         held, at = [], None
-        names = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
         def done():
-            found = unit(held) if sum(x.num_rows for x in held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], schema=names)
+            found = unit(held) if envoys or sum(x.num_rows for x in held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([at] * len(found), pa.int64()), *(pa.array([x[k] for x in found], pa.binary()) for k in (0, 1))], ["unit", "a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -273,54 +286,90 @@ def _blocks(total, members, block: int) -> F.Column:
     return F.greatest(F.lit(1), F.ceil(total / block), F.ceil(members / ROWS)).cast("int")
 
 
-def _against_pivots(members: DataFrame, sets: DataFrame, per_cent: int, block: int) -> DataFrame:
-    """Links (a, b) of members (posting, set_key, blocks, weight) of long lists with their list's member of the most collisions.
+def _forests(units: DataFrame, sets: DataFrame, per_cent: int, least: int, envoys: bool = False) -> DataFrame:
+    """Links (unit, a, b) inside the units (unit, set_key, label, asks)."""
+    dealt = units.join(sets, "set_key").select("unit", "set_key", "label", "asks", "sig", "shingles").repartition("unit").sortWithinPartitions("unit", "set_key", F.desc("asks"))
+    return dealt.mapInArrow(_join_lists(per_cent, least, envoys), "unit long, a binary, b binary")
 
-    A pivot's set goes to as many places as its longest list has blocks, and its members are dealt to them.
-    """
-    lists = members.groupBy("posting").agg(F.max("blocks").alias("blocks"), F.max_by("set_key", F.struct("weight", "set_key")).alias("pivot"))
-    places = lists.groupBy("pivot").agg(F.max("blocks").alias("places"))
-    pairs = members.join(lists.join(places, "pivot").select("posting", "pivot", "places"), "posting").where("set_key != pivot").select("set_key", "pivot", "places").distinct()
-    pairs = pairs.withColumn("place", F.pmod(F.xxhash64("set_key", F.lit(5)), F.col("places")).cast("int")).drop("places")
-    spread = places.join(sets.select(F.col("set_key").alias("pivot"), F.col("shingles").alias("theirs")), "pivot").withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).drop("places")
-    met = pairs.join(sets.select("set_key", "shingles"), "set_key").join(spread, ["pivot", "place"])
-    both, sizes = F.size(F.array_intersect("shingles", "theirs")), F.size("shingles") + F.size("theirs")
-    return met.where(100 * both >= per_cent * (sizes - both)).select(F.col("set_key").alias("a"), F.col("pivot").alias("b"))
-
-
-def _long_lists(members: DataFrame, sets: DataFrame, classes: DataFrame, per_cent: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """Links of long lists with their pivots, and units (unit, set_key, label, asks) for what these leave open."""
-    links = durable(_against_pivots(members, sets, per_cent, block))
-    label = components(links).select(F.col("node").alias("set_key"), F.col("comp").alias("label"))
-    named = durable(members.select("posting", "set_key").join(label, "set_key", "left").withColumn("label", F.coalesce("label", "set_key")))
-    top = named.groupBy("posting", "label").count().groupBy("posting").agg(F.max_by("label", F.struct("count", "label")).alias("top"), F.count("*").alias("labels"))
-    opened = named.join(top.where("labels > 1").select("posting", "top"), "posting")
-    rows = durable(opened.groupBy("set_key").agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("top")).alias("asks")))
 
-    # The exact prefix: any one order of shingles will do, so the rarest come first.
-    held = rows.join(sets, "set_key").select("set_key", "label", "asks", F.explode("shingles").alias("posting"))
-    often = held.groupBy("posting").agg(F.count("*").alias("count"), F.max("asks").alias("asked"))
+def _place(blocks, seed: int) -> F.Column:
+    return F.pmod(F.xxhash64("set_key", F.lit(seed)), blocks).cast("int")
+
+
+def _of_list(rows: DataFrame, table: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows of lists that table (posting, ...) has, with what it says; counts (posting, rows): how many rows a list has. Long lists are the hot ones."""
+    if table.count() <= FEW:
+        return rows.join(F.broadcast(table), "posting")
+    return many_to_one(rows, table.withColumn("_of", F.lit(True)), ["posting"], counts).where("_of").drop("_of")
+
+
+def _rarest(rows: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Members (posting, set_key, n, label, asks) of lists by shingle for rows (set_key, n, label, asks), such that each pair that can link, may and has to be asked for meets.
+
+    Shingles have one order, the rarest first, and a set is in the lists of as many as leave it too few for a link. A pair needs a share of both
+    sizes in common and has at most what follows their first common shingle, so a set stays in a list only if the least size there leaves it enough.
+    """
+    held = durable(rows.join(sets, "set_key").select("set_key", "n", "label", "asks", F.explode("shingles").alias("posting")))
+    often = durable(held.groupBy("posting").agg(F.count("*").alias("rows"), F.max("asks").alias("asked"), F.min("label").alias("low"), F.max("label").alias("high")))
     own = Window.partitionBy("set_key")
-    size = F.count("*").over(own)
-    ranked = held.join(often, "posting").withColumn("rank", F.row_number().over(own.orderBy("count", "posting"))).withColumn("most", size - F.ceil(size * per_cent / 100) + 1)
-    posted = durable(ranked.where("rank <= most and count > 1 and asked").select("posting", "set_key", "label", "asks"))
-    differ = posted.groupBy("posting").agg(F.max("asks").alias("asked"), F.min("label").alias("l"), F.max("label").alias("h")).where("asked and l != h").select("posting")
-    weighed = posted.join(differ, "posting", "left_semi").join(classes.select("set_key", "n"), "set_key")
+    # Shingles that only one set has come first in the order and meet nothing: their number is all that counts.
+    ranked = many_to_one(held, often, ["posting"], often.select("posting", "rows")).withColumn("before", F.row_number().over(own.orderBy("rows", "posting")) - 1)
+    most = F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1
+    posted = ranked.where((F.col("before") < most) & F.expr("rows > 1 AND asked AND low != high")).select("posting", "set_key", "n", "label", "asks", "before")
+    posted = durable(posted)
+    sizes = durable(posted.groupBy("posting").agg(F.min("n").alias("least_n"), F.count("*").alias("rows")))
+    able = (F.col("n") - F.col("before")) * (100 + per_cent) - F.col("n") * per_cent >= F.col("least_n") * per_cent
+    left = durable(_of_list(posted, sizes.select("posting", "least_n"), sizes).where(able).select("posting", "set_key", "n", "label", "asks"))
     low = F.xxhash64("set_key", F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1))
-    asked = lambda c: F.sum(F.when(F.col("asks"), c).otherwise(0))
-    lists = weighed.groupBy("posting").agg(
-        F.count("*").alias("members"), F.sum("n").alias("total"), asked(F.lit(1)).alias("ask_members"), asked(F.col("n")).alias("ask_total"),
-        F.bit_xor(F.xxhash64("set_key")).alias("x1"), F.sum(low).alias("x2"),
-    )
-    lists = lists.groupBy("members", "total", "ask_members", "ask_total", "x1", "x2").agg(F.min("posting").alias("posting"))
-    lists = lists.select("posting", _blocks(F.col("total"), F.col("members"), block).alias("blocks"), _blocks(F.col("ask_total"), F.col("ask_members"), block).alias("ask_blocks"))
-    dealt = posted.join(lists, "posting")
-    mine = F.pmod(F.xxhash64("set_key", F.lit(7)), F.col("blocks")).cast("int")
-    asking = F.pmod(F.xxhash64("set_key", F.lit(9)), F.col("ask_blocks")).cast("int")
-    whole = dealt.withColumn("block", mine).withColumn("ask_block", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1))).withColumn("asks", F.lit(False))
-    those = dealt.where("asks").withColumn("ask_block", asking).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lists = left.groupBy("posting").agg(
+        F.count("*").alias("rows"), F.max("asks").alias("asked"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("set_key")).alias("x1"), F.sum(low).alias("x2")
+    ).where("rows > 1 AND asked AND low != high")
+    once = durable(lists.groupBy("rows", "x1", "x2").agg(F.min("posting").alias("posting")))  # lists of the same members
+    return durable(_of_list(left, once.select("posting"), once.select("posting", "rows")))
+
+
+def _long_lists(members: DataFrame, sets: DataFrame, per_cent: int, least: int, block: int, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of long lists, and units (unit, set_key, label, asks) for what these leave open.
+
+    members: (posting, set_key, n, blocks). known: links found before, of lists that have been taken apart already. A member is written
+    once for its block and once for the units, and those that are left as often as their list has blocks, as long as they fill no block themselves.
+    """
+    lists = durable(members.groupBy("posting").agg(F.count("*").alias("rows"), F.sum("n").alias("total"), F.max("blocks").alias("blocks")))
+    placed = durable(members.select(F.xxhash64("posting", _place(F.col("blocks"), 7)).alias("unit"), "posting", "set_key"))
+    alone = [F.col("set_key").alias("label"), F.lit(True).alias("asks")]
+    inside = durable(_forests(placed.select("unit", "set_key", *alone), sets, per_cent, least, envoys=True))
+    sent = inside.where("a = b").select("unit", F.col("a").alias("set_key")).join(placed.select("unit", "posting").distinct(), "unit")
+    halls = F.greatest(F.lit(1), F.ceil(F.col("blocks") * ENVOYS / ROWS)).cast("int")
+    met = _of_list(sent, lists.select("posting", "blocks"), lists).where("blocks > 1").select(F.xxhash64("posting", _place(halls, 13)).alias("unit"), "set_key").distinct()
+    between = _forests(met.select("unit", "set_key", *alone), sets, per_cent, least)
+    links = inside.where("a != b").select("a", "b").unionByName(between.select("a", "b"))
+    links = durable(links if known is None else links.unionByName(known))
+
+    label = components(links).select(F.col("node").alias("set_key"), F.col("comp").alias("label"))
+    named = durable(members.select("posting", "set_key", "n").join(label, "set_key", "left").withColumn("label", F.coalesce("label", "set_key")))
+    top = named.groupBy("posting", "label").count().groupBy("posting").agg(F.max_by("label", F.struct("count", "label")).alias("top"), F.count("*").alias("labels"))
+    opened = durable(_of_list(named, durable(top.where("labels > 1").select("posting", "top")), lists).withColumn("asks", F.col("label") != F.col("top")).drop("top"))
+    asked = opened.where("asks").groupBy("posting").agg(F.count("*").alias("ask_rows"), F.sum("n").alias("ask_total"))
+    ways = durable(asked.join(lists, "posting").select("posting", "rows", _blocks(F.col("total"), F.col("rows"), block).alias("blocks"), _blocks(F.col("ask_total"), F.col("ask_rows"), block).alias("ask_blocks")))
+    # Lists that have been taken apart have no other way left than all their blocks against each other.
+    few = F.col("ask_blocks") == 1 if known is None else F.lit(True)
+    dealt = _of_list(opened, ways.where(few).select("posting", "blocks", "ask_blocks"), lists)
+    whole = dealt.withColumn("block", _place(F.col("blocks"), 7)).withColumn("ask_block", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1))).withColumn("asks", F.lit(False))
+    those = dealt.where("asks").withColumn("ask_block", _place(F.col("ask_blocks"), 9)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     columns = [F.xxhash64("posting", "block", "ask_block").alias("unit"), "set_key", "label", "asks"]
-    return links, whole.select(*columns).unionByName(those.select(*columns))
+    units = whole.select(*columns).unionByName(those.select(*columns))
+    if known is not None or (many := ways.where(~few)).isEmpty():
+        return links, units
+
+    apart = _of_list(opened, many.select("posting"), lists).groupBy("set_key").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.max("asks").alias("asks"))
+    again = _rarest(durable(apart), sets, per_cent)
+    sizes = durable(again.groupBy("posting").agg(F.count("*").alias("rows"), _blocks(F.sum("n"), F.count("*"), block).alias("blocks")))
+    again = durable(_of_list(again, sizes.drop("rows"), sizes))
+    units = units.unionByName(again.where("blocks = 1").select(F.xxhash64("posting").alias("unit"), "set_key", "label", "asks"))
+    if (long := again.where("blocks > 1")).isEmpty():
+        return links, units
+    links, more = _long_lists(long.select("posting", "set_key", "n", "blocks"), sets, per_cent, least, block, links)
+    return links, units.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, block: int = BLOCK) -> DataFrame:
@@ -351,14 +400,14 @@ def marked_rows(docs: DataFrame, k: int = 5, threshold: float = 0.8, block: int
     shared = durable(posted.groupBy("posting").count().where("count > 1"))
     meet = many_to_one(posted, shared, ["posting"], shared.select("posting", F.col("count").alias("rows"))).where("count is not null")
     own = Window.partitionBy("set_key")
-    ranked = meet.withColumn("rank", F.row_number().over(own.orderBy("count", "pos"))).withColumn("met", F.count("*").over(own)).withColumn("weight", F.sum("count").over(own))
-    kept = durable(ranked.where(F.col("met") >= least).where(F.col("rank") <= prefix - (COORDINATES - F.col("met"))).select("posting", "set_key", "weight"))
+    ranked = meet.withColumn("rank", F.row_number().over(own.orderBy("count", "pos"))).withColumn("met", F.count("*").over(own))
+    kept = durable(ranked.where(F.col("met") >= least).where(F.col("rank") <= prefix - (COORDINATES - F.col("met"))).select("posting", "set_key"))
     heads = kept.groupBy("posting").agg(F.min("set_key").alias("head"), F.count("*").alias("rows")).where("rows > 1")
     met = many_to_one(kept, heads.drop("rows"), ["posting"], heads.select("posting", "rows")).where("head is not null")
-    pairs = durable(met.groupBy("head", "set_key").agg(F.max("weight").alias("weight")).join(classes.select("set_key", "n", "least_id"), "set_key"))
+    pairs = durable(met.select("head", "set_key").distinct().join(classes.select("set_key", "n", "least_id"), "set_key"))
     lists = pairs.groupBy("head").agg(F.count("*").alias("rows"), _blocks(F.sum("n"), F.count("*"), block).alias("blocks"))
     lists = durable(lists)
-    member = many_to_one(pairs, lists.drop("rows"), ["head"], lists.select("head", "rows")).select(F.col("head").alias("posting"), "set_key", "least_id", "weight", "blocks")
+    member = many_to_one(pairs, lists.drop("rows"), ["head"], lists.select("head", "rows")).select(F.col("head").alias("posting"), "set_key", "least_id", "n", "blocks")
     member = durable(member)
 
     named = durable(member.select("set_key", "least_id").distinct())
@@ -374,10 +423,9 @@ def marked_rows(docs: DataFrame, k: int = 5, threshold: float = 0.8, block: int
     units = member.where("blocks = 1").select(unit.alias("unit"), "set_key", F.col("set_key").alias("label"), F.lit(True).alias("asks")).distinct()
     links = None
     if not (long := member.where("blocks > 1")).isEmpty():
-        links, more = _long_lists(long.drop("least_id"), sets, classes, per_cent, block)
+        links, more = _long_lists(long.select("posting", "set_key", "n", "blocks"), sets, per_cent, least, block)
         units = units.unionByName(more)
-    dealt = units.join(sets, "set_key").select("unit", "set_key", "label", "asks", "sig", "shingles").repartition("unit").sortWithinPartitions("unit", "set_key", F.desc("asks"))
-    found = dealt.mapInArrow(_join_lists(per_cent, least), "a binary, b binary")
+    found = _forests(units, sets, per_cent, least).select("a", "b")
     links = durable(found if links is None else found.unionByName(links))
 
     comp = components(links)

@@ -95,3 +95,48 @@ def test_a_unit_of_texts_from_one_template_takes_linear_time():
         assert near_dedup._join_unit(sets, sigs, 85, least_matches(0.85)) == []
         took.append(time.perf_counter() - began)
     assert took[1] < 10 * took[0]
+
+
+def dense(rows, k, per_cent):
+    """brute() by one product of matrices, for texts of k words and more."""
+    sets = [{tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)} for _, t in rows]
+    at = {g: i for i, g in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(rows), len(at)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [at[g] for g in s]] = 1
+    common, size = m @ m.T, m.sum(1)
+    near, least = 100 * common >= per_cent * (size[:, None] + size[None, :] - common), np.array([d for d, _ in rows])
+    while True:
+        new = np.where(near, least[None, :], least[:, None]).min(1)
+        if (new == least).all():
+            return sorted((d, int(n), int(c), d == c) for (d, _), n, c in zip(rows, size, least, strict=True))
+        least = new
+
+
+def test_rows_written_for_a_long_list_follow_its_members(spark, monkeypatch):
+    rng = random.Random(17)
+    base = ["b%d" % i for i in range(60)]
+
+    def changed(words, places):
+        w = list(words)
+        for i in rng.sample(range(len(w)), places):
+            w[i] = "x%d" % rng.randrange(10**6)
+        return w
+
+    variants = [changed(base, 4) for _ in range(12)]
+    loose = [(i, " ".join(changed(base, 3))) for i in range(900)]  # too far apart to link
+    tight = [(2000 + i, " ".join(changed(base, 1))) for i in range(700)]
+    apart = [(4000 + i, " ".join(changed(rng.choice(variants), 1))) for i in range(600)]  # link inside their variant only
+    rows = loose + tight + apart
+    monkeypatch.setattr(near_dedup, "ROWS", 250)
+    written = []
+    forests = near_dedup._forests
+
+    def counted(units, *rest, **more):
+        written.append(units.count())
+        return forests(units, *rest, **more)
+
+    monkeypatch.setattr(near_dedup, "_forests", counted)
+    assert run(spark, rows) == dense(rows, 3, 85)
+    listed = written[0]  # each member once for each of its lists, few of the 24 coordinates
+    assert len(written) >= 3 and listed < 6 * len(rows) and sum(written) < 2 * listed, written  # blocks against blocks were 9 times as many
