@@ -10,7 +10,7 @@ they need. The final counts are of all training texts.
 
 1. Texts are gathered to blocks of BLOCK_TOKENS. A block's words are numbered, the frequent ones first, and written as packed numbers. Kept-back
    texts have blocks of their own.
-2. Each block asks for the counts of its distinct n-grams: a row for each slot, a range of hashes. However often an n-gram occurs, it is one
+2. Each block asks for the counts of its distinct n-grams, one order after the other: a row for each slot, a range of hashes. However often an n-gram occurs, it is one
    entry of a block, so no key is hot. A slot adds up what all blocks have, and answers each in the order asked, without the hashes.
 3. Blocks meet their answers. Kept-back blocks give the distinct tuples of counts that expectation-maximisation runs over, one job a round; then
    all blocks give their texts' scores.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.llm import textkit as tk
 from sparkwarden.llm.packed import pack, pack_rising, small, unpack, unpack_rising
-from sparkwarden.llm.session import durable, parts
+from sparkwarden.llm.session import durable, durable_alone, parts
 
 #: Tokens of a block (a longer text is one by itself), and tokens for each slot, of which at least LEAST_SLOTS are used.
 BLOCK_TOKENS, SLOT_TOKENS, LEAST_SLOTS = 1 << 20, 1 << 20, 64
@@ -144,24 +144,23 @@ def _rows(batches, *names: str):
             yield dict(zip(names, values, strict=True))
 
 
-def _requests(order: int, bits: int):
-    """What each block asks for: its distinct hashes by slot with its own counts in learned and in kept-back texts."""
+def _requests(order: int, bits: int, o: int):
+    """What each block asks for of order o: its distinct hashes by slot with its own counts in learned and in kept-back texts."""
 
     def run(batches):
         for row in _rows(batches, "block", "part", "bounds", "words", "text"):
             grams, part, bounds = _grams(row, order)
             of_token = np.repeat(part, np.diff(bounds))
-            for o in range(1, order + 1):
-                asked = grams.asked(o)
-                mine = of_token if len(asked) == len(of_token) else np.concatenate((of_token, part))
-                h, at = np.unique(asked, return_inverse=True)
-                counts = [small(np.bincount(at, mine == p, len(h)).astype(np.int64)) for p in (LEARNED, KEPT_BACK)]
-                cuts = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << _U(64 - bits)).tolist() + [len(h)]
-                full = [s for s in range(1 << bits) if cuts[s + 1] > cuts[s]]
-                cols = [[f(x[cuts[s] : cuts[s + 1]]) for s in full] for f, x in ((pack_rising, h), (pack, counts[0]), (pack, counts[1]))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["block"]] * len(full), pa.int64()), pa.array([(o << bits) | s for s in full], pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["block", "slot", "hashes", "learned", "kept"]
-                )
+            asked = grams.asked(o)
+            mine = of_token if len(asked) == len(of_token) else np.concatenate((of_token, part))
+            h, at = np.unique(asked, return_inverse=True)
+            counts = [small(np.bincount(at, mine == p, len(h)).astype(np.int64)) for p in (LEARNED, KEPT_BACK)]
+            cuts = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << _U(64 - bits)).tolist() + [len(h)]
+            full = [s for s in range(1 << bits) if cuts[s + 1] > cuts[s]]
+            cols = [[f(x[cuts[s] : cuts[s + 1]]) for s in full] for f, x in ((pack_rising, h), (pack, counts[0]), (pack, counts[1]))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row["block"]] * len(full), pa.int64()), pa.array([(o << bits) | s for s in full], pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["block", "slot", "hashes", "learned", "kept"]
+            )
 
     return run
 
@@ -355,8 +354,11 @@ def deleted_interpolation(docs: DataFrame, learn: Column, keep_back: Column, ord
     blocks = durable(texts.mapInArrow(_blocks(block_tokens), _BLOCK))
     size = blocks.agg(F.sum("tokens")).first()[0] or 0
     bits = max(LEAST_SLOTS, size // SLOT_TOKENS).bit_length() - 1
-    asked = blocks.mapInArrow(_requests(order, bits), "block long, slot int, hashes binary, learned binary, kept binary")
-    answers = durable(asked.repartition("slot").sortWithinPartitions("slot").mapInArrow(_answers(bits), _ANSWER))
+    answers = None
+    for o in range(1, order + 1):  # one order's questions are on disk at a time
+        asked = blocks.mapInArrow(_requests(order, bits, o), "block long, slot int, hashes binary, learned binary, kept binary")
+        told = durable_alone(asked.repartition("slot").sortWithinPartitions("slot").mapInArrow(_answers(bits), _ANSWER))
+        answers = told if answers is None else answers.unionByName(told)
     types, learned, tokens = (x or 0 for x in answers.agg(F.sum("types"), F.sum("learned_tokens"), F.sum("tokens")).first())
     model = Model(order, tokens, types, np.zeros((order, BUCKETS)), [], blocks, answers.drop("types", "learned_tokens", "tokens"), bits)
     kept = blocks.where("kept_back")

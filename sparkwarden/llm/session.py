@@ -42,6 +42,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def durable_alone(df: DataFrame) -> DataFrame:
+    """durable(df), and the shuffles that went into it leave no files behind: for large ones that nothing else will read."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return durable(df.select("*"))  # a plan of its own, which takes the setting in
+    finally:
+        conf.set(name, was)
+
+
 #: Rows of one key from which on they are spread over several tasks, and keys and rows of small tables (some 100 bytes each) up to which they are broadcast.
 HOT, FEW = 500, 250_000
 
