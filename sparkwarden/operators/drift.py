@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import constants as C
+from sparkwarden.operators import folds
 from sparkwarden.operators.ordered import running
 
 
@@ -75,6 +80,42 @@ def drifting_at(events: DataFrame, checks: DataFrame, seq: str, window: int = C.
     return joined.withColumn("drifting", F.coalesce("_drift", F.lit(False))).drop("_check", "_drift")
 
 
+def fallback(scores: DataFrame, order: str, first: str, second: str, monitor: folds.Drift = folds.Drift(), scope: str | None = None, reset: str | None = None) -> DataFrame:
+    """(order, scope, drifting, final_score, psi, edge): which tier's score counts for each event, where the scores that count are what drift is told from.
+
+    While the last check before an event told of drift its first score counts, else the second one if there is one. psi and edge are null but where a check was made.
+    reset: a column that says before which events the monitor starts anew. Each check decides the scores of the next, so a scope is one chain: it is gone through in
+    one pass over its sorted rows, of a few numbers each, of which a task holds a batch at a time. Scopes run side by side.
+    """
+    of = F.lit(None).cast("string") if scope is None else F.col(scope).cast("string")
+    rows = scores.select(F.col(order).alias("number"), of.alias("scope"), F.col(first).cast("double").alias("first"), F.col(second).cast("double").alias("second"), (F.lit(False) if reset is None else F.coalesce(F.col(reset), F.lit(False))).alias("reset"))
+    sent = rows.repartition("scope").sortWithinPartitions("scope", "number")
+    kind = dict(rows.dtypes)["number"]
+
+    def run(batches):
+        at, own = object(), None
+        for batch in batches:
+            name = batch.column("scope").to_pylist()
+            cuts = [0, *(i for i in range(1, len(name)) if name[i] != name[i - 1]), len(name)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if s == e:
+                    continue
+                if name[s] != at:
+                    at, own = name[s], replace(monitor, reference=None)
+                part = batch.slice(s, e - s)
+                values = [part.column(c).fill_null(np.nan).to_numpy(zero_copy_only=False) for c in ("first", "second")]
+                final, on, checks = own.feed(*values, part.column("reset").to_numpy(zero_copy_only=False).astype(bool))
+                psi, edge = [None] * len(final), [None] * len(final)
+                for i, _, value, _, what in checks:
+                    psi[i], edge[i] = value, what
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("number"), part.column("scope"), pa.array(on), pa.array(final), pa.array(psi, pa.float64()), pa.array(edge, pa.string())], ["number", "scope", "drifting", "final_score", "psi", "edge"]
+                )
+
+    out = sent.mapInArrow(run, f"number {kind}, scope string, drifting boolean, final_score double, psi double, edge string")
+    return out.withColumnRenamed("number", order).drop("scope") if scope is None else out.withColumnsRenamed({"number": order, "scope": scope})
+
+
 def snapshot(checks: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """(scope, checks, last_at, last_psi, drifting, episodes): what a monitor shows, a row for each scope."""
     last = F.max(F.struct("at", "psi", "drift"))

@@ -53,9 +53,17 @@ def classify(df: DataFrame, syslog_model: Callable[[DataFrame], Column], event_m
     return one(df.where(syslog)).unionByName(other(df.where(F.coalesce(~syslog, F.lit(True)))))
 
 
-def second_tier(df: DataFrame, band: Band, model: Callable[[DataFrame], Column], drifting: Column | None = None) -> DataFrame:
-    """tier2_score, tier2_used and the classifier_score it replaces, for rows in the band that aren't syslog-like; skipped while drift is on. A null score keeps the first tier's."""
-    inside = F.col("classifier_score").between(band.low, band.high) & ~F.col("source_type").isin(*C.SYSLOG_MODEL_TYPES)
+def in_band(df: DataFrame, band: Band) -> Column:
+    """Whether the second tier is meant for a row: its score is in the band, and it isn't syslog-like."""
+    return F.coalesce(F.col("classifier_score").between(band.low, band.high) & ~F.col("source_type").isin(*C.SYSLOG_MODEL_TYPES), F.lit(False))
+
+
+def second_tier(df: DataFrame, band: Band, model: Callable[[DataFrame], Column], drifting: Column | None = None, split: bool = True) -> DataFrame:
+    """tier2_score, tier2_used and the classifier_score it replaces, for rows in the band that aren't syslog-like; skipped while drift is on. A null score keeps the first tier's.
+
+    split: rows that the model doesn't see go another way; a model of built-in functions needs no split, as a condition is enough.
+    """
+    inside = in_band(df, band)
     if drifting is not None:
         inside = inside & ~drifting
 
@@ -63,6 +71,9 @@ def second_tier(df: DataFrame, band: Band, model: Callable[[DataFrame], Column],
         part = part.withColumn("tier2_score", clamp(model(part)))
         return part.withColumn("tier2_used", F.col("tier2_score").isNotNull()).withColumn("classifier_score", F.coalesce("tier2_score", "classifier_score"))
 
+    if not split:
+        told = df.withColumn("tier2_score", F.when(inside, clamp(model(df))))
+        return told.withColumn("tier2_used", F.col("tier2_score").isNotNull()).withColumn("classifier_score", F.coalesce("tier2_score", "classifier_score"))
     return cascade(df, inside, run).withColumn("tier2_used", F.coalesce("tier2_used", F.lit(False)))
 
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import constants as C
-from sparkwarden.functions.vector import clamp, dot, doubles, unit
-from sparkwarden.operators.ordered import chunks, range_of, running
+from sparkwarden.functions.vector import dot, doubles, unit
+from sparkwarden.operators import folds
+from sparkwarden.operators.ordered import chunks, running
 
 #: Techniques that go along with an event as one array (more make more arrays), and events of a bucket of time that are compared in one task.
 CHUNK, PART = 2_000, 2_000
+#: Events that novelty goes through in one task, at least.
+STRETCH = 16_384
 #: Buckets of time (some 50 bytes each) up to which their counts are broadcast.
 FEW = 250_000
 
@@ -37,15 +42,61 @@ def with_candidates(events: DataFrame, techniques: DataFrame, vector: str = "emb
     return out.withColumn("candidates", F.when(F.col("_v").isNotNull(), best)).drop("_v", "_near")
 
 
+def _nearest(batches):
+    """(_k, _best) of the rows of a unit that ask: the largest inner product with those held that are earlier and not too old. Units come sorted, what is held first; nothing is put out for pairs."""
+    at, held, kept = None, [], None
+
+    def columns(batch: pa.RecordBatch) -> tuple:
+        v = batch.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        return batch.column("_k").to_numpy(zero_copy_only=False), batch.column("_t").to_numpy(), v
+
+    for batch in batches:
+        u = batch.column("_u").to_numpy()
+        asks = batch.column("_asks").to_numpy(zero_copy_only=False).astype(bool)
+        cuts = [0, *(np.flatnonzero((u[1:] != u[:-1]) | (asks[1:] != asks[:-1])) + 1), len(u)]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if s == e:
+                continue
+            if u[s] != at:
+                at, held, kept = u[s], [], None
+            if not asks[s]:
+                held.append(columns(batch.slice(s, e - s)))
+                continue
+            if not held:
+                continue
+            kept = kept or tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            k2, t2, v2 = kept
+            for i in range(s, e, folds.ROWS):
+                part = batch.slice(i, min(folds.ROWS, e - i))
+                k, t, v = columns(part)
+                since = part.column("_from").to_numpy()
+                near = (t2[None, :] < t[:, None]) & (t2[None, :] >= since[:, None])
+                if (same := t2[None, :] == t[:, None]).any():
+                    x, y = np.nonzero(same)
+                    near[x, y] = k2[y] < k[x]
+                some = near.any(1)
+                if some.any():
+                    found = np.where(near[some], v[some] @ v2.T, -np.inf).max(1)
+                    yield pa.RecordBatch.from_arrays([part.column("_k").filter(pa.array(some)), pa.array(found)], ["_k", "_best"])
+
+
 def mark_duplicates(
     events: DataFrame, key: str, ts: str, vector: str = "embedding", window_s: int = C.DEDUP_WINDOW_S, least: float = C.DEDUP_SIMILARITY, scope: list[str] | None = None, mode: str = "window", part: int = PART
 ) -> DataFrame:
-    """(key, dedup_similarity, is_duplicate) of each event: its nearest earlier event of the last window_s seconds.
+    """(key, dedup_similarity, is_duplicate) of each event, as ``nearest_earlier`` finds; 0 where it finds none."""
+    best = nearest_earlier(events, key, ts, vector, window_s, scope, mode, part)
+    out = events.select(key).join(best, key, "left").withColumn("dedup_similarity", F.coalesce("dedup_similarity", F.lit(0.0)))
+    return out.withColumn("is_duplicate", F.col("dedup_similarity") >= least)
+
+
+def nearest_earlier(events: DataFrame, key: str, ts: str, vector: str = "embedding", window_s: int = C.DEDUP_WINDOW_S, scope: list[str] | None = None, mode: str = "window", part: int = PART) -> DataFrame:
+    """(key, dedup_similarity) of events that have one: the largest inner product with an earlier event of the last window_s seconds.
 
     Earlier: by (ts, key). mode ``lag`` looks back from the event before, as an index that is pruned on insertion does.
     scope: columns within which events are compared; state reaches no further. Each event meets the
     bucket of its own window and the one before, so the join is an equi-join with a check of times. Buckets of more than
-    ``part`` events are dealt to parts, which each event meets one by one; of pairs only each part's best goes on.
+    ``part`` events are dealt to parts, which each event meets one by one. A part's vectors are held against those that ask by products of
+    matrices, and only each one's best goes on: there is no row for a pair. Null scopes are a scope; events without a vector take no part.
     """
     scope = scope or []
     rows = events.select(*scope, F.col(key).alias("_k"), F.col(ts).cast("timestamp").cast("double").alias("_t"), doubles(F.col(vector)).alias("_v"))
@@ -64,15 +115,18 @@ def mark_duplicates(
     if not parts.isEmpty():
         parts = F.broadcast(parts) if parts.count() <= FEW else parts
     number = F.coalesce("_parts", F.lit(1))
-    left = rows.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_from") / window_s), F.floor(F.col("_t") / window_s)))).join(parts, [*scope, "_b"], "left")
-    left = left.withColumn("_p", F.explode(F.sequence(F.lit(0), number - 1))).drop("_parts")
-    right = placed.join(parts, [*scope, "_b"], "left").withColumn("_p", F.pmod(F.xxhash64("_k"), number).cast("int"))
-    right = right.select(*scope, F.col("_k").alias("_k2"), F.col("_t").alias("_t2"), F.col("_v").alias("_v2"), "_b", "_p")
-    earlier = (F.col("_t2") < F.col("_t")) | ((F.col("_t2") == F.col("_t")) & (F.col("_k2") < F.col("_k")))
-    met = left.join(right, [*scope, "_b", "_p"]).where(earlier & (F.col("_t2") >= F.col("_from")))
-    best = met.groupBy(F.col("_k").alias(key)).agg(F.max(dot(F.col("_v"), F.col("_v2"))).alias("dedup_similarity"))
-    out = events.select(key).join(best, key, "left").withColumn("dedup_similarity", F.coalesce("dedup_similarity", F.lit(0.0)))
-    return out.withColumn("is_duplicate", F.col("dedup_similarity") >= least)
+    of = lambda df, names, prefix: df.withColumnsRenamed({c: f"{prefix}{c}" for c in names})
+    same = lambda names, prefix: [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in names]
+    parts = of(parts, [*scope, "_b"], "_of_")
+    left = rows.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_from") / window_s), F.floor(F.col("_t") / window_s)))).join(parts, same([*scope, "_b"], "_of_"), "left")
+    left = left.withColumn("_p", F.explode(F.sequence(F.lit(0), number - 1))).select(*scope, "_k", "_t", "_from", "_v", "_b", "_p")
+    right = placed.join(parts, same([*scope, "_b"], "_of_"), "left").withColumn("_p", F.pmod(F.xxhash64("_k"), number).cast("int"))
+    unit = F.xxhash64(*scope, "_b", "_p").alias("_u")
+    asks = left.select(unit, F.lit(True).alias("_asks"), "_k", "_t", "_from", "_v")
+    held = right.select(unit, F.lit(False).alias("_asks"), "_k", "_t", F.lit(None).cast("double").alias("_from"), "_v")
+    dealt = asks.unionByName(held).where("_v is not null").repartition("_u").sortWithinPartitions("_u", "_asks")
+    kind = dict(rows.dtypes)["_k"]
+    return dealt.mapInArrow(_nearest, f"_k {kind}, _best double").groupBy(F.col("_k").alias(key)).agg(F.max("_best").alias("dedup_similarity"))
 
 
 def novelty(
@@ -80,21 +134,48 @@ def novelty(
 ) -> DataFrame:
     """(scope, order, novelty_score, baseline_size): how far an event is from the centroid of the ``window`` before it.
 
-    0 until ``warmup`` events have come and the baseline holds ``baseline`` of them. Each dimension has a running sum, and a
-    window's sum is that of its end less that of its beginning: work doesn't grow with the window.
+    0 until ``warmup`` events have come and the baseline holds ``baseline`` of them. Events are numbered and cut into stretches of
+    STRETCH, or of the window if that is longer; each goes through its vectors with a running sum of whole vectors that begins anew with it. Work doesn't
+    grow with the window, and a task holds one stretch and the window before it. Events without a vector have no row and no number.
     """
     scope = scope or []
-    where = range_of(events, order)
-    rows = running(events.select(*scope, order, doubles(F.col(vector)).alias("_v")), order, {"_n": F.lit(1)}, scope, where)
-    dims = running(rows.select(*scope, order, "_n", F.posexplode("_v").alias("_d", "_x")), order, {"_sum": F.col("_x")}, [*scope, "_d"], where)
-    old = dims.select(*[F.col(c).alias(f"_old_{c}") for c in scope], F.col("_d").alias("_old_d"), (F.col("_n") + window).alias("_old_n"), F.col("_sum").alias("_old_sum"))
-    same = [F.col(c).eqNullSafe(F.col(f"_old_{c}")) for c in scope] + [F.col("_d") == F.col("_old_d"), F.col("_n") == F.col("_old_n")]
-    size = F.least(F.col("_n"), F.lit(window))
-    means = dims.join(old, same, "left").withColumn("_m", F.try_divide(F.col("_sum") - F.coalesce("_old_sum", F.lit(0.0)), size.cast("double")))
-    each = means.groupBy(*scope, order, "_n").agg(F.sum(F.col("_x") * F.col("_m")).alias("_dot"), F.sqrt(F.sum(F.col("_m") * F.col("_m"))).alias("_norm"))
-    near = clamp(F.when(F.col("_norm") > 0, F.col("_dot") / F.col("_norm")).otherwise(F.lit(0.0)), -1.0, 1.0)
-    warm = (F.col("_n") >= warmup) & (size >= baseline)
-    return each.select(*scope, order, F.when(warm, F.least(F.lit(1.0), (1 - near) * scale)).otherwise(F.lit(0.0)).alias("novelty_score"), F.when(warm, size).otherwise(F.lit(0)).cast("long").alias("baseline_size"))
+    fold = folds.Novelty(window, warmup, baseline, scale)
+    size = max(window, STRETCH)
+    numbered = running(events.where(F.col(vector).isNotNull()).select(*scope, order, doubles(F.col(vector)).alias("_v")), order, {"_n": F.lit(1)}, scope)
+    # A stretch also gets the window before it, so a vector goes to two stretches at most.
+    placed = numbered.withColumn("_at", F.explode(F.array_distinct(F.array(F.floor(F.col("_n") / size), F.floor((F.col("_n") + window) / size)))))
+    dealt = placed.withColumn("_g", F.xxhash64(*scope, "_at")).repartition("_g").sortWithinPartitions("_g", "_n")
+    names = [*scope, order]
+
+    def scored(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        n, at = t.column("_n").to_numpy(), int(t.column("_at")[0].as_py())
+        v = t.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1)
+        own = int(np.searchsorted(n, at * size))
+        leaving = np.zeros((len(n) - own, v.shape[1]))
+        out = np.arange(own, len(n)) - window  # numbers are consecutive
+        leaving[out >= 0] = v[out[out >= 0]]
+        score, baseline_size, _ = fold.feed(int(n[own]), v[max(0, own - window) : own].sum(0), v[own:], leaving) if own < len(n) else (np.zeros(0), np.zeros(0, np.int64), None)
+        kept = t.slice(own)
+        return pa.RecordBatch.from_arrays([*(kept.column(c).combine_chunks() for c in names), pa.array(score), pa.array(baseline_size.astype(np.int64))], [*names, "novelty_score", "baseline_size"])
+
+    def run(batches):
+        held, at = [], None
+        for batch in batches:
+            g = batch.column("_g").to_numpy()
+            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1), len(g)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if s < e and held and g[s] != at:
+                    yield scored(held)
+                    held = []
+                if s < e:
+                    at = g[s]
+                    held.append(batch.slice(s, e - s))
+        if held:
+            yield scored(held)
+
+    kinds = dict(numbered.dtypes)
+    return dealt.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "novelty_score double", "baseline_size long"]))
 
 
 def novelty_stats(scored: DataFrame) -> DataFrame:

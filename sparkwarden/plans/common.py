@@ -33,15 +33,16 @@ def props_k() -> F.Column:
     return F.get_json_object("props", "$.k").cast("int")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events with k, a score in [0, 1) and a message that now and then tells of an attack."""
+def events(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """events (or rows of that table, as a stream has them) with k, a score in [0, 1) and a message that now and then tells of an attack."""
     message = (
         F.when(F.col("event_type") == "error", F.concat(F.lit("Failed password for invalid user admin from 10.0.0."), F.col("user_id") % 250))
         .when(F.col("event_type") == "purchase", F.concat(F.lit("payment accepted k="), F.col("k")))
         .when((F.col("event_type") == "click") & (F.col("k") < 5), F.lit("GET /?q=1 UNION  SELECT pass"))
         .otherwise(F.concat(F.lit("session opened for user u"), F.col("user_id")))
     )
-    return table(spark, sf_dir, "events").withColumn("k", props_k()).withColumn("score", F.col("value") / (F.col("value") + 50)).withColumn("message", message)
+    rows = table(spark, sf_dir, "events") if rows is None else rows
+    return rows.withColumn("k", props_k()).withColumn("score", F.col("value") / (F.col("value") + 50)).withColumn("message", message)
 
 
 def syslog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

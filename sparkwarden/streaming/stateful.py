@@ -8,9 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkwarden.functions import constants as C
+from sparkwarden.streaming.cascade import duplicates_stream
 
 #: A usual time (milliseconds) after which the state of a silent key may go, for ``idle_ms``. Timeouts keep a query running, so bounded runs leave them out.
 IDLE_MS = 3_600_000
@@ -83,29 +85,9 @@ def rate_limit_stream(events: DataFrame, client: str, ts: str, limit: int, secon
 
 
 def dedup_stream(events: DataFrame, scope: str, key: str, ts: str, vector: str, window_s: float = C.DEDUP_WINDOW_S, least: float = C.DEDUP_SIMILARITY, idle_ms: int | None = None) -> DataFrame:
-    """(scope, key, dedup_similarity, is_duplicate) of a stream: each event against those of its scope within the window. Duplicates enter the window as well. State of an idle scope goes."""
-
-    def run(group, frames, state: GroupState):
-        if _expired(state, idle_ms):
-            return
-        times, flat = state.get if state.exists else ([], [])
-        f = pd.concat(list(frames)).sort_values(["t", "k"])
-        width = len(f["v"].iloc[0])
-        held_t, held_v = np.array(times, float), np.array(flat, float).reshape(-1, width)
-        out = []
-        for k, t, v in zip(f["k"], f["t"], f["v"], strict=True):
-            inside = held_t >= t - window_s
-            held_t, held_v = held_t[inside], held_v[inside]
-            v = np.array(v, float)
-            best = float((held_v @ v).max()) if len(held_t) else 0.0
-            out.append((group[0], k, best, bool(len(held_t)) and best >= least))
-            held_t, held_v = np.append(held_t, t), np.vstack([held_v, v])
-        _keep(state, (held_t.tolist(), held_v.ravel().tolist()), idle_ms)
-        yield pd.DataFrame(out, columns=["scope", "k", "dedup_similarity", "is_duplicate"])
-
-    rows = events.selectExpr(f"CAST(`{scope}` AS STRING) AS scope", f"CAST(`{key}` AS BIGINT) AS k", f"CAST(CAST(`{ts}` AS TIMESTAMP) AS DOUBLE) AS t", f"CAST(`{vector}` AS ARRAY<DOUBLE>) AS v")
-    schema = "scope string, k long, dedup_similarity double, is_duplicate boolean"
-    return rows.groupBy("scope").applyInPandasWithState(run, schema, "times array<double>, flat array<double>", "append", _timeout(idle_ms))
+    """(scope, k, dedup_similarity, is_duplicate) of a stream: each event against those of its scope within the window, in order of key. Duplicates enter the window as well. State of an idle scope goes."""
+    out = duplicates_stream(events.select(scope, key, ts, vector), key, ts, vector, scope, window_s, least, idle_ms)
+    return out.select(F.col(scope).cast("string").alias("scope"), F.col(key).cast("long").alias("k"), "dedup_similarity", "is_duplicate")
 
 
 def count_window_stream(events: DataFrame, scope: str, order: str, value: str, size: int, idle_ms: int | None = None) -> DataFrame:
