@@ -33,4 +33,4 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     folder = new_folder(spark, name)
     query = stream.writeStream.foreachBatch(by_batch(f"{folder}/rows")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows").select(*stream.columns)
