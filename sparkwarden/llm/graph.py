@@ -43,19 +43,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b", local: int = LOCAL)
     """(node, comp): each node of a link with the smallest node that it reaches.
 
     Links are dealt to parts of about ``local``, and each becomes a forest of as few links, as long as that makes them
-    fewer. Few links need one part, and its forest is the answer. Beyond it labels spread: each round takes the
+    fewer; they are read twice, so they should be rows that are there already. Few links need one part, and its forest is the answer. Beyond it labels spread: each round takes the
     least label among a node's neighbours, then the label of that label, so chains shorten by half a round. Labels only
     go down, so rounds end by themselves, whatever the shape. Nothing is collected. Null ends are left out. No links give no rows.
     """
     ends = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v")
-    edges = durable(ends.distinct())
+    edges = ends.distinct()
     n, schema = edges.count(), ", ".join(f"{name} {kind}" for name, kind in ends.dtypes)
     while n:
         parts = math.ceil(n / local)
         forest = durable((edges.coalesce(1) if parts == 1 else edges.repartition(parts)).mapInArrow(_forest, schema))
         if parts == 1:
-            roots = forest.select(F.col("v").alias("u"), "v").distinct()
-            return durable(forest.union(roots)).select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            roots = forest.select(F.col("v").alias("u"), "v").distinct().coalesce(1)
+            return forest.union(roots).select(F.col("u").alias("node"), F.col("v").alias("comp"))
         m, edges = forest.count(), forest
         if m > 0.75 * n:
             break

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.llm import textkit as tk
 from sparkwarden.llm.graph import components
-from sparkwarden.llm.session import FEW, durable, many_to_one, parts
+from sparkwarden.llm.session import FEW, durable, durable_few, many_to_one, parts
 
 COORDINATES = 24
 #: Shingles and rows in a block of a list; two blocks are in memory at a time.
@@ -296,9 +296,9 @@ def _place(blocks, seed: int) -> F.Column:
     return F.pmod(F.xxhash64("set_key", F.lit(seed)), blocks).cast("int")
 
 
-def _of_list(rows: DataFrame, table: DataFrame, counts: DataFrame) -> DataFrame:
-    """rows of lists that table (posting, ...) has, with what it says; counts (posting, rows): how many rows a list has. Long lists are the hot ones."""
-    if table.count() <= FEW:
+def _of_list(rows: DataFrame, table: DataFrame, counts: DataFrame, few: bool | None = None) -> DataFrame:
+    """rows of lists that table (posting, ...) has, with what it says; counts (posting, rows): how many rows a list has. Long lists are the hot ones. few: whether there are FEW lists, if that is known."""
+    if table.count() <= FEW if few is None else few:
         return rows.join(F.broadcast(table), "posting")
     return many_to_one(rows, table.withColumn("_of", F.lit(True)), ["posting"], counts).where("_of").drop("_of")
 
@@ -309,7 +309,7 @@ def _rarest(rows: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     Shingles have one order, the rarest first, and a set is in the lists of as many as leave it too few for a link. A pair needs a share of both
     sizes in common and has at most what follows their first common shingle, so a set stays in a list only if the least size there leaves it enough.
     """
-    held = durable(rows.join(sets, "set_key").select("set_key", "n", "label", "asks", F.explode("shingles").alias("posting")))
+    held = rows.join(sets, "set_key").select("set_key", "n", "label", "asks", F.explode("shingles").alias("posting"))
     often = durable(held.groupBy("posting").agg(F.count("*").alias("rows"), F.max("asks").alias("asked"), F.min("label").alias("low"), F.max("label").alias("high")))
     own = Window.partitionBy("set_key")
     # Shingles that only one set has come first in the order and meet nothing: their number is all that counts.
@@ -317,15 +317,15 @@ def _rarest(rows: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     most = F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1
     posted = ranked.where((F.col("before") < most) & F.expr("rows > 1 AND asked AND low != high")).select("posting", "set_key", "n", "label", "asks", "before")
     posted = durable(posted)
-    sizes = durable(posted.groupBy("posting").agg(F.min("n").alias("least_n"), F.count("*").alias("rows")))
+    sizes = durable_few(posted.groupBy("posting").agg(F.min("n").alias("least_n"), F.count("*").alias("rows")))
     able = (F.col("n") - F.col("before")) * (100 + per_cent) - F.col("n") * per_cent >= F.col("least_n") * per_cent
     left = durable(_of_list(posted, sizes.select("posting", "least_n"), sizes).where(able).select("posting", "set_key", "n", "label", "asks"))
     low = F.xxhash64("set_key", F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1))
     lists = left.groupBy("posting").agg(
         F.count("*").alias("rows"), F.max("asks").alias("asked"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("set_key")).alias("x1"), F.sum(low).alias("x2")
     ).where("rows > 1 AND asked AND low != high")
-    once = durable(lists.groupBy("rows", "x1", "x2").agg(F.min("posting").alias("posting")))  # lists of the same members
-    return durable(_of_list(left, once.select("posting"), once.select("posting", "rows")))
+    once = durable_few(lists.groupBy("rows", "x1", "x2").agg(F.min("posting").alias("posting")))  # lists of the same members
+    return _of_list(left, once.select("posting"), once.select("posting", "rows"))
 
 
 def _long_lists(members: DataFrame, sets: DataFrame, per_cent: int, least: int, block: int, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -334,37 +334,38 @@ def _long_lists(members: DataFrame, sets: DataFrame, per_cent: int, least: int,
     members: (posting, set_key, n, blocks). known: links found before, of lists that have been taken apart already. A member is written
     once for its block and once for the units, and those that are left as often as their list has blocks, as long as they fill no block themselves.
     """
-    lists = durable(members.groupBy("posting").agg(F.count("*").alias("rows"), F.sum("n").alias("total"), F.max("blocks").alias("blocks")))
-    placed = durable(members.select(F.xxhash64("posting", _place(F.col("blocks"), 7)).alias("unit"), "posting", "set_key"))
+    lists = durable_few(members.groupBy("posting").agg(F.count("*").alias("rows"), F.sum("n").alias("total"), F.max("blocks").alias("blocks")))
+    few = lists.count() <= FEW
+    placed = members.select(F.xxhash64("posting", _place(F.col("blocks"), 7)).alias("unit"), "posting", "set_key")
     alone = [F.col("set_key").alias("label"), F.lit(True).alias("asks")]
     inside = durable(_forests(placed.select("unit", "set_key", *alone), sets, per_cent, least, envoys=True))
     sent = inside.where("a = b").select("unit", F.col("a").alias("set_key")).join(placed.select("unit", "posting").distinct(), "unit")
     halls = F.greatest(F.lit(1), F.ceil(F.col("blocks") * ENVOYS / ROWS)).cast("int")
-    met = _of_list(sent, lists.select("posting", "blocks"), lists).where("blocks > 1").select(F.xxhash64("posting", _place(halls, 13)).alias("unit"), "set_key").distinct()
+    met = _of_list(sent, lists.select("posting", "blocks"), lists, few).where("blocks > 1").select(F.xxhash64("posting", _place(halls, 13)).alias("unit"), "set_key").distinct()
     between = _forests(met.select("unit", "set_key", *alone), sets, per_cent, least)
     links = inside.where("a != b").select("a", "b").unionByName(between.select("a", "b"))
     links = durable(links if known is None else links.unionByName(known))
 
     label = components(links).select(F.col("node").alias("set_key"), F.col("comp").alias("label"))
-    named = durable(members.select("posting", "set_key", "n").join(label, "set_key", "left").withColumn("label", F.coalesce("label", "set_key")))
+    named = members.select("posting", "set_key", "n").join(label, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     top = named.groupBy("posting", "label").count().groupBy("posting").agg(F.max_by("label", F.struct("count", "label")).alias("top"), F.count("*").alias("labels"))
-    opened = durable(_of_list(named, durable(top.where("labels > 1").select("posting", "top")), lists).withColumn("asks", F.col("label") != F.col("top")).drop("top"))
+    opened = durable(_of_list(named, durable_few(top.where("labels > 1").select("posting", "top")), lists, few).withColumn("asks", F.col("label") != F.col("top")).drop("top"))
     asked = opened.where("asks").groupBy("posting").agg(F.count("*").alias("ask_rows"), F.sum("n").alias("ask_total"))
-    ways = durable(asked.join(lists, "posting").select("posting", "rows", _blocks(F.col("total"), F.col("rows"), block).alias("blocks"), _blocks(F.col("ask_total"), F.col("ask_rows"), block).alias("ask_blocks")))
+    ways = durable_few(asked.join(lists, "posting").select("posting", "rows", _blocks(F.col("total"), F.col("rows"), block).alias("blocks"), _blocks(F.col("ask_total"), F.col("ask_rows"), block).alias("ask_blocks")))
     # Lists that have been taken apart have no other way left than all their blocks against each other.
-    few = F.col("ask_blocks") == 1 if known is None else F.lit(True)
-    dealt = _of_list(opened, ways.where(few).select("posting", "blocks", "ask_blocks"), lists)
+    direct = F.col("ask_blocks") == 1 if known is None else F.lit(True)
+    dealt = _of_list(opened, ways.where(direct).select("posting", "blocks", "ask_blocks"), lists, few)
     whole = dealt.withColumn("block", _place(F.col("blocks"), 7)).withColumn("ask_block", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1))).withColumn("asks", F.lit(False))
     those = dealt.where("asks").withColumn("ask_block", _place(F.col("ask_blocks"), 9)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     columns = [F.xxhash64("posting", "block", "ask_block").alias("unit"), "set_key", "label", "asks"]
     units = whole.select(*columns).unionByName(those.select(*columns))
-    if known is not None or (many := ways.where(~few)).isEmpty():
+    if known is not None or (many := ways.where(~direct)).isEmpty():
         return links, units
 
-    apart = _of_list(opened, many.select("posting"), lists).groupBy("set_key").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.max("asks").alias("asks"))
-    again = _rarest(durable(apart), sets, per_cent)
-    sizes = durable(again.groupBy("posting").agg(F.count("*").alias("rows"), _blocks(F.sum("n"), F.count("*"), block).alias("blocks")))
-    again = durable(_of_list(again, sizes.drop("rows"), sizes))
+    apart = _of_list(opened, many.select("posting"), lists, few).groupBy("set_key").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.max("asks").alias("asks"))
+    again = durable(_rarest(durable(apart), sets, per_cent))
+    sizes = durable_few(again.groupBy("posting").agg(F.count("*").alias("rows"), _blocks(F.sum("n"), F.count("*"), block).alias("blocks")))
+    again = _of_list(again, sizes.drop("rows"), sizes)
     units = units.unionByName(again.where("blocks = 1").select(F.xxhash64("posting").alias("unit"), "set_key", "label", "asks"))
     if (long := again.where("blocks > 1")).isEmpty():
         return links, units

@@ -42,6 +42,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def durable_few(df: DataFrame, files: int = 8) -> DataFrame:
+    """durable(df) in a few files, for what is small beside the tables that it comes from: sums by list, hot keys."""
+    return durable(df.repartition(files))
+
+
 def durable_alone(df: DataFrame) -> DataFrame:
     """durable(df), and the shuffles that went into it leave no files behind: for large ones that nothing else will read."""
     conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -64,7 +69,7 @@ def many_to_one(rows: DataFrame, table: DataFrame, key: list[str], counts: DataF
     and the table's row goes to each. Hot keys are broadcast behind a check of their number; beyond it each of
     them is a small part of the rows, and skew is left to the adaptive join.
     """
-    hot = durable(counts.where(F.col("rows") >= HOT).select(*key, F.ceil(F.col("rows") / HOT).cast("int").alias("_places")))
+    hot = durable_few(counts.where(F.col("rows") >= HOT).select(*key, F.ceil(F.col("rows") / HOT).cast("int").alias("_places")))
     n = hot.count()
     if n == 0 or n > FEW:
         return rows.join(table, key, "left")
