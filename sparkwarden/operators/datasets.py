@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkwarden.functions import patterns
 from sparkwarden.operators.ordered import chunks, running
 
 #: Rows of small tables (some 200 bytes each) that go along with each row as one array; more make more arrays.
@@ -32,13 +33,13 @@ def balanced_sample(df: DataFrame, label: str, key: str, n: int, seed: int = 42)
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.1, val: float = 0.1, seed: int = 42) -> DataFrame:
-    """df with ``split``: exact shares of each label; val is a share of what test leaves."""
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(draw(F.col(key), seed), key)) - 1
-    n = F.count("*").over(w)
-    n_test = F.round(n * test)
-    n_val = F.round((n - n_test) * val)
-    return df.withColumn("split", F.when(rank < n_test, "test").when(rank < n_test + n_val, "val").otherwise("train"))
+    """df with ``split``: exact shares of each label; val is a share of what test leaves. Ranks run along the draw by ranges, so no task holds a label; null labels are one."""
+    ranked = running(df.withColumn("_d", draw(F.col(key), seed)), "_d", {"_r": F.lit(1)}, [label], ties=[key])
+    counts = df.groupBy(F.col(label).alias("_of")).agg(F.count("*").alias("_n"))
+    met = ranked.join(counts, F.col(label).eqNullSafe(F.col("_of")))
+    n_test = F.round(F.col("_n") * test)
+    n_val = F.round((F.col("_n") - n_test) * val)
+    return met.withColumn("split", F.when(F.col("_r") < n_test, "test").when(F.col("_r") < n_test + n_val, "val").otherwise("train")).drop("_d", "_r", "_of", "_n")
 
 
 def positional_split(df: DataFrame, order: str, share: float = 0.9) -> DataFrame:
@@ -84,13 +85,12 @@ def window_stats(windows: DataFrame) -> DataFrame:
     return windows.agg(*cols)
 
 
-def matches(texts: DataFrame, keywords: DataFrame, techniques: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, technique_id) of techniques with a keyword (keyword, technique_id) in the text, in any case; unknown ids drop out. Keywords go along with each text, in parts if they are many, so no pairs are made."""
-    known = keywords.join(techniques.select("technique_id").distinct(), "technique_id").select(F.lower("keyword").alias("keyword"), "technique_id")
+def matches(texts: DataFrame, keywords: DataFrame, techniques: DataFrame, key: str = "doc_id", text: str = "text", chunk: int = patterns.CHUNK) -> DataFrame:
+    """(key, technique_id) of techniques with a keyword (keyword, technique_id) in the text, in any case; unknown ids drop out. An automaton over all keywords goes through each text once."""
+    known = keywords.join(techniques.select("technique_id").distinct(), "technique_id").select(F.lower("keyword").alias("keyword"), "technique_id").where("keyword is not null")
     rows = texts.select(key, F.lower(text).alias("_t")).withColumn("_ids", F.array().cast("array<string>"))
-    for part in chunks(known, [F.col("keyword"), F.col("technique_id")], CHUNK):
-        hits = F.transform(F.filter("_kw", lambda k: F.contains(F.col("_t"), k["keyword"])), lambda k: k["technique_id"])
-        rows = rows.crossJoin(F.broadcast(part.withColumnRenamed("rows", "_kw"))).withColumn("_ids", F.concat("_ids", hits)).drop("_kw")  # one row
+    for part in patterns.shared(known, patterns.Labels, ["keyword", "technique_id"], chunk):
+        rows = rows.withColumn("_ids", F.concat("_ids", patterns.told(part, F.col("_t"), "array<string>")))
     return rows.select(key, F.explode(F.array_distinct("_ids")).alias("technique_id"))
 
 

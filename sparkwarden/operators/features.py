@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import constants as C
-from sparkwarden.functions.text import tokens
+from sparkwarden.functions import patterns
 
 
 def prepare(names: list[str], stopwords: list[str] | None = None) -> list[tuple[str, list[str]]]:
@@ -21,21 +21,9 @@ def prepare(names: list[str], stopwords: list[str] | None = None) -> list[tuple[
     return out
 
 
-def _matches(low: Column, found: Column, phrase: str, words: list[str]) -> Column:
-    """A token of four characters or more is in some token of the text just if it is in the text, so no pairs of tokens are tried."""
-    whole = F.contains(low, F.lit(phrase)) if phrase else F.lit(False)
-    if not words:
-        return whole
-    hits = sum(((F.contains(low, F.lit(w)) if len(w) >= 4 else F.array_contains(found, w)).cast("int") for w in words), F.lit(0))
-    share = 0.50 if len(words) <= 3 else 0.65
-    return whole | (hits / F.lit(float(len(words))) >= share)
-
-
 def feature_vector(text: Column, names: list[str], stopwords: list[str] | None = None) -> Column:
-    """0/1 for each feature: its phrase is in the text, or enough of its tokens are."""
-    low = F.lower(text)
-    found = tokens(text)
-    return F.array(*[_matches(low, found, p, w).cast("float") for p, w in prepare(names, stopwords)]).cast("array<float>")
+    """0/1 for each feature: its phrase is in the text, or enough of its tokens are. One automaton finds them all; a null text has none."""
+    return patterns.found_by(patterns.Features(prepare(names, stopwords)), F.lower(text), "array<float>")
 
 
 def bag_of_events(events: DataFrame, task: str, event: str) -> DataFrame:

@@ -2,29 +2,48 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that an order is cut into; their sums, a row for each, are what is ordered in one place.
-RANGES = 128
+#: Rows of a range, as expected, and the fewest and most ranges that an order is cut into; their sums, a row for each, are what is ordered in one place.
+RANGE_ROWS, LEAST, MOST = 50_000, 16, 10_000
+#: Values that are drawn for each bound of an order that has no quantiles of its own.
+DRAWN = 20
 _BY_VALUE = ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
 
 
-def range_of(df: DataFrame, order: str, ranges: int = RANGES) -> Column:
-    """The range of ``order`` that a row is in, by bounds that hold about as many rows each. Bounds are fixed values, so every use of the column agrees.
+def _bounds(df: DataFrame, order: str, kind: str, rows: int) -> list:
+    """Values that cut the order into ranges of about as many rows each; the fewer the rows, the fewer."""
+    wanted = lambda n: max(LEAST, min(MOST, -(-n // rows)))
+    if kind.startswith("decimal") or kind in _BY_VALUE:
+        shares = [k / 1024 for k in range(1, 1024)]
+        n, found = df.agg(F.count("*"), F.percentile_approx(order, shares, 10_000)).first()
+        step = max(1, 1024 // wanted(n))
+        return sorted(set((found or [])[step - 1 :: step]))
+    n = df.count()
+    share = min(1.0, DRAWN * wanted(n) / max(1, n))
+    drawn = sorted(r[0] for r in df.select(order).where(F.col(order).isNotNull()).sample(share, seed=7).collect())  # some DRAWN for each range
+    return sorted(set(drawn[DRAWN::DRAWN]))
+
 
-    Columns that are no numbers or times make one range.
+def range_of(df: DataFrame, order: str, rows: int = RANGE_ROWS) -> Column:
+    """The range of ``order`` that a row is in, by bounds that hold about as many rows each: texts and other types as well as numbers and times.
+
+    Bounds are fixed values, so every use of the column agrees. They are looked up in two steps, of some square root of their number each.
     """
     kind = dict(df.dtypes)[order]
-    if not kind.startswith("decimal") and kind not in _BY_VALUE:
-        return F.lit(0)
-    shares = [k / ranges for k in range(1, ranges)]
-    bounds = df.agg(F.percentile_approx(order, shares, 1000).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
+    bounds = _bounds(df, order, kind, rows)
     if not bounds:
         return F.lit(0)
-    kept = F.array(*[F.lit(b).cast(kind) for b in bounds])
-    return F.size(F.filter(kept, lambda b: b <= F.col(order)))
+    step = math.isqrt(len(bounds) - 1) + 1
+    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    lits = lambda values: F.array(*[F.lit(b).cast(kind) for b in values])
+    below = lambda array: F.size(F.filter(array, lambda b: b <= F.col(order)))
+    part = below(lits([p[0] for p in parts]))
+    fine = F.array(*[lits(p) for p in parts])
+    return F.when(part > 0, (part - 1) * step + below(F.get(fine, part - 1))).otherwise(0)
 
 
 def running(df: DataFrame, order: str, sums: dict[str, Column], by: list[str] | None = None, where: Column | None = None, ties: list[str] | None = None) -> DataFrame:

@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import constants as C
-from sparkwarden.operators.ordered import chunks
+from sparkwarden.functions import patterns
 
-#: Values of rules (of some 200 bytes) that go along with an event as one array; more make more arrays.
-CHUNK = 50_000
+_HITS = "array<struct<rule_no:int,rule_id:string>>"
 RULE_SCHEMA = "rule_id string, rule_no int, field string, modifier string, value string"
 
 
@@ -22,28 +21,17 @@ def usable_values(rules: DataFrame) -> DataFrame:
     return rules.withColumn("value", value).where(F.col("field").isin(*C.SIGMA_FIELDS) & (F.col("value") != "")).where("modifier is null or modifier in ('contains', 'startswith', 'endswith')")
 
 
-def match_rules(events: DataFrame, rules: DataFrame, text: str = "text", chunk: int = CHUNK) -> DataFrame:
+def match_rules(events: DataFrame, rules: DataFrame, text: str = "text", chunk: int = patterns.CHUNK) -> DataFrame:
     """events with sigma_matched and sigma_rule_ids, in the order of rule_no; any one value of a rule is enough.
 
-    Rules go along with each event as an array, in chunks if they are many, and are tried within the row: nothing is shuffled,
-    no pairs of rows are made, and rows need no key. Null texts match nothing.
+    An automaton over all values goes through each text once, and what it finds is held against the value's modifier, so time hardly
+    grows with their number. Nothing is shuffled, no pairs of rows are made, and rows need no key. Null texts match nothing.
     """
-    values = usable_values(rules)
-    low = F.lower(F.col(text))
-    out = events.withColumn("_low", low).withColumn("_words", F.transform(F.split("_low", r"\s+"), lambda w: F.btrim(w, F.lit(C.WORD_EDGE)))).withColumn("_hits", F.array().cast("array<struct<rule_no:int,rule_id:string>>"))
-
-    def fits(r: Column) -> Column:
-        m, v = r["modifier"], r["value"]
-        return (
-            F.when(m == "contains", F.contains(F.col("_low"), v)).when(m == "startswith", F.startswith(F.col("_low"), v)).when(m == "endswith", F.endswith(F.col("_low"), v))
-            .otherwise(F.array_contains("_words", v))
-        )
-
-    for part in chunks(values, [F.col(c) for c in ("rule_no", "rule_id", "modifier", "value")], chunk):
-        hits = F.transform(F.filter("_rules", fits), lambda r: F.struct(r["rule_no"].alias("rule_no"), r["rule_id"].alias("rule_id")))
-        out = out.crossJoin(F.broadcast(part.withColumnRenamed("rows", "_rules"))).withColumn("_hits", F.concat("_hits", hits)).drop("_rules")  # one row of at most chunk values
+    out = events.withColumn("_low", F.lower(F.col(text))).withColumn("_hits", F.array().cast(_HITS))
+    for part in patterns.shared(usable_values(rules), patterns.Rules, ["rule_no", "rule_id", "modifier", "value"], chunk):
+        out = out.withColumn("_hits", F.concat("_hits", patterns.told(part, F.col("_low"), _HITS)))
     ids = F.transform(F.array_distinct(F.array_sort("_hits")), lambda r: r["rule_id"])
-    return out.withColumn("sigma_rule_ids", ids).drop("_low", "_words", "_hits").withColumn("sigma_matched", F.size("sigma_rule_ids") > 0)
+    return out.withColumn("sigma_rule_ids", ids).drop("_low", "_hits").withColumn("sigma_matched", F.size("sigma_rule_ids") > 0)
 
 
 def is_attack(raw: Column) -> Column:

@@ -35,14 +35,14 @@ def attack_signatures(spark, sf):
     return syslog_lines(spark, sf).groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(rules.is_attack(F.col("raw"))).alias("attacks"))
 
 
-@R.add(r"""WITH d AS (SELECT doc_id, lower(text) AS t, regexp_extract_all(lower(text), '[a-z0-9_./:-]+') AS w FROM documents WHERE text IS NOT NULL)
+@R.add(r"""WITH d AS (SELECT doc_id, coalesce(lower(text), '') AS t, regexp_extract_all(coalesce(lower(text), ''), '[a-z0-9_./:-]+') AS w FROM documents)
 SELECT doc_id,
   CAST(contains(t, 'the.and') OR contains(t, 'the.and') AS INT) AS f0,
   CAST(contains(t, 'sh ing tion') OR (CAST(list_contains(w, 'ing') AS INT) + CAST(contains(t, 'tion') AS INT)) / 2 >= 0.5 AS INT) AS f1,
   CAST(contains(t, 'of') AS INT) AS f2, CAST(contains(t, 'ver den') OR (CAST(list_contains(w, 'ver') AS INT) + CAST(list_contains(w, 'den') AS INT)) / 2 >= 0.5 AS INT) AS f3, CAST(contains(t, 'with') AS INT) AS f4 FROM d""")
 def feature_vectors(spark, sf):
     v = features.feature_vector(F.col("text"), NAMES)
-    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", v.alias("v"))
+    docs = table(spark, sf, "documents").select("doc_id", v.alias("v"))
     return docs.select("doc_id", *[F.col("v")[k].cast("int").alias(f"f{k}") for k in range(5)])
 
 

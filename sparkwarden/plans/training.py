@@ -95,10 +95,10 @@ def scenario_counts(spark, sf):
     return datasets.scenario_vectors(scenarios, 50)
 
 
-@R.add(r"""WITH v AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL), f AS (SELECT CAST(contains(t, 'the') AS INT) + CAST(contains(t, 'with') AS INT) + CAST(contains(t, 'zzzz') AS INT) AS n FROM v)
+@R.add(r"""WITH v AS (SELECT doc_id, coalesce(lower(text), '') AS t FROM documents), f AS (SELECT CAST(contains(t, 'the') AS INT) + CAST(contains(t, 'with') AS INT) + CAST(contains(t, 'zzzz') AS INT) AS n FROM v)
 SELECT round(sum(n) / (3 * count(*)), 6) AS nonzero_fraction, round(avg(n), 6) AS mean_active FROM f""")
 def feature_density(spark, sf):
-    docs = table(spark, sf, "documents").where("text is not null").select(features.feature_vector(F.col("text"), ["the", "with", "zzzz"]).alias("features"))
+    docs = table(spark, sf, "documents").select(features.feature_vector(F.col("text"), ["the", "with", "zzzz"]).alias("features"))
     return features.feature_density(docs).select(*[F.round(c, 6).alias(c) for c in ("nonzero_fraction", "mean_active")])
 
 

@@ -53,12 +53,12 @@ def test_techniques_in_chunks(spark):
     assert len(one) == 60 and sorted(map(tuple, similarity.top_techniques(events, table, "id", chunk=4).collect())) == one
 
 
-def test_keywords_in_chunks(spark, monkeypatch):
+def test_keywords_in_chunks(spark):
     texts = spark.createDataFrame([(1, "Alpha beta"), (2, "gamma"), (3, None)], "doc_id long, text string")
     kw = spark.createDataFrame([("alpha", "T1"), ("BETA", "T2"), ("gam", "T2"), ("x", "T9"), ("gamma", "T3")], "keyword string, technique_id string")
     tech = spark.createDataFrame([("T1",), ("T2",), ("T3",)], "technique_id string")
-    monkeypatch.setattr(datasets, "CHUNK", 2)
-    assert sorted(map(tuple, datasets.matches(texts, kw, tech).collect())) == [(1, "T1"), (1, "T2"), (2, "T2"), (2, "T3")]
+    for chunk in (2, 1000):
+        assert sorted(map(tuple, datasets.matches(texts, kw, tech, chunk=chunk).collect())) == [(1, "T1"), (1, "T2"), (2, "T2"), (2, "T3")]
 
 
 def test_addresses(spark):
