@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 
 from sparkwarden.llm import textkit as tk
 from sparkwarden.llm.graph import components
-from sparkwarden.llm.session import FEW, durable, durable_few, many_to_one, parts
+from sparkwarden.llm.session import FEW, durable, many_to_one, parts
 
 COORDINATES = 24
 #: Shingles and rows in a block of a list; two blocks are in memory at a time.
 BLOCK, ROWS = 400_000, 1_000
 #: Members of a block's largest tree that meet those of the other blocks of its list.
 ENVOYS = 8
+#: Blocks of a list by rarest shingles that are held against each other without further ado.
+FEW_BLOCKS = 4
 #: Members of lists that go to one unit, as expected.
 UNIT = 500
 #: Odds that a pair exactly at the threshold has fewer coordinates in common than are asked for.
@@ -317,14 +319,14 @@ def _rarest(rows: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     most = F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1
     posted = ranked.where((F.col("before") < most) & F.expr("rows > 1 AND asked AND low != high")).select("posting", "set_key", "n", "label", "asks", "before")
     posted = durable(posted)
-    sizes = durable_few(posted.groupBy("posting").agg(F.min("n").alias("least_n"), F.count("*").alias("rows")))
+    sizes = posted.groupBy("posting").agg(F.min("n").alias("least_n"), F.count("*").alias("rows"))
     able = (F.col("n") - F.col("before")) * (100 + per_cent) - F.col("n") * per_cent >= F.col("least_n") * per_cent
-    left = durable(_of_list(posted, sizes.select("posting", "least_n"), sizes).where(able).select("posting", "set_key", "n", "label", "asks"))
+    left = _of_list(posted, sizes.select("posting", "least_n"), sizes).where(able).select("posting", "set_key", "n", "label", "asks")
     low = F.xxhash64("set_key", F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1))
     lists = left.groupBy("posting").agg(
         F.count("*").alias("rows"), F.max("asks").alias("asked"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("set_key")).alias("x1"), F.sum(low).alias("x2")
     ).where("rows > 1 AND asked AND low != high")
-    once = durable_few(lists.groupBy("rows", "x1", "x2").agg(F.min("posting").alias("posting")))  # lists of the same members
+    once = lists.groupBy("rows", "x1", "x2").agg(F.min("posting").alias("posting"))  # lists of the same members
     return _of_list(left, once.select("posting"), once.select("posting", "rows"))
 
 
@@ -334,7 +336,7 @@ def _long_lists(members: DataFrame, sets: DataFrame, per_cent: int, least: int,
     members: (posting, set_key, n, blocks). known: links found before, of lists that have been taken apart already. A member is written
     once for its block and once for the units, and those that are left as often as their list has blocks, as long as they fill no block themselves.
     """
-    lists = durable_few(members.groupBy("posting").agg(F.count("*").alias("rows"), F.sum("n").alias("total"), F.max("blocks").alias("blocks")))
+    lists = members.groupBy("posting").agg(F.count("*").alias("rows"), F.sum("n").alias("total"), F.max("blocks").alias("blocks"))
     few = lists.count() <= FEW
     placed = members.select(F.xxhash64("posting", _place(F.col("blocks"), 7)).alias("unit"), "posting", "set_key")
     alone = [F.col("set_key").alias("label"), F.lit(True).alias("asks")]
@@ -349,9 +351,9 @@ def _long_lists(members: DataFrame, sets: DataFrame, per_cent: int, least: int,
     label = components(links).select(F.col("node").alias("set_key"), F.col("comp").alias("label"))
     named = members.select("posting", "set_key", "n").join(label, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     top = named.groupBy("posting", "label").count().groupBy("posting").agg(F.max_by("label", F.struct("count", "label")).alias("top"), F.count("*").alias("labels"))
-    opened = durable(_of_list(named, durable_few(top.where("labels > 1").select("posting", "top")), lists, few).withColumn("asks", F.col("label") != F.col("top")).drop("top"))
+    opened = durable(_of_list(named, top.where("labels > 1").select("posting", "top"), lists, few).withColumn("asks", F.col("label") != F.col("top")).drop("top"))
     asked = opened.where("asks").groupBy("posting").agg(F.count("*").alias("ask_rows"), F.sum("n").alias("ask_total"))
-    ways = durable_few(asked.join(lists, "posting").select("posting", "rows", _blocks(F.col("total"), F.col("rows"), block).alias("blocks"), _blocks(F.col("ask_total"), F.col("ask_rows"), block).alias("ask_blocks")))
+    ways = asked.join(lists, "posting").select("posting", "rows", _blocks(F.col("total"), F.col("rows"), block).alias("blocks"), _blocks(F.col("ask_total"), F.col("ask_rows"), block).alias("ask_blocks"))
     # Lists that have been taken apart have no other way left than all their blocks against each other.
     direct = F.col("ask_blocks") == 1 if known is None else F.lit(True)
     dealt = _of_list(opened, ways.where(direct).select("posting", "blocks", "ask_blocks"), lists, few)
@@ -363,11 +365,14 @@ def _long_lists(members: DataFrame, sets: DataFrame, per_cent: int, least: int,
         return links, units
 
     apart = _of_list(opened, many.select("posting"), lists, few).groupBy("set_key").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.max("asks").alias("asks"))
-    again = durable(_rarest(durable(apart), sets, per_cent))
-    sizes = durable_few(again.groupBy("posting").agg(F.count("*").alias("rows"), _blocks(F.sum("n"), F.count("*"), block).alias("blocks")))
+    again = durable(_rarest(apart, sets, per_cent))
+    sizes = again.groupBy("posting").agg(F.count("*").alias("rows"), _blocks(F.sum("n"), F.count("*"), block).alias("blocks"))
     again = _of_list(again, sizes.drop("rows"), sizes)
-    units = units.unionByName(again.where("blocks = 1").select(F.xxhash64("posting").alias("unit"), "set_key", "label", "asks"))
-    if (long := again.where("blocks > 1")).isEmpty():
+    # A list of few blocks goes to a unit for each two of them: some FEW_BLOCKS units a row at most.
+    pair = F.explode(F.expr("transform(sequence(0, blocks - 1), other -> struct(least(own, other) AS i, greatest(own, other) AS j))"))
+    paired = again.where(F.col("blocks") <= FEW_BLOCKS).withColumn("own", _place(F.col("blocks"), 7)).withColumn("pair", pair)
+    units = units.unionByName(paired.select(F.xxhash64("posting", "pair").alias("unit"), "set_key", "label", "asks").distinct())
+    if (long := again.where(F.col("blocks") > FEW_BLOCKS)).isEmpty():
         return links, units
     links, more = _long_lists(long.select("posting", "set_key", "n", "blocks"), sets, per_cent, least, block, links)
     return links, units.unionByName(more)
