@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import patterns
+from sparkwarden.operators.evaluation import with_percentiles
 from sparkwarden.operators.ordered import chunks, running
 
 #: Rows of small tables (some 200 bytes each) that go along with each row as one array; more make more arrays.
@@ -78,11 +79,14 @@ def text_windows(bag: DataFrame, vocabulary: DataFrame, max_lines: int = 256, ma
 
 
 def window_stats(windows: DataFrame) -> DataFrame:
-    """min, p50, p95, max and mean of lines and of unique events; whole numbers but for means."""
-    cols = []
-    for c, name in (("n_lines", "lines"), ("n_unique_events", "events")):
-        cols += [F.min(c).alias(f"{name}_min"), F.percentile(c, 0.5).cast("long").alias(f"{name}_p50"), F.percentile(c, 0.95).cast("long").alias(f"{name}_p95"), F.max(c).alias(f"{name}_max"), F.avg(c).alias(f"{name}_mean")]
-    return windows.agg(*cols)
+    """One row: min, p50, p95, max and mean of lines and of unique events; whole numbers but for means."""
+    cols, names = [], {"n_lines": "lines", "n_unique_events": "events"}
+    for c, name in names.items():
+        cols += [F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max"), F.avg(c).alias(f"{name}_mean")]
+    out = windows.agg(*cols)
+    for c, name in names.items():
+        out = with_percentiles(out, windows, c, {f"{name}_p50": 0.5, f"{name}_p95": 0.95})
+    return out.withColumns({f"{name}_{p}": F.col(f"{name}_{p}").cast("long") for name in names.values() for p in ("p50", "p95")})
 
 
 def matches(texts: DataFrame, keywords: DataFrame, techniques: DataFrame, key: str = "doc_id", text: str = "text", chunk: int = patterns.CHUNK) -> DataFrame:
@@ -133,10 +137,9 @@ def retrieval_set(pairs: DataFrame, text: str = "positive") -> DataFrame:
 
 
 def sentences(lines: DataFrame, tags: list[str]) -> DataFrame:
-    """(sentence, tokens, labels) of tagged lines (file, line_no, value): token and tag by a tab, blank lines between; unknown tags are O."""
-    order = Window.partitionBy("file").orderBy("line_no")
+    """(file, sentence, tokens, labels) of tagged lines (file, line_no, value): token and tag by a tab, blank lines between; unknown tags are O. Blank lines are counted along a file by ranges, so none is one task."""
     blank = F.btrim("value") == ""
-    rows = lines.withColumn("sentence", F.sum(blank.cast("int")).over(order)).where(~blank)
+    rows = running(lines.withColumn("_blank", blank.cast("int")), "line_no", {"sentence": F.col("_blank")}, ["file"]).where(~blank)
     parts = F.split("value", "\t")
     tag = F.try_element_at(parts, F.lit(2))
     rows = rows.select("file", "sentence", "line_no", F.element_at(parts, 1).alias("token"), F.when(tag.isin(*tags), tag).otherwise("O").alias("tag"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import constants as C
+from sparkwarden.operators.ordered import running
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -79,10 +80,38 @@ def false_positive_budget(counts: DataFrame) -> DataFrame:
     return counts.withColumn("fp_per_1000", F.round(1000.0 * F.col("fp") / F.greatest(F.col("fp") + F.col("tn"), F.lit(1)), 4))
 
 
+def linear_percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by, p): an array of the percentiles of each group, linear between ranks; groups without values have no row.
+
+    Equal values are counted first and their counts run along the order by ranges, so neither a list nor a buffer holds a group's values.
+    """
+    by = by or []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    ranked = running(counts, "_v", {"_from": F.col("_c")}, by)
+    sizes = counts.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg(F.sum("_c").alias("_n"))
+    rows = ranked.join(sizes, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]) if by else ranked.crossJoin(F.broadcast(sizes))  # one row
+    place = [F.lit(float(s)) * (F.col("_n") - 1) for s in shares]
+    holds = lambda rank: (F.col("_from") <= rank) & (rank < F.col("_from") + F.col("_c"))
+    ends = [F.max(F.when(holds(f(p)), F.col("_v"))).alias(f"_{name}{k}") for k, p in enumerate(place) for name, f in (("low", F.floor), ("high", F.ceil))]
+    found = rows.groupBy(*by).agg(F.max("_n").alias("_n"), *ends)
+    between = [F.col(f"_low{k}") + (p - F.floor(p)) * (F.col(f"_high{k}") - F.col(f"_low{k}")) for k, p in enumerate(place)]
+    return found.where("_n is not null").select(*by, F.array(*between).alias("p"))
+
+
+def with_percentiles(groups: DataFrame, df: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """groups (a row for each group of df) with a column for each of shares; null without values."""
+    by = by or []
+    found = linear_percentiles(df, value, list(shares.values()), by).withColumnsRenamed({c: f"_p_{c}" for c in by})
+    out = groups.join(found, [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in by] if by else F.lit(True), "left")
+    return out.withColumns({name: F.get("p", F.lit(k)) for k, name in enumerate(shares)}).drop("p", *[f"_p_{c}" for c in by])
+
+
 def score_distribution(df: DataFrame, score: str, by: list[str] | None = None) -> DataFrame:
     """count, mean, median and p95 (linear between ranks); 0 of nothing."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return df.groupBy(*(by or [])).agg(F.count(score).alias("count"), zero(F.avg(score)).alias("mean"), zero(F.median(score)).alias("median"), zero(F.percentile(score, 0.95)).alias("p95"))
+    groups = df.groupBy(*(by or [])).agg(F.count(score).alias("count"), zero(F.avg(score)).alias("mean"))
+    out = with_percentiles(groups, df, score, {"median": 0.5, "p95": 0.95}, by)
+    return out.withColumns({c: zero(F.col(c)) for c in ("median", "p95")})
 
 
 def percentile(df: DataFrame, value: str, p: float, kind: str = "linear", by: list[str] | None = None) -> DataFrame:
@@ -93,11 +122,11 @@ def percentile(df: DataFrame, value: str, p: float, kind: str = "linear", by: li
     """
     by = by or []
     if kind == "linear":
-        return df.groupBy(*by).agg(F.percentile(value, p / 100).alias("value"))
+        return linear_percentiles(df, value, [p / 100], by).select(*by, F.get("p", F.lit(0)).alias("value"))
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    up = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    rows = counts.withColumn("upto", F.sum("c").over(up)).withColumn("n", F.sum("c").over(whole))
+    sizes = counts.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg(F.sum("c").alias("n"))
+    ranked = running(counts, "v", {"before": F.col("c")}, by).withColumn("upto", F.col("before") + F.col("c"))
+    rows = ranked.join(sizes, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]) if by else ranked.crossJoin(F.broadcast(sizes))  # one row
     at = F.least(F.floor(F.col("n") * F.lit(float(p)) / 100), F.col("n") - 1) if kind == "floor" else F.bround(F.lit(p / 100.0) * (F.col("n") - 1), 0)
     return rows.where((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)).select(*by, F.col("v").alias("value"))
 

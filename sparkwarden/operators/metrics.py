@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import constants as C
+from sparkwarden.operators.evaluation import with_percentiles
 
 
 def counter(df: DataFrame, labels: list[str]) -> DataFrame:
@@ -58,6 +59,32 @@ def rate(df: DataFrame, ts: str, window: str, seconds: int, slide: str | None =
     return counts.select(*(labels or []), F.col("w.start").alias("start"), F.col("w.end").alias("end"), (F.col("n") / F.lit(float(seconds))).alias("per_second"))
 
 
+def increase(samples: DataFrame, labels: list[str], ts: str, value: str, window_s: int, step_s: int) -> DataFrame:
+    """(labels, at, increase, per_second) of counters, at each multiple of step_s (seconds of the epoch) whose last window_s seconds hold two samples and more.
+
+    A value below the one before is a restart from 0. What lies between a window's edges and its samples is filled up at the samples' pace, up to
+    1.1 times their mean distance and else by half of it, and never to before the counter was 0. A sample goes to the windows that hold it, so what is
+    brought together is a window's samples of one series. Samples without a time or a value are left out.
+    """
+    t = F.col(ts).cast("timestamp").cast("double")
+    rows = samples.select(*labels, t.alias("_t"), F.col(value).cast("double").alias("_v")).where("_t is not null and _v is not null")
+    first = (F.ceil(F.col("_t") / step_s) * step_s).cast("long")
+    ends = F.filter(F.sequence(first, (F.floor(F.col("_t") / step_s) * step_s + window_s).cast("long"), F.lit(step_s).cast("long")), lambda e: e < F.col("_t") + window_s)
+    placed = rows.where(F.size(ends) > 0).select(*labels, F.explode(ends).alias("at"), F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")).alias("x"))
+    held = placed.groupBy(*labels, "at").agg(F.array_sort(F.collect_list("x")).alias("xs")).where(F.size("xs") > 1)
+    n = F.size("xs")
+    begin, end = F.get("xs", F.lit(0)), F.element_at("xs", -1)
+    lost = F.zip_with(F.slice("xs", F.lit(1), n - 1), F.slice("xs", F.lit(2), n - 1), lambda a, b: F.when(b["v"] < a["v"], a["v"]).otherwise(0.0))
+    told = held.withColumns({"_n": n, "_b": begin, "_e": end, "_up": F.aggregate(lost, end["v"] - begin["v"], lambda s, x: s + x), "_span": end["t"] - begin["t"]}).where("_span > 0")
+    mean = F.col("_span") / (F.col("_n") - 1)
+    edge = lambda gap: F.when(gap < 1.1 * mean, gap).otherwise(mean / 2)
+    before = edge(F.col("_b.t") - (F.col("at") - window_s))
+    zero = F.when((F.col("_up") > 0) & (F.col("_b.v") >= 0), F.col("_span") * F.col("_b.v") / F.col("_up"))
+    whole = F.col("_span") + F.least(before, zero) + edge(F.col("at") - F.col("_e.t"))
+    out = told.withColumn("increase", F.col("_up") * whole / F.col("_span"))
+    return out.select(*labels, "at", "increase", (F.col("increase") / F.lit(float(window_s))).alias("per_second"))
+
+
 def ratio(df: DataFrame, part: Column, by: list[str]) -> DataFrame:
     """(by, ratio): the share of rows that part holds for; both sides are summed before they are divided."""
     return df.groupBy(*by).agg((F.count_if(part) / F.count("*")).alias("ratio"))
@@ -116,10 +143,8 @@ def health(checks: DataFrame, component: str = "component", status: str = "statu
 
 def throughput(requests: DataFrame, by: list[str], ok: str, latency: str) -> DataFrame:
     """Requests, errors, error rate and latency percentiles for each endpoint."""
-    return requests.groupBy(*by).agg(
-        F.count("*").alias("requests"), F.count_if(~F.col(ok)).alias("errors"), (F.count_if(~F.col(ok)) / F.count("*")).alias("error_rate"),
-        F.percentile(latency, 0.5).alias("p50"), F.percentile(latency, 0.95).alias("p95"), F.percentile(latency, 0.99).alias("p99"),
-    )
+    groups = requests.groupBy(*by).agg(F.count("*").alias("requests"), F.count_if(~F.col(ok)).alias("errors"), (F.count_if(~F.col(ok)) / F.count("*")).alias("error_rate"))
+    return with_percentiles(groups, requests, latency, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, by)
 
 
 SCORE_BUCKETS, LATENCY_BUCKETS, BATCH_BUCKETS = C.SCORE_BUCKETS, C.LATENCY_BUCKETS, C.BATCH_BUCKETS

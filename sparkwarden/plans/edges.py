@@ -138,9 +138,11 @@ def endpoint_throughput(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("error_rate", "p50", "p95", "p99")})
 
 
-@R.add("SELECT false AS healthy, 'error' AS failing")
+@R.add("WITH c AS (SELECT event_type, avg(value) > 50 AS slow FROM events GROUP BY 1) SELECT NOT coalesce(bool_or(slow), false) AS healthy, coalesce(string_agg(event_type, ',' ORDER BY event_type) FILTER (slow), '') AS failing FROM c")
 def component_health(spark, sf):
-    checks = table(spark, sf, "events").select(F.col("event_type").alias("component"), F.when(F.col("event_type") == "error", "down").otherwise("ok").alias("status")).distinct()
+    """A component is a kind of event, and down if its mean value is above 50."""
+    means = table(spark, sf, "events").groupBy(F.col("event_type").alias("component")).agg(F.avg("value").alias("mean"))
+    checks = means.select("component", F.when(F.col("mean") > 50, "down").otherwise("ok").alias("status"))
     return metrics.health(checks).select("healthy", F.array_join("failing", ",").alias("failing"))
 
 

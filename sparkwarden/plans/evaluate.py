@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparkwarden.operators import datasets, evaluation, metrics
+from sparkwarden.operators import datasets, evaluation, metrics, sketches
 from sparkwarden.plans.common import EVENTS, Registry, events, table
 
 R = Registry()
@@ -176,6 +177,49 @@ def event_rate(spark, sf):
     return out.select("event_type", F.unix_timestamp("start").alias("start_s"), "per_second")
 
 
+_SAMPLES = "x AS (SELECT event_type, event_id % 3 AS host, CAST(epoch(ts) AS DOUBLE) AS t, CAST(row_number() OVER (PARTITION BY event_type, event_id % 3 ORDER BY ts, event_id) % 97 * 3 AS DOUBLE) AS v FROM events)"
+
+
+@R.add(f"""WITH {_SAMPLES}, p AS (SELECT event_type, host, CAST(10800 * (ceil(t / 10800) + j) AS BIGINT) AS "at", t, v FROM x, range(0, 3) r(j)),
+w AS (SELECT *, lag(v) OVER (PARTITION BY event_type, host, "at" ORDER BY t) AS was FROM p WHERE "at" >= t AND "at" < t + 21600),
+g AS (SELECT event_type, host, "at", count(*) AS n, min(t) AS t0, max(t) AS t1, arg_min(v, t) AS v0, arg_max(v, t) - arg_min(v, t) + sum(CASE WHEN v < was THEN was ELSE 0 END) AS up FROM w GROUP BY ALL HAVING count(*) > 1 AND max(t) > min(t)),
+m AS (SELECT *, (t1 - t0) / (n - 1) AS pace, t0 - ("at" - 21600) AS a, "at" - t1 AS b FROM g),
+f AS (SELECT *, least(CASE WHEN a < 1.1 * pace THEN a ELSE pace / 2 END, CASE WHEN up > 0 THEN (t1 - t0) * v0 / up END) + CASE WHEN b < 1.1 * pace THEN b ELSE pace / 2 END + t1 - t0 AS whole FROM m)
+SELECT event_type, host, "at", round(up * whole / (t1 - t0), 4) AS increase, round(up * whole / (t1 - t0) / 21600, 8) AS per_second FROM f""")
+def counter_increase(spark, sf):
+    """Counters of three hosts for each kind of event, which restart after every 97th; six hours each three."""
+    rows = table(spark, sf, "events").withColumn("host", F.col("event_id") % 3)
+    order = Window.partitionBy("event_type", "host").orderBy("ts", "event_id")
+    samples = rows.withColumn("v", F.row_number().over(order) % 97 * 3)
+    out = metrics.increase(samples, ["event_type", "host"], "ts", "v", 21600, 10800)
+    return out.withColumns({"increase": F.round("increase", 4), "per_second": F.round("per_second", 8)})
+
+
+@R.add("""WITH p AS (SELECT event_type, count(DISTINCT user_id || ':' || json_extract_string(props, '$.k')) AS n, count(*) AS c FROM events GROUP BY 1)
+SELECT event_type, c AS rows, n AS exact, true AS within FROM p""")
+def distinct_sketches(spark, sf):
+    """Pairs of user and k that each kind of event has, by sketches of the days; the exact count stands beside it, as this is what is under test."""
+    rows = events(spark, sf).withColumn("pair", F.concat_ws(":", "user_id", "k"))
+    days = sketches.daily(rows, "ts", ["event_type"], F.col("pair"), F.col("value"))
+    told = sketches.estimates(sketches.merged(days, ["event_type"]), [0.5])
+    exact = rows.groupBy("event_type").agg(F.count_distinct("pair").alias("exact"))
+    return told.join(exact, "event_type").select("event_type", "rows", "exact", (F.abs(F.col("n_distinct") - F.col("exact")) <= F.col("exact") * sketches.distinct_error() + 1).alias("within"))
+
+
+@R.add("""WITH w AS (SELECT date_trunc('week', ts) AS week, value FROM events) SELECT CAST(week AS DATE) AS week, p.p AS share, count(*) AS rows, true AS within FROM w, (VALUES (0.5), (0.95), (0.99)) p(p) GROUP BY ALL""")
+def quantile_sketches(spark, sf):
+    """Quantiles of each week by sketches of the days; within: the share of rows up to the estimate is the one that was asked for, but for the sketch's error."""
+    rows, shares = events(spark, sf), [0.5, 0.95, 0.99]
+    week = lambda c: F.to_date(F.date_trunc("week", c)).alias("week")
+    days = sketches.daily(rows, "ts", [], F.col("event_id"), F.col("value"))
+    told = sketches.estimates(sketches.merged(days, [week(F.col("day"))]), shares)
+    asked = told.select("week", "rows", F.explode(F.arrays_zip(F.array(*[F.lit(s) for s in shares]).alias("share"), F.col("quantiles").alias("q"))).alias("x"))
+    met = rows.select(week(F.col("ts")), "value").join(F.broadcast(asked.select("week", "rows", "x.share", "x.q")), "week")  # a few rows a week
+    below, up = F.count_if(F.col("value") < F.col("q")) / F.count("*"), F.count_if(F.col("value") <= F.col("q")) / F.count("*")
+    e = sketches.rank_error()
+    return met.groupBy("week", "share").agg(F.max("rows").alias("rows"), ((below <= F.col("share") + e) & (up >= F.col("share") - e)).alias("within"))
+
+
 @R.add(f"""WITH {EVENTS} SELECT CAST(ts AS DATE) AS day, round(avg(CASE WHEN k % 5 = 0 THEN 1.0 ELSE 0 END), 6) AS duplicates, round(avg(CASE WHEN value <= 100 THEN 1.0 ELSE 0 END), 6) AS share, avg(CASE WHEN value <= 100 THEN 1.0 ELSE 0 END) < 0.9 AS burning FROM e GROUP BY 1""")
 def daily_ratios(spark, sf):
     rows = events(spark, sf).withColumn("day", F.to_date("ts"))

@@ -87,11 +87,17 @@ def random_vectors(spark, sf):
     return v.select("s_suppkey", F.posexplode("features").alias("i", "x")).where("x = 1").select("s_suppkey", "i")
 
 
-@R.add("""WITH t AS (SELECT 'a-' || k AS task_id, 'a' AS name, e AS event_id, lo, hi, 0 AS is_anomaly FROM range(50) x(k), (VALUES ('E1', 1, 5), ('E2', 0, 3)) v(e, lo, hi))
+@R.add("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT event_type AS e, min(n) AS lo, max(n) AS hi FROM c GROUP BY 1),
+u AS (SELECT event_type || '-days' AS name, CAST(event_type = 'error' AS INT) AS is_anomaly FROM events GROUP BY event_type),
+t AS (SELECT name || '-' || k AS task_id, name, e AS event_id, lo, hi, is_anomaly FROM u, range(50) x(k), s)
 SELECT task_id, name, event_id, CAST(lo + floor(CAST('0x' || left(md5(task_id || ':' || event_id || ':42'), 8) AS BIGINT) / 4294967296.0 * (hi - lo + 1)) AS BIGINT) AS cnt, is_anomaly FROM t""")
 def scenario_counts(spark, sf):
-    """Synthetic tasks of a scenario; they need no table."""
-    scenarios = spark.createDataFrame([("a", [("E1", 1, 5), ("E2", 0, 3)], 0)], "name string, events array<struct<event:string,min:int,max:int>>, is_anomaly int")
+    """Synthetic tasks of a scenario for each kind of event, within the counts that the table's users have of each."""
+    rows = table(spark, sf, "events")
+    seen = rows.groupBy("user_id", "event_type").count().groupBy("event_type").agg(F.min("count").alias("lo"), F.max("count").alias("hi"))
+    kinds = seen.agg(F.collect_list(F.struct(F.col("event_type").alias("event"), F.col("lo").alias("min"), F.col("hi").alias("max"))).alias("events"))  # a few kinds
+    names = rows.select("event_type").distinct()
+    scenarios = names.crossJoin(F.broadcast(kinds)).select(F.concat("event_type", F.lit("-days")).alias("name"), "events", (F.col("event_type") == "error").cast("int").alias("is_anomaly"))  # one row
     return datasets.scenario_vectors(scenarios, 50)
 
 
@@ -147,10 +153,15 @@ def linear_scores(spark, sf):
     return events(spark, sf).select("event_id", F.round(models.linear_classifier(F.array(part, part / 10), [0.5, 2.0], -1.0, neutral=0.5), 6).alias("score"))
 
 
-@R.add("SELECT round(1 / (1 + exp(0.25)), 6) AS score")
+@R.add("WITH b AS (SELECT avg(value) / 100 AS b FROM events) SELECT event_id, round(1 / (1 + exp(b - 2 * value / 100)), 6) AS score, round(1 / (1 + exp(b)), 6) AS of_nothing FROM events, b")
 def zero_vector_probe(spark, sf):
-    out = models.zero_probe(table(spark, sf, "region"), lambda v: models.linear_classifier(v, [1.0, 2.0, 3.0], -0.25), 3)
-    return out.select(F.round("score", 6).alias("score"))
+    """What a model says of each event, and of one without features; its bias comes from the table."""
+    rows = table(spark, sf, "events")
+    bias = -rows.agg(F.avg("value") / 100).first()[0]
+    model = lambda v: models.linear_classifier(v, [2.0, 1.0], bias)
+    probe = models.zero_probe(rows, model, 2).select(F.round("score", 6).alias("of_nothing"))
+    told = rows.select("event_id", F.round(model(F.array(F.col("value") / 100, F.lit(0.0))), 6).alias("score"))
+    return told.crossJoin(F.broadcast(probe))  # one row
 
 
 @R.add(f"WITH {EVENTS} SELECT event_id, CASE WHEN event_type = 'error' THEN 'T1:1.00,T2:0.00' WHEN event_type = 'purchase' THEN 'T2:0.50,T1:0.00' ELSE 'T1:0.00,T2:0.00' END AS ranking FROM e WHERE event_type IN ('error', 'purchase', 'view', 'signup')")
