@@ -8,7 +8,7 @@ from sparkwarden.functions import network, refs
 from sparkwarden.operators import archive, output, redact, registry, vendor
 from sparkwarden.operators.normalize import cef_extensions, normalize
 from sparkwarden.plans.common import EVENTS, LINES, Registry, events, syslog_lines, table
-from sparkwarden.sources import envelopes, framing
+from sparkwarden.sources import envelopes, framing, tables
 
 R = Registry()
 
@@ -241,12 +241,25 @@ def broker_values(spark, sf):
     return envelopes.parse(table(spark, sf, "events").select("event_id", value.alias("value"))).select("event_id", "raw", "source_type", "host")
 
 
-@R.add("""WITH o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n, event_type FROM events) SELECT 'c' || user_id AS conn, n, 'm ' || event_type AS raw FROM o""")
-def tcp_messages(spark, sf):
+_MESSAGES = """WITH o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n, event_type FROM events) SELECT 'c' || user_id AS conn, n, 'm ' || event_type AS raw FROM o"""
+
+
+def _chunks(spark, sf):
     text = F.concat(F.lit("m "), "event_type")
     framed = F.when(F.col("event_id") % 2 == 0, output.tcp_frame(text)).otherwise(F.concat(text, F.lit("\n")))
-    chunks = table(spark, sf, "events").select(F.concat(F.lit("c"), "user_id").alias("conn"), F.col("event_id").alias("seq"), F.encode(framed, "UTF-8").alias("data"))
-    return framing.deframe(chunks)
+    return table(spark, sf, "events").select(F.concat(F.lit("c"), "user_id").alias("conn"), F.col("event_id").alias("seq"), F.encode(framed, "UTF-8").alias("data"))
+
+
+@R.add(_MESSAGES)
+def tcp_messages(spark, sf):
+    return framing.deframe(_chunks(spark, sf))
+
+
+@R.add(_MESSAGES)
+def tcp_messages_in_sql(spark, sf):
+    """The same by a table function of SQL, which takes its table by connection and in order."""
+    tables.register(spark)
+    return spark.sql("SELECT * FROM deframe(TABLE({chunks}))", chunks=_chunks(spark, sf))
 
 
 @R.add("SELECT 'm' || s_suppkey AS run_id, CASE WHEN s_suppkey = 7 THEN 'production' WHEN s_suppkey % 4 = 3 AND s_suppkey % 5 = 0 THEN 'archived' WHEN s_suppkey % 5 = 0 THEN 'production' ELSE 'staging' END AS status FROM supplier")
