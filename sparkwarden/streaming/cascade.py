@@ -22,6 +22,7 @@ from sparkwarden.functions import constants as C
 from sparkwarden.functions.vector import clamp, doubles
 from sparkwarden.operators import cascade, folds, scoring
 from sparkwarden.operators.rules import match_rules
+from sparkwarden.sources import brokers
 
 #: Vectors of a chunk of state.
 CHUNK = 256
@@ -208,6 +209,25 @@ def start_scoring(scored: DataFrame, sink: Callable[[DataFrame, int], None], che
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def in_turn(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """One sink of several, each after the one before has taken the batch; the batch is worked out once."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
+        try:
+            for sink in sinks:
+                sink(kept, number)
+        finally:
+            kept.unpersist()
+
+    return run
+
+
+def published(write: Callable[[DataFrame], None], headers: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A sink that gives the scored topic's records (topic, key, value, headers) of a batch to write, such as ``lambda r: r.write.format("kafka").options(...).save()``. Comes after the sink of the events themselves."""
+    return lambda batch, number: write(brokers.scored_records(batch, headers))
+
+
 def novelty_stream(events: DataFrame, order: str, ts: str, vector: str = "embedding", scope: str | None = None, novelty: folds.Novelty = folds.Novelty(), idle_ms: int | None = None) -> DataFrame:
     """events of a stream with novelty_score and baseline_size, as ``similarity.novelty`` gives them."""
     out = remembered(events, order, ts, Memory(None, novelty, None), vector, scope, idle_ms=idle_ms)

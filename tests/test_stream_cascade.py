@@ -1,5 +1,6 @@
 """The streaming cascade against the batch one, with restarts, and the folds against walks."""
 
+import json
 import math
 import random
 from collections import deque
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.operators import cascade, drift, folds, models, rules, scoring, similarity
 from sparkwarden.streaming import cascade as streams
+from sparkwarden.streaming.workspace import by_batch
 
 SCHEMA = "n long, at timestamp, raw string, text string, source_type string, p1 double, p2 double, tenant string, embedding array<double>"
 RULES = [("r-a", 0, "CommandLine", "contains", "admin from 10.0.0.9"), ("r-b", 1, "Details", "endswith", "k=7")]
@@ -112,6 +114,31 @@ def test_what_a_failed_batch_did_is_done_again(spark, tmp_path):
     assert sorted(sum(seen.values(), [])) == sorted(map(plain, batch.select(*WANTED).collect()))
 
 
+def test_records_are_published_after_the_sink(spark, tmp_path):
+    rows = some_events(60)
+    r, t = tables(spark)
+    for s in (0, 30):
+        put(spark, tmp_path / "in", rows[s : s + 30])
+    order = []
+
+    def noted(name, sink):
+        return lambda batch, number: (order.append((number, name)), sink(batch, number))
+
+    coming = read_stream(spark, tmp_path / "in").withColumns({"host": F.concat(F.lit("h"), "n"), "raw_log_ref": F.sha2("raw", 256)})
+    scored = streams.score_stream(coming, "n", "at", the_models(False), r, t, memory=streams.Memory(novelty=NOVELTY))
+    publish = streams.published(lambda records: records.write.mode("append").parquet(str(tmp_path / "topic")))
+    sink = streams.in_turn(noted("events", by_batch(str(tmp_path / "events"))), noted("topic", publish))
+    streams.start_scoring(scored, sink, str(tmp_path / "ck"), once=True).awaitTermination()
+    assert order == [(0, "events"), (0, "topic"), (1, "events"), (1, "topic")]
+    records = spark.read.parquet(str(tmp_path / "topic")).collect()
+    assert sorted(x.key for x in records) == sorted(f"h{i}" for i in range(60)) and {x.topic for x in records} == {streams.brokers.SCORED}
+    events = {e.n: e for e in spark.read.parquet(str(tmp_path / "events")).collect()}
+    assert len(events) == 60
+    for x in records:
+        told = json.loads(x.value)
+        assert told["ai_priority"] == events[told["n"]].ai_priority and "raw" not in told and x.headers[0].key == "traceparent"
+
+
 def drained(spark, df, tmp_path, name):
     q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
