@@ -206,7 +206,7 @@ def distinct_sketches(spark, sf):
     return told.join(exact, "event_type").select("event_type", "rows", "exact", (F.abs(F.col("n_distinct") - F.col("exact")) <= F.col("exact") * sketches.distinct_error() + 1).alias("within"))
 
 
-@R.add("""WITH w AS (SELECT date_trunc('week', ts) AS week, value FROM events) SELECT CAST(week AS DATE) AS week, p.p AS share, count(*) AS rows, true AS within FROM w, (VALUES (0.5), (0.95), (0.99)) p(p) GROUP BY ALL""")
+@R.add("""WITH w AS (SELECT date_trunc('week', ts) AS week, value FROM events) SELECT CAST(week AS DATE) AS week, p.p AS share, count(*) AS rows, true AS within FROM w, (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) p(p) GROUP BY ALL""")
 def quantile_sketches(spark, sf):
     """Quantiles of each week by sketches of the days; within: the share of rows up to the estimate is the one that was asked for, but for the sketch's error."""
     rows, shares = events(spark, sf), [0.5, 0.95, 0.99]
