@@ -1,5 +1,10 @@
 """Patterns, words, weights and thresholds that results depend on."""
 
+# --- fixed values: white space of Unicode, with the four separators of ASCII ---
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # --- fixed values: line formats (Java dialect, numbered groups) ---
 RFC3164 = r"(?s)^(?:<(\d{1,3})>)?([A-Za-z]{3})\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2})\s+(\S+)\s+(?:(\S+?)(?:\[(\d+)\])?:\s*(.+)|(.+))$"
 RFC3164_GROUPS = ["priority", "month", "day", "time", "host", "process", "pid", "message", "message_only"]

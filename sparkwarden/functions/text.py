@@ -12,7 +12,7 @@ _SEP, _MARK = "\x01", "\x02\x01"
 
 def strip(s: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    return F.btrim(s, F.lit(C.WHITE_SPACE))
 
 
 def groups(s: Column, pattern: str, n: int) -> Column:
@@ -62,15 +62,15 @@ def valid_utf8(data: Column) -> Column:
 
 
 def last_of_each(entries: Column) -> Column:
-    """A map of key-value structs (k, v) in which later keys win. Entries are gone through pair by pair only where keys repeat."""
+    """A map of key-value structs (k, v) in which later keys win. Keys are held against each other only where some repeat."""
 
-    def put(held: Column, e: Column) -> Column:
-        return F.concat(F.filter(held, lambda x: x["k"] != e["k"]), F.array(e))
+    def last(held: Column, keys: Column) -> Column:
+        return F.filter(held, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["k"]))
 
-    keys = F.transform(entries, lambda e: e["k"])
-    none = F.filter(entries, lambda e: F.lit(False))
-    kept = F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(F.aggregate(entries, none, put))
-    return F.map_from_entries(kept)
+    def kept(held: Column) -> Column:
+        return let(F.transform(held, lambda e: e["k"]), lambda keys: F.when(F.size(F.array_distinct(keys)) == F.size(keys), held).otherwise(last(held, keys)))
+
+    return F.map_from_entries(let(entries, kept))
 
 
 def let(value: Column, body) -> Column:

@@ -44,9 +44,9 @@ def cef_extensions(s: Column) -> Column:
     parts = F.filter(F.split(strip(s), r"(?<!\\)\s+(?=\w+=)"), lambda p: F.contains(p, F.lit("=")))
 
     def pair(p: Column) -> Column:
-        key = F.substring_index(p, "=", 1)
-        value = F.replace(F.replace(F.substring(p, F.length(key) + 2, F.length(p)), F.lit("\\="), F.lit("=")), F.lit("\\ "), F.lit(" "))
-        return F.struct(strip(key).alias("k"), strip(value).alias("v"))
+        value = F.substring(p, F.position(F.lit("="), p) + 1, F.length(p))
+        plain = F.when(F.contains(value, F.lit("\\")), F.replace(F.replace(value, F.lit("\\="), F.lit("=")), F.lit("\\ "), F.lit(" "))).otherwise(value)
+        return F.struct(strip(F.substring_index(p, "=", 1)).alias("k"), strip(plain).alias("v"))
 
     return last_of_each(F.transform(parts, pair))
 
