@@ -41,18 +41,24 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
 
 
 def fit_bits(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-4, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic weights (width, bits) and biases of y (rows, bits; +-1), by accelerated gradients."""
-    w = np.zeros((x.shape[1] + 1, y.shape[1]), np.float32)
-    v, t = w.copy(), 1.0
+    """Logistic weights (width, bits) and biases of y (rows, bits; +-1), by accelerated gradients.
+
+    Weights stay sums of rows, so where rows are few their products take the place of x and the steps are those of the rows' factors.
+    """
+    few = 2 * len(x) <= x.shape[1]
+    products = x @ x.T if few else None
+    w, b = np.zeros((len(x) if few else x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
+    v, c, t = w, b, 1.0
     weight = (weight / weight.sum())[:, None].astype(np.float32)
     for _ in range(rounds):
-        margin = x @ v[:-1] + v[-1]
+        margin = (products if few else x) @ v + c
         g = -weight * y / (1 + np.exp(np.clip(y * margin, -30, 30)))
-        new = v - 2.0 * np.concatenate([x.T @ g + decay * v[:-1], g.sum(0, keepdims=True)])
+        new_v, new_c = v - 2.0 * ((g if few else x.T @ g) + decay * v), c - 2.0 * g.sum(0)
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        v = new + (before - 1) / t * (new - w)
-        w = new
-    return w[:-1], w[-1]
+        step = np.float32((before - 1) / t)
+        v, c = new_v + step * (new_v - w), new_c + step * (new_c - b)
+        w, b = new_v, new_c
+    return x.T @ w if few else w, b
 
 
 def decode(margins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

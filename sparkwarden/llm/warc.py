@@ -115,6 +115,8 @@ def write_archives(pages: DataFrame, path: str, chunk: int = CHUNK, date: str |
     copies = durable(rows.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("last_id"), F.count("*").alias("n")).where("n > 1").drop("n"))
     if copies.count() <= FEW:
         copies = F.broadcast(copies)
+    else:
+        rows = rows.withColumn("digest", F.coalesce("digest", F.concat(F.lit("-"), F.rand(0))))  # rows without copies go to as many places
     again = durable(rows.groupBy("page_id").count().where("count > 1 or page_id is null").select(F.col("page_id").alias("again")))
     if again.count() <= FEW:
         again = F.broadcast(again)

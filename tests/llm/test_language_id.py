@@ -85,3 +85,12 @@ def test_no_language_is_lost_among_many(spark):
     rows = [(i, f"word{i % 60} of language", f"l{i % 60}") for i in range(1800)] + [(9000 + i, "rare one", "rare") for i in range(4)]
     model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=300)
     assert len(model.languages) == 61
+
+
+def test_factors_of_rows_give_the_same_weights():
+    rng = np.random.default_rng(3)
+    x, y, weight = rng.random((40, 60), np.float32), rng.choice([-1.0, 1.0], (40, 3)).astype(np.float32), rng.random(40) + 0.5
+    w, b = language_id.fit_bits(x, y, weight, rounds=60)
+    wide = np.concatenate([x, np.zeros((40, 140), np.float32)], axis=1)
+    by_rows, its_b = language_id.fit_bits(wide, y, weight, rounds=60)
+    assert by_rows.shape == (200, 3) and np.allclose(by_rows[:60], w, atol=1e-3) and np.allclose(its_b, b, atol=1e-3) and not by_rows[60:].any()

@@ -2,6 +2,7 @@ import hashlib
 
 import pytest
 
+from sparkwarden.llm import warc
 from sparkwarden.llm.warc import parse_record, read_archives, round_trip, segments, write_archives
 
 TRAP = "\r\n\r\nWARC/1.1\r\n"
@@ -31,6 +32,12 @@ def test_round_trip(spark, chunk):
     assert sorted(map(tuple, round_trip(df, chunk).collect()), key=str) == brute(ROWS)
 
 
+def test_copies_beyond_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FEW", -1)
+    df = spark.createDataFrame(ROWS, "page_id long, url string, html string")
+    assert sorted(map(tuple, round_trip(df).collect()), key=str) == brute(ROWS)
+
+
 def test_split_files(spark, tmp_path):
     rows = [(i, "u", ("%d\r\n\r\nWARC" % i) * 300) for i in range(200)]
     write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"), 500)
