@@ -158,6 +158,13 @@ def pass_ratio(df: DataFrame, category: str, passed: str, least: float = 0.5) ->
     return out.withColumn("ok", F.col("ratio") >= least)
 
 
+def checked(df: DataFrame, category: str, passed: str, least: float = 0.5) -> DataFrame:
+    """Each check with its status (pass or fail; one that says nothing fails), and the n, ratio and ok of its category."""
+    of = pass_ratio(df, category, passed, least).withColumnRenamed(category, "_category")  # a row for each category
+    rows = df.withColumn("status", F.when(F.col(passed), "pass").otherwise("fail"))
+    return rows.join(of, F.col(category).eqNullSafe(F.col("_category")), "left").drop("_category")
+
+
 def span_metrics(spans: DataFrame) -> DataFrame:
     """(type, precision, recall, f1) of predicted and true spans: rows (sentence, start, end, type, predicted, actual)."""
     counts = spans.groupBy("type").agg(F.count_if(F.col("predicted") & F.col("actual")).alias("tp"), F.count_if(F.col("predicted") & ~F.col("actual")).alias("fp"), F.count_if(~F.col("predicted") & F.col("actual")).alias("fn"))
@@ -171,6 +178,12 @@ def argmax_metrics(df: DataFrame, label: str, probabilities: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.coalesce(F.avg((best == F.col(label)).cast("double")), F.lit(0.0)).alias("accuracy"), F.coalesce(F.avg(F.array_max(p)), F.lit(0.0)).alias("mean_confidence"))
 
 
+def positive_class_auc(df: DataFrame, label: str, probabilities: str) -> DataFrame:
+    """One row (roc_auc) of two-class probabilities, ranked by that of class 1; rows without it take no part."""
+    ranked = df.select(F.col(label).alias("label"), F.try_element_at(F.col(probabilities), F.lit(2)).alias("score"))
+    return roc_auc(ranked.where("score is not null"), "label", "score")
+
+
 def report(metrics: DataFrame) -> DataFrame:
     """One JSON text of a one-row frame, for a report sink."""
     return metrics.select(F.to_json(F.struct(*metrics.columns)).alias("value"))

@@ -9,6 +9,15 @@ from sparkwarden.functions import constants as C
 from sparkwarden.operators.evaluation import with_percentiles
 
 
+def batch_report(df: DataFrame, batch: list[str], ts: str) -> DataFrame:
+    """One row of batches (rows of equal ``batch``): their number and rows, the mean and the largest size, the longest span in seconds (0.0 without times)."""
+    sizes = df.groupBy(*batch).agg(F.count("*").alias("n"), (F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))).alias("span"))
+    return sizes.agg(
+        F.count("*").alias("batches"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean_size"), F.coalesce(F.max("n"), F.lit(0)).alias("max_size"),
+        F.coalesce(F.max("span") / 1e6, F.lit(0.0)).alias("max_span_s"),
+    )
+
+
 def counter(df: DataFrame, labels: list[str]) -> DataFrame:
     return df.groupBy(*labels).agg(F.count("*").alias("value"))
 

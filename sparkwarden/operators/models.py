@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import constants as C
@@ -106,6 +106,21 @@ def tagger(load: Callable, name: str = "tagger", path: str | None = None):
     return model_column(load, "array<struct<type:string,text:string,score:double>>", name, path)
 
 
+def preload(spark: SparkSession, probes: dict[str, Column], strict: bool = False, tasks: int | None = None) -> DataFrame:
+    """(model, tasks, answered, status) of models that each answer a probe in so many tasks (by default one for each core), so that workers have them loaded before rows come.
+
+    probes: a model's column over a literal, such as ``{"ner": tagger(load)(F.lit("warm-up"))}``; null is no answer. status is
+    loaded or failed. strict: a model that fails in any task raises.
+    """
+    n = tasks or spark.sparkContext.defaultParallelism
+    asked = spark.range(0, n, 1, n).select(*[probe.isNotNull().alias(f"_{k}") for k, probe in enumerate(probes.values())])
+    counts = asked.agg(*[F.count_if(f"_{k}").alias(f"_{k}") for k in range(len(probes))]).first() if probes else ()
+    found = [(name, n, answered, "loaded" if answered == n else "failed") for name, answered in zip(probes, counts, strict=True)]
+    if strict and (bad := [name for name, _, _, status in found if status != "loaded"]):
+        raise RuntimeError(f"models that don't answer: {', '.join(bad)}")
+    return spark.createDataFrame(found, "model string, tasks int, answered long, status string")
+
+
 def onnx_session(path: str):
     import onnxruntime
 

@@ -41,7 +41,7 @@ def rfc3164(raw: Column, g: Column) -> Column:
 
 def cef_extensions(s: Column) -> Column:
     """key=value pairs as a map; values may hold escaped spaces and equals signs, later keys win."""
-    parts = F.filter(F.split(strip(s), r"(?<!\\)\s+(?=\w+=)"), lambda p: F.contains(p, F.lit("=")))
+    parts = F.filter(F.split(strip(s), r"(?U)(?<!\\)\s+(?=\w+=)"), lambda p: F.contains(p, F.lit("=")))
 
     def pair(p: Column) -> Column:
         value = F.substring(p, F.position(F.lit("="), p) + 1, F.length(p))

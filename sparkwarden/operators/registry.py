@@ -59,6 +59,14 @@ def verify(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return e.join(a, "path", "full").select("path", status.alias("status"))
 
 
+def mismatches(expected: DataFrame, actual: DataFrame, strict: bool = False, shown: int = 20) -> DataFrame:
+    """(path, status) of artifacts that are missing or changed, to be looked at before models are loaded. strict: any of them raises, and the first ``shown`` are named."""
+    bad = verify(expected, actual).where(F.col("status").isin("missing", "changed"))
+    if strict and (first := bad.orderBy("path").take(shown)):
+        raise ValueError("artifacts differ from the manifest: " + ", ".join(f"{r.path} ({r.status})" for r in first))
+    return bad
+
+
 def run_id(at: Column, *content: Column) -> Column:
     """yyyyMMdd-HHmmss and eight digits of a hash of what the run is made of: the same run has the same id."""
     return F.concat(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyyMMdd-HHmmss"), F.lit("-"), F.left(F.sha2(F.concat_ws("|", at.cast("string"), *content), 256), F.lit(8)))

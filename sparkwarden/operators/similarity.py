@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkwarden.functions import constants as C
 from sparkwarden.functions.vector import dot, doubles, unit
 from sparkwarden.operators import folds
+from sparkwarden.operators.drift import since_reset
 from sparkwarden.operators.ordered import chunks, running
 
 #: Techniques that go along with an event as one array (more make more arrays), and events of a bucket of time that are compared in one task.
@@ -184,6 +185,11 @@ def novelty_stats(scored: DataFrame) -> DataFrame:
     return scored.agg(F.count("*").alias("events"), F.count_if(on).alias("scored"), F.coalesce(F.avg(F.when(on, F.col("novelty_score"))), F.lit(0.0)).alias("mean_score"), F.coalesce(F.max("novelty_score"), F.lit(0.0)).alias("max_score"), F.coalesce(F.max("baseline_size"), F.lit(0)).alias("baseline_size"))
 
 
+def novelty_since(events: DataFrame, resets: DataFrame, order: str, vector: str = "embedding", scope: list[str] | None = None, **settings) -> DataFrame:
+    """novelty of what came after its scope's last reset (scope, at: a value of order): numbers, window and baseline begin anew."""
+    return novelty(since_reset(events, resets, order, scope), order, vector, scope, **settings)
+
+
 def centroid(vectors: DataFrame, by: list[str], vector: str = "embedding") -> DataFrame:
     """(by..., centroid): the mean of each group's vectors at length 1."""
     dims = vectors.select(*by, F.posexplode(doubles(F.col(vector))).alias("_d", "_x")).groupBy(*by, "_d").agg(F.avg("_x").alias("_m"))

@@ -56,6 +56,12 @@ def batch_requests(spark, sf):
     return sizes.withColumn("error", envelopes.batch_error(F.col("n"), most=60))
 
 
+@R.add("""WITH b AS (SELECT user_id, count(*) AS n, epoch_us(max(ts)) - epoch_us(min(ts)) AS span FROM events GROUP BY user_id)
+SELECT count(*) AS batches, CAST(sum(n) AS BIGINT) AS rows, round(avg(n), 6) AS mean_size, max(n) AS max_size, max(span) / 1e6 AS max_span_s FROM b""")
+def batch_report(spark, sf):
+    return metrics.batch_report(table(spark, sf, "events"), ["user_id"], "ts").withColumn("mean_size", F.round("mean_size", 6))
+
+
 @R.add(f"""WITH {EVENTS} SELECT event_id, 'timeout ' || k AS error, 'raw-logs' AS original_topic, k % 3 + 1 AS retry_count, CAST(k AS VARCHAR) AS k_text FROM e WHERE k % 2 = 0""")
 def dead_letter_envelopes(spark, sf):
     failed = events(spark, sf).where("k % 2 = 0").select("event_id", "k", (F.col("k") % 3).alias("retry_count"))
@@ -228,3 +234,19 @@ SELECT count(*) AS events, count(v) AS scored, round(avg(v), 6) AS mean_score, r
 def novelty_stats(spark, sf):
     scored = similarity.novelty(table(spark, sf, "embeddings"), "vec_id", window=200, warmup=100, baseline=50)
     return similarity.novelty_stats(scored).withColumns({c: F.round(c, 6) for c in ("mean_score", "max_score")})
+
+
+@R.add("WITH late AS (SELECT * FROM embeddings WHERE vec_id > (SELECT max(vec_id) // 2 FROM embeddings)), " + R.sql["novelty_stats"].removeprefix("WITH ").replace("FROM embeddings", "FROM late"))
+def novelty_stats_after_reset(spark, sf):
+    """The detector was reset halfway."""
+    rows = table(spark, sf, "embeddings")
+    resets = rows.agg(F.floor(F.max("vec_id") / 2).alias("at"))
+    scored = similarity.novelty_since(rows, resets, "vec_id", window=200, warmup=100, baseline=50)
+    return similarity.novelty_stats(scored).withColumns({c: F.round(c, 6) for c in ("mean_score", "max_score")})
+
+
+@R.add("""SELECT 'part-' || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN 'missing' ELSE 'changed' END AS status FROM documents WHERE doc_id % 5 IN (0, 2)""")
+def manifest_mismatches(spark, sf):
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("part-"), "doc_id").alias("path"), "doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")).withColumn("length", F.length("content"))
+    found = docs.where("doc_id % 5 <> 0").withColumn("content", F.when(F.col("doc_id") % 5 == 2, F.concat("content", F.encode(F.lit("!"), "UTF-8"))).otherwise(F.col("content")))
+    return registry.mismatches(registry.manifest(docs.where("doc_id % 5 <> 1")), registry.manifest(found))

@@ -78,6 +78,18 @@ def pass_ratios(spark, sf):
     return evaluation.pass_ratio(rows, "category", "passed").withColumn("ratio", F.round("ratio", 6))
 
 
+@R.add("""SELECT doc_id, lang AS category, CASE WHEN n_chars > 1500 THEN 'pass' ELSE 'fail' END AS status, avg(CASE WHEN n_chars > 1500 THEN 1.0 ELSE 0 END) OVER (PARTITION BY lang) >= 0.5 AS ok FROM documents""")
+def checked_by_category(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("category"), (F.col("n_chars") > 1500).alias("passed"))
+    return evaluation.checked(rows, "category", "passed").select("doc_id", "category", "status", "ok")
+
+
+@R.add(f"WITH {_LABELLED}, r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM l) SELECT round((sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / (count(*) FILTER (label = 1) * count(*) FILTER (label <> 1)), 6) AS roc_auc FROM r")
+def positive_class_auc(spark, sf):
+    rows = _labelled(spark, sf).withColumn("p", F.array(1 - F.col("score"), F.col("score")))
+    return evaluation.positive_class_auc(rows, "label", "p").select(F.round("roc_auc", 6).alias("roc_auc"))
+
+
 _DRAW = "md5(doc_id || ':42')"
 
 
