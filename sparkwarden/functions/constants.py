@@ -111,3 +111,6 @@ REPLAY_COUNTER, MAX_REPLAYS, ALREADY_EXISTS = "_dlq_replay_count", 3, 409
 PROTOCOLS = ("PLAINTEXT", "SSL", "SASL_PLAINTEXT", "SASL_SSL")
 MECHANISMS = ("PLAIN", "SCRAM-SHA-256", "SCRAM-SHA-512")
 NEUTRAL_SCORE = 0.5
+
+# --- fixed values: default sender of enriched records ---
+LEEF_VENDOR, LEEF_PRODUCT = "YourCo", "AIPreprocessor"

@@ -9,7 +9,7 @@ from sparkwarden.functions import constants as C
 from sparkwarden.functions.text import or_else, sanitise
 
 
-def leef(df: DataFrame, vendor: str = "YourCo", product: str = "AIPreprocessor", version: str = "1.0") -> Column:
+def leef(df: DataFrame, vendor: str = C.LEEF_VENDOR, product: str = C.LEEF_PRODUCT, version: str = "1.0") -> Column:
     """A LEEF 2.0 line for each scored event of df; attributes in a fixed order, empty ones left out.
 
     raw_log_ref must be there: a null or empty one fails the query. devTime is the event's time, else when it

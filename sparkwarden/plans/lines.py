@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkwarden.functions import constants as C
 from sparkwarden.functions import network, refs
 from sparkwarden.operators import archive, output, redact, registry, vendor
 from sparkwarden.operators.normalize import cef_extensions, normalize
@@ -94,12 +95,8 @@ def redact_secrets(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(redact.redact(F.col("text"), policy), 256).alias("digest"))
 
 
-_ALL = [
-    (r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", "<PRIVATE_KEY>"), (r"(?i)\b(Authorization\s*:\s*Bearer\s+)([^\s,;]+)", r"\1<REDACTED>"),
-    (r"""(?i)\b(password|passwd|pwd|token|api[_-]?key|secret|slack)\s*[:=]\s*("[^"]+"|''[^'']+''|[^\s,;]+)""", r"\1=<REDACTED>"), (r"\b(AKIA|ASIA)[0-9A-Z]{16}\b", "<REDACTED>"), (r"\bxox[baprs]-[A-Za-z0-9-]+\b", "<REDACTED>"),
-    (r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "<EMAIL>"),
-]
-_IP4 = r"\b(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}\b"
+_ALL = [(pattern.replace("'", "''"), mask.replace("$1", r"\1")) for pattern, mask in [*C.SECRET_PATTERNS, C.EMAIL_PATTERN]]
+_IP4 = C.IP_PATTERNS[0][0]
 
 
 def _nested(text: str, steps: list) -> str:
