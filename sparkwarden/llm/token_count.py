@@ -1,6 +1,8 @@
 """Token counts of whole texts, without the tokens.
 
-The library encodes batches of about BATCH_BYTES bytes, however many texts that is, and only lengths come back. A
+The library encodes batches of about BATCH_BYTES bytes, however many texts that is, and only lengths come back. Where a
+.json file's vocabulary is one of ranks, plain texts take their counts from the ranks' library, which cuts and merges by the same
+vocabulary in less than half the time; texts with a special string or with what the two may take otherwise (``tokens.by_ranks``) go to the file's own. A
 text longer than CUT is split where the tokenizer can't join what stands on both sides, so that the
 pieces' counts add up: for byte-level BPE before a space that follows a visible character and comes before an
 ASCII letter. Texts that hold a special string, and those of tokenizers not known to split there, are given
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwarden.llm.session import parts
+from sparkwarden.llm.tokens import by_ranks, ranks_of
 
 BATCH_BYTES, CUT = 1 << 18, 1 << 15
 _SAFE = re.compile(r"(?<=[!-~]) (?=[A-Za-z])")
@@ -28,7 +31,7 @@ class Counter:
     """Counts for one tokenizer file, by the library that its suffix names."""
 
     def __init__(self, path: str):
-        self.splits, self.special = False, []
+        self.splits, self.special, self.ranks = False, [], None
         if path.endswith(".model"):
             import sentencepiece
 
@@ -40,12 +43,15 @@ class Counter:
         model = Tokenizer.from_file(path)
         model.no_truncation()
         model.no_padding()
-        self.encode = lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+        own = lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens", [])
         self.special = [t["content"] for t in added]
         self.splits = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+        self.ranks = ranks_of(spec) if self.splits else None
+        ids = own if self.ranks is None else lambda texts: by_ranks(texts, self.ranks, own, self.special)
+        self.encode = lambda texts: [len(x) for x in ids(texts)]
 
     def pieces(self, text: str) -> list[str]:
         """text cut at the first safe place after each CUT characters; a text without such a place is one piece."""

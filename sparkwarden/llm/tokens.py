@@ -26,6 +26,41 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _entries(spec: dict) -> list[bytes]:
+    """The bytes of each id of a byte-level vocabulary."""
+    letters = byte_letters()
+    by_id = {i: t for t, i in spec["model"]["vocab"].items()}
+    return [bytes(letters[c] for c in by_id.get(i, "")) for i in range(max(by_id) + 1)]
+
+
+def ranks_of(spec: dict):
+    """The vocabulary of a byte-level BPE file as ranks, whose library is several times faster; None unless each merge makes the id of its rank."""
+    import tiktoken
+
+    model = spec["model"]
+    if model.get("type", "BPE") != "BPE" or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    vocab, letters, special = model["vocab"], byte_letters(), {t["content"] for t in spec.get("added_tokens", [])}
+    if any(c not in letters for t in vocab if t not in special for c in t):
+        return None
+    entries = _entries({"model": {"vocab": {t: i for t, i in vocab.items() if t not in special}}})
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    base = sum(len(e) == 1 for e in entries)
+    if base != 256 or any(vocab.get(a + b) != base + k for k, (a, b) in enumerate(merges)):
+        return None
+    ranks = {entries[i]: i for t, i in vocab.items() if t not in special}
+    return tiktoken.Encoding("own", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={}) if len(ranks) == base + len(merges) else None
+
+
+def by_ranks(texts: list[str], ranks, own, special: list[str] = ()) -> list[list[int]]:
+    """Ids of each text by its ranks, or by the file's own library (own) where the two may differ or one of the strings of special occurs."""
+    other = [i for i, t in enumerate(texts) if _OTHER.search(t) or any(x in t for x in special)]
+    out = [None] * len(texts)
+    for i, ids in zip(other, own([texts[i] for i in other]) if other else [], strict=True):
+        out[i] = ids
+    return [ranks.encode_ordinary(t) if ids is None else ids for t, ids in zip(texts, out, strict=True)]
+
+
 class Vocabulary:
     """One tokenizer: texts' ids, and the bytes of each id (entries end to end in table, id i from offset[i], size[i] of them)."""
 
@@ -48,40 +83,16 @@ class Vocabulary:
             model.encode_special_tokens = True  # their strings in a text are text
             with open(path, encoding="utf-8") as f:
                 spec = json.load(f)
-            letters = byte_letters()
-            by_id = {i: t for t, i in spec["model"]["vocab"].items()}
-            entries = [bytes(letters[c] for c in by_id.get(i, "")) for i in range(max(by_id) + 1)]
+            entries = _entries(spec)
             pre = spec.get("pre_tokenizer") or {}
             self.splits = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
-            ranks = self._ranks(spec, entries) if self.splits else None
+            ranks = ranks_of(spec) if self.splits else None
             own = lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
-            self._encode = own if ranks is None else lambda texts: self._by_ranks(texts, ranks, own)
+            self._encode = own if ranks is None else lambda texts: by_ranks(texts, ranks, own)
         self.size = np.array([len(e) for e in entries], np.int64)
         self.offset = np.concatenate(([0], np.cumsum(self.size)))[:-1]
         self.table = np.frombuffer(b"".join(entries), np.uint8)
 
-    @staticmethod
-    def _ranks(spec: dict, entries: list[bytes]):
-        """The same vocabulary as ranks, whose library is several times faster; None unless each merge makes the id of its rank."""
-        import tiktoken
-
-        vocab = spec["model"]["vocab"]
-        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        base = sum(len(e) == 1 for e in entries)
-        if base != 256 or spec["model"].get("ignore_merges") or any(vocab.get(a + b) != base + k for k, (a, b) in enumerate(merges)):
-            return None
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = {entries[i]: i for t, i in vocab.items() if t not in special}
-        return tiktoken.Encoding("own", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={}) if len(ranks) == base + len(merges) else None
-
-    @staticmethod
-    def _by_ranks(texts: list[str], ranks, own) -> list[list[int]]:
-        other = [i for i, t in enumerate(texts) if _OTHER.search(t)]
-        out = [None] * len(texts)
-        for i, ids in zip(other, own([texts[i] for i in other]) if other else [], strict=True):
-            out[i] = ids
-        return [ranks.encode_ordinary(t) if ids is None else ids for t, ids in zip(texts, out, strict=True)]
-
     def encode(self, pieces: list[str]) -> list[list[int]]:
         """Ids of each piece, all of which begin with a space."""
         return self._encode([p[1:] for p in pieces] if self.adds_space else pieces)

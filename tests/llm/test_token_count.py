@@ -1,4 +1,5 @@
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -40,3 +41,28 @@ def test_rows(spark):
 def test_other_files_take_texts_whole(name):
     c = Counter(public_tokenizers.path(name))
     assert not c.splits and c.count(["A b", "A b c"])[0] == c.encode(["A b"])[0]
+
+
+def test_ranks_and_library_agree_on_all_pairs_of_characters():
+    chars = [chr(i) for i in range(0x260)]
+    texts = ["".join(f"a{x}{y}'{y}{x}1 {x} {y}" for y in chars) for x in chars]  # some go to the file's own library for what they hold
+    texts += [f"{x}{y}{x}{x} {y}{y}" for x in chars[:0x250] for y in chars[:0x250:7]]
+    counter = Counter(PATH)
+    assert counter.ranks is not None and counter.count(texts) == plain(texts)
+
+
+def test_special_strings_are_the_librarys():
+    texts = ["a <|endoftext|>", "<|endoftext|>" * 3, "<|endoftext| >", "b <|endoftext|>" + " word" * 9000]
+    assert Counter(PATH).count(texts) == plain(texts) and plain(texts)[1] == 3
+
+
+def test_plain_texts_take_less_than_the_librarys_time():
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 11))) for _ in range(300)) for _ in range(200)]
+    model, counter, took = Tokenizer.from_file(PATH), Counter(PATH), []
+    for count in (lambda: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)], lambda: counter.count(texts)):
+        began = time.process_time()
+        got = count()
+        took.append(time.process_time() - began)
+        assert got == plain(texts)
+    assert took[1] < 0.75 * took[0], took
