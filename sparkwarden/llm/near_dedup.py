@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.llm import textkit as tk
 from sparkwarden.llm.graph import components
-from sparkwarden.llm.session import FEW, durable, many_to_one, parts
+from sparkwarden.llm.session import FEW, durable, durable_alone, many_to_one, parts
 
 COORDINATES = 24
 #: Shingles and rows in a block of a list; two blocks are in memory at a time.
@@ -102,7 +102,7 @@ def _first_pass(k: int):
 
 
 def _second_pass(k: int):
-    """The sets again, of those few texts that have a candidate; rows that only share the id go."""
+    """The sets again, of those few texts that have a candidate, with the units that they go to; rows that only share the id go."""
 
     def run(batches):
         for batch in parts(batches):
@@ -111,8 +111,10 @@ def _second_pass(k: int):
             here = [i for i, x in enumerate(found) if _key(x) == keys[i]]
             flat = np.concatenate([found[i] for i in here]) if here else np.zeros(0, np.uint64)
             sigs = pa.array([tk.as_long(_signature(found[i])) for i in here], pa.list_(pa.int64()))
+            units, long = (batch.column(name).take(pa.array(here, pa.int64())) for name in ("units", "long"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([keys[i] for i in here], pa.binary()), sigs, tk.lists(tk.as_long(flat), [len(found[i]) for i in here], pa.int64())], ["set_key", "sig", "shingles"]
+                [pa.array([keys[i] for i in here], pa.binary()), units, long, sigs, tk.lists(tk.as_long(flat), [len(found[i]) for i in here], pa.int64())],
+                ["set_key", "units", "long", "sig", "shingles"],
             )
 
     return run
@@ -288,9 +290,14 @@ def _blocks(total, members, block: int) -> F.Column:
     return F.greatest(F.lit(1), F.ceil(total / block), F.ceil(members / ROWS)).cast("int")
 
 
-def _forests(units: DataFrame, sets: DataFrame, per_cent: int, least: int, envoys: bool = False) -> DataFrame:
-    """Links (unit, a, b) inside the units (unit, set_key, label, asks)."""
-    dealt = units.join(sets, "set_key").select("unit", "set_key", "label", "asks", "sig", "shingles").repartition("unit").sortWithinPartitions("unit", "set_key", F.desc("asks"))
+def _with_sets(units: DataFrame, sets: DataFrame) -> DataFrame:
+    """units (unit, set_key, label, asks) with sig and shingles."""
+    return units.join(sets, "set_key").select("unit", "set_key", "label", "asks", "sig", "shingles")
+
+
+def _forests(rows: DataFrame, per_cent: int, least: int, envoys: bool = False) -> DataFrame:
+    """Links (unit, a, b) inside the units (unit, set_key, label, asks, sig, shingles)."""
+    dealt = rows.repartition("unit").sortWithinPartitions("unit", "set_key", F.desc("asks"))
     return dealt.mapInArrow(_join_lists(per_cent, least, envoys), "unit long, a binary, b binary")
 
 
@@ -312,13 +319,13 @@ def _rarest(rows: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     sizes in common and has at most what follows their first common shingle, so a set stays in a list only if the least size there leaves it enough.
     """
     held = rows.join(sets, "set_key").select("set_key", "n", "label", "asks", F.explode("shingles").alias("posting"))
-    often = durable(held.groupBy("posting").agg(F.count("*").alias("rows"), F.max("asks").alias("asked"), F.min("label").alias("low"), F.max("label").alias("high")))
+    often = durable_alone(held.groupBy("posting").agg(F.count("*").alias("rows"), F.max("asks").alias("asked"), F.min("label").alias("low"), F.max("label").alias("high")))
     own = Window.partitionBy("set_key")
     # Shingles that only one set has come first in the order and meet nothing: their number is all that counts.
     ranked = many_to_one(held, often, ["posting"], often.select("posting", "rows")).withColumn("before", F.row_number().over(own.orderBy("rows", "posting")) - 1)
     most = F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1
     posted = ranked.where((F.col("before") < most) & F.expr("rows > 1 AND asked AND low != high")).select("posting", "set_key", "n", "label", "asks", "before")
-    posted = durable(posted)
+    posted = durable_alone(posted)
     sizes = posted.groupBy("posting").agg(F.min("n").alias("least_n"), F.count("*").alias("rows"))
     able = (F.col("n") - F.col("before")) * (100 + per_cent) - F.col("n") * per_cent >= F.col("least_n") * per_cent
     left = _of_list(posted, sizes.select("posting", "least_n"), sizes).where(able).select("posting", "set_key", "n", "label", "asks")
@@ -333,25 +340,25 @@ def _rarest(rows: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
 def _long_lists(members: DataFrame, sets: DataFrame, per_cent: int, least: int, block: int, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) of long lists, and units (unit, set_key, label, asks) for what these leave open.
 
-    members: (posting, set_key, n, blocks). known: links found before, of lists that have been taken apart already. A member is written
+    members: (posting, set_key, n, blocks). sets: theirs. known: links found before, of lists that have been taken apart already. A member is written
     once for its block and once for the units, and those that are left as often as their list has blocks, as long as they fill no block themselves.
     """
     lists = members.groupBy("posting").agg(F.count("*").alias("rows"), F.sum("n").alias("total"), F.max("blocks").alias("blocks"))
     few = lists.count() <= FEW
     placed = members.select(F.xxhash64("posting", _place(F.col("blocks"), 7)).alias("unit"), "posting", "set_key")
     alone = [F.col("set_key").alias("label"), F.lit(True).alias("asks")]
-    inside = durable(_forests(placed.select("unit", "set_key", *alone), sets, per_cent, least, envoys=True))
+    inside = durable_alone(_forests(_with_sets(placed.select("unit", "set_key", *alone), sets), per_cent, least, envoys=True))
     sent = inside.where("a = b").select("unit", F.col("a").alias("set_key")).join(placed.select("unit", "posting").distinct(), "unit")
     halls = F.greatest(F.lit(1), F.ceil(F.col("blocks") * ENVOYS / ROWS)).cast("int")
     met = _of_list(sent, lists.select("posting", "blocks"), lists, few).where("blocks > 1").select(F.xxhash64("posting", _place(halls, 13)).alias("unit"), "set_key").distinct()
-    between = _forests(met.select("unit", "set_key", *alone), sets, per_cent, least)
+    between = _forests(_with_sets(met.select("unit", "set_key", *alone), sets), per_cent, least)
     links = inside.where("a != b").select("a", "b").unionByName(between.select("a", "b"))
-    links = durable(links if known is None else links.unionByName(known))
+    links = durable_alone(links if known is None else links.unionByName(known))
 
     label = components(links).select(F.col("node").alias("set_key"), F.col("comp").alias("label"))
     named = members.select("posting", "set_key", "n").join(label, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     top = named.groupBy("posting", "label").count().groupBy("posting").agg(F.max_by("label", F.struct("count", "label")).alias("top"), F.count("*").alias("labels"))
-    opened = durable(_of_list(named, top.where("labels > 1").select("posting", "top"), lists, few).withColumn("asks", F.col("label") != F.col("top")).drop("top"))
+    opened = durable_alone(_of_list(named, top.where("labels > 1").select("posting", "top"), lists, few).withColumn("asks", F.col("label") != F.col("top")).drop("top"))
     asked = opened.where("asks").groupBy("posting").agg(F.count("*").alias("ask_rows"), F.sum("n").alias("ask_total"))
     ways = asked.join(lists, "posting").select("posting", "rows", _blocks(F.col("total"), F.col("rows"), block).alias("blocks"), _blocks(F.col("ask_total"), F.col("ask_rows"), block).alias("ask_blocks"))
     # Lists that have been taken apart have no other way left than all their blocks against each other.
@@ -365,7 +372,7 @@ def _long_lists(members: DataFrame, sets: DataFrame, per_cent: int, least: int,
         return links, units
 
     apart = _of_list(opened, many.select("posting"), lists, few).groupBy("set_key").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.max("asks").alias("asks"))
-    again = durable(_rarest(apart, sets, per_cent))
+    again = durable_alone(_rarest(apart, sets, per_cent))
     sizes = again.groupBy("posting").agg(F.count("*").alias("rows"), _blocks(F.sum("n"), F.count("*"), block).alias("blocks"))
     again = _of_list(again, sizes.drop("rows"), sizes)
     # A list of few blocks goes to a unit for each two of them: some FEW_BLOCKS units a row at most.
@@ -398,41 +405,43 @@ def marked_rows(docs: DataFrame, k: int = 5, threshold: float = 0.8, block: int
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     versioned = texts.withColumn("version", F.xxhash64("text"))
     rows = durable(versioned.mapInArrow(_first_pass(k), "doc_id long, version long, n_shingles long, set_key binary, sig array<long>"))
-    classes = durable(
+    classes = durable_alone(
         rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n"), F.count("*").alias("rows"), F.first("sig").alias("sig"))
     )
 
     posted = classes.select("set_key", F.posexplode("sig")).select("set_key", "pos", F.xxhash64("pos", "col").alias("posting"))
-    shared = durable(posted.groupBy("posting").count().where("count > 1"))
+    shared = durable_alone(posted.groupBy("posting").count().where("count > 1"))
     meet = many_to_one(posted, shared, ["posting"], shared.select("posting", F.col("count").alias("rows"))).where("count is not null")
     own = Window.partitionBy("set_key")
     ranked = meet.withColumn("rank", F.row_number().over(own.orderBy("count", "pos"))).withColumn("met", F.count("*").over(own))
-    kept = durable(ranked.where(F.col("met") >= least).where(F.col("rank") <= prefix - (COORDINATES - F.col("met"))).select("posting", "set_key"))
+    kept = durable_alone(ranked.where(F.col("met") >= least).where(F.col("rank") <= prefix - (COORDINATES - F.col("met"))).select("posting", "set_key"))
     heads = kept.groupBy("posting").agg(F.min("set_key").alias("head"), F.count("*").alias("rows")).where("rows > 1")
     met = many_to_one(kept, heads.drop("rows"), ["posting"], heads.select("posting", "rows")).where("head is not null")
-    pairs = durable(met.select("head", "set_key").distinct().join(classes.select("set_key", "n", "least_id"), "set_key"))
+    pairs = durable_alone(met.select("head", "set_key").distinct().join(classes.select("set_key", "n", "least_id"), "set_key"))
     lists = pairs.groupBy("head").agg(F.count("*").alias("rows"), _blocks(F.sum("n"), F.count("*"), block).alias("blocks"))
     lists = durable(lists)
     member = many_to_one(pairs, lists.drop("rows"), ["head"], lists.select("head", "rows")).select(F.col("head").alias("posting"), "set_key", "least_id", "n", "blocks")
     member = durable(member)
 
-    named = durable(member.select("set_key", "least_id").distinct())
+    # A set takes its units along, so only those of long lists are looked up again.
+    unit = F.pmod(F.xxhash64("posting"), F.lit(max(1, member.count() // UNIT)))
+    named = durable(member.groupBy("set_key", "least_id").agg(F.collect_set(F.when(F.col("blocks") == 1, unit)).alias("units"), F.max(F.col("blocks") > 1).alias("long")))
     if named.count() <= FEW:
         named = F.broadcast(named)
-    again = texts.join(named, texts["doc_id"].eqNullSafe(named["least_id"])).select("set_key", "text")
-    sets = again.mapInArrow(_second_pass(k), "set_key binary, sig array<long>, shingles array<long>")
+    again = texts.join(named, texts["doc_id"].eqNullSafe(named["least_id"])).select("set_key", "text", "units", "long")
+    sets = again.mapInArrow(_second_pass(k), "set_key binary, units array<long>, long boolean, sig array<long>, shingles array<long>")
     if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
         sets = sets.dropDuplicates(["set_key"])  # rows of one id and one set
-    sets = durable(sets)
+    sets = durable_alone(sets)
 
-    unit = F.pmod(F.xxhash64("posting"), F.lit(max(1, member.count() // UNIT)))
-    units = member.where("blocks = 1").select(unit.alias("unit"), "set_key", F.col("set_key").alias("label"), F.lit(True).alias("asks")).distinct()
+    rows_of = sets.select(F.explode("units").alias("unit"), "set_key", F.col("set_key").alias("label"), F.lit(True).alias("asks"), "sig", "shingles")
     links = None
     if not (long := member.where("blocks > 1")).isEmpty():
-        links, more = _long_lists(long.select("posting", "set_key", "n", "blocks"), sets, per_cent, least, block)
-        units = units.unionByName(more)
-    found = _forests(units, sets, per_cent, least).select("a", "b")
-    links = durable(found if links is None else found.unionByName(links))
+        of_long = sets.where("long").select("set_key", "sig", "shingles")
+        links, more = _long_lists(long.select("posting", "set_key", "n", "blocks"), of_long, per_cent, least, block)
+        rows_of = rows_of.unionByName(_with_sets(more, of_long))
+    found = _forests(rows_of, per_cent, least).select("a", "b")
+    links = durable_alone(found if links is None else found.unionByName(links))
 
     comp = components(links)
     tied = comp.join(classes.select(F.col("set_key").alias("node"), "least_id"), "node")

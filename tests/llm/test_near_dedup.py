@@ -140,3 +140,26 @@ def test_rows_written_for_a_long_list_follow_its_members(spark, monkeypatch):
     assert run(spark, rows) == dense(rows, 3, 85)
     listed = written[0]  # each member once for each of its lists, few of the 24 coordinates
     assert len(written) >= 3 and listed < 6 * len(rows) and sum(written) < 2 * listed, written  # blocks against blocks were 9 times as many
+
+
+def test_only_sets_of_long_lists_are_joined_again(spark, monkeypatch):
+    rng = random.Random(23)
+    rows = []
+    for i in range(120):
+        w = ["b%d" % j for j in range(60)]
+        w[rng.randrange(60)] = "x%d" % i
+        rows.append((i, " ".join(w)))
+    for i in range(80):
+        w = ["p%d_%d" % (i, j) for j in range(60)]
+        rows += [(1000 + 2 * i, " ".join(w)), (1001 + 2 * i, " ".join([*w[:-1], "end"]))]
+    monkeypatch.setattr(near_dedup, "ROWS", 30)
+    seen = []
+    long_lists = near_dedup._long_lists
+
+    def counted(members, sets, *rest):
+        seen.append((members.select("set_key").distinct().count(), sets.count()))
+        return long_lists(members, sets, *rest)
+
+    monkeypatch.setattr(near_dedup, "_long_lists", counted)
+    assert run(spark, rows) == dense(rows, 3, 85)
+    assert seen and all(members == sets <= 120 for members, sets in seen), seen
