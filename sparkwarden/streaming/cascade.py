@@ -5,6 +5,8 @@ says whether the second tier counts, and its ring of vectors says how near the n
 
 State is kept in RocksDB. A scope's vectors lie in chunks of CHUNK, so a micro-batch writes the chunks that its own events fill, however long the
 windows are, and reads the chunks of the last seconds and those that leave the count window. Sums and the monitor are small and of fixed size.
+A scope's rows of a micro-batch are gone through piece by piece, sorted on disk if they are many, so memory holds the windows and a piece, however
+much a micro-batch brings; state is written once they are through.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -23,13 +26,13 @@ from sparkwarden.functions.vector import clamp, doubles
 from sparkwarden.operators import cascade, folds, scoring
 from sparkwarden.operators.rules import match_rules
 from sparkwarden.sources import brokers
+from sparkwarden.streaming import runs
 
 #: Vectors of a chunk of state.
 CHUNK = 256
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 _SIGNALS = "dedup_similarity double, novelty_score double, baseline_size long, drifting boolean, final_score double, psi double, edge string"
-_OUT = f"payload string, vector array<double>, {_SIGNALS}"
 
 
 @dataclass(frozen=True)
@@ -42,10 +45,10 @@ class Memory:
 
 
 class _Ring:
-    """The vectors that a scope has seen, by number, in chunks of state."""
+    """The vectors that a scope has seen, by number, in chunks of state. Those that a micro-batch fills are written by save, if they are still kept then."""
 
     def __init__(self, state):
-        self.state, self.loaded = state, {}
+        self.state, self.loaded, self.changed = state, {}, set()
 
     def chunk(self, c: int) -> tuple[np.ndarray, np.ndarray]:
         if c not in self.loaded:
@@ -71,21 +74,28 @@ class _Ring:
             take = min(len(t) - done, (c + 1) * CHUNK - n - done)
             old_t, old_v = self.chunk(c) if (n + done) % CHUNK else (np.zeros(0), np.zeros((0, v.shape[1])))
             new = np.concatenate((old_t, t[done : done + take])), np.concatenate((old_v, v[done : done + take]))
-            self.state.updateValue((c,), (new[0].tolist(), new[1].ravel().tolist()))
             self.loaded[c] = new
+            self.changed.add(c)
             done += take
 
     def forget(self, start: int, end: int) -> None:
         for c in range(start, end):
+            self.loaded.pop(c, None)
+            self.changed.discard(c)
             if self.state.containsKey((c,)):
                 self.state.removeKey((c,))
 
+    def save(self) -> None:
+        for c in sorted(self.changed):
+            t, v = self.loaded[c]
+            self.state.updateValue((c,), (t.tolist(), v.ravel().tolist()))
+
 
 class Signals(StatefulProcessor):
-    """Rows (number, t, first, second, reset, vector, payload) of a scope in order of number; gives _OUT."""
+    """Rows (number, t, first, second, reset, vector, payload) of a scope in order of number; gives payload, vector and _SIGNALS. kind: the type of a vector's values."""
 
-    def __init__(self, memory: Memory, ttl_ms: int | None = None):
-        self.memory, self.ttl_ms = memory, ttl_ms
+    def __init__(self, memory: Memory, ttl_ms: int | None = None, kind: str = "double"):
+        self.memory, self.ttl_ms, self.kind = memory, ttl_ms, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.monitor = handle.getValueState("monitor", "seen long, drifting boolean, reference array<long>, last binary", self.ttl_ms)
@@ -93,44 +103,58 @@ class Signals(StatefulProcessor):
         self.ring = handle.getMapState("ring", "chunk long", "t array<double>, flat array<double>", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(rows)).sort_values("number", kind="stable").reset_index(drop=True)
-        out = pd.DataFrame({"payload": f["payload"], "vector": f["vector"]})
-        out["dedup_similarity"], out["novelty_score"], out["baseline_size"] = self._vectors(f)
-        out["drifting"], out["final_score"], out["psi"], out["edge"] = self._drift(f)
-        yield out
+        number = pa.float64() if self.kind == "double" else pa.float32()
+        schema = pa.schema({"number": pa.int64(), "t": pa.float64(), "first": pa.float64(), "second": pa.float64(), "reset": pa.bool_(), "vector": pa.list_(number), "payload": pa.string()})
+        monitor, ring = self._monitor(), _Ring(self.ring)
+        sums = self.sums.get() if self.sums.exists() else None
+        for piece in runs.in_order((pa.Table.from_pandas(f, schema, preserve_index=False) for f in rows), "number"):
+            f = piece.to_pandas()
+            out = pd.DataFrame({"payload": f["payload"], "vector": f["vector"]})
+            (out["dedup_similarity"], out["novelty_score"], out["baseline_size"]), sums = self._vectors(f, ring, sums)
+            out["drifting"], out["final_score"], out["psi"], out["edge"] = self._drift(f, monitor)
+            yield out
+        ring.save()
+        if sums is not None:
+            n, total, oldest, recent = sums
+            self.sums.update((int(n), [float(x) for x in total], int(oldest), int(recent)))
+        if monitor is not None:
+            self.monitor.update((int(monitor.seen), bool(monitor.drifting), [int(x) for x in monitor.reference], monitor.last.tobytes()))
 
     def close(self) -> None:
         pass
 
-    def _drift(self, f: pd.DataFrame) -> tuple:
-        first, second = f["first"].to_numpy(float), f["second"].to_numpy(float)
-        psi, edge = np.full(len(f), np.nan), np.full(len(f), None, object)
+    def _monitor(self) -> folds.Drift | None:
         if self.memory.drift is None:
-            return False, np.where(np.isnan(second), first, second), None, None
+            return None
         monitor = replace(self.memory.drift, reference=None)
         if self.monitor.exists():
             seen, drifting, reference, last = self.monitor.get()
             monitor = replace(monitor, seen=seen, drifting=drifting, reference=np.array(reference, np.int64), last=np.frombuffer(bytes(last), np.uint8))
+        return monitor
+
+    def _drift(self, f: pd.DataFrame, monitor: folds.Drift | None) -> tuple:
+        first, second = f["first"].to_numpy(float), f["second"].to_numpy(float)
+        psi, edge = np.full(len(f), np.nan), np.full(len(f), None, object)
+        if monitor is None:
+            return False, np.where(np.isnan(second), first, second), None, None
         final, on, checks = monitor.feed(first, second, f["reset"].to_numpy(bool))
         for at, _, value, _, what in checks:
             psi[at], edge[at] = value, what
-        self.monitor.update((int(monitor.seen), bool(monitor.drifting), [int(x) for x in monitor.reference], monitor.last.tobytes()))
         return on, final, pd.Series(psi, dtype=object).where(~np.isnan(psi), None), edge
 
-    def _vectors(self, f: pd.DataFrame) -> tuple:
+    def _vectors(self, f: pd.DataFrame, ring: _Ring, sums: tuple | None) -> tuple[tuple, tuple | None]:
         near, far, size = np.full(len(f), np.nan), np.zeros(len(f)), np.zeros(len(f), np.int64)
         own = np.flatnonzero(f["vector"].notna().to_numpy())
         if not len(own):
-            return pd.Series(near, dtype=object).where(~np.isnan(near), None), far, size
+            return (pd.Series(near, dtype=object).where(~np.isnan(near), None), far, size), sums
         v, t = np.array(f["vector"].iloc[own].tolist(), float), f["t"].to_numpy(float)[own]
-        n, total, oldest, recent = self.sums.get() if self.sums.exists() else (0, [0.0] * v.shape[1], 0, 0)
-        ring, total = _Ring(self.ring), np.array(total, float)
+        n, total, oldest, recent = (0, np.zeros(v.shape[1]), 0, 0) if sums is None else sums
+        total = np.array(total, float)
         if self.memory.window_s is not None:
             held_t, held_v = ring.span(recent * CHUNK, n)
-            times = np.concatenate((held_t, t))
             best = folds.nearest_before(t, v, held_t, held_v, self.memory.window_s)
-            some = np.array([bool((times[: len(held_t) + i] >= t[i] - self.memory.window_s).any()) for i in range(len(t))])
-            near[own] = np.where(some, best, np.nan)
+            newest = np.fmax.accumulate(np.concatenate(([-np.inf], held_t, t)))[len(held_t) : -1]  # of those before each
+            near[own] = np.where(newest >= t - self.memory.window_s, best, np.nan)
         if self.memory.novelty is not None:
             window = self.memory.novelty.window
             _, old = ring.span(max(0, n - window), min(n, max(0, n + len(v) - window)))
@@ -150,8 +174,7 @@ class Signals(StatefulProcessor):
             recent = n // CHUNK
         kept = recent if self.memory.novelty is None else min(recent, max(0, n - self.memory.novelty.window) // CHUNK)
         ring.forget(oldest, kept)
-        self.sums.update((int(n), [float(x) for x in total], int(kept), int(recent)))
-        return pd.Series(near, dtype=object).where(~np.isnan(near), None), far, size
+        return (pd.Series(near, dtype=object).where(~np.isnan(near), None), far, size), (n, total, kept, recent)
 
 
 def keep_state_in_rocksdb(spark: SparkSession) -> None:
@@ -169,15 +192,16 @@ def remembered(rows: DataFrame, order: str, ts: str, memory: Memory, vector: str
     keep_state_in_rocksdb(rows.sparkSession)
     others = [c for c in rows.columns if c != vector]
     number = lambda c: F.lit(None).cast("double") if c is None else F.col(c).cast("double")
-    v = doubles(F.col(vector)) if vector in rows.columns else F.lit(None).cast("array<double>")
+    kind = "float" if dict(rows.dtypes).get(vector) == "array<float>" else "double"  # single values stay so on their way: half the bytes
+    v = F.col(vector) if vector in rows.columns else F.lit(None)
     packed = rows.select(
         (F.lit("all") if scope is None else F.concat(F.lit("="), F.col(scope).cast("string"))).alias("scope"), F.col(order).cast("long").alias("number"), F.col(ts).cast("timestamp").cast("double").alias("t"), number(first).alias("first"),
-        number(second).alias("second"), (F.lit(False) if reset is None else F.coalesce(F.col(reset), F.lit(False))).alias("reset"), v.alias("vector"), F.to_json(F.struct(*others), _TIMES).alias("payload"),
+        number(second).alias("second"), (F.lit(False) if reset is None else F.coalesce(F.col(reset), F.lit(False))).alias("reset"), v.cast(f"array<{kind}>").alias("vector"), F.to_json(F.struct(*others), _TIMES).alias("payload"),
     ).fillna("none", ["scope"])
     mode = "None" if idle_ms is None else "ProcessingTime"
-    out = packed.groupBy("scope").transformWithStateInPandas(statefulProcessor=Signals(memory, idle_ms), outputStructType=_OUT, outputMode="Append", timeMode=mode)
+    out = packed.groupBy("scope").transformWithStateInPandas(statefulProcessor=Signals(memory, idle_ms, kind), outputStructType=f"payload string, vector array<{kind}>, {_SIGNALS}", outputMode="Append", timeMode=mode)
     back = F.from_json("payload", rows.select(*others).schema, _TIMES)
-    out = out.withColumn("_row", back).select("_row.*", *([F.col("vector").alias(vector)] if vector in rows.columns else []), *[s.split()[0] for s in _SIGNALS.split(", ")])
+    out = out.withColumn("_row", back).select("_row.*", *([doubles(F.col("vector")).alias(vector)] if vector in rows.columns else []), *[s.split()[0] for s in _SIGNALS.split(", ")])
     return out
 
 
