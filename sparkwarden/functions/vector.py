@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,12 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def carried(df: DataFrame, name: str) -> tuple[Column, str]:
+    """A vector as it goes from task to task, and the type of its values: single ones stay so, which is half the bytes, others are doubles."""
+    kind = "float" if dict(df.dtypes).get(name) == "array<float>" else "double"
+    return F.col(name).cast(f"array<{kind}>"), kind
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import constants as C
-from sparkwarden.functions.vector import dot, doubles, unit
+from sparkwarden.functions.vector import carried, dot, doubles, unit
 from sparkwarden.operators import folds
 from sparkwarden.operators.drift import since_reset
 from sparkwarden.operators.ordered import chunks, running
@@ -17,8 +17,8 @@ from sparkwarden.operators.ordered import chunks, running
 CHUNK, PART = 2_000, 2_000
 #: Events that novelty goes through in one task, at least.
 STRETCH = 16_384
-#: Buckets of time (some 50 bytes each) up to which their counts are broadcast.
-FEW = 250_000
+#: Buckets of time (some 50 bytes each) up to which their counts are broadcast, and windows that a bucket spans at most.
+FEW, SPAN = 250_000, 64
 
 
 def top_techniques(events: DataFrame, techniques: DataFrame, key: str, vector: str = "embedding", k: int = 3, chunk: int = CHUNK) -> DataFrame:
@@ -44,35 +44,33 @@ def with_candidates(events: DataFrame, techniques: DataFrame, vector: str = "emb
 
 
 def _nearest(batches):
-    """(_k, _best) of the rows of a unit that ask: the largest inner product with those held that are earlier and not too old. Units come sorted, what is held first; nothing is put out for pairs."""
-    at, held, kept = None, [], None
-
-    def columns(batch: pa.RecordBatch) -> tuple:
-        v = batch.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-        return batch.column("_k").to_numpy(zero_copy_only=False), batch.column("_t").to_numpy(), v
-
+    """(_k, _best) of the rows of a unit: the largest inner product with those held that are earlier and not too old. Units come sorted, by time and key within; nothing is put out for pairs."""
+    at, kept = None, None
     for batch in batches:
         u = batch.column("_u").to_numpy()
-        asks = batch.column("_asks").to_numpy(zero_copy_only=False).astype(bool)
-        cuts = [0, *(np.flatnonzero((u[1:] != u[:-1]) | (asks[1:] != asks[:-1])) + 1), len(u)]
+        cuts = [0, *(np.flatnonzero(u[1:] != u[:-1]) + 1), len(u)]
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             if s == e:
                 continue
             if u[s] != at:
-                at, held, kept = u[s], [], None
-            if not asks[s]:
-                held.append(columns(batch.slice(s, e - s)))
-                continue
-            if not held:
-                continue
-            kept = kept or tuple(np.concatenate(c) for c in zip(*held, strict=True))
-            k2, t2, v2 = kept
+                at, kept = u[s], None
             for i in range(s, e, folds.ROWS):
                 part = batch.slice(i, min(folds.ROWS, e - i))
-                k, t, v = columns(part)
-                since = part.column("_from").to_numpy()
-                near = (t2[None, :] < t[:, None]) & (t2[None, :] >= since[:, None])
-                if (same := t2[None, :] == t[:, None]).any():
+                k, t, since = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_k", "_t", "_from"))
+                v = part.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(len(k), -1).astype(float, copy=False)
+                own = np.flatnonzero(part.column("_held").to_numpy(zero_copy_only=False))
+                # Places within the unit's order: those that were held before come first.
+                place, new = np.arange(len(k)), (k[own], t[own], v[own])
+                if kept is not None:
+                    young = kept[1] >= since.min()
+                    old = tuple(x[young] for x in kept)
+                    kept = tuple(np.concatenate(x) for x in zip(old, new, strict=True))
+                    before = np.concatenate((np.full(len(old[0]), -1), own))
+                else:
+                    kept, before = new, own
+                k2, t2, v2 = kept
+                near = (before[None, :] < place[:, None]) & (t2[None, :] >= since[:, None])
+                if (same := near & (t2[None, :] == t[:, None])).any():
                     x, y = np.nonzero(same)
                     near[x, y] = k2[y] < k[x]
                 some = near.any(1)
@@ -94,13 +92,14 @@ def nearest_earlier(events: DataFrame, key: str, ts: str, vector: str = "embeddi
     """(key, dedup_similarity) of events that have one: the largest inner product with an earlier event of the last window_s seconds.
 
     Earlier: by (ts, key). mode ``lag`` looks back from the event before, as an index that is pruned on insertion does.
-    scope: columns within which events are compared; state reaches no further. Each event meets the
-    bucket of its own window and the one before, so the join is an equi-join with a check of times. Buckets of more than
-    ``part`` events are dealt to parts, which each event meets one by one. A part's vectors are held against those that ask by products of
-    matrices, and only each one's best goes on: there is no row for a pair. Null scopes are a scope; events without a vector take no part.
+    scope: columns within which events are compared; state reaches no further. Buckets of time span as many windows as hold some ``part``
+    events, SPAN at most. An event goes to its own bucket, where it is held for later ones and looks back itself, and to the one before if its window
+    begins there, so most go one way only and no rows are joined. Buckets of more than ``part`` events are dealt to parts, each of which the event meets.
+    A part's vectors are held against those that ask by products of matrices, and only each one's best goes on: there is no row for a pair.
+    Null scopes are a scope; events without a vector take no part.
     """
     scope = scope or []
-    rows = events.select(*scope, F.col(key).alias("_k"), F.col(ts).cast("timestamp").cast("double").alias("_t"), doubles(F.col(vector)).alias("_v"))
+    rows = events.select(*scope, F.col(key).alias("_k"), F.col(ts).cast("timestamp").cast("double").alias("_t"), carried(events, vector)[0].alias("_v"))
     if mode == "lag":
         before = Window.partitionBy(*scope, "_day").orderBy("_t", "_k")
         # The event before is in the same range of time, or the last one of the range before.
@@ -111,21 +110,19 @@ def nearest_earlier(events: DataFrame, key: str, ts: str, vector: str = "embeddi
         rows = rows.withColumn("_from", F.coalesce(F.lag("_t").over(before), "_last", "_t") - window_s).drop("_day", "_last")
     else:
         rows = rows.withColumn("_from", F.col("_t") - window_s)
-    placed = rows.withColumn("_b", F.floor(F.col("_t") / window_s))
-    parts = placed.groupBy(*scope, "_b").agg(F.ceil(F.count("*") / part).cast("int").alias("_parts")).where("_parts > 1")
-    if not parts.isEmpty():
-        parts = F.broadcast(parts) if parts.count() <= FEW else parts
-    number = F.coalesce("_parts", F.lit(1))
-    of = lambda df, names, prefix: df.withColumnsRenamed({c: f"{prefix}{c}" for c in names})
-    same = lambda names, prefix: [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in names]
-    parts = of(parts, [*scope, "_b"], "_of_")
-    left = rows.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_from") / window_s), F.floor(F.col("_t") / window_s)))).join(parts, same([*scope, "_b"], "_of_"), "left")
-    left = left.withColumn("_p", F.explode(F.sequence(F.lit(0), number - 1))).select(*scope, "_k", "_t", "_from", "_v", "_b", "_p")
-    right = placed.join(parts, same([*scope, "_b"], "_of_"), "left").withColumn("_p", F.pmod(F.xxhash64("_k"), number).cast("int"))
-    unit = F.xxhash64(*scope, "_b", "_p").alias("_u")
-    asks = left.select(unit, F.lit(True).alias("_asks"), "_k", "_t", "_from", "_v")
-    held = right.select(unit, F.lit(False).alias("_asks"), "_k", "_t", F.lit(None).cast("double").alias("_from"), "_v")
-    dealt = asks.unionByName(held).where("_v is not null").repartition("_u").sortWithinPartitions("_u", "_asks")
+    rows = rows.where("_v is not null")
+    counted = lambda width: rows.groupBy(*scope, F.floor(F.col("_t") / width).alias("_b")).agg(F.count("*").alias("_n"))
+    n, buckets = counted(window_s).agg(F.sum("_n"), F.count("*")).first()
+    width = window_s * max(1, min(SPAN, part * buckets // (n or 1)))
+    parts = counted(width).where(F.col("_n") > part).select(*[F.col(c).alias(f"_of_{c}") for c in [*scope, "_b"]], F.ceil(F.col("_n") / part).cast("int").alias("_parts"))
+    dealt = rows.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor(F.col("_t") / width)))).withColumn("_held", F.col("_b") == F.floor(F.col("_t") / width))
+    if dense := parts.count():
+        parts = F.broadcast(parts) if dense <= FEW else parts
+        dealt = dealt.join(parts, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*scope, "_b"]], "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))).withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        dealt = dealt.withColumn("_held", F.col("_held") & (F.col("_p") == F.pmod(F.xxhash64("_k"), "_parts")))
+    else:
+        dealt = dealt.withColumn("_p", F.lit(0))
+    dealt = dealt.select(F.xxhash64(*scope, "_b", "_p").alias("_u"), "_held", "_k", "_t", "_from", "_v").repartition("_u").sortWithinPartitions("_u", "_t", "_k")
     kind = dict(rows.dtypes)["_k"]
     return dealt.mapInArrow(_nearest, f"_k {kind}, _best double").groupBy(F.col("_k").alias(key)).agg(F.max("_best").alias("dedup_similarity"))
 
@@ -142,7 +139,7 @@ def novelty(
     scope = scope or []
     fold = folds.Novelty(window, warmup, baseline, scale)
     size = max(window, STRETCH)
-    numbered = running(events.where(F.col(vector).isNotNull()).select(*scope, order, doubles(F.col(vector)).alias("_v")), order, {"_n": F.lit(1)}, scope)
+    numbered = running(events.where(F.col(vector).isNotNull()).select(*scope, order, carried(events, vector)[0].alias("_v")), order, {"_n": F.lit(1)}, scope)
     # A stretch also gets the window before it, so a vector goes to two stretches at most.
     placed = numbered.withColumn("_at", F.explode(F.array_distinct(F.array(F.floor(F.col("_n") / size), F.floor((F.col("_n") + window) / size)))))
     dealt = placed.withColumn("_g", F.xxhash64(*scope, "_at")).repartition("_g").sortWithinPartitions("_g", "_n")
@@ -151,7 +148,7 @@ def novelty(
     def scored(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
         n, at = t.column("_n").to_numpy(), int(t.column("_at")[0].as_py())
-        v = t.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1)
+        v = t.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1).astype(float, copy=False)
         own = int(np.searchsorted(n, at * size))
         leaving = np.zeros((len(n) - own, v.shape[1]))
         out = np.arange(own, len(n)) - window  # numbers are consecutive

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from sparkwarden.functions import constants as C
-from sparkwarden.functions.vector import clamp, doubles
+from sparkwarden.functions.vector import carried, clamp, doubles
 from sparkwarden.operators import cascade, folds, scoring
 from sparkwarden.operators.rules import match_rules
 from sparkwarden.sources import brokers
@@ -192,11 +192,10 @@ def remembered(rows: DataFrame, order: str, ts: str, memory: Memory, vector: str
     keep_state_in_rocksdb(rows.sparkSession)
     others = [c for c in rows.columns if c != vector]
     number = lambda c: F.lit(None).cast("double") if c is None else F.col(c).cast("double")
-    kind = "float" if dict(rows.dtypes).get(vector) == "array<float>" else "double"  # single values stay so on their way: half the bytes
-    v = F.col(vector) if vector in rows.columns else F.lit(None)
+    v, kind = carried(rows, vector) if vector in rows.columns else (F.lit(None).cast("array<double>"), "double")
     packed = rows.select(
         (F.lit("all") if scope is None else F.concat(F.lit("="), F.col(scope).cast("string"))).alias("scope"), F.col(order).cast("long").alias("number"), F.col(ts).cast("timestamp").cast("double").alias("t"), number(first).alias("first"),
-        number(second).alias("second"), (F.lit(False) if reset is None else F.coalesce(F.col(reset), F.lit(False))).alias("reset"), v.cast(f"array<{kind}>").alias("vector"), F.to_json(F.struct(*others), _TIMES).alias("payload"),
+        number(second).alias("second"), (F.lit(False) if reset is None else F.coalesce(F.col(reset), F.lit(False))).alias("reset"), v.alias("vector"), F.to_json(F.struct(*others), _TIMES).alias("payload"),
     ).fillna("none", ["scope"])
     mode = "None" if idle_ms is None else "ProcessingTime"
     out = packed.groupBy("scope").transformWithStateInPandas(statefulProcessor=Signals(memory, idle_ms, kind), outputStructType=f"payload string, vector array<{kind}>, {_SIGNALS}", outputMode="Append", timeMode=mode)

@@ -8,8 +8,9 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from sparkwarden.operators import folds
+from sparkwarden.operators import folds, similarity
 from sparkwarden.plans import catalogue
 from sparkwarden.streaming import cascade as streams
 from sparkwarden.streaming import runs
@@ -90,3 +91,48 @@ def test_runs_give_nulls_last_and_keep_the_order_of_equals(monkeypatch):
     found = [x for t in runs.in_order(iter(tables), "number") for x in t.column("number").to_pylist()]
     assert found == [0, 1, 1, 2, 5, 5, 5, 5, 5, 7, 9, None, None]
     assert list(runs.in_order(iter([]), "number")) == []
+
+
+def shuffled(df):
+    """(rows, bytes) that each shuffle of a collected frame has written."""
+    found, left = [], [df._jdf.queryExecution().executedPlan()]
+    while left:
+        plan = left.pop()
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            left.append(plan.executedPlan())
+        elif name.endswith("QueryStage"):
+            left.append(plan.plan())
+        else:
+            if name == "Exchange":
+                found.append(tuple(plan.metrics().get(m).get().value() for m in ("shuffleRecordsWritten", "dataSize")))
+            left += [plan.children().apply(i) for i in range(plan.children().size())]
+    return found
+
+
+def vectors(spark, n, dim, step):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(n, dim)).astype(np.float32)
+    v[1::5] = v[::5][: len(v[1::5])]  # each fifth's next is a copy of it
+    rows = [(i, float(i * step), v[i].tolist() if i % 13 else None) for i in range(n)]
+    df = spark.createDataFrame(rows, "n long, s double, embedding array<float>").select("n", F.timestamp_seconds("s").alias("at"), "embedding")
+    return df, [(s, None if x is None else np.array(x, np.float32).astype(float)) for _, s, x in rows]
+
+
+def test_vectors_are_shuffled_about_once_for_duplicates(spark):
+    n = 3_000
+    df, rows = vectors(spark, n, 32, 7)
+    out = similarity.nearest_earlier(df, "n", "at", "embedding")
+    got = {r.n: r.dedup_similarity for r in out.collect()}
+    for i, (s, v) in enumerate(rows):
+        best = [float(v @ w) for t, w in rows[max(0, i - 50) : i] if v is not None and w is not None and t >= s - 300]
+        assert (i in got) == bool(best) and (not best or abs(got[i] - max(best)) < 1e-9)
+    moved = [x for x in shuffled(out) if x[0] > n / 2 and x[1] > 100 * n]
+    assert len(moved) == 1 and moved[0][0] < 1.1 * n and moved[0][1] < 220 * n  # 3 rows of some 330 bytes each before
+
+
+def test_dense_buckets_meet_in_parts_as_in_one(spark):
+    df, _ = vectors(spark, 600, 4, 1)
+    for mode in ("window", "lag"):
+        told = [sorted((r.n, round(r.dedup_similarity, 9)) for r in similarity.nearest_earlier(df, "n", "at", "embedding", 60, mode=mode, part=part).collect()) for part in (1_000, 7)]
+        assert told[0] == told[1] and len(told[0]) > 500
