@@ -69,8 +69,10 @@ def with_fallback(df: DataFrame, seq: str, m: Models, monitor: folds.Drift) -> D
 
 
 def third_tier(df: DataFrame, vector: str, techniques: DataFrame, m: Models, k: int = 3, least: float = C.DEDUP_SIMILARITY) -> DataFrame:
-    """is_duplicate by dedup_similarity (null without an earlier event), candidates, entities and cross-encoder scores. Duplicates skip the last two; a row whose embedding, entities or cross scores failed is reset and degraded."""
-    rows = similarity.with_candidates(df.withColumn("is_duplicate", F.coalesce(F.col("dedup_similarity") >= least, F.lit(False))), techniques, vector, k)
+    """is_duplicate by dedup_similarity (null without an earlier event), candidates, entities and cross-encoder scores. Candidates that the rows bring along are taken. Duplicates skip the last two; a row whose embedding, entities or cross scores failed is reset and degraded."""
+    rows = df.withColumn("is_duplicate", F.coalesce(F.col("dedup_similarity") >= least, F.lit(False)))
+    if "candidates" not in rows.columns:
+        rows = similarity.with_candidates(rows, techniques, vector, k)
     new = F.col("candidates").isNotNull() & ~F.coalesce(F.col("is_duplicate"), F.lit(False))
 
     def run(part: DataFrame, of=lambda c: c) -> DataFrame:
@@ -102,7 +104,8 @@ def score_events(
     monitor: drift is told from the scores that count, and while it is on the second tier's don't (``drift.fallback``).
     """
     known = events.where(F.col(vector).isNotNull())
-    rows = events.join(similarity.nearest_earlier(known, key, ts, vector), key, "left")
+    # Candidates first: a vector that nobody asks for afterwards needn't go through the joins.
+    rows = similarity.with_candidates(events, techniques, vector).join(similarity.nearest_earlier(known, key, ts, vector), key, "left")
     if seq is not None:
         far = similarity.novelty(known, seq, vector, **(novelty or {}))
         rows = rows.join(far.select(seq, "novelty_score"), seq, "left").withColumn("novelty_score", F.coalesce("novelty_score", F.lit(0.0)))

@@ -11,13 +11,13 @@ from sparkwarden.functions import constants as C
 from sparkwarden.functions.vector import carried, dot, doubles, unit
 from sparkwarden.operators import folds
 from sparkwarden.operators.drift import since_reset
-from sparkwarden.operators.ordered import chunks, running
+from sparkwarden.operators.ordered import chunks, range_of, running
 
 #: Techniques that go along with an event as one array (more make more arrays), and events of a bucket of time that are compared in one task.
 CHUNK, PART = 2_000, 2_000
 #: Events that novelty goes through in one task, at least.
 STRETCH = 16_384
-#: Buckets of time (some 50 bytes each) up to which their counts are broadcast, and windows that a bucket spans at most.
+#: Buckets of time and ranges of an order (some 50 bytes each) up to which what is known of them is broadcast, and windows that a bucket spans at most.
 FEW, SPAN = 250_000, 64
 
 
@@ -134,26 +134,37 @@ def novelty(
 
     0 until ``warmup`` events have come and the baseline holds ``baseline`` of them. Events are numbered and cut into stretches of
     STRETCH, or of the window if that is longer; each goes through its vectors with a running sum of whole vectors that begins anew with it. Work doesn't
-    grow with the window, and a task holds one stretch and the window before it. Events without a vector have no row and no number.
+    grow with the window, and a task holds one stretch and the window before it. Numbers are found without the vectors, and which values of the order
+    each stretch begins with goes along with the events, so a vector is shuffled once, or twice as one of a window. Events without a vector have no row and no number.
     """
     scope = scope or []
     fold = folds.Novelty(window, warmup, baseline, scale)
     size = max(window, STRETCH)
-    numbered = running(events.where(F.col(vector).isNotNull()).select(*scope, order, carried(events, vector)[0].alias("_v")), order, {"_n": F.lit(1)}, scope)
-    # A stretch also gets the window before it, so a vector goes to two stretches at most.
-    placed = numbered.withColumn("_at", F.explode(F.array_distinct(F.array(F.floor(F.col("_n") / size), F.floor((F.col("_n") + window) / size)))))
-    dealt = placed.withColumn("_g", F.xxhash64(*scope, "_at")).repartition("_g").sortWithinPartitions("_g", "_n")
+    known = events.where(F.col(vector).isNotNull())
+    within = range_of(known, order)
+    numbered = running(known.select(*scope, order), order, {"_n": F.lit(1)}, scope, within).withColumns({"_r": within, "_at": F.floor(F.col("_n") / size)})
+    last = F.col("_n") + window >= (F.col("_at") + 1) * size  # of the window before the next stretch
+    begun = numbered.groupBy(*scope, "_r", "_at").agg(F.min(order).alias("_b"), F.min(F.when(last, F.col(order))).alias("_c"))
+    begun = begun.groupBy(*[F.col(c).alias(f"_of_{c}") for c in [*scope, "_r"]]).agg(F.array_sort(F.collect_list(F.struct("_at", "_b", "_c"))).alias("_begun"))
+    if not scope or known.select(*scope, within).distinct().count() <= FEW:
+        begun = F.broadcast(begun)
+    rows = known.select(*scope, order, carried(events, vector)[0].alias("_v"), within.alias("_r")).join(begun, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*scope, "_r"]])
+    rows = rows.withColumn("_s", F.coalesce(F.try_element_at(F.filter("_begun", lambda s: s["_b"] <= F.col(order)), F.lit(-1)), F.get("_begun", F.lit(0))))
+    goes = lambda at, own: F.struct(at.alias("_at"), F.lit(own).alias("_own"))
+    here, ahead = goes(F.col("_s._at"), True), goes(F.col("_s._at") + 1, False)
+    placed = rows.select(*scope, order, "_v", F.explode(F.when(F.col(order) >= F.col("_s._c"), F.array(here, ahead)).otherwise(F.array(here))).alias("_to")).select(*scope, order, "_v", "_to.*")
+    dealt = placed.withColumn("_g", F.xxhash64(*scope, "_at")).repartition("_g").sortWithinPartitions("_g", "_own", order)
     names = [*scope, order]
 
     def scored(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
-        n, at = t.column("_n").to_numpy(), int(t.column("_at")[0].as_py())
-        v = t.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1).astype(float, copy=False)
-        own = int(np.searchsorted(n, at * size))
-        leaving = np.zeros((len(n) - own, v.shape[1]))
-        out = np.arange(own, len(n)) - window  # numbers are consecutive
+        n, at = len(t), int(t.column("_at")[0].as_py())
+        v = t.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(float, copy=False)
+        own = n - t.column("_own").to_pylist().count(True)
+        leaving = np.zeros((n - own, v.shape[1]))
+        out = np.arange(own, n) - window
         leaving[out >= 0] = v[out[out >= 0]]
-        score, baseline_size, _ = fold.feed(int(n[own]), v[max(0, own - window) : own].sum(0), v[own:], leaving) if own < len(n) else (np.zeros(0), np.zeros(0, np.int64), None)
+        score, baseline_size, _ = fold.feed(at * size, v[max(0, own - window) : own].sum(0), v[own:], leaving) if own < n else (np.zeros(0), np.zeros(0, np.int64), None)
         kept = t.slice(own)
         return pa.RecordBatch.from_arrays([*(kept.column(c).combine_chunks() for c in names), pa.array(score), pa.array(baseline_size.astype(np.int64))], [*names, "novelty_score", "baseline_size"])
 
@@ -172,7 +183,7 @@ def novelty(
         if held:
             yield scored(held)
 
-    kinds = dict(numbered.dtypes)
+    kinds = dict(placed.dtypes)
     return dealt.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "novelty_score double", "baseline_size long"]))
 
 

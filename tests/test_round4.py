@@ -136,3 +136,19 @@ def test_dense_buckets_meet_in_parts_as_in_one(spark):
     for mode in ("window", "lag"):
         told = [sorted((r.n, round(r.dedup_similarity, 9)) for r in similarity.nearest_earlier(df, "n", "at", "embedding", 60, mode=mode, part=part).collect()) for part in (1_000, 7)]
         assert told[0] == told[1] and len(told[0]) > 500
+
+
+def test_vectors_are_shuffled_about_once_for_novelty(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "STRETCH", 500)
+    n, small = 3_000, {"window": 60, "warmup": 20, "baseline": 10}
+    df, rows = vectors(spark, n, 32, 7)
+    out = similarity.novelty(df, "n", **small)
+    got = {r.n: (r.novelty_score, r.baseline_size) for r in out.collect()}
+    v = np.array([x for _, x in rows if x is not None])
+    score, size, _ = folds.Novelty(**small).feed(0, np.zeros(32), v, np.concatenate((np.zeros((60, 32)), v[:-60])))
+    want = dict(zip([i for i, (_, x) in enumerate(rows) if x is not None], zip(score, size, strict=True), strict=True))
+    assert got.keys() == want.keys() and all(abs(got[i][0] - want[i][0]) < 1e-9 and got[i][1] == want[i][1] for i in want)
+    moved = [x for x in shuffled(out) if x[1] > 100 * n]
+    assert len(moved) == 1 and moved[0][0] < 1.2 * n and moved[0][1] < 240 * n  # twice before
+    texts = similarity.novelty(df.withColumn("t", F.format_string("%05d", "n")).withColumn("one", F.lit(None).cast("string")), "t", scope=["one"], **small)
+    assert {int(r.t): round(r.novelty_score, 9) for r in texts.collect()} == {i: round(x[0], 9) for i, x in got.items()}
