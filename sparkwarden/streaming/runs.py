@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of rows that are sorted at once; rows of a block that is read again, and of a piece that is given out; runs that are merged at once.
-RUN, BLOCK, PIECE, FAN = 64 << 20, 256, 4_096, 128
+RUN, BLOCK, PIECE, FAN = 16 << 20, 256, 4_096, 128
 _LAST = np.iinfo(np.int64).max
 
 
